@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words: \x20 and \x09-\x0D, in ASCII only.
 WHITE = " \t\n\x0b\x0c\r"
+WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
 @cache
@@ -47,7 +48,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for null."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE)), " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{WHITE_CLASS}+"), "")
 
 
 def one_per_row(df: DataFrame, columns: list[str]) -> DataFrame:

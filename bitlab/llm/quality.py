@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitlab.llm.common import WHITE, let, one_per_row, stage, words
+from bitlab.llm.common import WHITE_CLASS, let, one_per_row, stage, words
 
 #: Symbols counted by ``n_symbols``.
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+WORD_CLASS = r"[^\x20\x09-\x0D]"
 WINDOW = 8
 RULES = ("short", "repeats", "symbols", "lines")
 
@@ -49,12 +50,13 @@ def metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Windows are compared by a 64-bit hash of their words within one document.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CLASS))
     ws = words(text)
     counts = let(ws, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).cast("long").alias("n_repeat_words")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    n_symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    both = F.struct(counts.alias("c"), of_lines.alias("l"), F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"), n_symbols.cast("long").alias("n_symbols"))
+    word_chars = F.length(text) - F.regexp_count(text, F.lit(WHITE_CLASS))
+    n_symbols = F.regexp_count(text, F.lit(SYMBOLS))
+    both = F.struct(counts.alias("c"), of_lines.alias("l"), word_chars.cast("long").alias("word_chars"), n_symbols.cast("long").alias("n_symbols"))
     flat = let(both, lambda b: F.struct(b["c"]["n_words"].alias("n_words"), b["word_chars"].alias("word_chars"), b["n_symbols"].alias("n_symbols"), b["l"]["n_lines"].alias("n_lines"), b["l"]["n_dup_lines"].alias("n_dup_lines"), b["c"]["n_repeat_words"].alias("n_repeat_words")))
     return docs.withColumn("_m", flat)
 
