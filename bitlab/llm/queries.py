@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bitlab.llm.packing import op3_packing
 from bitlab.llm.quality import op1_host_quality
+from bitlab.llm.secrets import op4_secrets
 from bitlab.llm.simhash import op7_simhash
 from bitlab.llm.substrings import op5_substrings
 from bitlab.llm.tokenfile import op9_token_files
+from bitlab.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_host_quality": op1_host_quality,
         "op3_packing": op3_packing,
+        "op4_secrets": op4_secrets,
         "op5_substrings": op5_substrings,
         "op7_simhash": op7_simhash,
         "op9_token_files": op9_token_files,
+        "op10_toxicity": op10_toxicity,
     }
 
 
