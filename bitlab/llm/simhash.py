@@ -255,3 +255,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that of the smallest id.
+
+    Groups are of equal or near fingerprints of five-word shingles, at most 4 bits apart; see
+    ``near_duplicates``. Of repeated rows of one id one stays; documents with a null id all stay,
+    and so do those without words, whose fingerprint says nothing about them.
+    """
+    columns = docs.columns
+    groups = near_duplicates(docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")), shingle=5)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    once = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    return once.join(stage(gone, "duplicates"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*columns)
