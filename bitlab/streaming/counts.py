@@ -14,7 +14,7 @@ from bitlab.sources.tables import is_one
 
 def windowed_ones(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """(start, event_type, n, ones) by tumbling window of event time; later than ``late`` is left out."""
-    out = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(is_one(F.col("event_type"))).alias("ones"))
+    out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(is_one(F.col("event_type"))).alias("ones"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "ones")
 
 
