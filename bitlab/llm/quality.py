@@ -96,13 +96,14 @@ def host_verdicts(failures: DataFrame, host_col: str, rules: tuple[str, ...] = R
     return out.select(host_col, F.col("n").alias("host_docs"), *[f"rate_{r}" for r in rules], F.coalesce(bad, F.lit(False)).alias("host_bad"))
 
 
-def judge(docs: DataFrame, keep_cols: list[str], text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, **limits: int) -> DataFrame:
+def judge(docs: DataFrame, keep_cols: list[str], text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, prefix: str = "", **limits: int) -> DataFrame:
     """``keep_cols`` of every row of ``docs``, its metrics, ``failed`` rules, the host's rates and ``kept``.
 
     A row is kept if it passes "short", "repeats" and "symbols", and its host is not bad; "lines"
     only counts through the host. Rows, also repeated ones, come out once each; an empty or null
     text has no words and fails "short"; an empty table gives an empty result. Only ``keep_cols``
-    are taken from ``docs``, so its other columns may have any names.
+    are taken from ``docs``, so its other columns may have any names; ``prefix`` goes before the names
+    of new columns, for ``keep_cols`` that clash with them.
     """
     src = one_per_row(docs, list(dict.fromkeys([*keep_cols, host_col, text_col])))
     names = {c: f"k{i}" for i, c in enumerate(src.columns)}
@@ -118,10 +119,9 @@ def judge(docs: DataFrame, keep_cols: list[str], text_col: str = "text", host_co
     joined = flagged.join(hosts, F.col(host).eqNullSafe(F.col("host")), "left")
     failed = F.filter(F.array(*[F.when(F.col(f"f_{r}"), F.lit(r)) for r in fails]), lambda x: x.isNotNull())
     base_failed = F.col("f_short") | F.col("f_repeats")
-    return joined.select(
-        *[F.col(names[c]).alias(c) for c in keep_cols], *m, base_failed.alias("base_failed"), failed.alias("failed"),
-        *[f"rate_{r}" for r in RULES], "host_bad", (~base_failed & ~F.col("f_symbols") & ~F.col("host_bad")).alias("kept"),
-    )
+    new = {**m, "base_failed": base_failed, "failed": failed, **{f"rate_{r}": F.col(f"rate_{r}") for r in RULES}, "host_bad": F.col("host_bad")}
+    new["kept"] = ~base_failed & ~F.col("f_symbols") & ~F.col("host_bad")
+    return joined.select(*[F.col(names[c]).alias(c) for c in keep_cols], *[x.alias(prefix + k) for k, x in new.items()])
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,4 +134,4 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep, unchanged."""
     columns = docs.columns
-    return judge(docs, columns).where("kept").select(*columns)
+    return judge(docs, columns, prefix="__quality_").where("__quality_kept").select(*columns)
