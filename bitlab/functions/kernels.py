@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def lz76(text: str) -> int:
@@ -120,3 +121,27 @@ def takens(text: str, dim: int = 8, tau: int = 2, most: int = 200) -> dict[str,
     at = np.unique(np.linspace(0, n - 1, min(n, most)).astype(int))
     life = persistence_h0(np.stack([bits[at + i * tau] for i in range(dim)], axis=1))
     return {"points": len(at), "mean_life": float(life.mean()), "longer": int((life > np.median(life)).sum())}
+
+
+def spectrum(chunked: DataFrame, size: int) -> DataFrame:
+    """(bin, freq, windows, power): mean Hann-windowed power of all whole chunks of ``size`` bits by frequency bin."""
+    window = np.hanning(size)
+
+    def run(batches):
+        for b in batches:
+            for text in b["text"]:
+                bits = np.frombuffer(text[:size].encode(), np.uint8) - 48.0
+                power = np.abs(np.fft.rfft((bits - bits.mean()) * window)) ** 2 / (window**2).sum()
+                yield pd.DataFrame({"bin": np.arange(1, len(power)), "p": power[1:]})
+
+    each = chunked.where(F.col("n") == size).select("text").mapInPandas(run, "bin long, p double")
+    return each.groupBy("bin").agg(F.count(F.lit(1)).alias("windows"), F.avg("p").alias("power")).select("bin", (F.col("bin") / size).alias("freq"), "windows", "power")
+
+
+def spectrum_peaks(spec: DataFrame, most: int = 20, apart: int = 5) -> DataFrame:
+    """(bin, freq, power, period): bins above twice the mean and above all others within ``apart``, the highest ``most``."""
+    mean = spec.agg((2 * F.avg("power")).alias("limit"))
+    near = spec.select(F.explode(F.sequence(F.col("bin") - apart, F.col("bin") + apart)).alias("bin"), F.col("power").alias("other"))
+    top = near.groupBy("bin").agg(F.max("other").alias("highest"))
+    out = spec.join(top, "bin").crossJoin(F.broadcast(mean)).where((F.col("power") >= F.col("highest")) & (F.col("power") > F.col("limit")) & (F.col("freq") < 0.5))  # one row
+    return out.orderBy(F.desc("power"), "bin").limit(most).select("bin", "freq", "power", F.floor(1 / F.col("freq")).cast("int").alias("period"))

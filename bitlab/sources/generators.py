@@ -22,11 +22,17 @@ def random_bits(spark: SparkSession, n: int, p: float = 0.5, seed: int = 42) ->
     return spark.range(n).select(F.lit("random").alias("seq_id"), F.col("id").alias("pos"), (F.rand(seed) < p).cast("int").alias("bit"))
 
 
-def shuffled(bits: DataFrame, seed: int = 42) -> DataFrame:
-    """The same bits of each sequence in a random order that the seed fixes."""
-    w = Window.partitionBy("seq_id")
-    key = F.xxhash64("pos", F.lit(seed))
-    return bits.select("seq_id", (F.row_number().over(w.orderBy(key, "pos")) - 1).cast("long").alias("pos"), "bit")
+def shuffled(bits: DataFrame, seed: int = 42, chunks: int = 1024) -> DataFrame:
+    """The same bits of each sequence in a random order that the seed and the sequence's name fix.
+
+    Order is by a hash; ranks are taken within chunks of hashes, then moved by the chunks before.
+    """
+    key = F.xxhash64("seq_id", "pos", F.lit(seed))
+    rows = bits.select("seq_id", "pos", "bit", key.alias("key")).withColumn("chunk", F.floor(F.col("key") / F.lit(float(1 << 63)) * chunks).cast("int"))
+    before = Window.partitionBy("seq_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # 2 * chunks rows a sequence
+    sizes = rows.groupBy("seq_id", "chunk").agg(F.count(F.lit(1)).alias("n")).select("seq_id", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("seq_id", "chunk").orderBy("key", "pos")) - 1
+    return rows.withColumn("nth", nth).join(sizes, ["seq_id", "chunk"]).select("seq_id", (F.col("before") + F.col("nth")).cast("long").alias("pos"), "bit")
 
 
 def _sequential(spark: SparkSession, name: str, n: int, make) -> DataFrame:

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from bitlab.plans import catalog
+from bitlab.plans import catalog, reports  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
