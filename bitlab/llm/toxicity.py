@@ -135,8 +135,11 @@ class Scorer:
 
 def _patterns(text) -> Column:
     ws = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}]+"), F.lit(0)))
-    stems = [F.transform(F.filter(ws, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("+"))) for n in STEMS]
-    return F.array_distinct(F.concat(F.transform(ws, lambda w: F.concat(F.lit("="), w)), *stems))
+
+    def stems(n: int) -> Column:
+        return F.transform(F.filter(ws, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("+")))
+
+    return F.array_distinct(F.concat(F.transform(ws, lambda w: F.concat(F.lit("="), w)), *[stems(n) for n in STEMS]))
 
 
 def learn_lexicons(rows: DataFrame, size: int = 4000, min_weight: float = 2.5) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
