@@ -135,3 +135,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The documents that the quality rules keep, unchanged."""
     columns = docs.columns
     return judge(docs, columns, prefix="__quality_").where("__quality_kept").select(*columns)
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM g), range(8) r(k) WHERE n > 1 GROUP BY 1),
+m AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, n_words < 20 AS f1, 100 * n_repeat_words > 30 * n_words AS f2, 100 * n_symbols > 10 * n_words AS f3, 100 * n_dup_lines > 30 * n_lines AS f4 FROM m),
+r AS (SELECT source, v.rule, count(*) AS n, sum(CASE v.rule WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN f3 ELSE f4 END::INTEGER) AS k FROM f, (VALUES (1), (2), (3), (4)) v(rule) GROUP BY 1, 2),
+p AS (SELECT rule, sum(k)::DOUBLE / sum(n) AS mean, var_pop(k::DOUBLE / n) AS var, avg(1.0::DOUBLE / n) AS inv FROM r GROUP BY 1),
+b AS (SELECT rule, mean, mean * (1 - mean) AS spread, greatest(var - mean * (1 - mean) * inv, 0) AS between FROM p),
+s AS (SELECT rule, mean, CASE WHEN between > 0 THEN greatest(1.0::DOUBLE, least(1e6, spread / between - 1)) ELSE 1e6 END AS strength FROM b),
+h AS (SELECT source, bool_or((k + strength * mean) / (n + strength) > 0.5) AS bad FROM r JOIN s USING (rule) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 OR f2) AS base_failed, NOT (f1 OR f2 OR f3 OR bad) AS kept
+FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitlab.llm import hamming, mixing
+from bitlab.llm import hamming, mixing, quality, substrings
 from bitlab.llm.hamming import op8_hamming
 from bitlab.llm.mixing import op6_mixing
 from bitlab.llm.packing import op3_packing
@@ -45,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express."""
-    return {"op6_mixing": mixing.ORACLE, "op8_hamming": hamming.ORACLE}
+    return {"op1_host_quality": quality.ORACLE, "op5_substrings": substrings.ORACLE, "op6_mixing": mixing.ORACLE, "op8_hamming": hamming.ORACLE}
