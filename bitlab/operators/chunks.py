@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SIZE, HALO = 4096, 64
+SIZE, HALO = 1024, 64
 
 
 def chunks(symbols: DataFrame, value: str = "bit", size: int = SIZE, halo: int = HALO, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
@@ -27,12 +27,17 @@ def chunks(symbols: DataFrame, value: str = "bit", size: int = SIZE, halo: int =
 
 def ngrams(chunked: DataFrame, lengths: range | list[int], step: int = 1, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """(*keys, len, pos, pattern) of every window of the given lengths, at positions divisible by ``step``."""
-    at = chunked.where("n > 0").select(*keys, "start", "text", F.posexplode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p", "at"))
+    at = F.sequence(F.lit(0), F.col("n") - 1)
     if step > 1:
-        at = at.where((F.col("start") + F.col("at")) % step == 0)
-    each = at.withColumn("len", F.explode(F.array(*[F.lit(n) for n in lengths])))
-    out = each.where(F.col("at") + F.col("len") <= F.length("text"))
-    return out.select(*keys, "len", (F.col("start") + F.col("at")).alias("pos"), F.col("text").substr(F.col("at") + 1, F.col("len")).alias("pattern"))
+        at = F.filter(at, lambda i: (F.col("start") + i) % step == 0)
+
+    def windows(length: int) -> Column:
+        fits = F.filter(at, lambda i: i + length <= F.length("text"))
+        return F.transform(fits, lambda i: F.struct(F.lit(length).alias("len"), i.alias("at"), F.substring(F.col("text"), i + 1, F.lit(length)).alias("pattern")))
+
+    # windows are cut before rows are made, so that no row carries its chunk
+    each = chunked.where("n > 0").select(*keys, "start", F.explode(F.concat(*[windows(n) for n in lengths])).alias("w"))
+    return each.select(*keys, "w.len", (F.col("start") + F.col("w.at")).alias("pos"), "w.pattern")
 
 
 def bit_ngrams(bits: DataFrame, lengths: range | list[int], step: int = 1, keys: tuple[str, ...] = ("seq_id",), value: str = "bit") -> DataFrame:

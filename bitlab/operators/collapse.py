@@ -69,3 +69,24 @@ def safe_cuts(deep: DataFrame, size: int) -> DataFrame:
     block = F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = cut.withColumn("block", block).groupBy("seq_id", "block").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("symbols"), F.sort_array(F.collect_list(F.struct("pos", "sym"))).alias("s"))
     return out.select("seq_id", "block", "start", "symbols", F.array_join(F.transform("s", lambda x: x["sym"]), "").alias("text"))
+
+
+def accumulate(iterations: int, token: str = "1") -> Column:
+    """The text that the documented recurrence has accumulated after some iterations, as one expression.
+
+    Each iteration appends the state (first "0"), wraps all so far in a group followed by ``token``,
+    appends that and every state on the way while innermost groups are collapsed, and goes on with
+    the flat state collapsed as a whole. Texts grow about threefold an iteration: for few of them.
+    """
+
+    def one_pass(a: Column, _: Column) -> Column:
+        nested = F.contains(a["state"], F.lit("("))
+        return F.struct(F.when(nested, F.concat(a["acc"], a["state"])).otherwise(a["acc"]).alias("acc"), F.when(nested, collapse_local(a["state"])).otherwise(a["state"]).alias("state"))
+
+    def iteration(a: Column, i: Column) -> Column:
+        wrapped = F.element_at(F.transform(F.array(F.concat(a["acc"], a["state"])), lambda acc: F.struct(acc.alias("acc"), F.concat(F.lit("("), acc, F.lit(f"){token}")).alias("state"))), 1)
+        flat = F.aggregate(F.sequence(F.lit(0), i), wrapped, one_pass)  # groups nest one level deeper an iteration
+        return F.element_at(F.transform(F.array(flat), lambda f: F.struct(F.concat(f["acc"], f["state"]).alias("acc"), simplify(strip(f["state"])).alias("state"))), 1)
+
+    start = F.struct(F.lit("").alias("acc"), F.lit("0").alias("state"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, iteration)["acc"]

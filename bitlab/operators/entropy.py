@@ -67,9 +67,9 @@ def transfer_entropy(bits: DataFrame, scales: list[int], k: int = 3) -> DataFram
     TE = sum p(y, yp, xp) log2(p(y | yp, xp) / p(y | yp)), with pasts of ``k`` majority blocks; not below zero.
     """
     state = blocks(bits, scales).select("seq_id", "size", "block", F.when(2 * F.col("ones") > F.col("size"), 1).otherwise(0).alias("x"))
-    w = Window.partitionBy("seq_id", "size").orderBy("block")
-    past = F.concat(*[F.lag("x", i).over(w).cast("string") for i in range(k, 0, -1)])
-    hist = state.withColumn("past", past).where("past IS NOT NULL")
+    # pasts are windows of the block states, read off chunks of them
+    seen = bit_ngrams(state.withColumnRenamed("block", "pos"), [k + 1], keys=("seq_id", "size"), value="x")
+    hist = seen.select("seq_id", "size", (F.col("pos") + k).alias("block"), F.expr(f"left(pattern, {k})").alias("past"), F.expr("right(pattern, 1)").alias("x"))
     src = hist.select("seq_id", "block", F.col("size").alias("src"), F.col("past").alias("xp"))
     dst = hist.select("seq_id", "block", F.col("size").alias("dst"), F.col("past").alias("yp"), F.col("x").alias("y"))
     joint = src.join(dst, ["seq_id", "block"]).where("src <> dst").groupBy("seq_id", "src", "dst", "yp", "xp", "y").agg(F.count(F.lit(1)).alias("n"))

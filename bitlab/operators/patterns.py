@@ -28,11 +28,17 @@ def top_patterns(counts: DataFrame, total: DataFrame, n: int) -> DataFrame:
     return best.join(total, "seq_id").select(ident.alias("pattern_id"), "len", "pattern", "n", F.round(F.col("n").cast("double") * F.col("len") / F.col("size"), 6).alias("density"))
 
 
-def gaps(bits: DataFrame, length: int) -> DataFrame:
-    """(seq_id, pattern, pos, gap): distance to the next occurrence of the same pattern."""
-    grams = bit_ngrams(bits, [length])
-    nxt = F.lead("pos").over(Window.partitionBy("seq_id", "pattern").orderBy("pos"))
-    return grams.select("seq_id", "pattern", "pos", (nxt - F.col("pos")).alias("gap")).where("gap IS NOT NULL")
+def gaps(bits: DataFrame, length: int, size: int = 1 << 16) -> DataFrame:
+    """(seq_id, pattern, pos, gap): distance to the next occurrence of the same pattern.
+
+    Within parts of ``size`` positions first; a part's last occurrence takes the first of the next part that has any.
+    """
+    grams = bit_ngrams(bits, [length]).withColumn("part", F.floor(F.col("pos") / size))
+    inside = F.lead("pos").over(Window.partitionBy("seq_id", "pattern", "part").orderBy("pos"))
+    first = grams.groupBy("seq_id", "pattern", "part").agg(F.min("pos").alias("first"))
+    later = first.withColumn("then", F.lead("first").over(Window.partitionBy("seq_id", "pattern").orderBy("part"))).drop("first")
+    out = grams.withColumn("nxt", inside).join(later, ["seq_id", "pattern", "part"])
+    return out.select("seq_id", "pattern", "pos", (F.coalesce("nxt", "then") - F.col("pos")).alias("gap")).where("gap IS NOT NULL")
 
 
 def periodicity(bits: DataFrame, length: int, min_count: int = 2) -> DataFrame:

@@ -121,3 +121,12 @@ def constant_tests(values: DataFrame, value: str) -> DataFrame:
     d = F.abs(F.col("mean") - F.col("c"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d", "name"))  # a row per constant
     return each.withColumn("d", d).select("name", "n", F.round("mean", 6).alias("mean"), F.round("d", 6).alias("distance"), F.round(F.col("d") / (F.col("sd") / F.sqrt("n")), 4).alias("z"), rank.alias("rank"))
+
+
+def singularity(spectrum: DataFrame) -> DataFrame:
+    """(seq_id, q, alpha, f): slope of tau over q (one-sided at the ends), and q alpha - tau."""
+    w = Window.partitionBy("seq_id").orderBy("q")  # a row per order
+    before, after = F.coalesce(F.lag("tau").over(w), F.col("tau")), F.coalesce(F.lead("tau").over(w), F.col("tau"))
+    q0, q1 = F.coalesce(F.lag("q").over(w), F.col("q")), F.coalesce(F.lead("q").over(w), F.col("q"))
+    alpha = (after - before) / (q1 - q0)
+    return spectrum.select("seq_id", "q", F.round(alpha, 5).alias("alpha"), F.round(F.col("q") * alpha - F.col("tau"), 5).alias("f"))

@@ -200,3 +200,36 @@ def energy(spark, d):
     return steps.join(survival.curvature(steps), "iteration").crossJoin(F.broadcast(t)).select("iteration", F.round(0.4 * F.pow("curvature", F.lit(2)) + 0.3 * F.col("t") * F.col("t") + 0.3 * (1 - F.col("rate")), 6).alias("energy"))  # one row
 
 
+
+
+@query("z AS (SELECT (SELECT max(pos) + 1 FROM ev) AS n), p AS (SELECT 'start' AS part, 0 AS s FROM z UNION ALL SELECT 'middle', greatest(0, (n - 1000) // 2) FROM z UNION ALL SELECT 'end', greatest(0, n - 1000) FROM z) SELECT part, count(*) AS n, CAST(sum(bit) AS BIGINT) AS ones, min(pos) AS first FROM ev JOIN p ON pos >= s AND pos < s + 1000 GROUP BY 1")
+def three_part_sample(spark, d):
+    """A thousand bits from the start, the middle and the end."""
+    from bitlab.sources.snapshots import three_parts
+
+    return three_parts(event_bits(spark, d), 1000).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").alias("ones"), F.min("pos").alias("first"))
+
+
+@query(None)
+def stratified_sample(spark, d):
+    """Bits of segments drawn one from each region."""
+    from bitlab.sources.snapshots import stratified
+
+    return stratified(event_bits(spark, d), 1000, 50).groupBy("segment").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"), F.sum("bit").alias("ones"))
+
+
+@query(None)
+def singularity_spectrum(spark, d):
+    """The multifractal spectrum of the events' bits."""
+    return scaling.singularity(scaling.multifractal(event_bits(spark, d), DFA_SIZES, [-4.0, -2.0, -1.0, 1.0, 2.0, 4.0])).drop("seq_id")
+
+
+@query(None)
+def complexity_by_scale(spark, d):
+    """LZ76 complexity of chunks at golden and doubling sizes, averaged by size."""
+    bits = event_bits(spark, d)
+    parts = [kernels.per_chunk(chunks(bits, size=n, halo=0), kernels.complexity, kernels.COMPLEXITY).where(F.col("n") == n).select(F.lit(n).alias("size"), "lz") for n in (89, 128, 144, 233, 256, 377, 512)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("size").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("lz"), 6).alias("mean_lz"), F.round(F.var_pop("lz"), 8).alias("var_lz"))

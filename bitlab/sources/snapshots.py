@@ -70,3 +70,23 @@ def centre(bits: DataFrame, n: int) -> DataFrame:
     size = bits.groupBy("seq_id").agg((F.max("pos") + 1).alias("size"))
     start = F.greatest(F.floor((F.col("size") - n) / 2), F.lit(0))
     return bits.join(size, "seq_id").where((F.col("pos") >= start) & (F.col("pos") < start + n)).select("seq_id", "pos", "bit")
+
+
+def stratified(bits: DataFrame, most: int, length: int, seed: int = 42) -> DataFrame:
+    """(seq_id, segment, pos, bit): one segment in each of max(1, floor(0.6 most / length)) equal regions, its place drawn from the seed."""
+    k = max(1, int(0.6 * most / length))
+    size = bits.groupBy("seq_id").agg((F.max("pos") + 1).alias("size"))
+    region = F.greatest(F.floor(F.col("size") / k), F.lit(1))
+    starts = size.withColumn("region", region).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    room = F.greatest(F.col("region") - length, F.lit(0)) + 1
+    starts = starts.select("seq_id", "segment", (F.col("segment") * F.col("region") + F.pmod(F.xxhash64("seq_id", "segment", F.lit(seed)), room)).cast("long").alias("start"))
+    touched = starts.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / length), F.floor((F.col("start") + length - 1) / length))))
+    return bits.withColumn("b", F.floor(F.col("pos") / length)).join(touched, ["seq_id", "b"]).where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + length)).select("seq_id", "segment", "pos", "bit")
+
+
+def three_parts(bits: DataFrame, length: int) -> DataFrame:
+    """(seq_id, part, pos, bit): ``length`` bits from the start, the middle and the end; shorter sequences give overlapping parts."""
+    size = bits.groupBy("seq_id").agg((F.max("pos") + 1).alias("size"))
+    at = F.array(*[F.struct(F.lit(name).alias("part"), F.greatest(F.lit(0), start).cast("long").alias("start")) for name, start in (("start", F.lit(0)), ("middle", F.floor((F.col("size") - length) / 2)), ("end", F.col("size") - length))])
+    keyed = bits.join(size, "seq_id").withColumn("x", F.explode(at))
+    return keyed.where((F.col("pos") >= F.col("x.start")) & (F.col("pos") < F.col("x.start") + length)).select("seq_id", "x.part", "pos", "bit")

@@ -204,3 +204,36 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM ones").first()[0] == events.count()
+
+
+def test_recurrence(spark):
+    from bitlab.operators.collapse import accumulate
+
+    got = spark.range(1).select(accumulate(1).alias("a"), accumulate(2).alias("b")).first()
+    assert got["a"] == "0(0)101"
+    assert got["b"] == "0(0)1010" + "(0(0)1010)1" + "(001010)1" + "01"
+
+
+def test_packed_files(spark, tmp_path):
+    from bitlab.sources import packed
+
+    assert packed.pack("(01)1").hex() == "8740" and packed.unpack(packed.pack("(01)1")) == "(01)1000"
+    texts = [("phi_iter1", "(01)1"), ("phi_iter2", "".join(np.random.default_rng(1).choice(list("01()"), 1001)))]
+    packed.write_packed(texts, str(tmp_path))
+    got = packed.read_packed(spark, str(tmp_path)).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sym"))), lambda x: x["sym"]), "").alias("s")).collect()
+    assert sorted(r["s"] for r in got) == sorted(t for _, t in texts)
+    assert packed.read_packed(spark, str(tmp_path), limit=3, clean=True).where(F.col("path").contains("iter1")).count() == 2
+
+
+def test_pattern_documents(spark, tmp_path):
+    from bitlab.sources import packed
+
+    (tmp_path / "r.json").write_text('{"patterns": {"observable": [{"pattern_data": "01", "recurrence": 3}], "structural": []}, "x": 1}')
+    assert [tuple(r) for r in packed.read_patterns(spark, str(tmp_path / "r.json")).collect()] == [("01", 3)]
+    packed.write_results(packed.read_patterns(spark, str(tmp_path / "r.json")), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_stratified(spark):
+    got = snapshots.stratified(bits_of(spark, a=random_text(1000)), 500, 30).groupBy("segment").agg(F.min("pos").alias("a"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == 10 and all(r["n"] == 30 and r["segment"] * 100 <= r["a"] <= r["segment"] * 100 + 70 for r in got)
