@@ -67,3 +67,14 @@ def entropy_of(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     p = F.col(n).cast("double") / F.col("_t")
     out = counts.withColumn("_t", total).groupBy(*keys).agg((-F.sum(p * F.log2(p))).alias("entropy"), F.count(F.lit(1)).alias("states"), F.sum(n).alias("total"))
     return out
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a over b as doubles; null where b is zero."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate; 0 where either is constant."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 1e-12, F.covar_pop(x, y) / spread).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import bit_ngrams, blocks, entropy_of
+from bitlab.operators.chunks import bit_ngrams, blocks, entropy_of, ratio
 
 PHI = (1 + 5**0.5) / 2
 
@@ -24,7 +24,7 @@ def hierarchy(blocked: DataFrame) -> DataFrame:
     """(seq_id, scales, cv, slope) of block entropies, each over log2(min(2^size, blocks))."""
     most = F.log2(F.least(F.pow(F.lit(2.0), F.col("size").cast("double")), F.col("blocks").cast("double")))
     norm = blocked.where("blocks > 1").select("seq_id", F.log2(F.col("size").cast("double")).alias("x"), (F.col("entropy") / most).alias("y"))
-    out = norm.groupBy("seq_id").agg(F.count(F.lit(1)).alias("scales"), (F.stddev_pop("y") / F.avg("y")).alias("cv"), F.regr_slope("y", "x").alias("slope"))
+    out = norm.groupBy("seq_id").agg(F.count(F.lit(1)).alias("scales"), ratio(F.stddev_pop("y"), F.avg("y")).alias("cv"), F.regr_slope("y", "x").alias("slope"))
     return out.select("seq_id", "scales", F.round("cv", 6).alias("cv"), F.round("slope", 6).alias("slope"))
 
 

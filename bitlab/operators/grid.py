@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitlab.operators.chunks import correlation
+
 
 def hilbert(pos: Column, order: int) -> Column:
     """struct(x, y) of a position on the Hilbert curve of 4^order cells, by arithmetic alone."""
@@ -45,8 +47,8 @@ def neighbour_correlation(cells: DataFrame, order: int) -> DataFrame:
     d = cells.select("x", "y", (F.col("ones").cast("double") / F.col("total")).alias("d"))
     shifts = F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy")))
     to = d.withColumn("s", F.explode(shifts)).select(((F.col("x") + F.col("s.dx")) % n).alias("x"), ((F.col("y") + F.col("s.dy")) % n).alias("y"), "s.dx", "s.dy", F.col("d").alias("e"))
-    out = d.join(to, ["x", "y"]).groupBy("dx", "dy").agg(F.count(F.lit(1)).alias("n"), F.corr("d", "e").alias("r"))
-    return out.select("dx", "dy", "n", F.round(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)), 6).alias("r"))
+    out = d.join(to, ["x", "y"]).groupBy("dx", "dy").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("d"), F.col("e")).alias("r"))
+    return out.select("dx", "dy", "n", F.round("r", 6).alias("r"))
 
 
 def local_mean(cells: DataFrame, order: int, reach: int = 2) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import bit_ngrams
+from bitlab.operators.chunks import bit_ngrams, ratio
 
 PHI = (1 + 5**0.5) / 2
 
@@ -16,7 +16,7 @@ def pair_balance(bits: DataFrame, halves: int = 2) -> DataFrame:
     part = F.least(F.floor(F.col("pos") * halves / F.col("size")), F.lit(halves - 1)).cast("int")
     grams = bit_ngrams(bits, [2]).join(size, "seq_id").groupBy("seq_id", part.alias("part")).agg(F.count_if(F.col("pattern") == "01").alias("n01"), F.count_if(F.col("pattern") == "10").alias("n10"))
     ones = bits.join(size, "seq_id").groupBy("seq_id", part.alias("part")).agg(F.round(F.avg("bit"), 6).alias("density"))
-    return grams.join(ones, ["seq_id", "part"]).select("seq_id", "part", "n01", "n10", F.round(F.col("n01").cast("double") / F.col("n10"), 6).alias("ratio"), "density")
+    return grams.join(ones, ["seq_id", "part"]).select("seq_id", "part", "n01", "n10", F.round(ratio(F.col("n01"), F.col("n10")), 6).alias("ratio"), "density")
 
 
 def pattern_report(counts: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def rule_report(trans: DataFrame) -> DataFrame:
     """(rules, mean_confidence, sure, likely, cv_support, diversity): shares at .99 and .9, spread of supports, distinct contexts over rules."""
     return trans.agg(
         F.count(F.lit(1)).alias("rules"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg((F.col("confidence") >= 0.99).cast("double")), 6).alias("sure"), F.round(F.avg((F.col("confidence") >= 0.9).cast("double")), 6).alias("likely"),
-        F.round(F.stddev_pop("support") / F.avg("support"), 6).alias("cv_support"), F.round(F.count_distinct("ctx").cast("double") / F.count(F.lit(1)), 6).alias("diversity"),
+        F.round(ratio(F.stddev_pop("support"), F.avg("support")), 6).alias("cv_support"), F.round(ratio(F.count_distinct("ctx"), F.count(F.lit(1))), 6).alias("diversity"),
     )
 
 
@@ -77,7 +77,7 @@ def similar_groups(pairs: DataFrame, min_match: float) -> DataFrame:
 def phi_coherence(gaps: DataFrame, length: int) -> DataFrame:
     """(patterns, coherence): mean of 1 - |mean gap / length - phi| / phi over patterns, weighted by their number of gaps."""
     score = F.greatest(F.lit(0.0), 1 - F.abs(F.col("mean_gap") / length - PHI) / PHI)
-    return gaps.agg(F.count(F.lit(1)).alias("patterns"), F.round(F.sum(score * F.col("gaps")) / F.sum("gaps"), 6).alias("coherence"))
+    return gaps.agg(F.count(F.lit(1)).alias("patterns"), F.round(ratio(F.sum(score * F.col("gaps")), F.sum("gaps")), 6).alias("coherence"))
 
 
 def position_torsion(bits: DataFrame, length: int, segments: int, flag: float = 0.1, most: int = 50) -> DataFrame:
@@ -94,7 +94,7 @@ def position_torsion(bits: DataFrame, length: int, segments: int, flag: float =
 def scaling_exponent(points: DataFrame) -> DataFrame:
     """(points, exponent): sample covariance over population variance of the logs of (n, t), as the published rule has it."""
     x, y = F.ln(F.col("n").cast("double")), F.ln(F.col("t").cast("double"))
-    return points.where("n > 0 AND t > 0").agg(F.count(F.lit(1)).alias("points"), F.round(F.covar_samp(y, x) / F.var_pop(x), 6).alias("exponent"))
+    return points.where("n > 0 AND t > 0").agg(F.count(F.lit(1)).alias("points"), F.round(ratio(F.covar_samp(y, x), F.var_pop(x)), 6).alias("exponent"))
 
 
 def position_scores(bits: DataFrame, ctx: str, prediction: int) -> DataFrame:
@@ -103,8 +103,8 @@ def position_scores(bits: DataFrame, ctx: str, prediction: int) -> DataFrame:
     grams = bit_ngrams(bits, [k + 1])
     said, is_so = F.expr(f"left(pattern, {k})") == ctx, F.expr("right(pattern, 1)") == str(prediction)
     out = grams.groupBy("seq_id").agg(F.count_if(said & is_so).alias("tp"), F.count_if(said & ~is_so).alias("fp"), F.count_if(~said & is_so).alias("fn"))
-    p, r = F.col("tp").cast("double") / (F.col("tp") + F.col("fp")), F.col("tp").cast("double") / (F.col("tp") + F.col("fn"))
-    return out.select("seq_id", "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * F.col("tp").cast("double") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    return out.select("seq_id", "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
 
 
 def deletion_trace(texts: DataFrame, steps: int) -> DataFrame:
@@ -124,7 +124,7 @@ def autocorrelation(bits: DataFrame, lags: int) -> DataFrame:
     mean = bits.groupBy("seq_id").agg(F.avg("bit").alias("m"), F.var_pop("bit").alias("v"))
     x = bits.join(mean, "seq_id").select("seq_id", "pos", (F.col("bit") - F.col("m")).alias("x"), "v")
     left = x.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).select("seq_id", "lag", (F.col("pos") + F.col("lag")).alias("pos"), F.col("x").alias("y"))
-    out = x.join(left, ["seq_id", "pos"]).groupBy("seq_id", "lag").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col("x") * F.col("y")) / F.first("v")).alias("r"))
+    out = x.join(left, ["seq_id", "pos"]).groupBy("seq_id", "lag").agg(F.count(F.lit(1)).alias("n"), ratio(F.avg(F.col("x") * F.col("y")), F.first("v")).alias("r"))
     return out.select("seq_id", "lag", "n", F.round("r", 6).alias("r"))
 
 
@@ -133,8 +133,9 @@ def forecast(series: DataFrame, value: str, ahead: int) -> DataFrame:
     x, y = F.col("iteration").cast("double"), F.col(value).cast("double")
     fit = series.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.max("iteration").alias("last"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_avgx(y, x).alias("mx"))
     at = F.col("last") + ahead
-    mse = (F.col("syy") - F.col("b") * F.col("b") * F.col("sxx")) / (F.col("n") - 2)
-    se = F.sqrt(F.greatest(F.lit(0.0), mse) * (1 + 1 / F.col("n") + (at - F.col("mx")) * (at - F.col("mx")) / F.col("sxx")))
+    mse = ratio(F.col("syy") - F.col("b") * F.col("b") * F.col("sxx"), F.col("n") - 2)
+    far = (at - F.col("mx")) * (at - F.col("mx"))
+    se = F.sqrt(F.when(mse.isNotNull(), F.greatest(F.lit(0.0), mse)) * (1 + 1 / F.col("n") + ratio(far, F.col("sxx"))))
     return fit.select("seq_id", "n", at.alias("target"), F.round(F.col("a") + F.col("b") * at, 4).alias("expected"), F.round(se, 4).alias("error"))
 
 
@@ -143,7 +144,7 @@ def bootstrap_mean(values: DataFrame, value: str, replicates: int = 100, seed: i
     u = F.rand(seed)
     weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.99634, 4).otherwise(5)
     each = values.select(F.col(value).alias("v")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    means = each.groupBy("rep").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
+    means = each.groupBy("rep").agg(ratio(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
     ends = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return values.agg(F.count(value).alias("n"), F.avg(value).alias("mean")).crossJoin(F.broadcast(ends))  # one row each
 

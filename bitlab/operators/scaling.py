@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import blocks, running_sum
+from bitlab.operators.chunks import blocks, correlation, ratio, running_sum
 
 PHI = (1 + 5**0.5) / 2
 
@@ -98,7 +98,7 @@ def growth(series: DataFrame) -> DataFrame:
     """(seq_id, slope, r2, median_ratio) of log length over iteration, and the median of later differences' ratios."""
     w = Window.partitionBy("seq_id").orderBy("iteration")
     fit = series.groupBy("seq_id").agg(F.regr_slope(F.ln(F.col("length").cast("double")), F.col("iteration").cast("double")).alias("slope"), F.regr_r2(F.ln(F.col("length").cast("double")), F.col("iteration").cast("double")).alias("r2"))
-    diff = series.withColumn("d", F.col("length") - F.lag("length").over(w)).withColumn("r", F.col("d").cast("double") / F.lag("d").over(w))
+    diff = series.withColumn("d", F.col("length") - F.lag("length").over(w)).withColumn("r", ratio(F.col("d"), F.lag("d").over(w)))
     mid = diff.groupBy("seq_id").agg(F.percentile("r", 0.5).alias("m"))
     return fit.join(mid, "seq_id").select("seq_id", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), F.round("m", 6).alias("median_ratio"))
 
@@ -106,7 +106,7 @@ def growth(series: DataFrame) -> DataFrame:
 def trend(series: DataFrame, value: str) -> DataFrame:
     """(seq_id, slope, intercept, r, to_unity): straight line of ``value`` over iteration, and where it reaches one."""
     x, y = F.col("iteration").cast("double"), F.col(value).cast("double")
-    out = series.groupBy("seq_id").agg(F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("i"), F.corr(y, x).alias("r"))
+    out = series.groupBy("seq_id").agg(F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("i"), correlation(y, x).alias("r"))
     return out.select("seq_id", F.round("s", 6).alias("slope"), F.round("i", 6).alias("intercept"), F.round("r", 6).alias("r"), F.round(F.when(F.col("s") != 0, (1 - F.col("i")) / F.col("s")), 3).alias("to_unity"))
 
 
@@ -120,7 +120,7 @@ def constant_tests(values: DataFrame, value: str) -> DataFrame:
     each = one.select("*", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in CONSTANTS]), F.array(*[F.lit(v) for v in CONSTANTS.values()]))).alias("name", "c"))
     d = F.abs(F.col("mean") - F.col("c"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d", "name"))  # a row per constant
-    return each.withColumn("d", d).select("name", "n", F.round("mean", 6).alias("mean"), F.round("d", 6).alias("distance"), F.round(F.col("d") / (F.col("sd") / F.sqrt("n")), 4).alias("z"), rank.alias("rank"))
+    return each.withColumn("d", d).select("name", "n", F.round("mean", 6).alias("mean"), F.round("d", 6).alias("distance"), F.round(ratio(F.col("d"), ratio(F.col("sd"), F.sqrt("n"))), 4).alias("z"), rank.alias("rank"))
 
 
 def singularity(spectrum: DataFrame) -> DataFrame:
@@ -128,5 +128,5 @@ def singularity(spectrum: DataFrame) -> DataFrame:
     w = Window.partitionBy("seq_id").orderBy("q")  # a row per order
     before, after = F.coalesce(F.lag("tau").over(w), F.col("tau")), F.coalesce(F.lead("tau").over(w), F.col("tau"))
     q0, q1 = F.coalesce(F.lag("q").over(w), F.col("q")), F.coalesce(F.lead("q").over(w), F.col("q"))
-    alpha = (after - before) / (q1 - q0)
+    alpha = ratio(after - before, q1 - q0)
     return spectrum.select("seq_id", "q", F.round(alpha, 5).alias("alpha"), F.round(F.col("q") * alpha - F.col("tau"), 5).alias("f"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import entropy_of
+from bitlab.operators.chunks import correlation, entropy_of, ratio
 
 
 def depths(symbols: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def containment_summary(groups: DataFrame) -> DataFrame:
     """(groups, mean_length, std_length, distinct_contents, repetition): contents are told apart by their counts of bits."""
     n = F.col("n_ones") + F.col("n_zeros")
     out = groups.agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg(n), 6).alias("mean_length"), F.round(F.stddev_samp(n), 6).alias("std_length"), F.count_distinct("n_ones", "n_zeros").alias("distinct_contents"))
-    return out.withColumn("repetition", F.round(1 - F.col("distinct_contents").cast("double") / F.col("groups"), 6))
+    return out.withColumn("repetition", F.round(1 - ratio(F.col("distinct_contents"), F.col("groups")), 6))
 
 
 def stratified(deep: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def depth_order(deep: DataFrame) -> DataFrame:
     h = entropy_of(hist, [], "opens").select(F.col("states").alias("depths"), F.round("entropy", 6).alias("entropy"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("opens", "depth"))  # a row per depth
     g = hist.withColumn("i", rank).agg(F.sum(F.col("i") * F.col("opens")).alias("a"), F.sum("opens").alias("s"), F.count(F.lit(1)).alias("n"))
-    gini = 2 * F.col("a").cast("double") / (F.col("n") * F.col("s")) - (F.col("n") + 1).cast("double") / F.col("n")
+    gini = 2 * ratio(F.col("a"), F.col("n") * F.col("s")) - ratio(F.col("n") + 1, F.col("n"))
     return h.crossJoin(F.broadcast(g.select(F.round(gini, 6).alias("gini"))))  # one row each
 
 
@@ -109,8 +109,8 @@ def depth_correlation(deep: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("seq_id", "depth").orderBy("pos"))
     bits = deep.where("sym in ('0', '1')").select("seq_id", "depth", F.col("sym").cast("int").alias("b"), rank.alias("k"))
     deeper = bits.select("seq_id", (F.col("depth") - 1).alias("depth"), F.col("b").alias("b2"), "k")
-    out = bits.join(deeper, ["seq_id", "depth", "k"]).groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.corr("b", "b2").alias("r"))
-    return out.select("depth", "n", F.round(F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)), 6).alias("r"))
+    out = bits.join(deeper, ["seq_id", "depth", "k"]).groupBy("depth").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("b").cast("double"), F.col("b2").cast("double")).alias("r"))
+    return out.select("depth", "n", F.round("r", 6).alias("r"))
 
 
 def tree(groups: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import bit_ngrams
+from bitlab.operators.chunks import bit_ngrams, ratio
 
 
 def iteration_patterns(bits: DataFrame, lengths: range, min_count: int = 2) -> DataFrame:
@@ -21,7 +21,7 @@ def survival(patterns: DataFrame) -> DataFrame:
     last = patterns.agg(F.max("iteration").alias("last"), F.min("iteration").alias("first"))
     both = now.join(nxt, ["iteration", "pattern"], "full_outer").crossJoin(F.broadcast(last)).where("iteration < last AND iteration >= first")  # one row
     out = both.groupBy("iteration").agg(F.count_if(F.col("here").isNotNull() & F.col("there").isNotNull()).alias("survived"), F.count_if(F.col("there").isNull()).alias("lost"), F.count_if(F.col("here").isNull()).alias("gained"))
-    return out.withColumn("rate", F.round(F.col("survived").cast("double") / (F.col("survived") + F.col("lost")), 6))
+    return out.withColumn("rate", F.round(ratio(F.col("survived"), F.col("survived") + F.col("lost")), 6))
 
 
 def core(patterns: DataFrame) -> DataFrame:

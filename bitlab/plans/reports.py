@@ -120,7 +120,7 @@ def autocorrelation(spark, d):
 
 
 @query(DAILY + """, f AS (SELECT seq_id, count(*) AS n, max(iteration) + 2 AS target, regr_slope(length, iteration) AS b, regr_intercept(length, iteration) AS a, regr_sxx(length, iteration) AS sxx, regr_syy(length, iteration) AS syy, regr_avgx(length, iteration) AS mx FROM s GROUP BY 1)
-SELECT seq_id, n, target, round(a + b * target, 4) AS expected, round(sqrt(greatest(0, (syy - b * b * sxx) / nullif(n - 2, 0)) * (1 + 1.0::DOUBLE / n + (target - mx) * (target - mx) / sxx)), 4) AS error FROM f""")
+SELECT seq_id, n, target, round(a + b * target, 4) AS expected, round(sqrt(CASE WHEN n > 2 THEN greatest(0, (syy - b * b * sxx) / (n - 2)) END * (1 + 1.0::DOUBLE / n + (target - mx) * (target - mx) / nullif(sxx, 0))), 4) AS error FROM f""")
 def forecast(spark, d):
     """Lengths two iterations on."""
     return reports.forecast(_lengths(spark, d), "length", 2)
@@ -183,13 +183,13 @@ def complexity_index(spark, d):
 @query(None)
 def welch_spectrum(spark, d):
     """Mean power of chunks by frequency bin, and its slope's ingredients."""
-    return kernels.spectrum(chunks(event_bits(spark, d), size=1024, halo=0), 1024)
+    return kernels.spectrum(chunks(event_bits(spark, d), size=256, halo=0), 256)
 
 
 @query(None)
 def spectral_peaks(spark, d):
     """Frequencies that stand out of that spectrum, with their periods."""
-    return kernels.spectrum_peaks(kernels.spectrum(chunks(event_bits(spark, d), size=1024, halo=0), 1024))
+    return kernels.spectrum_peaks(kernels.spectrum(chunks(event_bits(spark, d), size=256, halo=0), 256))
 
 
 @query(None)
