@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitlab.llm.common import stage
@@ -33,7 +33,7 @@ LAYOUTS = {
 }
 #: Generator polynomial of the binary Golay code (23, 12).
 GOLAY = 0b110001110101
-BLOCK = 2048
+BLOCK = 8192
 
 
 def layout_for(n_fingerprints: int) -> str:
@@ -141,6 +141,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str = "text", shingle:
     return src.mapInArrow(run, "doc_id long, fp long, chk long")
 
 
+def node_of(fp: Column, chk: Column) -> Column:
+    """A long that stands for both fingerprints: fp, with chk turned by one bit laid over it. Equal nodes are equal or near."""
+    return fp.bitwiseXOR(F.call_function("shiftleft", chk, F.lit(1))).bitwiseXOR(F.call_function("shiftrightunsigned", chk, F.lit(63)))
+
+
 def _close(fp: np.ndarray, chk: np.ndarray, a: slice, b: slice, max_bits: int, max_total: int) -> np.ndarray:
     bits = np.bitwise_count(fp[a, None] ^ fp[None, b])
     near = bits <= max_bits
@@ -152,8 +157,8 @@ def _close(fp: np.ndarray, chk: np.ndarray, a: slice, b: slice, max_bits: int, m
 def spanning_links(fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: int) -> list[tuple[int, int]]:
     """Index pairs of a spanning forest of the links within a run, compared in blocks; at most one less than its rows."""
     label, out = np.arange(len(fp)), []
-    for i in range(0, len(fp), 512):
-        rows = slice(i, i + 512)
+    for i in range(0, len(fp), 256):
+        rows = slice(i, i + 256)
         near = _close(fp, chk, rows, slice(None), max_bits, max_total)
         while (cross := near & (label[rows, None] != label[None, :])).any():
             first = cross.argmax(axis=1)
@@ -165,8 +170,9 @@ def spanning_links(fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: in
     return out
 
 
-def links_in_runs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (nodes) between rows of equal keys in sorted arrays; long runs give a spanning forest of theirs."""
+def links_in_runs(key: np.ndarray, fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (nodes, see ``node_of``) between rows of equal keys in sorted arrays; long runs give a spanning forest of theirs."""
+    node = (fp ^ (chk << np.uint64(1) | chk >> np.uint64(63))).view(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     lengths = np.diff(np.concatenate([starts, [len(key)]]))
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -187,7 +193,7 @@ def links_in_runs(key: np.ndarray, node: np.ndarray, fp: np.ndarray, chk: np.nda
 
 
 def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout: str | None = None) -> DataFrame:
-    """(a, b) links between the nodes of ``distinct`` (node, fp, chk) that connect all close pairs.
+    """(a, b) links between the nodes (see ``node_of``) of ``distinct`` (fp, chk) that connect all close pairs.
 
     Close: at most ``max_bits`` bits of fp differ, and at most ``max_total`` of fp and chk together. Each
     anchor's fingerprints are compared in one sorted run; an anchor with over ``BLOCK`` of them is
@@ -199,32 +205,29 @@ def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
-                node, fp, chk = (b.column(k).slice(i, 2048).to_numpy(zero_copy_only=False) for k in range(3))
+                fp, chk = (b.column(k).slice(i, 2048).to_numpy(zero_copy_only=False) for k in range(2))
                 keys, who = _replicate(fp.view(np.uint64), layout, max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), node[who], fp[who], chk[who])], names=["anchor", "node", "fp", "chk"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), fp[who], chk[who])], names=["anchor", "fp", "chk"])
 
-    placed = stage(distinct.select("node", "fp", "chk").mapInArrow(spread, "anchor long, node long, fp long, chk long"), "anchors")
-    full = placed.groupBy("anchor").count().where(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    placed = stage(distinct.select("fp", "chk").mapInArrow(spread, "anchor long, fp long, chk long"), "anchors")
+    full = placed.groupBy("anchor").count().where(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
     dealt = placed.join(stage(full, "full-anchors"), "anchor", "left")
-    own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int")
-    # block i of n meets each block j, itself included: cell (min, max)
-    cells = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    )
-    dealt = dealt.withColumn("own", own).withColumn("cell", F.explode(cells)).select("anchor", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "node", "fp", "chk")
-    sorted_runs = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    # of n blocks, block i meets each block j, itself included, in the cell (min, max); cells go into the high bits of the key
+    own = F.pmod(F.xxhash64("fp", "chk"), F.col("blocks"))
+    cell = lambda j: F.call_function("shiftleft", F.least(F.col("own"), j) * 4096 + F.greatest(F.col("own"), j), F.lit(39)).bitwiseOR(F.col("anchor"))
+    keys = F.when(F.col("blocks").isNull(), F.array("anchor")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), cell))
+    runs = dealt.withColumn("own", own).select(F.explode(keys).alias("key"), "fp", "chk").repartition("key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held = np.zeros((3, 0), np.int64)
 
         def done(rows: np.ndarray) -> pa.RecordBatch:
-            x, y = links_in_runs(rows[0], rows[1], rows[2].view(np.uint64), rows[3].view(np.uint64), max_bits, max_total)
+            x, y = links_in_runs(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64), max_bits, max_total)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(p.copy()) for p in pairs], names=["a", "b"])
 
         for b in batches:
-            anchor, i, j, node, fp, chk = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6))
-            rows = np.concatenate([held, np.stack([anchor ^ (i << 40) ^ (j << 52), node, fp, chk])], axis=1)
+            rows = np.concatenate([held, np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)])], axis=1)
             last = np.flatnonzero(rows[0] != rows[0, -1])
             cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
             if cut:
@@ -233,7 +236,7 @@ def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout:
         if held.shape[1]:
             yield done(np.ascontiguousarray(held))
 
-    return sorted_runs.mapInArrow(compare, "a long, b long").distinct()
+    return runs.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, max_total: int | None = None, layout: str | None = None) -> DataFrame:
@@ -246,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unless all are null. An empty table gives an empty result.
     """
     staged = stage(fingerprints(docs, id_col, text_col, shingle, max_total is not None), "fingerprints")
-    distinct = staged.groupBy("fp", "chk").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.xxhash64("fp", "chk") if max_total is not None else F.col("fp"))
+    distinct = staged.groupBy("fp", "chk").agg(F.min("doc_id").alias("first_id")).withColumn("node", node_of(F.col("fp"), F.col("chk")))
     distinct = stage(distinct, "distinct-fp")
     edges = stage(links(distinct, max_bits, 128 if max_total is None else max_total, layout), "links")
     named = components(edges).withColumnRenamed("node", "linked")

@@ -158,6 +158,7 @@ def test_secret_ownership(spark):
     assert set(got[1]) == {(0, "owned"), (2, "owned")} and got[5] == [(3, "owned")]
     assert {c for _, c in got[10]} == {"example"} and got[20] == []
     masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df).collect()}
+    assert masked == {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df, max_spared=-1).collect()}
     assert masked[1] == "[SECRET]" and masked[2] == "again [SECRET]" and masked[5] == "key [SECRET]" and masked[10] == rows[3][1]
 
 
@@ -295,19 +296,19 @@ def test_simhash_layouts_find_all_links(spark, layout, bits):
             fps.add(x)
     fps = sorted(fps)
     signed = [(f - (1 << 64) if f >> 63 else f) for f in fps]
-    df = spark.createDataFrame([(i, f, 0) for i, f in enumerate(signed)], "node long, fp long, chk long")
+    df = spark.createDataFrame([(f, 0) for f in signed], "fp long, chk long")
     named = {r["node"]: r["component"] for r in components(simhash.links(df, bits, 128, layout)).collect()}
     roots = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= bits)
     low = {}
-    for i, r in enumerate(roots):
-        low[r] = min(low.get(r, i), i)
-    assert [named.get(i, i) for i in range(len(fps))] == [low[r] for r in roots]
+    for f, r in zip(signed, roots, strict=True):
+        low[r] = min(low.get(r, f), f)
+    assert [named.get(f, f) for f in signed] == [low[r] for r in roots]
 
 
 def test_simhash_dense_group(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 64)
     fps = sorted({a ^ (1 << i) ^ (1 << j) for a in (0, (1 << 40) - 1) for i in range(30) for j in range(30)})
-    df = spark.createDataFrame([(i, f, 0) for i, f in enumerate(fps)], "node long, fp long, chk long")
+    df = spark.createDataFrame([(f, 0) for f in fps], "fp long, chk long")
     found = simhash.links(df)
     assert found.count() < 200 * len(fps)
     assert components(found).select("component").distinct().count() == 2
