@@ -11,7 +11,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -136,40 +136,66 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), count(3), examples)
 
 
-def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "[SECRET]", **options: int) -> DataFrame:
-    """``docs`` with every span that is no widely copied example replaced by ``mask``; other rows stay as they are.
+#: So many hashes of values with several owners, at most, go to every executor; beyond, texts are joined with theirs.
+MAX_SPARED = 200_000
 
-    Texts that hold a candidate are scanned again for their spans' places, by the same rules, and
-    the classes of their values are joined by hash. Rows keep their columns and order of columns.
+
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "[SECRET]", example_owners: int = 3, max_spared: int = MAX_SPARED) -> DataFrame:
+    """``docs`` with every span that is no example replaced by ``mask``; other rows stay as they are.
+
+    Values of one owner are told by their looks alone. Those of several owners, and the few that
+    look live under one kind only, have their class by hash: up to ``max_spared`` of them are sent
+    to the executors, else each document is joined with the hashes to mask in it. Both ways
+    mask the same. Rows keep their columns and the order of columns.
     """
     scanned = scan(docs, id_col, text_col, repo_col, owner_col)
-    classes = stage(ownership(scanned, **options).where("class <> 'example'").select("hash", "class"), "ownership")
-    each = scanned.where(F.size("found") > 0).select(F.col("doc_id").alias("__masked_doc"), F.explode("found").alias("c")).join(classes, F.col("c.hash") == F.col("hash"))
-    bad = stage(each.where("c.kind < 3 OR class = 'owned'").groupBy("__masked_doc").agg(F.collect_set("hash").alias("__masked_hashes")), "to-mask")
+    classes = stage(ownership(scanned, example_owners), "ownership")
+    each = scanned.where(F.size("found") > 0).select(F.col("doc_id").alias("__masked_doc"), F.explode("found").alias("c"))
+    doubtful = each.groupBy(F.col("c.hash").alias("hash")).agg((F.min("c.live") != F.max("c.live")).alias("both"))
+    special = stage(classes.join(doubtful, "hash").where("both OR n_owners > 1").select("hash", "class"), "spared")
+    i = docs.columns.index(text_col)
 
-    def apply(text: str, bad: set[str]) -> str:
+    def apply(text: str, bad: Callable[[int, str], bool]) -> str:
         base = base_spans(text)
-        spans = [(s, e) for s, _, e, v in sorted(base + free_values(text, base)) if hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest() in bad]
         out, at = [], 0
-        for s, e in spans:
-            if s >= at:
-                out += [text[at:s], mask]
-            at = max(at, e)
+        for s, k, e, v in sorted(base + free_values(text, base)):
+            if bad(k, v):
+                if s >= at:
+                    out += [text[at:s], mask]
+                at = max(at, e)
         return "".join(out) + text[at:]
 
-    schema = docs.schema
-    i = docs.columns.index(text_col)
+    def digest(v: str) -> str:
+        return hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replaced(b: pa.RecordBatch, new: list[str | None]) -> pa.RecordBatch:
+        cols = [*b.columns[: len(docs_names)]]
+        cols[i] = pa.array(new, cols[i].type)
+        return pa.RecordBatch.from_arrays(cols, names=docs_names)
+
+    docs_names, schema = docs.columns, docs.schema
+    if special.count() <= max_spared:
+        known = docs.sparkSession.sparkContext.broadcast({r["hash"]: r["class"] for r in special.collect()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def bad(k: int, v: str) -> bool:
+                kind = known.value.get(digest(v)) or ("owned" if live(k, v) else "example")
+                return kind == "owned" or kind == "shared" and k < 3
+
+            for b in batches:
+                yield replaced(b, [t and apply(t, bad) for t in b.column(i).to_pylist()])
+
+        return docs.mapInArrow(run, schema)
+    to_mask = each.join(classes.where("class <> 'example'"), F.col("c.hash") == F.col("hash")).where("c.kind < 3 OR class = 'owned'")
+    per_doc = stage(to_mask.groupBy("__masked_doc").agg(F.collect_set("hash").alias("__masked_hashes")), "to-mask")
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, bad = b.column(i), b.column(b.num_columns - 1)
-            new = [apply(t.as_py(), set(x.as_py())) if t.is_valid and x.is_valid else t.as_py() for t, x in zip(texts, bad, strict=True)]
-            cols = [*b.columns[:-1]]
-            cols[i] = pa.array(new, texts.type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
-
-    joined = docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__masked_doc")), "left").drop("__masked_doc")
-    return joined.mapInArrow(run, schema)
+            hashes = b.column(b.num_columns - 1).to_pylist()
+            yield replaced(b, [apply(t, lambda _, v, h=h: digest(v) in h) if t and h else t for t, h in zip(b.column(i).to_pylist(), hashes, strict=True)])
+
+    joined = docs.join(per_doc, docs[id_col].cast("long").eqNullSafe(F.col("__masked_doc")), "left").drop("__masked_doc")
+    return joined.mapInArrow(run_joined, schema)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
