@@ -19,7 +19,7 @@ BARE = re.compile(_UNIT)
 #: White space beyond ASCII, and what some libraries take for it: such texts are encoded whole.
 ODD = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]")
 WORD = re.compile(rf" ?{_LETTERS}")
-MAX_UNITS = 1_000_000
+MAX_UNITS = 600_000
 MAX_UNIT_CHARS = 64
 
 
