@@ -203,7 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     says 0.5 less a little for all.
     """
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    sample = usable.groupBy(F.col("doc_id").cast("long").alias("id_")).agg(F.max("toxic").cast("int").alias("y")).orderBy(F.xxhash64("id_"), "id_").limit(max_rows)
+    rows = usable.groupBy(F.col("doc_id").cast("long").alias("id_")).agg(F.max("toxic").cast("int").alias("y")).withColumn("h", F.xxhash64("id_"))
+    # the smallest hashes; what lies far beyond max_rows of them is left out before rows go anywhere
+    below = -float(1 << 63) + min(1.0, 2.0 * max_rows / max(1, rows.count())) * float(1 << 64)
+    sample = rows.where(F.col("h").cast("double") <= below).orderBy("h", "id_").limit(max_rows).drop("h")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("fold")
     rows = stage(text.join(F.broadcast(sample), F.col("doc_id") == F.col("id_")).select("text", "y", fold), "toxic-rows")
