@@ -39,10 +39,15 @@ def _with_range(records: DataFrame, splitters: list[tuple[int, int]]) -> DataFra
     return records.crossJoin(F.broadcast(one)).withColumn("range", _range_of(splitters)).drop("splitters")
 
 
-def _sample(records: DataFrame, n: int, seed: int) -> list[tuple[int, int]]:
-    """At most ``n`` (key, tie) pairs, drawn without replacement with chances by size, in order."""
+def _sample(records: DataFrame, n: int, total: int, seed: int) -> list[tuple[int, int]]:
+    """At most ``n`` (key, tie) pairs, drawn without replacement with chances by size, in order.
+
+    The n smallest of exponential draws whose rates are the sizes. About n draws lie below n / total, so
+    none beyond four times that is sent to the driver, however many tasks there are.
+    """
     draw = -F.log(1 - F.rand(seed)) / F.col("size")
-    rows = records.select("key", "tie", draw.alias("draw")).orderBy("draw").limit(n).select("key", "tie").collect()
+    drawn = records.select("key", "tie", draw.alias("draw")).where(F.col("draw") < 4.0 * n / max(1, total))
+    rows = drawn.orderBy("draw").limit(n).select("key", "tie").collect()
     return sorted((r["key"], r["tie"]) for r in rows)
 
 
@@ -56,16 +61,17 @@ def splitters_for(records: DataFrame, ranges: int, seed: int = 17, rounds: int =
     A range is overfull with over twice the mean size and more than one record; each round draws
     fresh samples inside such ranges only.
     """
-    found = _quantiles(_sample(records, OVERSAMPLE * ranges, seed), ranges)
+    total = records.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    found = _quantiles(_sample(records, OVERSAMPLE * ranges, total, seed), ranges)
     for r in range(rounds):
         sizes = _with_range(records, found).groupBy("range").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row per range
-        limit = 2 * sum(x["size"] for x in sizes) / max(1, ranges)
+        limit = 2 * total / max(1, ranges)
         over = [x for x in sizes if x["size"] > limit and x["n"] > 1]
         if not over or len(found) >= MAX_RANGES:
             break
         inside = _with_range(records, found).where(F.col("range").isin([x["range"] for x in over]))
         extra: dict[int, list[tuple[int, int]]] = {}
-        for pair in _sample(inside, OVERSAMPLE * 2 * len(over), seed + r + 1):
+        for pair in _sample(inside, OVERSAMPLE * 2 * len(over), sum(x["size"] for x in over), seed + r + 1):
             at = bisect_left(found, pair) + (pair in found)
             extra.setdefault(at, []).append(pair)
         new = set(found)
