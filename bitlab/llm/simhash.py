@@ -275,5 +275,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     groups = near_duplicates(docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")), shingle=5, max_bits=11, max_total=22, layout="wide")
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    once = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    # ids are unique as a rule; only texts of those that are not are dealt out by id
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).count().where(F.col("count") > 1)
+    repeated = stage(repeated.select("__id"), "repeated")
+    once, own = docs, F.col("doc_id") == F.col("__id")
+    if not repeated.isEmpty():
+        once = docs.join(repeated, own, "left_anti").unionByName(docs.join(repeated, own, "left_semi").dropDuplicates(["doc_id"]))
     return once.join(stage(gone, "duplicates"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*columns)
