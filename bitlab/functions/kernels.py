@@ -105,7 +105,7 @@ def complexity(text: str) -> dict[str, float]:
     """LZ76 phrases and their number over n / log2 n, spectral slope, sample entropy, recurrence of a chunk."""
     bits = np.frombuffer(text.encode(), np.uint8) - 48
     c, n = lz76(text), len(text)
-    rate, determinism = recurrence_rates(bits[:2000])
+    rate, determinism = recurrence_rates(bits)
     return {"phrases": c, "lz": min(1.0, c / (n / np.log2(n))) if n > 1 else float("nan"), "slope": spectral_slope(bits) if n > 8 else float("nan"), "sampen": sample_entropy(bits), "rate": rate, "determinism": determinism}
 
 

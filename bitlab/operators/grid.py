@@ -25,8 +25,9 @@ def hilbert(pos: Column, order: int) -> Column:
 
 
 def grid(bits: DataFrame, order: int, cell: int = 1) -> DataFrame:
-    """(x, y, ones, total): ``cell`` consecutive bits to each cell of a Hilbert curve; what does not fit on it is left out."""
-    at = bits.where(F.col("pos") < (4**order) * cell).groupBy(F.floor(F.col("pos") / cell).cast("long").alias("d")).agg(F.sum("bit").alias("ones"), F.count(F.lit(1)).alias("total"))
+    """(x, y, ones, total): consecutive bits to each cell of a Hilbert curve: ``cell`` of them, or as many more as it takes for the last position to fit on it."""
+    fit = bits.agg(F.greatest(F.lit(cell).cast("long"), F.ceil((F.max("pos") + 1) / 4**order)).alias("_cell"))
+    at = bits.crossJoin(F.broadcast(fit)).groupBy(F.floor(F.col("pos") / F.col("_cell")).cast("long").alias("d")).agg(F.sum("bit").alias("ones"), F.count(F.lit(1)).alias("total"))  # one row
     return at.select(hilbert(F.col("d"), order).alias("h"), "ones", "total").select("h.x", "h.y", "ones", "total")
 
 

@@ -158,6 +158,18 @@ def test_hilbert_is_a_path(spark):
     assert len(set(got)) == 256 and all(abs(a["x"] - b["x"]) + abs(a["y"] - b["y"]) == 1 for a, b in pairwise(got))
 
 
+@pytest.mark.parametrize(("n", "cell"), [(10, 1), (16, 1), (17, 1), (1000, 1), (1000, 4)])
+def test_grid_has_every_position(spark, n, cell):
+    got = grid.grid(bits_of(spark, a=random_text(n, 3)), 2, cell).agg(F.sum("total"), F.sum("ones"), F.max("x"), F.max("y")).first()
+    assert got[0] == n and got[1] == random_text(n, 3).count("1") and got[2] < 4 and got[3] < 4
+
+
+def test_recurrence_reads_whole_chunks():
+    text = random_text(2000, 3) + "1" * 48
+    got = kernels.complexity(text)
+    assert (got["rate"], got["determinism"]) == kernels.recurrence_rates(np.array([int(c) for c in text], np.uint8))
+
+
 def test_grid_neighbours_wrap(spark):
     cells = spark.createDataFrame([(x, y, (x * 7 + y * 3) % 5, 5) for x in range(4) for y in range(4)], "x long, y long, ones long, total long")
     got = {(r["dx"], r["dy"]): r["r"] for r in grid.neighbour_correlation(cells, 2).collect()}
