@@ -145,8 +145,8 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Values of one owner are told by their looks alone. Those of several owners, and the few that
     look live under one kind only, have their class by hash: up to ``max_spared`` of them are sent
-    to the executors, else each document is joined with the hashes to mask in it. Both ways
-    mask the same. Rows keep their columns and the order of columns.
+    to the executors, else each document is joined with those of its own. Both ways decide by the
+    same rule and mask the same. Rows keep their columns and the order of columns.
     """
     scanned = scan(docs, id_col, text_col, repo_col, owner_col)
     classes = stage(ownership(scanned, example_owners), "ownership")
@@ -165,8 +165,12 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 at = max(at, e)
         return "".join(out) + text[at:]
 
-    def digest(v: str) -> str:
-        return hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()
+    def bad_by(known: dict[str, str]) -> Callable[[int, str], bool]:
+        def bad(k: int, v: str) -> bool:
+            kind = known.get(hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()) or ("owned" if live(k, v) else "example")
+            return kind == "owned" or kind == "shared" and k < 3
+
+        return bad
 
     def replaced(b: pa.RecordBatch, new: list[str | None]) -> pa.RecordBatch:
         cols = [*b.columns[: len(docs_names)]]
@@ -178,21 +182,18 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         known = docs.sparkSession.sparkContext.broadcast({r["hash"]: r["class"] for r in special.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def bad(k: int, v: str) -> bool:
-                kind = known.value.get(digest(v)) or ("owned" if live(k, v) else "example")
-                return kind == "owned" or kind == "shared" and k < 3
-
+            bad = bad_by(known.value)
             for b in batches:
                 yield replaced(b, [t and apply(t, bad) for t in b.column(i).to_pylist()])
 
         return docs.mapInArrow(run, schema)
-    to_mask = each.join(classes.where("class <> 'example'"), F.col("c.hash") == F.col("hash")).where("c.kind < 3 OR class = 'owned'")
-    per_doc = stage(to_mask.groupBy("__masked_doc").agg(F.collect_set("hash").alias("__masked_hashes")), "to-mask")
+    own = each.join(special, F.col("c.hash") == F.col("hash")).groupBy("__masked_doc")
+    per_doc = stage(own.agg(F.collect_set(F.struct("hash", "class")).alias("__masked_hashes")), "spared-by-doc")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = b.column(b.num_columns - 1).to_pylist()
-            yield replaced(b, [apply(t, lambda _, v, h=h: digest(v) in h) if t and h else t for t, h in zip(b.column(i).to_pylist(), hashes, strict=True)])
+            known = b.column(b.num_columns - 1).to_pylist()
+            yield replaced(b, [t and apply(t, bad_by({h["hash"]: h["class"] for h in own or []})) for t, own in zip(b.column(i).to_pylist(), known, strict=True)])
 
     joined = docs.join(per_doc, docs[id_col].cast("long").eqNullSafe(F.col("__masked_doc")), "left").drop("__masked_doc")
     return joined.mapInArrow(run_joined, schema)

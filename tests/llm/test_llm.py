@@ -204,6 +204,15 @@ def test_substrings_random(spark):
     assert got == brute_substrings(rows)
 
 
+def test_masking_does_not_depend_on_the_way(spark):
+    """A value of two owners is masked where it is named a secret, and free-standing it stays, in one document too."""
+    v = "k9Xv2Qm7Lp4Zt8Rw3Yb6Nc1D"
+    rows = [(1, f"password = {v} and then {v} alone", "a"), (2, f"password = {v}", "b"), (None, f"see {v} here", "a"), (None, f"password = {v}", "b"), (3, "token = Zq8Ws4Ed2Rf6Tg9Yh1Uj", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    here, joined = (sorted(r["text"] for r in secrets.mask_secrets(df, max_spared=n).collect()) for n in (secrets.MAX_SPARED, 0))
+    assert here == joined == sorted([f"[SECRET] and then {v} alone", "[SECRET]", f"see {v} here", "[SECRET]", "[SECRET]"])
+
+
 # 6 mixing
 @pytest.mark.parametrize("frame", [64, 512])
 def test_mixing_is_pfair(docs, frame):
