@@ -247,6 +247,13 @@ def test_mixing_edges(edge, spark):
         mixing.mix(edge, ["doc_id"], frame=4)
 
 
+def test_mixing_takes_many_sources(spark):
+    df = spark.range(900).selectExpr("id AS doc_id", "concat('s', id % 300) AS source")
+    got = mixing.mix(df, ["doc_id", "source"]).collect()
+    assert len({r["doc_id"] for r in got}) == len(got) == 900
+    assert len({r["slot"] for r in got}) == 300 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
 # 7 SimHash
 LOWER = {i: i + 32 for i in range(65, 91)}
 
