@@ -3,7 +3,7 @@
 Every partition keeps a fixed number of open windows. A document fills whole windows while it is
 longer than one; what is left goes to the open window that it fits best, and when it fits none
 the fullest window is emitted. The windows still open at the end are few; they are laid end to
-end and cut anew.
+end and cut anew, those of all partitions together or, where order counts, each partition's own.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitlab.llm.common import stage
+from bitlab.llm.mixing import mix
 from bitlab.llm.tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
@@ -35,13 +36,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, open_windows: int = 64, end_id: int = 0, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, open_windows: int = 64, end_id: int = 0, tokenizer: str | None = None, keep_ids: bool = False, in_order: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
     A document is its text's ids and ``end_id``; its pieces tile it, each id in one piece. Within a
     sequence of at most ``window`` ids pieces tile without a gap. A null or empty text is the end id
     alone; repeated rows are packed each; a null doc_id stays null. ``ids`` are little-endian
     unsigned 32-bit integers. The rest of a window is padding and not part of any row.
+
+    ``in_order``: sequence ids follow the order of partitions, and in each the order of the windows'
+    first pieces; what is still open at a partition's end makes that partition's last sequences.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     end = end_id.to_bytes(4, "little")
@@ -78,29 +82,38 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                             out += closed(opened.pop(best)[1])
                 if out:
                     yield _batch(out)
-        if opened:
+        if opened and in_order:
+            yield _batch(cut([p for w in sorted(opened) for p in opened[w][1]], first + made)[0])
+        elif opened:
             yield _batch([(*p[:7], True, p[8]) for _, pieces in opened.values() for p in pieces])
 
     def closed(pieces: list[tuple]) -> list[tuple]:
         return pieces if keep_ids else [(*p[:8], None) for p in pieces]
 
+    def cut(pieces: list[tuple], first: int, at: int = 0) -> tuple[list[tuple], int]:
+        """Pieces laid end to end from ``at`` and cut anew into windows, and where they end."""
+        out = []
+        for doc, start, length, _, n_doc, _, _, _, ids in pieces:
+            done = 0
+            while done < length:
+                n = min(length - done, window - at % window)
+                x = ids[4 * done : 4 * (done + n)]
+                out.append((doc, start + done, n, zlib.crc32(x), n_doc, first + at // window, at % window, False, x if keep_ids else None))
+                done += n
+                at += n
+        return out, at
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = FIRST_MERGED + (TaskContext.get().partitionId() << 34)
         at = 0
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                done = 0
-                while done < r["length"]:
-                    n = min(r["length"] - done, window - at % window)
-                    x = r["ids"][4 * done : 4 * (done + n)]
-                    out.append((r["doc_id"], r["start"] + done, n, zlib.crc32(x), r["doc_tokens"], first + at // window, at % window, False, x if keep_ids else None))
-                    done += n
-                    at += n
+            out, at = cut([tuple(r.values()) for r in b.to_pylist()], first, at)
             if out:
                 yield _batch(out)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if in_order:
+        return src.mapInArrow(run, PIECE).drop("open", *([] if keep_ids else ["ids"]))
     pieces = stage(src.mapInArrow(run, PIECE), "pieces")
     left = pieces.where("open")
     tasks = max(1, left.where("offset = 0").count() // MERGE)
@@ -114,5 +127,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
-    return pack(docs)
+    """The packed pieces of all documents, in the order of the mixture.
+
+    Files are read in any order, so the slots are told anew from ids and sources: partitions
+    are ranges of slots, and sequence ids rise with them.
+    """
+    placed = mix(docs, ["doc_id", "text"], prefix="__mix_")
+    return pack(placed.repartitionByRange("__mix_slot", "__mix_in_block").sortWithinPartitions("__mix_slot", "__mix_in_block"), in_order=True)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
+from itertools import pairwise
 
 import numpy as np
 from test_llm import ASSIGN, brute_quality, own_tokenizer, pairs
 
 import corpus_pipeline
-from bitlab.llm import secrets, simhash
+from bitlab.llm import mixing, packing, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,35 @@ def test_stages_at_the_edge(spark, edge):
             assert len(ids) == len(set(ids)) and 6 not in ids and 5 in ids
         assert f(spark, edge.where("false"), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, edge.where("false"), SF).count() == 0
+
+
+def test_packing_follows_the_mixture(spark, docs, tmp_path):
+    """Read back from files that lie in no order; the largest come first."""
+    corpus_pipeline.STAGES[3][1](spark, docs, SF).repartition(7, "n_chars").write.parquet(str(tmp_path / "mixed"))
+    slot = {r["doc_id"]: r["slot"] for r in mixing.mix(docs, ["doc_id"]).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = packing.packing_stage(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = defaultdict(list)
+    for r in got:
+        parts[r["sequence_id"] >> 34].append(slot[r["doc_id"]])
+    assert {r["doc_id"] for r in got} == set(slot) and len(parts) > 1
+    order = [parts[p] for p in sorted(parts)]
+    assert all(max(a) <= min(b) for a, b in pairwise(order))
+
+
+def test_packing_in_order_numbers_windows_as_they_come(spark):
+    rows = [(i, "w " * (1 + i * 37 % 400)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id")
+    got = packing.pack(df, window=256, open_windows=4, in_order=True, keep_ids=True).collect()
+    first = {}
+    for r in got:
+        first[r["sequence_id"]] = min(first.get(r["sequence_id"], r["doc_id"]), r["doc_id"])
+    body = [first[s] for s in sorted(first)[:-4]]  # the last ones are of windows still open at the end
+    assert len(body) > 500 and body == sorted(body)
+    for d in range(900):
+        mine = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == d)
+        assert all(a + n == b for (a, n), (b, _) in pairwise(mine)) and mine[0][0] == 0
+        assert sum(n for _, n in mine) == next(r["doc_tokens"] for r in got if r["doc_id"] == d)
