@@ -673,8 +673,8 @@ def chunk_complexity(spark, d):
 
 @query(None)
 def complexity_by_user(spark, d):
-    """The same for each user's sequence."""
-    return kernels.per_chunk(chunks(user_bits(spark, d), halo=0), kernels.complexity, kernels.COMPLEXITY).select("seq_id", "n", "phrases", "lz", "sampen")
+    """The same for each chunk of 1,024 bits of each user's sequence."""
+    return kernels.per_chunk(chunks(user_bits(spark, d), halo=0), kernels.complexity, kernels.COMPLEXITY).select("seq_id", "chunk", "n", "phrases", "lz", "sampen")
 
 
 @query(None)

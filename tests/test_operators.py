@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bitlab.functions import codec, kernels
 from bitlab.operators import collapse, grid, patterns, rules, scaling, structure, survival
 from bitlab.operators.chunks import bit_ngrams, chunks, ngrams, running_sum
+from bitlab.plans import catalog
 from bitlab.sources import generators, snapshots
 from bitlab.streaming.counts import user_transitions, windowed_ones
 
@@ -170,6 +171,12 @@ def test_recurrence_reads_whole_chunks():
     assert (got["rate"], got["determinism"]) == kernels.recurrence_rates(np.array([int(c) for c in text], np.uint8))
 
 
+def test_complexity_by_user_names_its_chunks(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "user_bits", lambda spark, d: bits_of(spark, a=random_text(2500, 4), b=random_text(30, 5)))
+    got = catalog.QUERIES["complexity_by_user"](spark, "").collect()
+    assert sorted((r["seq_id"], r["chunk"], r["n"]) for r in got) == [("a", 0, 1024), ("a", 1, 1024), ("a", 2, 452), ("b", 0, 30)]
+
+
 def test_grid_neighbours_wrap(spark):
     cells = spark.createDataFrame([(x, y, (x * 7 + y * 3) % 5, 5) for x in range(4) for y in range(4)], "x long, y long, ones long, total long")
     got = {(r["dx"], r["dy"]): r["r"] for r in grid.neighbour_correlation(cells, 2).collect()}
