@@ -15,19 +15,67 @@ WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Folders written so far; see ``remove_staged``.
+_WRITTEN: list[str] = []
+#: A key of more than 1 / HOT of all rows is hot, so there are fewer than HOT of them.
+HOT = 4096
+
+
 @cache
 def _own_root() -> str:
     return "file://" + tempfile.mkdtemp(prefix="bitlab-")
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_root()).rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, local sessions (tests) take a temporary folder and clusters the warehouse,
+    which is shared as well.
+    """
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    if spark.conf.get("spark.master", "local").startswith("local"):
+        return _own_root()
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/bitlab/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/bitlab/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def written() -> int:
+    """How many folders have been handed out; a mark for ``remove_staged``."""
+    return len(_WRITTEN)
+
+
+def remove_staged(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete staged folders handed out after the mark ``since``, but those in ``keep``.
+
+    Only for results that have been written elsewhere: DataFrames that read the folders no longer work.
+    """
+    gone = [p for p in _WRITTEN[since:] if p not in keep]
+    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p in keep]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row of ``per_key`` for each key; keys of many rows are not sent to one task.
+
+    ``n``: the column of ``per_key`` with the key's number of rows, which is dropped; ``total``: of all
+    rows. Keys of more than total / HOT rows are fewer than HOT: they are broadcast. Both tables
+    are read twice, so they should be staged.
+    """
+    limit = max(256, total // HOT)
+    if total <= limit:
+        return rows.join(per_key.drop(n), keys, how)
+    hot = per_key.where(F.col(n) > limit).drop(n)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key.where(F.col(n) <= limit).drop(n), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

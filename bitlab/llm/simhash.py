@@ -6,6 +6,9 @@ code (a sum of perfect codes and free bits) gives the anchors: every band value
 code's covering radius of its own anchor. Each fingerprint is replicated to the anchors within
 radius plus threshold that can be a near value's own anchor; fingerprints that meet at an anchor
 are compared on all 64 bits. No pair is missed, whatever the code.
+
+``similar_groups`` goes on from there for shingle similarity: bands of more fingerprints, whose number
+follows the corpus (``band_plan``), propose links, and exact similarities decide.
 """
 
 from __future__ import annotations
@@ -13,32 +16,49 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitlab.llm.common import stage
+from bitlab.llm.common import join_hot, stage
 from bitlab.llm.components import components
 
-#: Band layouts: the bands' widths and their code: a perfect Hamming code of 15 bits ("h"), the
-#: perfect Golay code of 23 bits ("g") with the rest as free bits, or free bits alone ("f").
-LAYOUTS = {
-    "small": ((21, 21, 22), "h"),
-    "medium": ((32, 32), "g"),
-    "large": ((32, 32), "f"),
-    "wide": ((11, 11, 11, 11, 10, 10), "f"),
-}
+#: Band layouts: the bands' widths and their code: a perfect Hamming code of 15 bits ("h") or the
+#: perfect Golay code of 23 bits ("g"), with the rest as free bits.
+LAYOUTS = {"small": ((21, 21, 22), "h"), "medium": ((32, 32), "g")}
+#: Stands for a null id, which is never the smallest.
+NO_ID = (1 << 63) - 1
 #: Generator polynomial of the binary Golay code (23, 12).
 GOLAY = 0b110001110101
 BLOCK = 8192
+#: Texts whose exact similarities one task compares at once.
+TEXTS = 128
 
 
 def layout_for(n_fingerprints: int) -> str:
-    """The layout whose number of anchors suits so many distinct fingerprints; all find the same links."""
-    return "small" if n_fingerprints <= 1 << 21 else "medium" if n_fingerprints <= 1 << 26 else "large"
+    """The layout whose number of anchors suits so many distinct fingerprints; both find the same links."""
+    return "small" if n_fingerprints <= 1 << 21 else "medium"
+
+
+def differing(similarity: float) -> float:
+    """The share of fingerprint bits in which texts of that cosine similarity differ, on average."""
+    return acos(similarity) / pi
+
+
+def band_plan(n: int, similarity: float, recall: float = 0.98, met: int = 2048) -> tuple[int, int]:
+    """(width, bands): so wide that a fingerprint meets about ``met`` unrelated others of ``n`` in a band, and
+    so many bands that a pair of that similarity meets in one with probability ``recall``.
+
+    A pair meets where at most two bits of a band differ: both sides go to all values one bit away.
+    """
+    width = next(w for w in range(13, 39) if w == 38 or n * (1 + w + comb(w, 2)) / 2**w <= met)
+    q = differing(similarity)
+    hit = sum(comb(width, d) * q**d * (1 - q) ** (width - d) for d in range(3))
+    return width, ceil(log(1 - recall) / log(1 - hit))
 
 
 def _remainder(v: int, poly: int, n: int) -> int:
@@ -72,8 +92,9 @@ def anchor_of(band: np.ndarray, code: str) -> np.ndarray:
     if code == "h":
         s = _syndrome(band, list(range(1, 16)))
         return np.where(s > 0, band ^ (np.uint64(1) << (np.maximum(s, np.uint64(1)) - np.uint64(1))), band)
-    if code == "g":
-        return band ^ _golay_own()[_syndrome(band, [_remainder(1 << i, GOLAY, 23) for i in range(23)]).astype(np.int64)]
+    if code == "g":  # of the low 23 bits
+        low = band & np.uint64((1 << 23) - 1)
+        return band ^ _golay_own()[_syndrome(low, [_remainder(1 << i, GOLAY, 23) for i in range(23)]).astype(np.int64)]
     return band
 
 
@@ -95,6 +116,14 @@ def _replicate(fps: np.ndarray, layout: str, max_bits: int) -> tuple[np.ndarray,
     return np.concatenate(keys), np.concatenate(who)
 
 
+def _flipped(words: np.ndarray, width: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(band and value, index of the row) for each band's value and those one bit away; bands lie in ``words`` one after the other."""
+    per = 64 // width
+    flips = np.array([0, *(1 << i for i in range(width))], np.uint64)
+    keys = [(words[:, b // per, None] >> np.uint64(b % per * width) & np.uint64((1 << width) - 1)) ^ flips | np.uint64(b) << np.uint64(38) for b in range(bands)]
+    return np.concatenate([k.ravel() for k in keys]), np.tile(np.repeat(np.arange(len(words)), width + 1), bands)
+
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -105,40 +134,52 @@ def _majority(h: np.ndarray) -> np.uint64:
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
 
 
-def text_fingerprints(texts: list[str | None], shingle: int, with_check: bool = False) -> np.ndarray:
-    """A row per text: its 64-bit SimHash (majority bits of its shingles' XXH64, seed 42, repeats included) and, if asked for, a second one from other bits."""
-    out = np.zeros((len(texts), 2), np.uint64)
-    digest = xxhash.xxh64_intdigest
+def _shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle of the lower-cased text, repeats included; fewer words make one shingle, none make none."""
+    ws = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    if not ws:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(ws)
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    if len(ws) <= shingle:
+        starts, ends = starts[:1], ends[-1:]
+    n, digest = max(1, len(ws) - shingle + 1), xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], np.uint64)
+
+
+def text_fingerprints(texts: list[str | None], shingle: int, words: int = 1) -> np.ndarray:
+    """A row per text of ``words`` 64-bit SimHashes: majority bits of its shingles' hashes, then of these hashes mixed anew; zero without words."""
+    out = np.zeros((len(texts), words), np.uint64)
     for k, text in enumerate(texts):
-        ws = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-        if not ws:
-            continue
-        joined = b" ".join(ws)
-        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        if len(ws) <= shingle:
-            starts, ends = starts[:1], ends[-1:]
-        n = max(1, len(ws) - shingle + 1)
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)], np.uint64)
-        out[k, 0] = _majority(h)
-        if with_check:
-            h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-            out[k, 1] = _majority((h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB))
+        h = _shingle_hashes(text, shingle)
+        for j in range(words if len(h) else 0):
+            if j:
+                h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+            out[k, j] = _majority(h)
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 4, with_check: bool = False) -> DataFrame:
-    """(doc_id, fp, chk) for every row: SimHashes of each whole text as signed longs; zero without words, or for null."""
+def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, text): th tells apart the texts of one id."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, th, fp, chk, more) for every row: SimHashes of each whole text as signed longs, the first, the second (zero for one word) and the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                both = text_fingerprints(part.column(1).to_pylist(), shingle, with_check).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["doc_id", "fp", "chk"])
+                got = text_fingerprints(part.column(2).to_pylist(), shingle, max(2, words) if words > 1 else 1).view(np.int64)
+                chk = got[:, 1].copy() if words > 1 else np.zeros(len(got), np.int64)
+                more = pa.array(got[:, 2:].tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got[:, 0].copy()), pa.array(chk), more], names=["doc_id", "th", "fp", "chk", "more"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long, chk long")
+    return _sources(docs, id_col, text_col).mapInArrow(run, "doc_id long, th long, fp long, chk long, more array<long>")
 
 
 def node_of(fp: Column, chk: Column) -> Column:
@@ -149,8 +190,9 @@ def node_of(fp: Column, chk: Column) -> Column:
 def _close(fp: np.ndarray, chk: np.ndarray, a: slice, b: slice, max_bits: int, max_total: int) -> np.ndarray:
     bits = np.bitwise_count(fp[a, None] ^ fp[None, b])
     near = bits <= max_bits
-    if max_total < 64 + max_bits and near.any():
-        near &= bits + np.bitwise_count(chk[a, None] ^ chk[None, b]) <= max_total
+    if max_total < 64 + max_bits:
+        i, j = np.nonzero(near)
+        near[i, j] = bits[i, j] + np.bitwise_count(chk[a][i] ^ chk[b][j]) <= max_total
     return near
 
 
@@ -159,14 +201,14 @@ def spanning_links(fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: in
     label, out = np.arange(len(fp)), []
     for i in range(0, len(fp), 256):
         rows = slice(i, i + 256)
-        near = _close(fp, chk, rows, slice(None), max_bits, max_total)
-        while (cross := near & (label[rows, None] != label[None, :])).any():
+        near = _close(fp, chk, rows, slice(i, None), max_bits, max_total)
+        while (cross := near & (label[rows, None] != label[None, i:])).any():
             first = cross.argmax(axis=1)
             for x in np.flatnonzero(cross.any(axis=1)):
-                a, b = label[i + x], label[first[x]]
+                a, b = label[i + x], label[i + first[x]]
                 if a != b:
                     label[label == max(a, b)] = min(a, b)
-                    out.append((int(i + x), int(first[x])))
+                    out.append((int(i + x), int(i + first[x])))
     return out
 
 
@@ -192,29 +234,35 @@ def links_in_runs(key: np.ndarray, fp: np.ndarray, chk: np.ndarray, max_bits: in
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout: str | None = None) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout: str | None = None, bands: tuple[int, int] | None = None) -> DataFrame:
     """(a, b) links between the nodes (see ``node_of``) of ``distinct`` (fp, chk) that connect all close pairs.
 
     Close: at most ``max_bits`` bits of fp differ, and at most ``max_total`` of fp and chk together. Each
     anchor's fingerprints are compared in one sorted run; an anchor with over ``BLOCK`` of them is
     dealt out as pairs of blocks, each compared in its own place. Of long runs a spanning forest
     is returned, so links stay linear in the fingerprints while components stay exact.
+    ``bands``: instead of a layout that meets every close pair, (width, number) of bands over all
+    fingerprints of ``distinct`` (fp, chk, more); close pairs that meet in none of them are not linked.
     """
-    layout = layout or layout_for(distinct.count())
+    layout = layout or (None if bands else layout_for(distinct.count()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 fp, chk = (b.column(k).slice(i, 2048).to_numpy(zero_copy_only=False) for k in range(2))
-                keys, who = _replicate(fp.view(np.uint64), layout, max_bits)
+                if bands:
+                    rest = b.column(2).slice(i, 2048).flatten().to_numpy(zero_copy_only=False).reshape(len(fp), -1)
+                    keys, who = _flipped(np.column_stack([fp, chk, rest]).astype(np.int64).view(np.uint64), *bands)
+                else:
+                    keys, who = _replicate(fp.view(np.uint64), layout, max_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), fp[who], chk[who])], names=["anchor", "fp", "chk"])
 
-    placed = stage(distinct.select("fp", "chk").mapInArrow(spread, "anchor long, fp long, chk long"), "anchors")
+    placed = stage(distinct.select("fp", "chk", *(["more"] if bands else [])).mapInArrow(spread, "anchor long, fp long, chk long"), "anchors")
     full = placed.groupBy("anchor").count().where(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
     dealt = placed.join(stage(full, "full-anchors"), "anchor", "left")
-    # of n blocks, block i meets each block j, itself included, in the cell (min, max); cells go into the high bits of the key
+    # of n blocks, block i meets each block j, itself included, in the cell (min, max)
     own = F.pmod(F.xxhash64("fp", "chk"), F.col("blocks"))
-    cell = lambda j: F.call_function("shiftleft", F.least(F.col("own"), j) * 4096 + F.greatest(F.col("own"), j), F.lit(39)).bitwiseOR(F.col("anchor"))
+    cell = lambda j: F.xxhash64("anchor", F.least(F.col("own"), j), F.greatest(F.col("own"), j))
     keys = F.when(F.col("blocks").isNull(), F.array("anchor")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), cell))
     runs = dealt.withColumn("own", own).select(F.explode(keys).alias("key"), "fp", "chk").repartition("key").sortWithinPartitions("key")
 
@@ -239,24 +287,167 @@ def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout:
     return runs.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, max_total: int | None = None, layout: str | None = None) -> DataFrame:
+def _distinct(staged: DataFrame) -> DataFrame:
+    """A row per (fp, chk): its smallest row's doc_id and th, the number of rows, node and more."""
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th"))
+    rows = staged.groupBy("fp", "chk").agg(least.alias("least"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("more").alias("more"))
+    return stage(rows.select("fp", "chk", "least", "first_id", "n", "more", node_of(F.col("fp"), F.col("chk")).alias("node")), "distinct-fp")
+
+
+def _grouped(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``distinct`` with the component of its node, which is the node itself where it has no links."""
+    named = components(edges).withColumnRenamed("node", "linked")
+    return stage(distinct.join(named, F.col("node") == F.col("linked"), "left").select("fp", "chk", "least", "first_id", "n", "node", F.coalesce("component", "node").alias("component")), "grouped")
+
+
+def _of_component(grouped: DataFrame, what: Column) -> DataFrame:
+    """``grouped`` with the aggregate ``what`` over its component as column ``found``; large components are not sent to one task."""
+    per = stage(grouped.groupBy("component").agg(what.alias("found"), F.count(F.lit(1)).alias("members")), "per-component")
+    return join_hot(grouped, per, ["component"], "members", grouped.count())
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, layout: str | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
-    component_id is the smallest id that links of at most ``max_bits`` differing bits reach;
-    with ``max_total``, a second fingerprint of other bits is taken and both together may differ in at most so
-    many of 128 bits. Texts without words, and null texts, have fingerprint zero and link like any
-    other. Rows of equal ids count as separate rows of one id; a null id is never the smallest
-    unless all are null. An empty table gives an empty result.
+    component_id is the smallest id that links of at most ``max_bits`` differing bits reach. Texts
+    without words, and null texts, have fingerprint zero and link like any other. Rows of equal ids
+    count as separate rows of one id; a null id is never the smallest unless all are null. An empty
+    table gives an empty result. Other columns, whatever their names, are not read.
     """
-    staged = stage(fingerprints(docs, id_col, text_col, shingle, max_total is not None), "fingerprints")
-    distinct = staged.groupBy("fp", "chk").agg(F.min("doc_id").alias("first_id")).withColumn("node", node_of(F.col("fp"), F.col("chk")))
-    distinct = stage(distinct, "distinct-fp")
-    edges = stage(links(distinct, max_bits, 128 if max_total is None else max_total, layout), "links")
-    named = components(edges).withColumnRenamed("node", "linked")
-    grouped = distinct.join(named, F.col("node") == F.col("linked"), "left").select("fp", "chk", "first_id", F.coalesce("component", "node").alias("component"))
-    smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_fp = grouped.join(smallest, "component").select(F.col("fp").alias("fp_"), F.col("chk").alias("chk_"), "component_id")
-    return staged.join(of_fp, (F.col("fp") == F.col("fp_")) & (F.col("chk") == F.col("chk_")), "left").select("doc_id", "fp", "component_id")
+    staged = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    distinct = _distinct(staged)
+    edges = stage(links(distinct, max_bits, layout=layout), "links")
+    of_fp = _of_component(_grouped(distinct, edges), F.min("first_id")).select("fp", "chk", F.col("found").alias("component_id"), "n")
+    return join_hot(staged.select("doc_id", "fp", "chk"), stage(of_fp, "of-fp"), ["fp", "chk"], "n", staged.count()).select("doc_id", "fp", "component_id")
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """The cosine of two texts' shingle counts, from their shingle hashes, repeats included; 0 without shingles."""
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return float(n[i] @ m[j] / sqrt(float(n @ n) * float(m @ m))) if len(x) and len(y) else 0.0
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of texts are so similar, from their shingle hashes; exact, in blocks of columns of the count matrix."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    values, col = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    dot = np.zeros((len(sets), len(sets)))
+    for c in range(0, len(values), 4096):
+        a, b = np.searchsorted(col, [c, c + 4096])
+        n = min(4096, len(values) - c)
+        x = np.bincount(row[a:b] * n + col[a:b] - c, minlength=len(sets) * n).reshape(len(sets), n).astype(float)
+        dot += x @ x.T
+    norm = np.sqrt(np.maximum(dot.diagonal(), 1e-9))
+    return dot >= similarity * norm[:, None] * norm[None, :] - 1e-6
+
+
+def _exact_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of a spanning forest of the similar nodes among rows of equal ``key`` (key, node, shingles); a key has at most two blocks of texts."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            near = _similar(sets, similarity)
+            label, out = np.arange(len(nodes)), []
+            for i, j in np.argwhere(np.triu(near, 1)):
+                if label[i] != label[j]:
+                    out.append((nodes[i], nodes[j]))
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+            x = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["a", "b"])
+
+        for b in batches:
+            for k, node, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if k != key and key is not None:
+                    yield done()
+                    nodes, sets = [], []
+                key = k
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(h.values.to_numpy(zero_copy_only=False))
+        if key is not None:
+            yield done()
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "shingles").mapInArrow(compare, "a long, b long")
+
+
+def _verified(edges: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Those of the links (a, b) whose texts are so similar."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [cosine(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) >= similarity - 1e-6 for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+
+    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """(key, node) of the cells in which the ``members`` (component, node, known, size) of each component meet.
+
+    ``known``: the group of which exact links are known already. A component of at most ``TEXTS`` nodes
+    is one cell. In larger ones each group of at least ``TEXTS`` nodes has blocks of its own, and
+    the others share blocks; every block meets every other one of its component but those of its own group.
+    """
+    few = members.where(F.col("size") <= TEXTS).select(F.xxhash64("component").alias("key"), "node")
+    groups = members.where(F.col("size") > TEXTS).groupBy("component", "known").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("n") >= TEXTS, F.col("known"))
+    kinds = groups.select("component", kind.alias("kind"), "n").groupBy("component", "kind").agg(F.ceil(F.sum("n") / TEXTS).cast("int").alias("blocks"))
+    before = Window.partitionBy("component").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)  # a row per TEXTS nodes at most
+    kinds = stage(kinds.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")), "kinds")
+    at = stage(groups.select("component", "known", kind.alias("kind")), "kind-of")
+    many = members.where(F.col("size") > TEXTS).join(at, ["component", "known"]).select(F.col("component").alias("c"), "node", F.col("kind").alias("k"))
+    own = many.join(kinds, (F.col("c") == F.col("component")) & F.col("k").eqNullSafe(F.col("kind"))).select("c", "node", "k", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("own"))
+    others = kinds.select(F.col("component").alias("c"), F.col("kind").alias("k2"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("other"))
+    met = own.join(others, "c").where(F.col("k").isNull() | ~F.col("k").eqNullSafe(F.col("k2")))
+    return few.unionByName(met.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Groups of texts of so similar shingles: a row per fingerprint with its group's smallest row, and the staged fingerprints.
+
+    The similarity is what SimHash estimates, the cosine of shingle counts; a Jaccard similarity of 0.8 is a
+    cosine of about 0.89, so all such pairs are meant too. 128 fingerprint bits propose links, with
+    two and a half standard deviations to spare; all texts that proposed links connect are then compared by
+    their shingles, and only exact similarities join groups. Texts of equal 128 bits are one.
+    """
+    width, number = bands or band_plan(docs.count(), similarity)
+    q = differing(similarity)
+    max_bits, max_total = (ceil(n * q + 2.5 * sqrt(n * q * (1 - q))) for n in (64, 128))
+    staged = stage(fingerprints(docs, id_col, text_col, shingle, max(2, ceil(number / (64 // width)))), "fingerprints")
+    distinct = _distinct(staged)
+    proposed = stage(links(distinct, max_bits, max_total, bands=(width, number)), "links")
+    linked = components(proposed)
+    sizes = stage(linked.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    members = stage(linked.join(sizes, "component").join(distinct.select("node", "least"), "node"), "members")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [np.sort(_shingle_hashes(t, shingle)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    texts = _sources(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th", "text")
+    wanted = members.select("node", "least.id", F.col("least.th").alias("th"))
+    texts = texts.join(wanted, ["id", "th"]).groupBy("id", "th", "node").agg(F.min("text").alias("text"))
+    shingles = stage(texts.select("node", "text").mapInArrow(shingled, "node long, shingles array<long>"), "shingles")
+    # large components: what the proposed links join for sure need not be compared pair by pair
+    large = members.where(F.col("size") > TEXTS).select(F.col("node").alias("a"))
+    sure = stage(_verified(proposed.join(large, "a"), shingles, similarity), "sure")
+    known = components(sure).withColumnRenamed("component", "known")
+    dealt = _dealt(members.join(known, "node", "left").select("component", "node", F.coalesce("known", "node").alias("known"), "size"))
+    exact = stage(_exact_links(dealt.join(shingles, "node"), similarity), "exact")
+    grouped = _grouped(distinct, sure.unionByName(exact))
+    return _of_component(grouped, F.min("least")).select("fp", "chk", "n", F.col("found").alias("first")), staged
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,19 +457,24 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id.
+    """One document of each group of near-duplicates: that of the smallest id.
 
-    Groups link five-word shingle fingerprints at most 11 of 64 bits apart and at most 22 of 128, where a
-    similarity of 0.8 (expected: 19 of 128) lies well inside; see ``near_duplicates``. Of repeated rows of one id one stays; documents with a null id all stay,
-    and so do those without words, whose fingerprint says nothing about them.
+    See ``similar_groups``: five-word shingles, similarity 0.8 or more. Rows of one id are told apart by
+    their texts; of rows equal in both one stays, the first by a hash of all columns. Documents with a
+    null id all stay, and so do those without words, whose fingerprint says nothing about them.
     """
     columns = docs.columns
-    groups = near_duplicates(docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")), shingle=5, max_bits=11, max_total=22, layout="wide")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    # ids are unique as a rule; only texts of those that are not are dealt out by id
-    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).count().where(F.col("count") > 1)
-    repeated = stage(repeated.select("__id"), "repeated")
-    once, own = docs, F.col("doc_id") == F.col("__id")
-    if not repeated.isEmpty():
-        once = docs.join(repeated, own, "left_anti").unionByName(docs.join(repeated, own, "left_semi").dropDuplicates(["doc_id"]))
-    return once.join(stage(gone, "duplicates"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*columns)
+    own, th = F.col("doc_id").cast("long"), F.xxhash64("text")
+    told = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text")
+    first, staged = similar_groups(told)
+    rows = join_hot(staged.select("doc_id", "th", "fp", "chk"), stage(first, "first-rows"), ["fp", "chk"], "n", staged.count())
+    gone = rows.where((F.col("doc_id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
+    kept = docs.join(stage(gone, "duplicates"), (own == F.col("__gone")) & (th == F.col("__th")), "left_anti")
+    # rows are told apart by (id, text) as a rule; only those that are not are dealt out
+    again = stage(staged.groupBy(F.col("doc_id").alias("__again"), F.col("th").alias("__th")).count().where("count > 1").drop("count"), "repeated")
+    if again.isEmpty():
+        return kept
+    twice = (own == F.col("__again")) & (th == F.col("__th"))
+    order = Window.partitionBy("__own", "__text").orderBy("__row")
+    ones = kept.join(again, twice, "left_semi").select(*columns, own.alias("__own"), th.alias("__text"), F.xxhash64(*columns).alias("__row"))
+    return kept.join(again, twice, "left_anti").unionByName(ones.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*columns))

@@ -7,31 +7,19 @@ from collections import Counter, defaultdict
 from itertools import pairwise
 
 import numpy as np
-from test_llm import ASSIGN, brute_quality, own_tokenizer, pairs
+from test_llm import ASSIGN, brute_quality, brute_similar, groups_of, own_tokenizer, pairs
 
 import corpus_pipeline
-from bitlab.llm import mixing, packing, secrets, simhash
+from bitlab.llm import mixing, packing, secrets
 
 SF = "/root/testdata/sf0.001"
 
 
 def brute_stages(rows):
-    """The texts that the first three stages leave, by id: rules on each document, all pairs of fingerprints, owners of values."""
+    """The texts that the first three stages leave, by id: rules on each document, exact similarities, owners of values."""
     kept = [(d, t, s) for d, t, s in rows for b in [brute_quality(t)] if not (b[0] < 20 or 100 * b[4] > 30 * b[0] or 100 * b[2] > 10 * b[0])]
-    fp = simhash.text_fingerprints([t for _, t, _ in kept], 5, True)
-    parent = list(range(len(kept)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(kept)):
-        for j in range(i):
-            a, b = (int(fp[i, k] ^ fp[j, k]).bit_count() for k in (0, 1))
-            if a <= 11 and a + b <= 22:
-                parent[max(root(i), root(j))] = min(root(i), root(j))
-    left = [kept[i] for i in range(len(kept)) if root(i) == i]
+    _, links = brute_similar([t for _, t, _ in kept])
+    left = [kept[i] for i, r in enumerate(groups_of(len(kept), links)) if r == i]
     owners, spans = defaultdict(set), {}
     for d, t, s in left:
         base = secrets.base_spans(t)
@@ -78,7 +66,7 @@ def test_stages_at_the_edge(spark, edge):
             assert all("04dbebab" not in (t or "") for _, t in left)
         if name == "near_duplicates":
             ids = [d for d, _ in left if d is not None]
-            assert len(ids) == len(set(ids)) and 6 not in ids and 5 in ids
+            assert max(left.values()) == 1 and 6 not in ids and 5 in ids
         assert f(spark, edge.where("false"), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, edge.where("false"), SF).count() == 0
 
