@@ -1,10 +1,11 @@
-"""Exact top-k by Hamming distance: incremental multi-index hashing of 64-bit codes.
-
-A code is cut into ``SEGMENTS`` segments, each indexed on its own. Round r probes, for every query that is
-still open, all segment values at distance r. After it, every code that was not met differs in more
-than r bits in each segment, so lies at distance ``SEGMENTS * (r + 1)`` or more: a query whose k-th
-verified distance is smaller is done. Once a round would cost a query more probes than there are
-codes, the open queries are compared with all codes, in blocks.
+"""Exact top-k by Hamming distance: incremental multi-index hashing of binary codes.
+
+A code is one long, or an array of longs for more than 64 bits. It is cut into segments, each
+indexed on its own, whose width follows the number of codes. Round r probes, for every query
+that is still open, all segment values at distance r. After it, every code that was not met differs
+in more than r bits in each segment, so lies at distance segments * (r + 1) or more: a query whose
+k-th verified distance is smaller is done. Only where a round would have a query probe more values
+than there are codes, so that looking at every code costs less, are the open queries compared with all, in blocks.
 """
 
 from __future__ import annotations
@@ -17,71 +18,103 @@ from pyspark.sql import functions as F
 
 from bitlab.llm.common import stage
 
-SEGMENTS, BITS = 4, 16
+
+def segment_bits(n_codes: int) -> int:
+    """The width of segments: 16 bits where codes fill so many values at least in part, else 8."""
+    return 16 if n_codes >= 1 << 14 else 8
 
 
 def sign_code(embedding: Column) -> Column:
-    """The signs of up to 64 dimensions as a long: bit i is 1 if dimension i is above zero. Null for null."""
-    bits = F.transform(embedding, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(embedding) <= 64, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    """The signs of the dimensions: bit i % 64 of long i div 64 is 1 if dimension i is above zero. Null for null.
+
+    Up to 64 dimensions, and no dimensions, make one long. A null dimension is zero; NaN is above zero.
+    """
+    bit = lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)).otherwise(F.lit(0).cast("long"))
+    bits = F.transform(embedding, bit)
+    word = lambda w: F.aggregate(F.slice(bits, w * 64 + 1, 64), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(embedding.isNotNull(), F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(embedding) / 64).cast("int") - 1, F.lit(0))), word))
+
+
+def _words(code: str, n: int) -> list[str]:
+    return [f"{code}{i}" for i in range(n)]
 
 
-def _segment(code: Column, s: Column | int) -> Column:
-    return F.call_function("shiftrightunsigned", code, (F.lit(s) * BITS).cast("int")).bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
+def _segment(words: list[str], width: int, s: int) -> Column:
+    """Segment ``s`` of the code in ``words``."""
+    per = 64 // width
+    return F.call_function("shiftrightunsigned", F.col(words[s // per]), F.lit(s % per * width)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)).cast("int")
+def _segments(words: list[str], width: int) -> Column:
+    every = [F.struct(F.lit(s).alias("seg"), _segment(words, width, s).alias("value")) for s in range(len(words) * 64 // width)]
+    return F.explode(F.array(*every))
 
 
-def _best(rows: DataFrame, k: int) -> DataFrame:
+def _best(rows: DataFrame, q: list[str], c: list[str], k: int) -> DataFrame:
     """The k nearest codes of each query, by distance, then by smallest id."""
-    order = Window.partitionBy("q").orderBy("d", "low")
-    return rows.groupBy("q", "code").agg(F.min("d").alias("d"), F.min("low").alias("low")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    order = Window.partitionBy(*q).orderBy("d", "low")
+    return rows.groupBy(*q, *c).agg(F.min("d").alias("d"), F.min("low").alias("low")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, rounds: list[int] | None = None) -> DataFrame:
     """query_id, rank (from 1), id and distance: for each query its k nearest rows, ties by smaller id.
 
-    ``rows`` and ``queries`` have (id, code); rows with a null code are neither found nor ask. Rows
-    of equal codes are one code in the search, which keeps its k smallest ids. With fewer than k rows
-    in all, each query has all of them.
+    ``rows`` and ``queries`` have (id, code), code a long or an array of longs; rows with a null code
+    are neither found nor ask. Shorter arrays count as filled up with zero bits. Rows of equal codes are one code in
+    the search, which keeps its k smallest ids. With fewer than k rows in all, each query has all of
+    them. An empty table has no rows. Other columns are not read. ``rounds`` takes the number of
+    open queries after each round; a scan of all codes appends -1.
     """
-    rows, queries = rows.where("code IS NOT NULL"), stage(queries.where("code IS NOT NULL"), "hamming-queries")
+    as_array = lambda df: df.where("code IS NOT NULL").select("id", (F.col("code") if dict(df.dtypes)["code"].startswith("array") else F.array("code")).alias("code"))
+    rows, queries = as_array(rows), as_array(queries)
+    n_words = max(1, rows.unionByName(queries).agg(F.max(F.size("code"))).first()[0] or 1)
+    c, q = _words("c", n_words), _words("q", n_words)
+    word = lambda i: F.coalesce(F.get("code", i), F.lit(0)).cast("long")
+    rows = rows.select("id", *[word(i).alias(x) for i, x in enumerate(c)])
+    queries = stage(queries.select("id", *[word(i).alias(x) for i, x in enumerate(q)]), "hamming-queries")
     # a code's k smallest ids; the limit is taken before the shuffle too
-    firsts = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k)
-    codes = stage(firsts.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
+    firsts = rows.withColumn("n", F.row_number().over(Window.partitionBy(*c).orderBy("id"))).where(F.col("n") <= k)
+    codes = stage(firsts.groupBy(*c).agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     n_codes = codes.count()
-    known = codes.select("code", F.get("ids", 0).alias("low"))
-    index = known.withColumn("seg", F.explode(F.array(*[F.lit(s) for s in range(SEGMENTS)]))).withColumn("value", _segment(F.col("code"), F.col("seg")))
-    open_ = stage(queries.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(64)), "open")
+    width = segment_bits(n_codes)
+    segments = n_words * 64 // width
+    known = codes.select(*c, F.get("ids", 0).alias("low"))
+    index = known.select(*c, "low", _segments(c, width).alias("s")).select(*c, "low", "s.seg", "s.value")
+    distance = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(q, c, strict=True)), F.lit(0)).cast("int")
+    open_ = stage(queries.select(*q).distinct().withColumn("bound", F.lit(64 * n_words)), "open")
     found = None
-    for r in range(BITS + 1):
-        if SEGMENTS * comb(BITS, r) > n_codes:
+    for r in range(width + 1):
+        scan = segments * comb(width, r) > n_codes
+        if scan:
             blocks = max(1, n_codes // 4096)
             left = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            right = known.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
+            right = known.withColumn("block", F.pmod(F.xxhash64(*c), F.lit(blocks)).cast("int"))
             on = left["block"] == right["block"]
         else:
-            masks = rows.sparkSession.createDataFrame([([sum(1 << i for i in at) for at in combinations(range(BITS), r)],)], "masks array<long>")
-            probes = open_.withColumn("seg", F.explode(F.array(*[F.lit(s) for s in range(SEGMENTS)]))).crossJoin(F.broadcast(masks))  # one row
-            left = probes.withColumn("mask", F.explode("masks")).select("q", "bound", "seg", _segment(F.col("q"), F.col("seg")).bitwiseXOR(F.col("mask")).alias("value"))
+            masks = F.array(*[F.lit(sum(1 << i for i in at)).cast("long") for at in combinations(range(width), r)])  # fewer than codes
+            probes = open_.select(*q, "bound", _segments(q, width).alias("s")).select(*q, "bound", "s.*", F.explode(masks).alias("mask"))
+            left = probes.select(*q, "bound", F.col("seg").alias("seg_"), F.col("value").bitwiseXOR(F.col("mask")).alias("value_"))
             right = index
-            on = (left["seg"] == right["seg"]) & (left["value"] == right["value"])
-        distance = _distance(F.col("q"), F.col("code"))
-        met = left.join(right, on & (distance <= F.col("bound"))).select("q", "code", distance.alias("d"), "low")
+            on = (F.col("seg_") == F.col("seg")) & (F.col("value_") == F.col("value"))
+        met = left.join(right, on & (distance <= F.col("bound"))).select(*q, *c, distance.alias("d"), "low")
         met = met if found is None else met.unionByName(found.drop("n"))
-        found = stage(_best(met, k), "found")
-        if SEGMENTS * comb(BITS, r) > n_codes:
+        found = stage(_best(met, q, c, k), "found")
+        if scan:
+            if rounds is not None:
+                rounds.append(-1)
             break
-        kth = found.where(F.col("n") == k).select(F.col("q").alias("q_"), F.col("d").alias("kth"))
-        left_open = open_.join(kth, open_.q == kth.q_, "left").where(F.col("kth").isNull() | (F.col("kth") >= SEGMENTS * (r + 1)))
-        open_ = stage(left_open.select("q", F.coalesce("kth", F.lit(64)).alias("bound")), "open")
-        if open_.isEmpty():
+        kth = found.where(F.col("n") == k).select(*[F.col(x).alias(f"{x}_") for x in q], F.col("d").alias("kth"))
+        same = [F.col(x) == F.col(f"{x}_") for x in q]
+        left_open = open_.join(kth, same, "left").where(F.col("kth").isNull() | (F.col("kth") >= segments * (r + 1)))
+        open_ = stage(left_open.select(*q, F.coalesce("kth", F.lit(64 * n_words)).alias("bound")), "open")
+        n_open = open_.count()
+        if rounds is not None:
+            rounds.append(n_open)
+        if not n_open:
             break
-    ids = found.join(codes, "code").select("q", "d", F.explode("ids").alias("id"))
-    nearest = ids.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("rank") <= k)
-    return queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(nearest, "q").select("query_id", "rank", "id", F.col("d").alias("distance"))
+    ids = found.join(codes, c).select(*q, "d", F.explode("ids").alias("id"))
+    nearest = ids.withColumn("rank", F.row_number().over(Window.partitionBy(*q).orderBy("d", "id"))).where(F.col("rank") <= k)
+    return queries.withColumnRenamed("id", "query_id").join(nearest, q).select("query_id", "rank", "id", F.col("d").alias("distance"))
 
 
 def op8_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
