@@ -99,6 +99,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{WHITE_CLASS}+"), "")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def one_per_row(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only ``columns``; columns missing from ``df`` are an error that names them."""
     missing = [c for c in columns if c not in df.columns]

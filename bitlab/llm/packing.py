@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitlab.llm.common import stage
-from bitlab.llm.mixing import mix
+from bitlab.llm.mixing import in_order as in_mixture
 from bitlab.llm.tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, ids binary"
@@ -130,7 +130,6 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The packed pieces of all documents, in the order of the mixture.
 
     Files are read in any order, so the slots are told anew from ids and sources: partitions
-    are ranges of slots, and sequence ids rise with them.
+    are ranges of slots, and sequence ids rise with them. Edges: see ``pack`` and ``mixing.mix``.
     """
-    placed = mix(docs, ["doc_id", "text"], prefix="__mix_")
-    return pack(placed.repartitionByRange("__mix_slot", "__mix_in_block").sortWithinPartitions("__mix_slot", "__mix_in_block"), in_order=True)
+    return pack(in_mixture(docs, ["doc_id", "text"]), in_order=True)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitlab.llm.common import join_hot, stage
+from bitlab.llm.common import join_hot, spare, stage
 from bitlab.llm.components import components
 
 #: Band layouts: the bands' widths and their code: a perfect Hamming code of 15 bits ("h") or the
@@ -464,17 +464,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null id all stay, and so do those without words, whose fingerprint says nothing about them.
     """
     columns = docs.columns
+    c_id, c_th, c_row, c_nth = spare(docs, "__id", "__th", "__row", "__nth")
     own, th = F.col("doc_id").cast("long"), F.xxhash64("text")
+    same = (own == F.col(c_id)) & (th == F.col(c_th))
     told = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text")
     first, staged = similar_groups(told)
     rows = join_hot(staged.select("doc_id", "th", "fp", "chk"), stage(first, "first-rows"), ["fp", "chk"], "n", staged.count())
-    gone = rows.where((F.col("doc_id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
-    kept = docs.join(stage(gone, "duplicates"), (own == F.col("__gone")) & (th == F.col("__th")), "left_anti")
+    gone = rows.where((F.col("doc_id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))).select(F.col("doc_id").alias(c_id), F.col("th").alias(c_th)).distinct()
+    kept = docs.join(stage(gone, "duplicates"), same, "left_anti")
     # rows are told apart by (id, text) as a rule; only those that are not are dealt out
-    again = stage(staged.groupBy(F.col("doc_id").alias("__again"), F.col("th").alias("__th")).count().where("count > 1").drop("count"), "repeated")
+    again = staged.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias(c_id), F.col("th").alias(c_th))
+    again = stage(again, "repeated")
     if again.isEmpty():
         return kept
-    twice = (own == F.col("__again")) & (th == F.col("__th"))
-    order = Window.partitionBy("__own", "__text").orderBy("__row")
-    ones = kept.join(again, twice, "left_semi").select(*columns, own.alias("__own"), th.alias("__text"), F.xxhash64(*columns).alias("__row"))
-    return kept.join(again, twice, "left_anti").unionByName(ones.withColumn("__nth", F.row_number().over(order)).where("__nth = 1").select(*columns))
+    ones = kept.join(again, same, "left_semi").select(*columns, own.alias(c_id), th.alias(c_th), F.xxhash64(*columns).alias(c_row))
+    nth = F.row_number().over(Window.partitionBy(c_id, c_th).orderBy(c_row))
+    return kept.join(again, same, "left_anti").unionByName(ones.withColumn(c_nth, nth).where(F.col(c_nth) == 1).select(*columns))

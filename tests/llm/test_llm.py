@@ -214,37 +214,64 @@ def test_masking_does_not_depend_on_the_way(spark):
 
 
 # 6 mixing
-@pytest.mark.parametrize("frame", [64, 512])
-def test_mixing_is_pfair(docs, frame):
-    got = mixing.mix(docs, ["doc_id", "source"], frame=frame).collect()
+def deviations(slots, share):
+    """The largest distance of any source from its share of the slots so far, while all sources last."""
+    total, worst, had = sum(share.values()), 0, Counter()
+    left = Counter(slots[t] for t in slots)
+    for t in range(len(slots)):
+        had[slots[t]] += 1
+        left[slots[t]] -= 1
+        worst = max(worst, *(abs(had[s] - w * (t + 1) / total) for s, w in share.items()))
+        if not left[slots[t]]:
+            break
+    return worst, t + 1
+
+
+def test_mixing_is_pfair(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.mix(docs, ["doc_id", "source"]).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in pairs(docs))
     owner = {}
     for r in got:
         assert owner.setdefault(r["slot"], r["source"]) == r["source"]
         assert r["release"] <= r["slot"] < r["deadline"]
-    share = {r["source"]: r["share"] for r in got}
-    assert sum(share.values()) == frame
-
-
-def test_mixing_frame_deviation(spark):
-    k = spark.createDataFrame([("a", 1, 0), ("b", 5, 1), ("c", 10, 2), ("d", 16, 3)], "source string, k long, idx long")
-    slots = {r["slot"]: r["source"] for r in mixing.frame_schedule(k, 32).collect()}
-    assert sorted(slots) == list(range(32))
+    assert sorted(owner) == list(range(len(owner)))
+    worst, _ = deviations(owner, {r["source"]: r["share"] for r in got})
+    assert worst < 1
+
+
+def test_mixing_keeps_to_the_target(spark):
+    """Half of all to one of 101 sources, over the whole run; then the rest among those that are left."""
+    rows = spark.range(8000).selectExpr("id AS doc_id", "CASE WHEN id < 4000 THEN 'big' ELSE concat('s', id % 100) END AS source")
+    w = spark.createDataFrame([("big", 0.5), *[(f"s{i}", 0.005) for i in range(100)]], "source string, weight double")
+    got = mixing.mix(rows, ["doc_id", "source"], weights=w, block=2).collect()
+    slots = {r["slot"]: r["source"] for r in got}
+    worst, seen = deviations(slots, {"big": 0.5, **{f"s{i}": 0.005 for i in range(100)}})
+    assert worst < 1.001 and seen > 3600
+    assert sorted(slots) == list(range(4000)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
+def test_mixing_small_schedule(spark):
+    k = spark.createDataFrame([("a", 1, 10), ("b", 5, 50), ("c", 10, 100), ("d", 16, 160)], "source string, p long, blocks long")
+    slots = {r["slot"]: r["source"] for r in mixing.pfair(k).collect()}
+    assert sorted(slots) == list(range(320))
     for s, n in (("a", 1), ("b", 5), ("c", 10), ("d", 16)):
         had = 0
-        for t in range(32):
+        for t in range(320):
             had += slots[t] == s
             assert abs(had - n * (t + 1) / 32) < 1
 
 
-def test_mixing_edges(edge, spark):
+def test_mixing_edges(edge, spark, monkeypatch):
     got = mixing.mix(edge, edge.columns, prefix="m_").collect()
     assert len(got) == edge.count()
     w = spark.createDataFrame([("", 1.0), *[(f"s{i}", 2.0) for i in range(4)]], "source string, weight double")
-    got = mixing.mix(edge, ["doc_id", "source"], weights=w, frame=90).collect()
-    assert {r["source"]: r["share"] for r in got}["s1"] > {r["source"]: r["share"] for r in got}[None]
-    with pytest.raises(ValueError, match="slots"):
-        mixing.mix(edge, ["doc_id"], frame=4)
+    got = mixing.mix(edge, ["doc_id", "source"], weights=w).collect()
+    assert {r["source"]: r["share"] for r in got}["s1"] == 2 * {r["source"]: r["share"] for r in got}[None]
+    with pytest.raises(ValueError, match="no weight"):
+        mixing.mix(edge, ["doc_id"], weights=w.where("source <> 's1'"))
+    monkeypatch.setattr(mixing, "MAX_SLOTS", 7)  # blocks grow instead
+    assert len({r["slot"] for r in mixing.mix(edge, ["doc_id"]).collect()}) <= 7 + 5
 
 
 def test_mixing_takes_many_sources(spark):
@@ -432,7 +459,32 @@ def test_hamming_few_rows(spark):
     assert sorted(map(tuple, hamming.top_k(rows, rows.where("id = 1")).collect())) == [(1, 1, 1, 0), (1, 2, 50, 2), (1, 3, 50, 2)]
     assert hamming.top_k(rows.where("false"), rows.where("false")).count() == 0
     vectors = spark.createDataFrame([([1.0, -1.0, float("nan"), None],), (None,), ([],)], "e array<double>")
-    assert [r[0] for r in vectors.select(hamming.sign_code(F.col("e"))).collect()] == [5, None, 0]
+    assert [r[0] for r in vectors.select(hamming.sign_code(F.col("e"))).collect()] == [[5], None, [0]]
+
+
+def test_hamming_wide_codes(spark):
+    """Vectors of 200 dimensions; each query is found first, and no code is lost."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(20, 200))
+    v = base[rng.integers(0, 20, 1200)] * np.where(rng.random((1200, 200)) < 0.05, -1, 1)
+    rows = spark.createDataFrame([(i, x.tolist(), "x") for i, x in enumerate(v)], "id long, e array<double>, rank string").select("id", hamming.sign_code(F.col("e")).alias("code"), "rank")
+    rounds = []
+    got = defaultdict(list)
+    for r in hamming.top_k(rows, rows.where("id % 50 = 0"), 5, rounds).collect():
+        got[r["query_id"]].append((r["rank"], r["distance"], r["id"]))
+    for q in range(0, 1200, 50):
+        d = ((v > 0) != (v[q] > 0)).sum(axis=1)
+        want = sorted(zip(d.tolist(), range(1200), strict=True))[:5]
+        assert sorted(got[q]) == [(n + 1, a, b) for n, (a, b) in enumerate(want)]
+    assert rounds[-1] == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_hamming_needs_no_scan(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    rounds = []
+    hamming.top_k(rows, rows.where("id % 50 = 0"), 10, rounds)
+    assert rounds[-1] == 0 and len(rounds) <= 4
 
 
 # 9 token files
