@@ -8,6 +8,7 @@ record its exact place, by bytes and by rows, in the order of the keys.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,8 @@ from bitlab.llm.common import stage
 
 #: Splitters per range chosen, so that ranges come out even.
 OVERSAMPLE = 8
-MAX_RANGES = 4096
+#: Splitters, at most: 4 MB of one broadcast row. Ranges are of a million records or more, so they are fewer below 10^11 records.
+MAX_RANGES = 1 << 18
 
 
 def _range_of(splitters: list[tuple[int, int]]) -> Column:
@@ -35,7 +37,8 @@ def _with_range(records: DataFrame, splitters: list[tuple[int, int]]) -> DataFra
     """``records`` with their range; the splitters (at most ``MAX_RANGES`` pairs) come as one broadcast row."""
     if not splitters:
         return records.withColumn("range", F.lit(0))
-    one = records.sparkSession.createDataFrame([([(int(k), int(t)) for k, t in splitters],)], "splitters array<struct<key:long,tie:long>>")
+    text = json.dumps([{"key": int(k), "tie": int(t)} for k, t in splitters])
+    one = records.sparkSession.range(1).select(F.from_json(F.lit(text), "array<struct<key:bigint,tie:bigint>>").alias("splitters"))
     return records.crossJoin(F.broadcast(one)).withColumn("range", _range_of(splitters)).drop("splitters")
 
 
@@ -67,7 +70,7 @@ def splitters_for(records: DataFrame, ranges: int, seed: int = 17, rounds: int =
         sizes = _with_range(records, found).groupBy("range").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row per range
         limit = 2 * total / max(1, ranges)
         over = [x for x in sizes if x["size"] > limit and x["n"] > 1]
-        if not over or len(found) >= MAX_RANGES:
+        if not over:
             break
         inside = _with_range(records, found).where(F.col("range").isin([x["range"] for x in over]))
         extra: dict[int, list[tuple[int, int]]] = {}
@@ -75,11 +78,11 @@ def splitters_for(records: DataFrame, ranges: int, seed: int = 17, rounds: int =
             at = bisect_left(found, pair) + (pair in found)
             extra.setdefault(at, []).append(pair)
         new = set(found)
-        for x in over:
-            new.update(_quantiles(extra.get(x["range"], []), int(2 * x["size"] / limit) + 1))
+        for x in sorted(over, key=lambda x: -x["size"]):  # the largest first, should there be no room for all
+            new.update(_quantiles(extra.get(x["range"], []), int(2 * x["size"] / limit) + 1)[: MAX_RANGES - len(new)])
         if len(new) == len(found):
             break
-        found = sorted(new)[:MAX_RANGES]
+        found = sorted(new)
     return found
 
 
@@ -99,7 +102,7 @@ def shard(docs: DataFrame, shards: int = 16, key_col: str = "doc_id", text_col:
     records = stage(src.withColumn("key", F.coalesce("own", F.lit(-(1 << 63)))).withColumn("tie", F.monotonically_increasing_id()), "records")
     total = records.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     # 64 ranges for each shard at least, or one for each 1M records
-    ranges = ranges or min(MAX_RANGES, max(64 * shards, total["n"] // 1_000_000))
+    ranges = ranges or min(MAX_RANGES // 4, max(64 * shards, total["n"] // 1_000_000))
     placed = _with_range(records, splitters_for(records, ranges))
     order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range, MAX_RANGES at most
     sums = stage(placed.groupBy("range").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")), "ranges")
