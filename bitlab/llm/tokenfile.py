@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitlab.llm.common import new_folder, stage
-from bitlab.llm.tokens import encoder
+from bitlab.llm.tokens import encoder, vocabulary_of
 
 MAGIC = b"BLTOKENS"
 BLOCK_IDS = 8192
@@ -50,6 +50,12 @@ def unpack_ids(data: bytes, n: int, width: int) -> np.ndarray:
     return bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width - 1, -1, -1, dtype=np.uint32))
 
 
+def _place(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI; Hadoop's names of the S3 scheme are known too."""
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
 class Writer:
     """Writes one file; holds one block of ids and the documents' index."""
 
@@ -129,20 +135,22 @@ class Reader:
         return self.ids(int(self.first[k]), int(self.first[k + 1]))
 
 
-def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tokenizer: str | None = None, vocabulary: int = 49408, files: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tokenizer: str | None = None, vocabulary: int | None = None, files: int | None = None) -> DataFrame:
     """Write token files below ``folder``, in ascending id order over files and within; return their manifest.
 
     One row per file: path, n_docs, n_ids, start (ids in all files before). Null ids come first,
     rows of equal ids next to each other. A null or empty text is the end id alone. A task writes
     under a name of its own attempt, and only the attempt that Spark commits is in the manifest,
     so lost executors and repeated attempts leave whole files only. An empty table has no files.
+    ``vocabulary`` sets the width of ids; by default it is read from the tokenizer. Other columns of
+    ``docs``, whatever their names, are not read.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    width = width_for(vocabulary)
+    width = width_for(max(vocabulary or vocabulary_of(path), end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx, enc = TaskContext.get(), encoder(path, False)
-        place, base = fs.FileSystem.from_uri(folder)
+        place, base = _place(folder)
         name = f"part-{ctx.partitionId():08d}-{ctx.taskAttemptId()}.tokens"
         writer = out = None
         for b in batches:
@@ -172,7 +180,7 @@ def read_documents(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                place, at = fs.FileSystem.from_uri(r["path"])
+                place, at = _place(r["path"])
                 with place.open_input_file(at) as src:
                     reader = Reader(src)
                     for i in range(0, reader.n_docs, 1024):
@@ -181,7 +189,9 @@ def read_documents(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         cols = [pa.array([int(reader.doc_ids[k]) if reader.there[k] else None for k in rows], pa.int64()), pa.array([r["start"] + int(reader.first[k]) for k in rows], pa.int64()), pa.array([len(x) // 4 for x in data], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(data if with_ids else [None] * len(data), pa.binary())]
                         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    files = manifest.select("path", "start").repartition("path")
+    # a task per file: with an explicit number the planner does not merge the small manifest's partitions
+    n = max(1, manifest.count())
+    files = manifest.withColumn("nth", F.row_number().over(Window.orderBy("part")) - 1).repartitionById(n, F.col("nth").cast("int")).select("path", "start")
     out = files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
     return out if with_ids else out.drop("ids")
 

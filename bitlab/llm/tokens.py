@@ -79,6 +79,13 @@ class Encoder:
         return [b"".join(map(look, split(t))) if odd is None or not odd.search(t) else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def vocabulary_of(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 @cache
 def encoder(path: str, spaced: bool) -> Encoder:
     """The worker's encoder for a tokenizer file."""
