@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitlab.llm.common import one_per_row, stage
+from bitlab.llm.common import join_hot, one_per_row, spare, stage
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -69,7 +69,7 @@ def free_values(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    """One staged row per row of ``docs``: row, doc_id, repo, owner and its candidates.
+    """One staged row per row of ``docs``: row, doc_id, repo, owner, th (a hash of the text) and its candidates.
 
     A candidate has start, kind, end (code points, end exclusive), its value's SHA-256 and whether
     it looks live. Values themselves are not stored.
@@ -84,26 +84,28 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
                     base = base_spans(text) if text else []
                     found = sorted(base + free_values(text, base)) if text else []
                     out.append([{"start": s, "kind": k, "end": e, "hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest(), "live": live(k, v)} for s, k, e, v in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(out, cand)], names=["doc_id", "repo", "owner", "found"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), pa.array(out, cand)], names=["doc_id", "repo", "owner", "th", "found"])
 
     src = one_per_row(docs, list(dict.fromkeys([id_col, text_col, repo_col, owner_col])))
-    src = src.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"))
-    found = src.mapInArrow(run, "doc_id long, repo string, owner string, found array<struct<start:long,kind:int,end:long,hash:string,live:boolean>>")
+    src = src.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"))
+    found = src.mapInArrow(run, "doc_id long, repo string, owner string, th long, found array<struct<start:long,kind:int,end:long,hash:string,live:boolean>>")
     return stage(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
 
 
-def ownership(scanned: DataFrame, example_owners: int = 3) -> DataFrame:
-    """Per candidate hash: n_repos, n_owners and its class.
+def ownership(scanned: DataFrame, example_owners: int = 3, copies: int = 5) -> DataFrame:
+    """Per candidate hash: n, n_repos, n_owners and its class.
 
-    "example": at least ``example_owners`` distinct owners have it, or it does not look live.
-    "owned": it looks live and one owner has it. "shared": the rest. Distinct pairs are formed
+    "example": at least ``example_owners`` distinct owners have it, or it does not look live, or
+    two or more owners have it in ``copies`` or more repositories for each of them: widely copied. "owned": it looks live
+    and one owner has it, in however many repositories. "shared": the rest. Distinct pairs are formed
     before counting, so a value in a third of all documents is pre-aggregated everywhere.
     """
     each = scanned.select("repo", "owner", F.explode("found").alias("c")).select("repo", "owner", "c.hash", "c.live")
-    repos = each.groupBy("hash", "repo").agg(F.max("live").alias("live")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_repos"), F.max("live").alias("live"))
+    repos = each.groupBy("hash", "repo").agg(F.max("live").alias("live"), F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_repos"), F.max("live").alias("live"), F.sum("n").alias("n"))
     owners = each.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
-    kind = F.when((F.col("n_owners") >= example_owners) | ~F.col("live"), "example").when(F.col("n_owners") == 1, "owned").otherwise("shared")
-    return repos.join(owners, "hash").select("hash", "n_repos", "n_owners", kind.alias("class"))
+    copied = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= copies * F.col("n_owners")))
+    kind = F.when(copied | ~F.col("live"), "example").when(F.col("n_owners") == 1, "owned").otherwise("shared")
+    return repos.join(owners, "hash").select("hash", "n", "n_repos", "n_owners", kind.alias("class"))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = 3) -> DataFrame:
@@ -111,12 +113,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     All base spans stay, whatever their class; spans of kind "owned" are those free-standing values
     that live-look and belong to one owner. A null text is empty; null repositories or owners count
-    as one; repeated rows come out once each.
+    as one; repeated rows come out once each; an empty table has no rows. Other columns of ``docs``,
+    whatever their names, are not read.
     """
     scanned = scan(docs, id_col, text_col, repo_col, owner_col)
     classes = stage(ownership(scanned, example_owners), "ownership")
     each = scanned.select("row", F.explode("found").alias("c")).select("row", "c.start", "c.kind", "c.end", "c.hash")
-    known = each.join(classes, "hash").where("kind < 3 OR class = 'owned'")
+    of_hash = classes.select("hash", "n", "class")
+    known = join_hot(each, of_hash, ["hash"], "n", classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).where("kind < 3 OR class = 'owned'")
     spans = known.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "class"))).alias("spans"))
     out = scanned.select(F.col("row").alias("row_"), "doc_id").join(spans, F.col("row_") == F.col("row"), "left")
     return out.select(F.col("row_").alias("row"), "doc_id", F.coalesce("spans", F.array().cast("array<struct<start:long,kind:int,end:long,class:string>>")).alias("spans"))
@@ -132,8 +136,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    examples = F.size(F.filter("spans", lambda s: s["class"] == "example")).cast("long").alias("n_examples")
-    return found.select("doc_id", count(0), count(1), count(2), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), count(3), examples)
+    classes = F.array_join(F.transform("spans", lambda s: s["class"]), ",").alias("classes")
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), count(3), classes)
 
 
 #: So many hashes of values with several owners, at most, go to every executor; beyond, texts are joined with theirs.
@@ -146,11 +150,13 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Values of one owner are told by their looks alone. Those of several owners, and the few that
     look live under one kind only, have their class by hash: up to ``max_spared`` of them are sent
     to the executors, else each document is joined with those of its own. Both ways decide by the
-    same rule and mask the same. Rows keep their columns and the order of columns.
+    same rule and mask the same. Rows keep their columns and the order of columns, whatever their
+    names; null texts stay null.
     """
     scanned = scan(docs, id_col, text_col, repo_col, owner_col)
     classes = stage(ownership(scanned, example_owners), "ownership")
-    each = scanned.where(F.size("found") > 0).select(F.col("doc_id").alias("__masked_doc"), F.explode("found").alias("c"))
+    c_doc, c_th, c_known = spare(docs, "__doc", "__th", "__known")
+    each = scanned.where(F.size("found") > 0).select(F.col("doc_id").alias(c_doc), F.col("th").alias(c_th), F.explode("found").alias("c"))
     doubtful = each.groupBy(F.col("c.hash").alias("hash")).agg((F.min("c.live") != F.max("c.live")).alias("both"))
     special = stage(classes.join(doubtful, "hash").where("both OR n_owners > 1").select("hash", "class"), "spared")
     i = docs.columns.index(text_col)
@@ -187,15 +193,16 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield replaced(b, [t and apply(t, bad) for t in b.column(i).to_pylist()])
 
         return docs.mapInArrow(run, schema)
-    own = each.join(special, F.col("c.hash") == F.col("hash")).groupBy("__masked_doc")
-    per_doc = stage(own.agg(F.collect_set(F.struct("hash", "class")).alias("__masked_hashes")), "spared-by-doc")
+    own = each.join(special, F.col("c.hash") == F.col("hash")).groupBy(c_doc, c_th)
+    per_doc = stage(own.agg(F.collect_set(F.struct("hash", "class")).alias(c_known)), "spared-by-doc")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = b.column(b.num_columns - 1).to_pylist()
             yield replaced(b, [t and apply(t, bad_by({h["hash"]: h["class"] for h in own or []})) for t, own in zip(b.column(i).to_pylist(), known, strict=True)])
 
-    joined = docs.join(per_doc, docs[id_col].cast("long").eqNullSafe(F.col("__masked_doc")), "left").drop("__masked_doc")
+    same = docs[id_col].cast("long").eqNullSafe(F.col(c_doc)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(c_th))
+    joined = docs.join(per_doc, same, "left").drop(c_doc, c_th)
     return joined.mapInArrow(run_joined, schema)
 
 

@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from bitlab.llm import hamming, mixing, packing, quality, queries, secrets, sharding, simhash, substrings, tokenfile, toxicity
 from bitlab.llm.common import new_folder
 from bitlab.llm.components import components
-from bitlab.llm.tokens import Encoder
+from bitlab.llm.tokens import Encoder, vocabulary_of
 
 SF = "/root/testdata/sf0.001"
 WHITE = " \t\n\x0b\x0c\r"
@@ -93,6 +93,16 @@ def test_sharding_hot_key(spark):
     assert max(r["s"] for r in ranges) <= 4 * sum(r["s"] for r in ranges) / 32  # the hot key is cut too
 
 
+def test_splitters_are_never_dropped(spark, monkeypatch):
+    """With room for few splitters all of those found stay, over all the keys, and the largest ranges are cut first."""
+    df = spark.range(20_000).select((F.col("id") * 7).alias("key"), F.col("id").alias("tie"), (1 + F.col("id") % 90).alias("size"))
+    monkeypatch.setattr(sharding, "MAX_RANGES", 34)
+    monkeypatch.setattr(sharding, "OVERSAMPLE", 1)
+    found = sharding.splitters_for(df, 32)
+    sizes = [r["s"] for r in sharding._with_range(df, found).groupBy("range").agg(F.sum("size").alias("s")).collect()]
+    assert len(found) <= 34 and max(sizes) <= 5 * sum(sizes) / 32
+
+
 # 3 packing
 def own_tokenizer(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
@@ -150,6 +160,59 @@ def test_secret_base_spans(request, which):
     assert got == want
 
 
+def brute_classes(df):
+    """Spans with classes by document, from owners and repositories counted over the whole table."""
+    kinds = {0: ASSIGN, 1: re.compile("AKIA[A-Z0-9]+"), 2: re.compile("[0-9a-f]+")}
+    least = {0: 12, 1: 18, 2: 16}
+    free = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+    bad = re.compile("example|sample|dummy|placeholder|changeme|your|xxxx|test|0123456789|abcdef", re.IGNORECASE)
+    bits = lambda v: -sum(n / len(v) * np.log2(n / len(v)) for n in Counter(v).values())
+    mixed = lambda v: any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
+    repos, owners, live, spans = defaultdict(set), defaultdict(set), defaultdict(bool), defaultdict(list)
+    for r in df.collect():
+        t, found = r["text"] or "", []
+        for k, p in kinds.items():
+            for m in p.finditer(t):
+                v = m[2] if k == 0 else m[0]
+                if len(v) >= least[k]:
+                    found.append((m.start(), k, m.end(), v))
+        for m in free.finditer(t):
+            if mixed(m[0]) and bits(m[0]) >= 3.5 and not bad.search(m[0]) and not any(a < m.end() and m.start() < b for a, _, b, _ in found):
+                found.append((m.start(), 3, m.end(), m[0]))
+        for _, k, _, v in found:
+            repos[v].add(str(r["doc_id"]) if r["doc_id"] is not None else "")
+            owners[v].add(r["source"] or "")
+            live[v] |= k == 3 or not bad.search(v) and (bits(v) >= 2.5 if k < 2 else bits(v) >= 3 and mixed(v))
+        spans[r["doc_id"]].append(sorted(found))
+    out = Counter()
+    for d, rows in spans.items():
+        for found in rows:
+            named = []
+            for a, k, b, v in found:
+                n = len(owners[v])
+                c = "example" if not live[v] or n >= 3 or n > 1 and len(repos[v]) >= 5 * n else "owned" if n == 1 else "shared"
+                if k < 3 or c == "owned":
+                    named.append((a, k, b, c))
+            out[d, tuple(named)] += 1
+    return out
+
+
+@pytest.mark.parametrize("which", ["edge", "docs", "larger"])
+def test_secret_classes(request, spark, which):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet") if which == "larger" else request.getfixturevalue(which)
+    want = brute_classes(df)
+    assert Counter((r["doc_id"], tuple((x["start"], x["kind"], x["end"], x["class"]) for x in r["spans"])) for r in secrets.find_secrets(df).collect()) == want
+    if which == "larger":
+        assert {c for _, s in want for *_, c in s} >= {"example", "owned"}
+
+
+def test_repositories_tell_copies_from_shared(spark):
+    v, w = "k9Xv2Qm7Lp4Zt8Rw3Yb6Nc1D", "Zq8Ws4Ed2Rf6Tg9Yh1UjKo3L"
+    rows = [(i, f"password = {v}", f"o{i % 2}") for i in range(12)] + [(20 + i, f"password = {w}", f"o{i % 2}") for i in range(4)]
+    got = {r["doc_id"]: r["spans"][0]["class"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[i] for i in range(12)} == {"example"} and {got[i] for i in range(20, 24)} == {"shared"}
+
+
 def test_secret_ownership(spark):
     live, example, free = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "Zx9Qw7Er5Ty3Ui1Op8As6Df4"
     rows = [(1, f"token = {live}", "a"), (2, f"again {live}", "a"), (5, f"key {free}", "b")] + [(10 + i, f"token = {example}", f"o{i}") for i in range(4)] + [(20 + i, f"key Aa1{'Bb2Cc3' * 4}", f"o{i}") for i in range(4)]
@@ -506,6 +569,14 @@ def test_bits_round_trip(width):
         tokenfile.Reader(io.BytesIO(out.getvalue()[:-3]))
 
 
+def test_a_read_task_for_each_file(spark, docs):
+    manifest = tokenfile.write_tokens(docs, new_folder(spark, "t"), files=5)
+    assert manifest.count() == 5
+    parts = tokenfile.read_documents(manifest).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 5
+    assert vocabulary_of(public_tokenizers.path("word_bpe_49k.json")) == 49408
+
+
 def test_width():
     assert [tokenfile.width_for(v) for v in (1, 2, 3, 256, 257, 49408, 65536, 65537)] == [1, 1, 2, 8, 9, 16, 16, 17]
 
