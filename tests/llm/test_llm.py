@@ -607,18 +607,102 @@ def test_toxicity_held_out(spark):
     assert auc > 0.75
 
 
+def brute_clauses(text):
+    """Matches of each clause by rules spelled out: (violent, denied, told, aimed) of every insult or threat."""
+    out = []
+    for clause in re.split(r"[.!?;:\n|]", text.lower()):
+        found, deny, tell = [], False, False
+        words_ = re.findall(r"[^\W\d_]+", clause)
+        for w in words_:
+            if w in toxicity.NEGATION:
+                deny = True
+            elif w in toxicity.REPORT:
+                tell = True
+            elif w in toxicity.THREAT or "=" + w in toxicity.SEEDS:
+                found.append((w in toxicity.THREAT, deny, tell and not deny, any(x in toxicity.TARGET for x in words_)))
+                deny = False
+        if found:
+            out.append(found)
+    return out
+
+
+def test_toxicity_grammar_against_rules():
+    rng = np.random.default_rng(4)
+    bits = ["you", "they", "not", "never", "said", "claims", "idiot", "scum", "kill", "burn", "tree", "blue", ".", "!", "\n", ":", "walks"]
+    scorer = toxicity.Scorer(toxicity.SEEDS)
+    for _ in range(2000):
+        text = " ".join(rng.choice(bits, rng.integers(0, 25)))
+        want = []
+        for found in brute_clauses(text):
+            sums = [0.0] * 12
+            for v, d, t, a in found:
+                sums[6 * a + 3 * v + (1 if d else 2 if t else 0)] += 1.0 if v else 3.0
+            want.append(sums)
+        assert scorer.clauses(text)[0] == want
+
+
 def test_toxicity_grammar():
     f = lambda t: toxicity.Scorer(toxicity.SEEDS).features(t)[0]
     assert f("you are an idiot") > f("an idiot") > f("she said idiot") > f("a fine day") == f("") == f(None) == 0
-    assert f("not an idiot") < f("an idiot") and f("you. an idiot") == f("an idiot")
-    assert f("kill you") > 0
+    assert f("not an idiot") < f("an idiot") and f("you. an idiot") == f("an idiot") and f("idiot, you are") == f("you idiot")
+    assert f("kill you") > f("kill") > 0
     assert toxicity.GRAMMAR.states == 8 and toxicity.compose().states == 1
 
 
+#: For each transducer, clauses that only it tells apart: toxic ones and others.
+TELLING = {
+    "TARGETS": (["the idiot, you see", "you idiot"], ["the idiot, one sees. you walk", "you. idiot"]),
+    "NEGATIONS": (["they are an idiot", "never here. an idiot"], ["they are not an idiot", "here never an idiot"]),
+    "REPORTS": (["they said it. an idiot", "an idiot"], ["they said an idiot", "told an idiot"]),
+    "THREATS": (["will burn and kill", "kill"], ["will an idiot", "scum"]),
+}
+
+
+@pytest.mark.parametrize("name", TELLING)
+def test_toxicity_needs_each_transducer(spark, name):
+    """Learned from labels, the whole grammar tells the held-out rows; without the transducer it does not."""
+    rng = np.random.default_rng(1)
+    fill = lambda: " ".join(rng.choice(["tree", "blue", "stone", "water", "long"], 12)) + ". "
+    rows = [(i, fill() + str(rng.choice(TELLING[name][1 - i % 2])) + ". " + fill(), i % 2) for i in range(600)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+
+    def accuracy(grammar):
+        model = toxicity.train(docs, labels, grammar=grammar)
+        got = model.scores([r[1] for r in held], toxicity.Scorer(model.lexicon, grammar))
+        return np.mean([(p >= 0.5) == bool(r[2]) for p, r in zip(got, held, strict=True)])
+
+    parts = {n: getattr(toxicity, n) for n in ("INSULTS", "THREATS", "TARGETS", "NEGATIONS", "REPORTS")}
+    without = [t for n, t in parts.items() if n != name]
+    whole, less = accuracy(toxicity.GRAMMAR), accuracy(toxicity.compose(*without))
+    assert whole > 0.95 and less < (0.8 if name != "THREATS" else 1.01)
+    if name == "THREATS":
+        assert toxicity.Scorer(toxicity.SEEDS, toxicity.compose(*without)).clauses("will kill you")[0] == []
+
+
+def test_toxicity_bound_holds_after_the_join(spark):
+    """One labelled id on many rows counts once."""
+    docs = spark.createDataFrame([(1, f"you idiot {i}") for i in range(3000)] + [(2, "a fine day"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    plain = toxicity.stage
+    toxicity.stage = lambda df, name: seen.append((name, plain(df, name))) or seen[-1][1]
+    try:
+        toxicity.train(docs, labels, max_rows=50)
+    finally:
+        toxicity.stage = plain
+    assert dict(seen)["toxic-rows"].count() <= 3
+
+
 def test_toxicity_without_labels(spark, edge):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(edge, toxicity.train(edge, none)).collect()
     assert len(got) == edge.count() and all(0 < r["score"] < 0.5 for r in got)
+    by_text = defaultdict(set)
+    for r, t in ((r, t) for r in got for d, t in pairs(edge) if d == r["doc_id"] and d is not None):
+        by_text[t].add(r["score"])
+    assert all(len(x) == 1 for x in by_text.values())  # equal texts, equal scores
+    assert toxicity.score(edge.where("false"), toxicity.train(edge.where("false"), none)).count() == 0
 
 
 # all
