@@ -51,13 +51,14 @@ def written() -> int:
     return len(_WRITTEN)
 
 
-def remove_staged(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete staged folders handed out after the mark ``since``, but those in ``keep``.
+def remove_staged(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete staged folders handed out after the mark ``since``, but those named ``keep``.
 
     Only for results that have been written elsewhere: DataFrames that read the folders no longer work.
     """
-    gone = [p for p in _WRITTEN[since:] if p not in keep]
-    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p in keep]
+    stays = lambda p: keep is not None and p.rsplit("/", 1)[-1].rpartition("-")[0] == keep
+    gone = [p for p in _WRITTEN[since:] if not stays(p)]
+    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if stays(p)]
     for p in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -68,12 +69,12 @@ def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total
 
     ``n``: the column of ``per_key`` with the key's number of rows, which is dropped; ``total``: of all
     rows. Keys of more than total / HOT rows are fewer than HOT: they are broadcast. Both tables
-    are read twice, so they should be staged.
+    may be read twice, so they should be staged.
     """
     limit = max(256, total // HOT)
-    if total <= limit:
-        return rows.join(per_key.drop(n), keys, how)
     hot = per_key.where(F.col(n) > limit).drop(n)
+    if total <= limit or hot.isEmpty():
+        return rows.join(per_key.drop(n), keys, how)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key.where(F.col(n) <= limit).drop(n), keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 

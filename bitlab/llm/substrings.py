@@ -3,14 +3,15 @@
 Seeds are winnowed anchors: of the ``SEED``-word sequences within each window of ``min_words``
 words the one with the smallest hash. Equal windows choose equal anchors at equal places, so two
 documents that share a window meet at its anchor. Documents are joined on anchors; from each
-anchor a match is extended both ways, word by word, over the windows that the anchor stands for:
+anchor a match is extended both ways, word by word, first over the windows that the anchor stands for:
 
 1. Occurrences whose whole extension is equal form a class; all but those of its smallest
    document are repeats as far as the extension goes.
 2. The others are extended step by step: each window start becomes a row, and rows of an anchor
    with the same offset and the same words form a group with a smallest document.
 
-Groups are combined with min() only; none is collected, and no pair of documents is formed.
+Then over the neighbouring anchors' matches: extensions that touch or overlap are one, so what comes out
+are maximal repeats, which no repeated window precedes or follows. Groups are combined with min() only; none is collected, and no pair of documents is formed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitlab.llm.common import stage
+from bitlab.llm.common import join_hot, stage
 
 SEED = 20
 #: An odd multiplier, its inverse modulo 2^64 and mixing constants (splitmix64).
@@ -91,10 +92,10 @@ def _key() -> list[Column]:
 
 
 def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Maximal repeats: id, th (a hash of the text), runs array of (first, last) window starts.
+    """Maximal repeats: id, th (a hash of the text), runs array of (first, last) window starts in order.
 
     A run is a row of windows of ``min_words`` words that also start in a document of a smaller
-    id. Rows of one id are one document; a null id counts as larger than all others. Only rows
+    id, and the windows before and after it do not: the words [first, last + min_words) repeat. Rows of one id are one document; a null id counts as larger than all others. Only rows
     with a run are returned. Sequences are compared by 64-bit hashes at two levels (the anchor's
     words, the window's words).
     """
@@ -119,10 +120,10 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
 
     seeds = stage(src.mapInArrow(seed, "anchor long, ext long, id long, th long, first int, last int, at int"), "seeds")
     # anchors that two documents share; per class of equal extensions its smallest document
-    classes = seeds.groupBy("anchor", "ext").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    classes = seeds.groupBy("anchor", "ext").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     shared = classes.groupBy("anchor").agg((F.min("low") < F.max("high")).alias("shared"), F.count(F.lit(1)).alias("classes")).where("shared")
     known = stage(classes.join(shared.select("anchor", "classes"), "anchor"), "classes")
-    placed = stage(seeds.join(known.select("anchor", "ext", "low", "classes"), ["anchor", "ext"]), "placed")
+    placed = stage(join_hot(seeds, known.select("anchor", "ext", "low", "classes", "n"), ["anchor", "ext"], "n", seeds.count()), "placed")
     whole = placed.where("id > low").select("id", "th", "first", "last")
     open_ = placed.where("id = low AND classes > 1").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "first", "last", "at")).alias("open"))
 
@@ -147,17 +148,24 @@ def repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_c
 
     steps = src.join(open_, ["id", "th"]).select("id", "th", "text", "open").mapInArrow(extend, "anchor long, step int, words long, id long, th long, at int")
     steps = stage(steps.distinct(), "steps")
-    low = steps.groupBy("anchor", "step", "words").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    single = steps.join(low, ["anchor", "step", "words"]).where("id > low").select("id", "th", F.col("at").alias("first"), F.col("at").alias("last"))
-    found = whole.unionByName(single).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("runs"))
-    return found
+    low = steps.groupBy("anchor", "step", "words").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    single = join_hot(steps, stage(low.drop("high"), "steps-low"), ["anchor", "step", "words"], "n", steps.count()).where("id > low").select("id", "th", F.col("at").alias("first"), F.col("at").alias("last"))
+    found = whole.unionByName(single).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("parts"))
+
+    def longer(runs: Column, x: Column) -> Column:
+        end = F.element_at(runs, -1)
+        joined = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(end["first"].alias("first"), F.greatest(end["last"], x["last"]).alias("last"))))
+        return F.when(x["first"] <= end["last"] + 1, joined).otherwise(F.concat(runs, F.array(x)))
+
+    return found.select("id", "th", F.aggregate(F.slice("parts", 2, F.size("parts")), F.slice("parts", 1, 1), longer).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and the kept text of every row.
+    """doc_id, n_words, n_removed, the kept text and ``runs``, the maximal repeats, of every row.
 
     Kept words are joined by one space. Null and empty texts have no words and keep the empty
-    text. See ``repeats`` for what is removed.
+    text; an empty table has no rows. See ``repeats`` for what is removed. Other columns of ``docs``,
+    whatever their names, are not read.
     """
     spans = repeats(docs, min_words, id_col, text_col).select(F.col("id").alias("id_"), F.col("th").alias("th_"), "runs")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -178,15 +186,17 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
                     n.append(len(ws))
                     gone.append(int(len(ws) - stay.sum()))
                     kept.append(b" ".join(ws) if not runs else b" ".join([ws[k] for k in np.flatnonzero(stay)]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()), part.column(2)], names=["doc_id", "n_words", "n_removed", "kept", "runs"])
 
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, runs array<struct<first:int,last:int>>")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages of 50 words or more that a smaller doc_id has."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    longest = F.array_max(F.transform("runs", lambda r: r["last"] - r["first"] + 50)).cast("long")
+    n = F.coalesce(F.array_size("runs"), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), n.alias("n_repeats"), F.coalesce(longest, F.lit(0)).alias("longest_repeat"))
 
 
 ORACLE = r"""
@@ -195,6 +205,10 @@ g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT
 m AS (SELECT h, min(doc_id) AS low FROM g GROUP BY 1),
 c AS (SELECT DISTINCT doc_id, i + k AS p FROM g JOIN m USING (h), range(50) r(k) WHERE low < doc_id),
 x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
-k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN c USING (doc_id, p) GROUP BY 1)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN c USING (doc_id, p) GROUP BY 1),
+i AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (SELECT DISTINCT doc_id, i FROM g JOIN m USING (h) WHERE low < doc_id)),
+r AS (SELECT doc_id, count(*) AS n_repeats, max(n) + 49 AS longest FROM (SELECT doc_id, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+       coalesce(n_repeats, 0) AS n_repeats, coalesce(longest, 0) AS longest_repeat
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)
 """
