@@ -30,13 +30,17 @@ from bitlab.llm.components import components
 #: Band layouts: the bands' widths and their code: a perfect Hamming code of 15 bits ("h") or the
 #: perfect Golay code of 23 bits ("g"), with the rest as free bits.
 LAYOUTS = {"small": ((21, 21, 22), "h"), "medium": ((32, 32), "g")}
+#: Rows of two longs that are broadcast at most.
+BROADCAST = 1_000_000
 #: Stands for a null id, which is never the smallest.
 NO_ID = (1 << 63) - 1
 #: Generator polynomial of the binary Golay code (23, 12).
 GOLAY = 0b110001110101
 BLOCK = 8192
-#: Texts whose exact similarities one task compares at once.
-TEXTS = 128
+#: Texts (of up to a thousand shingles; longer ones count more often) that one task compares at once.
+TEXTS = 2048
+#: Fingerprints of a text that is compared exactly; pairs beyond their bits are not looked at.
+SKETCH = 8
 
 
 def layout_for(n_fingerprints: int) -> str:
@@ -257,7 +261,7 @@ def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout:
                     keys, who = _replicate(fp.view(np.uint64), layout, max_bits)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), fp[who], chk[who])], names=["anchor", "fp", "chk"])
 
-    placed = stage(distinct.select("fp", "chk", *(["more"] if bands else [])).mapInArrow(spread, "anchor long, fp long, chk long"), "anchors")
+    placed = distinct.select("fp", "chk", *(["more"] if bands else [])).mapInArrow(spread, "anchor long, fp long, chk long")  # cheaper told twice than written
     full = placed.groupBy("anchor").count().where(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
     dealt = placed.join(stage(full, "full-anchors"), "anchor", "left")
     # of n blocks, block i meets each block j, itself included, in the cell (min, max)
@@ -328,57 +332,76 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(n[i] @ m[j] / sqrt(float(n @ n) * float(m @ m))) if len(x) and len(y) else 0.0
 
 
-def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which pairs of texts are so similar, from their shingle hashes; exact, in blocks of columns of the count matrix."""
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    values, col = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], row[order]
-    dot = np.zeros((len(sets), len(sets)))
-    for c in range(0, len(values), 4096):
-        a, b = np.searchsorted(col, [c, c + 4096])
-        n = min(4096, len(values) - c)
-        x = np.bincount(row[a:b] * n + col[a:b] - c, minlength=len(sets) * n).reshape(len(sets), n).astype(float)
-        dot += x @ x.T
-    norm = np.sqrt(np.maximum(dot.diagonal(), 1e-9))
-    return dot >= similarity * norm[:, None] * norm[None, :] - 1e-6
+def _reach(similarity: float, bits: int, deviations: float) -> int:
+    """In so many bits texts of that similarity differ at most, but for what lies beyond so many standard deviations."""
+    q = differing(similarity)
+    return ceil(bits * q + deviations * sqrt(bits * q * (1 - q)))
+
+
+def _exact_forest(sketches: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches are close and whose shingles are so similar; closest sketches first."""
+    n, reach = len(sets), _reach(similarity, 64 * sketches.shape[1], 2.5)
+    found = []
+    for i in range(0, n, 128):
+        bits = np.zeros((min(128, n - i), n - i), np.uint16)
+        for w in range(sketches.shape[1]):
+            bits += np.bitwise_count(sketches[i : i + 128, w, None] ^ sketches[None, i:, w])
+        a, b = np.nonzero(np.triu(bits <= reach, 1))
+        found.append(np.stack([bits[a, b], a + i, b + i]).astype(np.int32))
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    label, out, counts = np.arange(n), [], {}
+
+    def counted(i: int) -> tuple[np.ndarray, np.ndarray, float]:
+        if i not in counts:
+            x, c = np.unique(sets[i], return_counts=True)
+            counts[i] = x, c, sqrt(float(c @ c))
+        return counts[i]
+
+    for k in range(0, pairs.shape[1], 4096):
+        _, a, b = pairs[:, k : k + 4096]
+        open_ = label[a] != label[b]
+        for i, j in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
+            if label[i] != label[j]:
+                (x, c, u), (y, d, v) = counted(i), counted(j)
+                _, e, f = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                if float(c[e] @ d[f]) >= (similarity - 1e-9) * u * v:
+                    out.append((i, j))
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return out
 
 
 def _exact_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of a spanning forest of the similar nodes among rows of equal ``key`` (key, node, shingles); a key has at most two blocks of texts."""
+    """(a, b) of a spanning forest of the similar nodes among rows of equal ``key`` (key, node, sketch, shingles); a key has at most two blocks of texts."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, sets = None, [], []
+        key, nodes, sketches, sets = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            near = _similar(sets, similarity)
-            label, out = np.arange(len(nodes)), []
-            for i, j in np.argwhere(np.triu(near, 1)):
-                if label[i] != label[j]:
-                    out.append((nodes[i], nodes[j]))
-                    label[label == max(label[i], label[j])] = min(label[i], label[j])
-            x = np.array(out, np.int64).reshape(-1, 2)
+            found = _exact_forest(np.stack(sketches).view(np.uint64), sets, similarity) if len(nodes) > 1 else []
+            x = np.array([(nodes[i], nodes[j]) for i, j in found], np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["a", "b"])
 
         for b in batches:
-            for k, node, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for k, node, sketch, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if k != key and key is not None:
                     yield done()
-                    nodes, sets = [], []
+                    nodes, sketches, sets = [], [], []
                 key = k
                 if not nodes or nodes[-1] != node:
                     nodes.append(node)
+                    sketches.append(sketch.values.to_numpy(zero_copy_only=False))
                     sets.append(h.values.to_numpy(zero_copy_only=False))
         if key is not None:
             yield done()
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "shingles").mapInArrow(compare, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sketch", "shingles").mapInArrow(compare, "a long, b long")
 
 
 def _verified(edges: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """Those of the links (a, b) whose texts are so similar."""
+    if edges.isEmpty():
+        return edges.select("a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -391,18 +414,20 @@ def _verified(edges: DataFrame, shingles: DataFrame, similarity: float) -> DataF
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """(key, node) of the cells in which the ``members`` (component, node, known, size) of each component meet.
+    """(key, node) of the cells in which the ``members`` (component, node, known, weight, size) of each component meet.
 
-    ``known``: the group of which exact links are known already. A component of at most ``TEXTS`` nodes
-    is one cell. In larger ones each group of at least ``TEXTS`` nodes has blocks of its own, and
+    ``known``: the group of which exact links are known already. A component of a size up to ``TEXTS``
+    is one cell. In larger ones each group of at least that size has blocks of its own, and
     the others share blocks; every block meets every other one of its component but those of its own group.
     """
     few = members.where(F.col("size") <= TEXTS).select(F.xxhash64("component").alias("key"), "node")
-    groups = members.where(F.col("size") > TEXTS).groupBy("component", "known").agg(F.count(F.lit(1)).alias("n"))
+    groups = members.where(F.col("size") > TEXTS).groupBy("component", "known").agg(F.sum("weight").alias("n"))
     kind = F.when(F.col("n") >= TEXTS, F.col("known"))
     kinds = groups.select("component", kind.alias("kind"), "n").groupBy("component", "kind").agg(F.ceil(F.sum("n") / TEXTS).cast("int").alias("blocks"))
-    before = Window.partitionBy("component").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)  # a row per TEXTS nodes at most
+    before = Window.partitionBy("component").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)  # a row for each TEXTS texts at most
     kinds = stage(kinds.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")), "kinds")
+    if kinds.isEmpty():
+        return few
     at = stage(groups.select("component", "known", kind.alias("kind")), "kind-of")
     many = members.where(F.col("size") > TEXTS).join(at, ["component", "known"]).select(F.col("component").alias("c"), "node", F.col("kind").alias("k"))
     own = many.join(kinds, (F.col("c") == F.col("component")) & F.col("k").eqNullSafe(F.col("kind"))).select("c", "node", "k", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("own"))
@@ -415,36 +440,43 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Groups of texts of so similar shingles: a row per fingerprint with its group's smallest row, and the staged fingerprints.
 
     The similarity is what SimHash estimates, the cosine of shingle counts; a Jaccard similarity of 0.8 is a
-    cosine of about 0.89, so all such pairs are meant too. 128 fingerprint bits propose links, with
-    two and a half standard deviations to spare; all texts that proposed links connect are then compared by
-    their shingles, and only exact similarities join groups. Texts of equal 128 bits are one.
+    cosine of about 0.89, so all such pairs are meant too. Bits propose links, with two standard
+    deviations to spare. All texts that proposed links connect are then compared: pairs whose 512 bits are close
+    by their shingles, and only exact similarities join groups. Texts of equal 128 bits are one.
     """
     width, number = bands or band_plan(docs.count(), similarity)
-    q = differing(similarity)
-    max_bits, max_total = (ceil(n * q + 2.5 * sqrt(n * q * (1 - q))) for n in (64, 128))
+    max_bits, max_total = _reach(similarity, 64, 2), _reach(similarity, 128, 2)
     staged = stage(fingerprints(docs, id_col, text_col, shingle, max(2, ceil(number / (64 // width)))), "fingerprints")
     distinct = _distinct(staged)
     proposed = stage(links(distinct, max_bits, max_total, bands=(width, number)), "links")
-    linked = components(proposed)
-    sizes = stage(linked.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    members = stage(linked.join(sizes, "component").join(distinct.select("node", "least"), "node"), "members")
+    linked = stage(components(proposed), "linked")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                sets = [np.sort(_shingle_hashes(t, shingle)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                texts = part.column(1).to_pylist()
+                sets = [np.sort(_shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+                sketches = text_fingerprints(texts, shingle, SKETCH).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(sketches), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sketch", "shingles"])
 
     texts = _sources(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th", "text")
-    wanted = members.select("node", "least.id", F.col("least.th").alias("th"))
-    texts = texts.join(wanted, ["id", "th"]).groupBy("id", "th", "node").agg(F.min("text").alias("text"))
-    shingles = stage(texts.select("node", "text").mapInArrow(shingled, "node long, shingles array<long>"), "shingles")
+    wanted = linked.join(distinct.select("node", "least"), "node").select("node", "least.id", F.col("least.th").alias("th"))
+    wanted = stage(wanted, "wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = texts.join(wanted, ["id", "th"])
+    if not staged.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # one of each repeated row
+        texts = texts.groupBy("id", "th", "node").agg(F.min("text").alias("text"))
+    shingles = stage(texts.select("node", "text").mapInArrow(shingled, "node long, sketch array<long>, shingles array<long>"), "shingles")
+    members = stage(linked.join(shingles.select("node", (F.floor(F.size("shingles") / 1000) + 1).alias("weight")), "node"), "members")
+    sizes = stage(members.groupBy("component").agg(F.sum("weight").alias("size")), "sizes")
+    members = stage(members.join(sizes, "component"), "members")
     # large components: what the proposed links join for sure need not be compared pair by pair
-    large = members.where(F.col("size") > TEXTS).select(F.col("node").alias("a"))
-    sure = stage(_verified(proposed.join(large, "a"), shingles, similarity), "sure")
+    sure = proposed.join(members.where(F.col("size") > TEXTS).select(F.col("node").alias("a")), "a")
+    sure = stage(_verified(sure, shingles, similarity), "sure")
     known = components(sure).withColumnRenamed("component", "known")
-    dealt = _dealt(members.join(known, "node", "left").select("component", "node", F.coalesce("known", "node").alias("known"), "size"))
+    dealt = _dealt(members.join(known, "node", "left").select("component", "node", F.coalesce("known", "node").alias("known"), "weight", "size"))
     exact = stage(_exact_links(dealt.join(shingles, "node"), similarity), "exact")
     grouped = _grouped(distinct, sure.unionByName(exact))
     return _of_component(grouped, F.min("least")).select("fp", "chk", "n", F.col("found").alias("first")), staged
