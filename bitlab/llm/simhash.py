@@ -31,14 +31,14 @@ from bitlab.llm.components import components
 #: perfect Golay code of 23 bits ("g"), with the rest as free bits.
 LAYOUTS = {"small": ((21, 21, 22), "h"), "medium": ((32, 32), "g")}
 #: Rows of two longs that are broadcast at most.
-BROADCAST = 1_000_000
+BROADCAST = 1 << 21
 #: Stands for a null id, which is never the smallest.
 NO_ID = (1 << 63) - 1
 #: Generator polynomial of the binary Golay code (23, 12).
 GOLAY = 0b110001110101
 BLOCK = 8192
 #: Texts (of up to a thousand shingles; longer ones count more often) that one task compares at once.
-TEXTS = 2048
+TEXTS = 1024
 #: Fingerprints of a text that is compared exactly; pairs beyond their bits are not looked at.
 SKETCH = 8
 
@@ -217,19 +217,40 @@ def spanning_links(fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: in
 
 
 def links_in_runs(key: np.ndarray, fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (nodes, see ``node_of``) between rows of equal keys in sorted arrays; long runs give a spanning forest of theirs."""
+    """A spanning forest of the links (nodes, see ``node_of``) between rows of equal keys in sorted arrays.
+
+    In runs of up to 64 rows closest pairs come first, so runs that share rows tend to give the same links.
+    """
     node = (fp ^ (chk << np.uint64(1) | chk >> np.uint64(63))).view(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     lengths = np.diff(np.concatenate([starts, [len(key)]]))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     short = np.flatnonzero(np.repeat(lengths, lengths) <= 64)
     k, f, c, who = key[short], fp[short], chk[short], node[short]
+    close = [np.zeros((3, 0), np.int64)]
     for lag in range(1, min(len(k), int(lengths[lengths <= 64].max(initial=1)))):
         bits = np.bitwise_count(f[lag:] ^ f[:-lag])
         hit = np.flatnonzero((k[lag:] == k[:-lag]) & (bits <= max_bits))
-        hit = hit[bits[hit] + np.bitwise_count(c[lag:][hit] ^ c[:-lag][hit]) <= max_total]
-        a.append(who[:-lag][hit])
-        b.append(who[lag:][hit])
+        total = bits[hit].astype(np.int64) + np.bitwise_count(c[lag:][hit] ^ c[:-lag][hit])
+        near = total <= max_total
+        close.append(np.stack([total[near], hit[near], hit[near] + lag]))
+    pairs = np.concatenate(close, axis=1)
+    pairs = pairs[:, np.lexsort((who[pairs[2]], who[pairs[1]], pairs[0]))]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    tree = []
+    for x, y in pairs[1:].T.tolist():
+        u, v = find(x), find(y)
+        if u != v:
+            root[v] = u
+            tree.append((x, y))
+    tree = np.array(tree, np.int64).reshape(-1, 2)
+    a, b = [who[tree[:, 0]]], [who[tree[:, 1]]]
     for s, n in zip(starts[lengths > 64], lengths[lengths > 64], strict=True):
         if found := spanning_links(fp[s : s + n], chk[s : s + n], max_bits, max_total):
             x = np.array(found)
@@ -341,15 +362,6 @@ def _reach(similarity: float, bits: int, deviations: float) -> int:
 def _exact_forest(sketches: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose sketches are close and whose shingles are so similar; closest sketches first."""
     n, reach = len(sets), _reach(similarity, 64 * sketches.shape[1], 2.5)
-    found = []
-    for i in range(0, n, 128):
-        bits = np.zeros((min(128, n - i), n - i), np.uint16)
-        for w in range(sketches.shape[1]):
-            bits += np.bitwise_count(sketches[i : i + 128, w, None] ^ sketches[None, i:, w])
-        a, b = np.nonzero(np.triu(bits <= reach, 1))
-        found.append(np.stack([bits[a, b], a + i, b + i]).astype(np.int32))
-    pairs = np.concatenate(found, axis=1)
-    pairs = pairs[:, np.lexsort(pairs[::-1])]
     label, out, counts = np.arange(n), [], {}
 
     def counted(i: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -358,21 +370,27 @@ def _exact_forest(sketches: np.ndarray, sets: list[np.ndarray], similarity: floa
             counts[i] = x, c, sqrt(float(c @ c))
         return counts[i]
 
-    for k in range(0, pairs.shape[1], 4096):
-        _, a, b = pairs[:, k : k + 4096]
-        open_ = label[a] != label[b]
-        for i, j in zip(a[open_].tolist(), b[open_].tolist(), strict=True):
-            if label[i] != label[j]:
-                (x, c, u), (y, d, v) = counted(i), counted(j)
-                _, e, f = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                if float(c[e] @ d[f]) >= (similarity - 1e-9) * u * v:
-                    out.append((i, j))
-                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+    below = -1
+    for level in (reach // 3, 2 * reach // 3, reach):
+        for k in range(0, n, 128):
+            bits = np.zeros((min(128, n - k), n - k), np.int16)
+            for w in range(sketches.shape[1]):
+                bits += np.bitwise_count(sketches[k : k + 128, w, None] ^ sketches[None, k:, w])
+            a, b = np.nonzero(np.triu((bits > below) & (bits <= level) & (label[k : k + 128, None] != label[None, k:]), 1))
+            order = np.argsort(bits[a, b], kind="stable")
+            for i, j in zip((a[order] + k).tolist(), (b[order] + k).tolist(), strict=True):
+                if label[i] != label[j]:
+                    (x, c, u), (y, d, v) = counted(i), counted(j)
+                    _, e, f = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                    if float(c[e] @ d[f]) >= (similarity - 1e-9) * u * v:
+                        out.append((i, j))
+                        label[label == max(label[i], label[j])] = min(label[i], label[j])
+        below = level
     return out
 
 
 def _exact_links(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of a spanning forest of the similar nodes among rows of equal ``key`` (key, node, sketch, shingles); a key has at most two blocks of texts."""
+    """(a, b) of a spanning forest of the similar nodes among rows of equal ``key`` (key, node, sketch, shingles), which meet in one partition; a key has at most two blocks of texts."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sketches, sets = None, [], [], []
@@ -395,13 +413,11 @@ def _exact_links(rows: DataFrame, similarity: float) -> DataFrame:
         if key is not None:
             yield done()
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sketch", "shingles").mapInArrow(compare, "a long, b long")
+    return rows.sortWithinPartitions("key", "node").select("key", "node", "sketch", "shingles").mapInArrow(compare, "a long, b long")
 
 
 def _verified(edges: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """Those of the links (a, b) whose texts are so similar."""
-    if edges.isEmpty():
-        return edges.select("a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -414,26 +430,28 @@ def _verified(edges: DataFrame, shingles: DataFrame, similarity: float) -> DataF
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """(key, node) of the cells in which the ``members`` (component, node, known, weight, size) of each component meet.
+    """(key, node) of the cells in which the ``members`` (component, node, known, weight) of each large component meet.
 
-    ``known``: the group of which exact links are known already. A component of a size up to ``TEXTS``
-    is one cell. In larger ones each group of at least that size has blocks of its own, and
-    the others share blocks; every block meets every other one of its component but those of its own group.
+    ``known``: the group of which exact links are known already. Each group of at least ``TEXTS`` texts
+    has blocks of its own, and the others share blocks; every block meets every other one of
+    its component but those of its own group.
     """
-    few = members.where(F.col("size") <= TEXTS).select(F.xxhash64("component").alias("key"), "node")
-    groups = members.where(F.col("size") > TEXTS).groupBy("component", "known").agg(F.sum("weight").alias("n"))
+    groups = members.groupBy("component", "known").agg(F.sum("weight").alias("n"))
     kind = F.when(F.col("n") >= TEXTS, F.col("known"))
     kinds = groups.select("component", kind.alias("kind"), "n").groupBy("component", "kind").agg(F.ceil(F.sum("n") / TEXTS).cast("int").alias("blocks"))
     before = Window.partitionBy("component").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)  # a row for each TEXTS texts at most
     kinds = stage(kinds.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")), "kinds")
-    if kinds.isEmpty():
-        return few
     at = stage(groups.select("component", "known", kind.alias("kind")), "kind-of")
-    many = members.where(F.col("size") > TEXTS).join(at, ["component", "known"]).select(F.col("component").alias("c"), "node", F.col("kind").alias("k"))
+    many = members.join(at, ["component", "known"]).select(F.col("component").alias("c"), "node", F.col("kind").alias("k"))
     own = many.join(kinds, (F.col("c") == F.col("component")) & F.col("k").eqNullSafe(F.col("kind"))).select("c", "node", "k", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("own"))
     others = kinds.select(F.col("component").alias("c"), F.col("kind").alias("k2"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("other"))
     met = own.join(others, "c").where(F.col("k").isNull() | ~F.col("k").eqNullSafe(F.col("k2")))
-    return few.unionByName(met.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node"))
+    return met.select(F.xxhash64("c", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A staged table of a few longs a row, broadcast if it has at most ``BROADCAST`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -455,30 +473,35 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = part.column(1).to_pylist()
+                texts = part.column(2).to_pylist()
                 sets = [np.sort(_shingle_hashes(t, shingle)).view(np.int64) for t in texts]
                 sketches = text_fingerprints(texts, shingle, SKETCH).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(sketches), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sketch", "shingles"])
+                cols = [part.column(0), part.column(1), pa.array(list(sketches), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["component", "node", "sketch", "shingles"])
 
     texts = _sources(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th", "text")
-    wanted = linked.join(distinct.select("node", "least"), "node").select("node", "least.id", F.col("least.th").alias("th"))
-    wanted = stage(wanted, "wanted")
-    if wanted.count() <= BROADCAST:
-        wanted = F.broadcast(wanted)
-    texts = texts.join(wanted, ["id", "th"])
+    wanted = stage(linked.join(distinct.select("node", "least"), "node").select("component", "node", "least.id", F.col("least.th").alias("th")), "wanted")
+    texts = texts.join(_small(wanted), ["id", "th"])
     if not staged.groupBy("doc_id", "th").count().where("count > 1").isEmpty():  # one of each repeated row
-        texts = texts.groupBy("id", "th", "node").agg(F.min("text").alias("text"))
-    shingles = stage(texts.select("node", "text").mapInArrow(shingled, "node long, sketch array<long>, shingles array<long>"), "shingles")
-    members = stage(linked.join(shingles.select("node", (F.floor(F.size("shingles") / 1000) + 1).alias("weight")), "node"), "members")
+        texts = texts.groupBy("id", "th", "component", "node").agg(F.min("text").alias("text"))
+    shingles = stage(texts.select("component", "node", "text").mapInArrow(shingled, "component long, node long, sketch array<long>, shingles array<long>"), "shingles")
+    members = shingles.select("component", "node", (F.floor(F.size("shingles") / 1000) + 1).alias("weight"))
     sizes = stage(members.groupBy("component").agg(F.sum("weight").alias("size")), "sizes")
-    members = stage(members.join(sizes, "component"), "members")
-    # large components: what the proposed links join for sure need not be compared pair by pair
-    sure = proposed.join(members.where(F.col("size") > TEXTS).select(F.col("node").alias("a")), "a")
-    sure = stage(_verified(sure, shingles, similarity), "sure")
-    known = components(sure).withColumnRenamed("component", "known")
-    dealt = _dealt(members.join(known, "node", "left").select("component", "node", F.coalesce("known", "node").alias("known"), "weight", "size"))
-    exact = stage(_exact_links(dealt.join(shingles, "node"), similarity), "exact")
-    grouped = _grouped(distinct, sure.unionByName(exact))
+    large = stage(sizes.where(F.col("size") > TEXTS).select("component"), "large")  # a row for each TEXTS texts at most
+    few = shingles.join(_small(large), "component", "left_anti").withColumnRenamed("component", "key").repartition("key")
+    exact = [_exact_links(few, similarity)]
+    if not large.isEmpty():
+        # what the proposed links join for sure need not be compared pair by pair
+        many = stage(shingles.join(_small(large), "component"), "many")
+        sure = stage(_verified(proposed.join(many.select(F.col("node").alias("a")), "a"), many, similarity), "sure")
+        known = components(sure).withColumnRenamed("component", "known")
+        named = many.select("component", "node", (F.floor(F.size("shingles") / 1000) + 1).alias("weight")).join(known, "node", "left")
+        dealt = _dealt(stage(named.select("component", "node", F.coalesce("known", "node").alias("known"), "weight"), "named"))
+        exact += [sure, _exact_links(dealt.join(many.drop("component"), "node").repartition("key"), similarity)]
+    found = exact[0]
+    for x in exact[1:]:
+        found = found.unionByName(x)
+    grouped = _grouped(distinct, stage(found, "exact"))
     return _of_component(grouped, F.min("least")).select("fp", "chk", "n", F.col("found").alias("first")), staged
 
 
@@ -503,7 +526,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first, staged = similar_groups(told)
     rows = join_hot(staged.select("doc_id", "th", "fp", "chk"), stage(first, "first-rows"), ["fp", "chk"], "n", staged.count())
     gone = rows.where((F.col("doc_id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))).select(F.col("doc_id").alias(c_id), F.col("th").alias(c_th)).distinct()
-    kept = docs.join(stage(gone, "duplicates"), same, "left_anti")
+    kept = docs.join(_small(stage(gone, "duplicates")), same, "left_anti")
     # rows are told apart by (id, text) as a rule; only those that are not are dealt out
     again = staged.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias(c_id), F.col("th").alias(c_th))
     again = stage(again, "repeated")

@@ -449,7 +449,7 @@ def groups_of(n, links):
     return [root(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("texts_at_once", [2048, 4])
+@pytest.mark.parametrize("texts_at_once", [1024, 4])
 def test_similar_groups(spark, monkeypatch, texts_at_once):
     """Links are exact; those that fingerprints do not propose are few. Small blocks take the way of large groups."""
     monkeypatch.setattr(simhash, "TEXTS", texts_at_once)
