@@ -28,6 +28,18 @@ def collapse_full(text: Column, depth: int) -> Column:
     return text
 
 
+def collapse_first(text: Column) -> Column:
+    """The leftmost innermost group only becomes its simplified content."""
+    group = r"^(?<p>.*?)\([01]+\)"
+    ones = F.regexp_extract(text, r"\(([01]+)\)", 1).rlike("^1+$")
+    return F.when(ones, F.regexp_replace(text, group, "${p}1")).otherwise(F.regexp_replace(text, group, "${p}0"))
+
+
+def then_whole(text: Column) -> Column:
+    """What a pass has left, simplified as a whole: 1 if it is ones only, else 0."""
+    return simplify(text)
+
+
 def phase(text: Column, first: str) -> Column:
     """One pass of a two-phase rule: the pair ``first`` (01 or 10) becomes 0, then runs of one symbol are compressed."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, first, "0"), "0+", "0"), "1+", "1")

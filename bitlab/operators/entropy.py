@@ -61,8 +61,8 @@ def information(joint: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "pairs", F.round(F.greatest(F.lit(0.0), "mi"), 6).alias("mi"))
 
 
-def transfer_entropy(bits: DataFrame, scales: list[int], k: int = 3) -> DataFrame:
-    """(seq_id, src, dst, n, te): transfer entropy between coarse-grained scales, aligned on block index.
+def transfer_entropy(bits: DataFrame, scales: list[int], k: int = 3, digits: int | None = 6) -> DataFrame:
+    """(seq_id, src, dst, n, te): transfer entropy between coarse-grained scales, aligned on block index; ``digits`` None: not rounded.
 
     TE = sum p(y, yp, xp) log2(p(y | yp, xp) / p(y | yp)), with pasts of ``k`` majority blocks; not below zero.
     """
@@ -78,7 +78,8 @@ def transfer_entropy(bits: DataFrame, scales: list[int], k: int = 3) -> DataFram
     c = lambda x: F.col(x).cast("double")
     te = F.sum(c("n") / c("t") * F.log2(c("n") * c("n_y") / (c("n_yx") * c("n_yy"))))
     out = n.groupBy("seq_id", "src", "dst").agg(F.sum("n").alias("n"), te.alias("te"))
-    return out.select("seq_id", "src", "dst", "n", F.round(F.greatest(F.lit(0.0), "te"), 6).alias("te"))
+    te = F.greatest(F.lit(0.0), "te")
+    return out.select("seq_id", "src", "dst", "n", (te if digits is None else F.round(te, digits)).alias("te"))
 
 
 def directions(te: DataFrame, margin: float = 0.01) -> DataFrame:

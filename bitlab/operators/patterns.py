@@ -55,6 +55,35 @@ def recurrence(bits: DataFrame, length: int) -> DataFrame:
     return out.withColumn("mean_gap", F.round("mean_gap", 6)).withColumn("std_gap", F.round("std_gap", 6))
 
 
+def positions(bits: DataFrame, lengths: range, most: int = 100) -> DataFrame:
+    """(seq_id, pattern, n, positions): each pattern's count and its first ``most`` positions, a sample for reading; counts are of all."""
+    grams = bit_ngrams(bits, lengths)
+    n = grams.groupBy("seq_id", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    first = grams.withColumn("r", F.row_number().over(Window.partitionBy("seq_id", "pattern").orderBy("pos"))).where(F.col("r") <= most)
+    return first.groupBy("seq_id", "pattern").agg(F.sort_array(F.collect_list("pos")).alias("positions")).join(n, ["seq_id", "pattern"]).select("seq_id", "pattern", "n", "positions")
+
+
+def merged(*found: DataFrame, min_length: int = 2, min_count: int = 2) -> DataFrame:
+    """(pattern, method, n): the patterns of several methods as one set; of equal patterns the one of highest count, then the first method by name."""
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x, allowMissingColumns=True)
+    best = F.min(F.struct((-F.col("n")).alias("less"), "method")).alias("b")
+    out = every.groupBy("pattern").agg(best).select("pattern", "b.method", (-F.col("b.less")).alias("n"))
+    return out.where((F.length("pattern") >= min_length) & (F.col("n") >= min_count))
+
+
+def autosimilarity(counts: DataFrame) -> DataFrame:
+    """``counts`` with the mean autocorrelation of each pattern of four bits or more over its lags, in shares of its ones; 0 for shorter ones or none."""
+    bits = F.transform(F.split("pattern", ""), lambda x: x.cast("int"))
+    n = F.length("pattern")
+    lag = lambda k: F.aggregate(F.zip_with(F.slice("bits", 1, n - k), F.slice("bits", k + 1, n), lambda a, b: F.coalesce(a * b, F.lit(0))), F.lit(0), lambda a, b: a + b)
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), n - 1), lag), F.lit(0), lambda a, b: a + b)
+    ones = F.aggregate("bits", F.lit(0), lambda a, b: a + b)
+    mean = total.cast("double") / F.greatest(ones, F.lit(1)) / (n - 1)
+    return counts.withColumn("bits", bits).withColumn("autosimilarity", F.round(F.when(n >= 4, mean).otherwise(0.0), 6)).drop("bits")
+
+
 def tiles(bits: DataFrame, periods: list[int], min_count: int = 2) -> DataFrame:
     """(seq_id, period, tile, n): identical tiles when the sequence is cut at multiples of a period."""
     per = [bit_ngrams(bits, [p], step=p).withColumnRenamed("len", "period") for p in periods]

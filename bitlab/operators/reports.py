@@ -58,12 +58,13 @@ def common_substrings(contexts: DataFrame, lengths: range) -> DataFrame:
     return usable.select("side", "n", F.explode(F.array_distinct(F.concat(*parts))).alias("part")).groupBy("side", "part").agg(F.sum("n").alias("n"))
 
 
-def block_similarity(bits: DataFrame, size: int, most: int) -> DataFrame:
-    """(a, b, match): share of equal bits between the distinct blocks of a size; ``most`` commonest only, so pairs are bounded."""
-    per = bit_ngrams(bits, [size], step=size).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pattern").limit(most)
+def block_similarity(bits: DataFrame, size: int) -> DataFrame:
+    """(a, b, match): share of equal bits between all distinct blocks of a size up to 10, of which there are at most 1,024."""
+    if size > 10:
+        raise ValueError("blocks of more than 10 bits are too many to be compared with each other")
+    per = bit_ngrams(bits, [size], step=size).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     code = per.select(F.col("pattern").alias("a"), F.conv("pattern", 2, 10).cast("long").alias("ca"))
     other = code.toDF("b", "cb")
-    # a feature limit of ``most`` rows a side
     return code.join(F.broadcast(other), F.col("a") < F.col("b")).select("a", "b", F.round(1 - F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))).cast("double") / size, 6).alias("match"))
 
 
@@ -139,12 +140,22 @@ def forecast(series: DataFrame, value: str, ahead: int) -> DataFrame:
     return fit.select("seq_id", "n", at.alias("target"), F.round(F.col("a") + F.col("b") * at, 4).alias("expected"), F.round(se, 4).alias("error"))
 
 
-def bootstrap_mean(values: DataFrame, value: str, replicates: int = 100, seed: int = 11) -> DataFrame:
-    """(n, mean, low, high): 95 % interval of the mean; each row enters a replicate a Poisson(1) number of times, drawn from the row and the seed."""
-    u = F.rand(seed)
-    weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.99634, 4).otherwise(5)
-    each = values.select(F.col(value).alias("v")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    means = each.groupBy("rep").agg(ratio(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
+def bootstrap_mean(values: DataFrame, value: str, key: list[str], replicates: int = 96) -> DataFrame:
+    """(n, mean, low, high): 95 % interval of the mean; each row enters a replicate a Poisson(1) number of times.
+
+    The numbers come from MD5 of the row's ``key``, eight replicates from each, so they do not depend on partitions. Rows of a replicate
+    are summed where they are; only sums are shuffled.
+    """
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+    digest = F.explode(F.transform(F.sequence(F.lit(0), F.lit(-(-replicates // 8) - 1)), lambda g: F.struct(g.alias("g"), F.md5(F.concat_ws("|", name, g.cast("string")).cast("binary")).alias("h"))))
+    each = values.select(F.col(value).alias("v"), digest.alias("d"))
+
+    def weight(i: int) -> Column:
+        u = F.conv(F.substring("d.h", 4 * i + 1, 4), 16, 10).cast("int")  # of 65,536
+        return F.when(u < 24109, 0).when(u < 48219, 1).when(u < 60273, 2).when(u < 64292, 3).when(u < 65296, 4).otherwise(5)
+
+    sums = each.groupBy("d.g").agg(*[x for i in range(8) for x in (F.sum(F.col("v") * weight(i)).alias(f"a{i}"), F.sum(weight(i)).alias(f"w{i}"))])
+    means = sums.select(F.explode(F.array(*[ratio(F.col(f"a{i}"), F.col(f"w{i}")) for i in range(8)])).alias("m"))
     ends = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return values.agg(F.count(value).alias("n"), F.avg(value).alias("mean")).crossJoin(F.broadcast(ends))  # one row each
 

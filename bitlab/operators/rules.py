@@ -39,23 +39,27 @@ def context_index(bits: DataFrame, lengths: list[int], segments: int = 4) -> Dat
 
 
 def rule_metrics(index: DataFrame) -> DataFrame:
-    """(seq_id, ctx_len, ctx, prediction, support, precision, stability) of the rule that each context makes.
+    """(seq_id, ctx_len, ctx, prediction, support, precision, stability, reproducibility) of the rule that each context makes.
 
     The prediction is the commoner next bit (0 in a tie); stability is the mean less the population
-    deviation of its share over segments, not below zero.
+    deviation of its share over segments, not below zero; reproducibility the share of all segments in which
+    the prediction comes true at least once.
     """
+    segments = index.where("segment >= 0").groupBy("seq_id").agg((F.max("segment") + 1).alias("segments"))
     total = index.where("segment = -1").select("seq_id", "ctx_len", "ctx", F.when(F.col("c1") > F.col("c0"), 1).otherwise(0).alias("prediction"), F.col("n").alias("support"), (F.greatest("c0", "c1").cast("double") / F.col("n")).alias("precision"))
     per = index.where("segment >= 0").join(total.select("seq_id", "ctx_len", "ctx", "prediction"), ["seq_id", "ctx_len", "ctx"])
     share = F.when(F.col("prediction") == 1, F.col("c1")).otherwise(F.col("c0")).cast("double") / F.col("n")
-    stable = per.groupBy("seq_id", "ctx_len", "ctx").agg(F.greatest(F.lit(0.0), F.avg(share) - F.stddev_pop(share)).alias("stability"))
-    return total.join(stable, ["seq_id", "ctx_len", "ctx"]).select("seq_id", "ctx_len", "ctx", "prediction", "support", F.round("precision", 6).alias("precision"), F.round("stability", 6).alias("stability"))
+    stable = per.groupBy("seq_id", "ctx_len", "ctx").agg(F.greatest(F.lit(0.0), F.avg(share) - F.stddev_pop(share)).alias("stability"), F.count_if(share > 0).alias("true_in"))
+    out = total.join(stable, ["seq_id", "ctx_len", "ctx"]).join(segments, "seq_id")
+    reproduced = F.col("true_in").cast("double") / F.col("segments")
+    return out.select("seq_id", "ctx_len", "ctx", "prediction", "support", *[F.round(x, 6).alias(x) for x in ("precision", "stability")], F.round(reproduced, 6).alias("reproducibility"))
 
 
 def rule_complexity(rules: DataFrame) -> DataFrame:
     """Rules with a description, complexity (text length / 100 + 1 + half the order), quality and whether they are trivial."""
     text = F.concat(F.lit("after "), F.col("ctx"), F.lit(" comes "), F.col("prediction").cast("string"))
     complexity = F.length(text) / 100.0 + 1.0 + 0.5 * F.col("ctx_len")
-    quality = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.3 * F.col("precision") + 0.25 * F.col("stability") + 0.25 * F.col("precision") + 0.2 / (1.0 + complexity)))
+    quality = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.3 * F.col("reproducibility") + 0.25 * F.col("stability") + 0.25 * F.col("precision") + 0.2 * F.greatest(F.lit(0.0), 1.0 - complexity / 10.0)))
     trivial = ((F.col("precision") == 1) & (F.col("support") <= 1)) | (F.col("precision") < 0.8)
     return rules.select("seq_id", "ctx", text.alias("description"), F.round(complexity, 6).alias("complexity"), F.round(quality, 6).alias("quality"), trivial.alias("trivial"))
 
@@ -73,14 +77,12 @@ def validation_summary(rules: DataFrame, threshold: float = 0.6, max_drop: float
 def kfold(bits: DataFrame, order: int, folds: int) -> DataFrame:
     """(ctx, mean_accuracy, std_accuracy, folds): rules learned on all sequences, tested on contiguous folds of them.
 
-    Sequences are dealt to folds by rank of their id; a fold's accuracy is how often a context's overall commoner bit follows.
+    Sequences are dealt to folds by the MD5 of their id; a fold's accuracy is how often a context's overall commoner bit follows.
     """
     trans = transitions(bits, [order])
-    ids = bits.select("seq_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq_id")) - 1)  # a row per sequence
-    count = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    ids = ids.withColumn("fold", F.floor(F.col("r") * folds / count).cast("int")).select("seq_id", "fold")
+    fold = (F.conv(F.substring(F.md5(F.col("seq_id").cast("binary")), 1, 8), 16, 10).cast("long") % folds).cast("int")
     per = trans.groupBy("ctx").agg(F.sum(F.col("support") * F.col("nxt")).alias("ones"), F.sum("support").alias("n")).select("ctx", F.when(2 * F.col("ones") > F.col("n"), 1).otherwise(0).alias("prediction"))
-    test = trans.join(ids, "seq_id").join(per, "ctx").groupBy("ctx", "fold").agg((F.sum(F.when(F.col("nxt") == F.col("prediction"), F.col("support")).otherwise(0)).cast("double") / F.sum("support")).alias("acc"))
+    test = trans.withColumn("fold", fold).join(per, "ctx").groupBy("ctx", "fold").agg((F.sum(F.when(F.col("nxt") == F.col("prediction"), F.col("support")).otherwise(0)).cast("double") / F.sum("support")).alias("acc"))
     return test.groupBy("ctx").agg(F.round(F.avg("acc"), 6).alias("mean_accuracy"), F.round(F.stddev_pop("acc"), 6).alias("std_accuracy"), F.count(F.lit(1)).alias("folds"))
 
 
@@ -94,3 +96,10 @@ def causality(bits: DataFrame, k: int = 5) -> DataFrame:
     flat = bits.groupBy("seq_id").agg(one.alias("p1")).select("seq_id", (-F.when((F.col("p1") > 0) & (F.col("p1") < 1), F.col("p1") * F.log2("p1") + (1 - F.col("p1")) * F.log2(1 - F.col("p1"))).otherwise(0.0)).alias("h"))
     out = flat.join(cond, "seq_id")
     return out.select("seq_id", F.round("h", 6).alias("h"), F.round("h_given", 6).alias("h_given"), F.round(F.when(F.col("h") > 0, F.greatest(F.lit(0.0), 1 - F.col("h_given") / F.col("h"))).otherwise(1.0), 6).alias("predictability"))
+
+
+def distinct_rules(trans: DataFrame, most: int = 10_000) -> DataFrame:
+    """(ctx, nxt, support, confidence): of equal rules of several sequences the one of highest confidence, then support; the ``most`` most confident, a report's limit."""
+    best = F.max(F.struct("confidence", "support")).alias("b")
+    rules = trans.groupBy("ctx", "nxt").agg(best).select("ctx", "nxt", "b.support", "b.confidence")
+    return rules.orderBy(F.desc("confidence"), F.desc("support"), "ctx", "nxt").limit(most)

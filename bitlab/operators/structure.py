@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitlab.operators.chunks import correlation, entropy_of, ratio
@@ -64,10 +64,39 @@ def containment(groups: DataFrame) -> DataFrame:
     return groups.groupBy(n.alias("length")).agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg(h), 6).alias("mean_entropy"))
 
 
-def containment_summary(groups: DataFrame) -> DataFrame:
-    """(groups, mean_length, std_length, distinct_contents, repetition): contents are told apart by their counts of bits."""
+#: Two primes below 2^31 and bases, for hashes of contents.
+MODULI = ((2147483647, 48271), (2147483629, 16807))
+
+
+def _power(base: int, prime: int, exponent: Column) -> Column:
+    """``base`` to the ``exponent`` (below 2^40) modulo ``prime``, from the powers of its binary digits."""
+    out = F.lit(1).cast("long")
+    for bit in range(40):
+        digit = F.call_function("shiftright", exponent, F.lit(bit)).bitwiseAND(F.lit(1).cast("long"))
+        out = (out * (1 + digit * (pow(base, 1 << bit, prime) - 1))) % prime
+    return out
+
+
+def contents(deep: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` with h1 and h2: hashes of the bits within, in order. Equal contents have equal hashes; others differ but for one in 2^60.
+
+    A group's hash is the difference of sums of bits times powers of a base by their place, shifted to a common place.
+    """
+    w = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.col("ones") + F.col("zeros")
+    value = F.when(F.col("sym") == "1", 2).when(F.col("sym") == "0", 1).otherwise(0)
+    sums = deep.select("seq_id", "pos", "sym", "ones", "zeros", *[F.sum(value * _power(b, p, place)).over(w).alias(f"s{i}") for i, (p, b) in enumerate(MODULI)])
+    end = lambda x, c: sums.where(F.col("sym") == x).select("seq_id", F.col("pos").alias(c), *[F.col(f"s{i}").alias(f"{c}{i}") for i in range(2)], place.alias(f"{c}_at"))
+    both = groups.join(end("(", "open_pos"), ["seq_id", "open_pos"]).join(end(")", "close_pos"), ["seq_id", "close_pos"])
+    far = (1 << 40) - 1
+    hashes = [((F.col(f"close_pos{i}") - F.col(f"open_pos{i}")) % p * _power(b, p, far - F.col("open_pos_at")) % p).alias(f"h{i + 1}") for i, (p, b) in enumerate(MODULI)]
+    return both.select(*[groups[c] for c in groups.columns if c not in ("seq_id", "open_pos", "close_pos")], "seq_id", "open_pos", "close_pos", *hashes)
+
+
+def containment_summary(deep: DataFrame, groups: DataFrame) -> DataFrame:
+    """(groups, mean_length, std_length, distinct_contents, repetition) of groups by the bits that they hold, in order."""
     n = F.col("n_ones") + F.col("n_zeros")
-    out = groups.agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg(n), 6).alias("mean_length"), F.round(F.stddev_samp(n), 6).alias("std_length"), F.count_distinct("n_ones", "n_zeros").alias("distinct_contents"))
+    out = contents(deep, groups).agg(F.count(F.lit(1)).alias("groups"), F.round(F.avg(n), 6).alias("mean_length"), F.round(F.stddev_samp(n), 6).alias("std_length"), F.count_distinct(n, "h1", "h2").alias("distinct_contents"))
     return out.withColumn("repetition", F.round(1 - ratio(F.col("distinct_contents"), F.col("groups")), 6))
 
 
@@ -91,17 +120,37 @@ def depth_order(deep: DataFrame) -> DataFrame:
     return h.crossJoin(F.broadcast(g.select(F.round(gini, 6).alias("gini"))))  # one row each
 
 
-def order_index(strata: DataFrame, order: DataFrame) -> DataFrame:
-    """(slope, variance, index): order emergence from strata's entropies and the depth distribution.
+#: Weights of the order index.
+ORDER_WEIGHTS = {"organisation": 0.3, "gradient": 0.3, "regularity": 0.2, "balance": 0.2}
+
 
-    index = .3 organisation + .3 / (1 + |slope|) + .2 / (1 + variance) + .2 (balanced); organisation is 1 less the
-    normalised depth entropy.
+def order_parts(symbols: DataFrame, deep: DataFrame, groups: DataFrame) -> DataFrame:
+    """(organisation, gradient, regularity, balance), one row, each within 0 and 1.
+
+    organisation: 1 less the depth entropy over the logarithm of the largest depth; gradient: 1 / (1 + |slope|) of
+    strata's entropies over depth; regularity: 1 / (1 + variance of the numbers of bits that groups hold); balance: 1 if
+    every parenthesis has its partner, else 0.
     """
-    s = strata.agg(F.coalesce(F.regr_slope("entropy", F.col("depth").cast("double")), F.lit(0.0)).alias("slope"), F.coalesce(F.var_pop("entropy"), F.lit(0.0)).alias("variance"))
-    organised = F.when(F.col("depths") > 1, 1 - F.col("entropy") / F.log2(F.col("depths").cast("double"))).otherwise(1.0)
-    both = s.crossJoin(F.broadcast(order))  # one row each
-    index = 0.3 * organised + 0.3 / (1 + F.abs("slope")) + 0.2 / (1 + F.col("variance")) + 0.2
-    return both.select(F.round("slope", 6).alias("slope"), F.round("variance", 6).alias("variance"), F.round(index, 6).alias("index"))
+    hist = depth_histogram(deep)
+    top = hist.agg(F.max("depth").cast("double").alias("top"))
+    h = entropy_of(hist, [], "opens").select("entropy")
+    share = F.col("entropy") / F.when(F.col("top") > 1, F.log2("top")).otherwise(1.0)
+    organised = h.crossJoin(F.broadcast(top)).select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - share)).alias("organisation"))
+    slope = stratified(deep).agg((1 / (1 + F.abs(F.coalesce(F.regr_slope("entropy", F.col("depth").cast("double")), F.lit(0.0))))).alias("gradient"))
+    regular = groups.agg((1 / (1 + F.coalesce(F.var_pop(F.col("n_ones") + F.col("n_zeros")), F.lit(0.0)))).alias("regularity"))
+    there = symbols.where("sym in ('(', ')')").agg(F.count(F.lit(1)).alias("there"))
+    paired = groups.agg(F.count(F.lit(1)).alias("groups"))
+    balance = there.crossJoin(F.broadcast(paired)).select(F.when(F.col("there") == 2 * F.col("groups"), 1.0).otherwise(0.0).alias("balance"))
+    out = organised
+    for part in (slope, regular, balance):  # one row each
+        out = out.crossJoin(F.broadcast(part))
+    return out
+
+
+def order_index(parts: DataFrame) -> DataFrame:
+    """The parts and their weighted sum, index."""
+    index = sum((F.col(k) * w for k, w in ORDER_WEIGHTS.items()), F.lit(0.0))
+    return parts.select(*[F.round(k, 6).alias(k) for k in ORDER_WEIGHTS], F.round(index, 6).alias("index"))
 
 
 def depth_correlation(deep: DataFrame) -> DataFrame:
@@ -128,3 +177,8 @@ def subtree_sizes(deep: DataFrame, groups: DataFrame) -> DataFrame:
     at = par.select("seq_id", F.col("pos").alias("open_pos"), F.col("closed").alias("c0"))
     to = par.select("seq_id", F.col("pos").alias("close_pos"), F.col("closed").alias("c1"))
     return groups.join(at, ["seq_id", "open_pos"]).join(to, ["seq_id", "close_pos"]).groupBy((F.col("c1") - F.col("c0")).alias("size")).agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def by_max_depth(stats: DataFrame) -> DataFrame:
+    """(max_depth, sequences, groups, bits): how many sequences nest how deep, with the groups that close and the bits in them."""
+    return stats.groupBy("max_depth").agg(F.count(F.lit(1)).alias("sequences"), F.sum(F.least("opens", "closes")).alias("groups"), F.sum("bits").alias("bits"))

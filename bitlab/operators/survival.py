@@ -44,15 +44,21 @@ def lifespans(patterns: DataFrame) -> DataFrame:
     return per.groupBy("span").agg(F.count(F.lit(1)).alias("patterns"), F.round(F.avg("total"), 6).alias("mean_total"))
 
 
-def best_threshold(patterns: DataFrame, candidates: int = 100) -> DataFrame:
-    """(threshold, kept, survival): of the candidate counts, the first whose patterns survive to the next iteration most often."""
+def best_threshold(patterns: DataFrame) -> DataFrame:
+    """(threshold, accuracy, lost_below, lost_above, survived_below, survived_above): the count that tells best which patterns survive to the next iteration.
+
+    Every count is a candidate; a pattern is told rightly if it is lost and below, or survives and is not. Of equals the smallest.
+    """
     nxt = patterns.select("pattern", (F.col("iteration") - 1).alias("iteration"), F.lit(1).alias("there"))
     last = patterns.agg(F.max("iteration").alias("last"))
     flagged = patterns.crossJoin(F.broadcast(last)).where("iteration < last").join(nxt, ["iteration", "pattern"], "left")  # one row
-    per = flagged.groupBy(F.least("n", F.lit(candidates)).alias("n")).agg(F.count(F.lit(1)).alias("k"), F.count("there").alias("s"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"))  # a row per candidate
-    rate = per.withColumn("kept", F.sum("k").over(down)).withColumn("surv", F.sum("s").over(down).cast("double") / F.sum("k").over(down))
-    return rate.orderBy(F.desc(F.round("surv", 9)), "n").limit(1).select(F.col("n").alias("threshold"), "kept", F.round("surv", 6).alias("survival"))
+    per = flagged.groupBy("n").agg(F.count(F.lit(1)).alias("k"), F.count("there").alias("s"))
+    every, below = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct count
+    sums = per.select("n", *[F.coalesce(F.sum(x).over(below), F.lit(0)).alias(f"{x}_below") for x in "ks"], *[F.sum(x).over(every).alias(f"{x}_all") for x in "ks"])
+    lost_below, survived_above = F.col("k_below") - F.col("s_below"), F.col("s_all") - F.col("s_below")
+    rated = sums.withColumn("right", lost_below + survived_above).orderBy(F.desc("right"), "n").limit(1)
+    lost_above = F.col("k_all") - F.col("s_all") - lost_below
+    return rated.select(F.col("n").alias("threshold"), F.round(F.col("right").cast("double") / F.col("k_all") * 100, 6).alias("accuracy"), lost_below.alias("lost_below"), lost_above.alias("lost_above"), F.col("s_below").alias("survived_below"), survived_above.alias("survived_above"))
 
 
 def curvature(steps: DataFrame) -> DataFrame:

@@ -136,7 +136,8 @@ def pattern_overlaps(spark, d):
     return patterns.overlaps(patterns.pattern_counts(event_bits(spark, d), range(2, 7))).select("left", "right", "overlap", "whole")
 
 
-TORSION = ["01", "10", "00", "11", "010", "101", "0110", "1001", "0101", "1010", "001", "110"]
+#: The patterns whose torsion is measured.
+TORSION = ["00", "11", "01", "10", "000", "111", "010", "101", "0000", "1111", "0101", "1010"]
 
 
 @query(grams("evs", [2, 3, 4]) + f""", z AS (SELECT *, (SELECT (max(pos) + 1) // 10 FROM ev) AS w FROM g WHERE pattern IN ({", ".join(f"'{p}'" for p in TORSION)})),
@@ -154,8 +155,8 @@ i AS (SELECT CAST(ctx_len AS INTEGER) AS ctx_len, ctx, CAST(coalesce(segment, -1
   FROM r GROUP BY GROUPING SETS ((ctx_len, ctx, segment), (ctx_len, ctx)))"""
 RULES = INDEX + """, a AS (SELECT ctx_len, ctx, CASE WHEN c1 > c0 THEN 1 ELSE 0 END AS prediction, n AS support, CAST(greatest(c0, c1) AS DOUBLE) / n AS precision FROM i WHERE segment = -1),
 b AS (SELECT i.ctx_len, i.ctx, CAST(CASE WHEN prediction = 1 THEN c1 ELSE c0 END AS DOUBLE) / n AS share FROM i JOIN a USING (ctx_len, ctx) WHERE segment >= 0),
-c AS (SELECT ctx_len, ctx, greatest(0, avg(share) - stddev_pop(share)) AS stability FROM b GROUP BY 1, 2),
-rr AS (SELECT ctx_len, ctx, prediction, support, round(precision, 6) AS precision, round(stability, 6) AS stability FROM a JOIN c USING (ctx_len, ctx))"""
+c AS (SELECT ctx_len, ctx, greatest(0, avg(share) - stddev_pop(share)) AS stability, count(*) FILTER (share > 0) / 4.0::DOUBLE AS reproducibility FROM b GROUP BY 1, 2),
+rr AS (SELECT ctx_len, ctx, prediction, support, round(precision, 6) AS precision, round(stability, 6) AS stability, round(reproducibility, 6) AS reproducibility FROM a JOIN c USING (ctx_len, ctx))"""
 
 
 @query(INDEX + " SELECT * FROM i")
@@ -171,7 +172,7 @@ def rule_metrics(spark, d):
 
 
 @query(RULES + """, x AS (SELECT *, 'after ' || ctx || ' comes ' || prediction AS description FROM rr), y AS (SELECT *, length(description) / 100.0::DOUBLE + 1 + 0.5 * ctx_len AS cx FROM x)
-SELECT ctx, description, round(cx, 6) AS complexity, round(least(1, greatest(0, 0.3::DOUBLE * precision + 0.25::DOUBLE * stability + 0.25::DOUBLE * precision + 0.2::DOUBLE / (1 + cx))), 6) AS quality, ((precision = 1 AND support <= 1) OR precision < 0.8) AS trivial FROM y""")
+SELECT ctx, description, round(cx, 6) AS complexity, round(least(1, greatest(0, 0.3::DOUBLE * reproducibility + 0.25::DOUBLE * stability + 0.25::DOUBLE * precision + 0.2::DOUBLE * greatest(0, 1 - cx / 10.0::DOUBLE))), 6) AS quality, ((precision = 1 AND support <= 1) OR precision < 0.8) AS trivial FROM y""")
 def rule_complexity(spark, d):
     """Complexity and quality of the rules."""
     return rules.rule_complexity(rules.rule_metrics(rules.context_index(event_bits(spark, d), [1, 2, 3, 4, 5]))).drop("seq_id")
@@ -184,7 +185,7 @@ def rule_validation(spark, d):
     return rules.validation_summary(rules.rule_metrics(rules.context_index(event_bits(spark, d), [1, 2, 3, 4, 5]))).drop("seq_id")
 
 
-@query(grams("uss", [4]) + "," + TRANS + """, ids AS (SELECT seq_id, CAST(floor((row_number() OVER (ORDER BY seq_id) - 1) * 5 / count(*) OVER ()) AS INTEGER) AS fold FROM uss),
+@query(grams("uss", [4]) + "," + TRANS + """, ids AS (SELECT seq_id, CAST(CAST('0x' || substr(md5(seq_id), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM uss),
 p AS (SELECT ctx, CASE WHEN 2 * sum(support * nxt) > sum(support) THEN 1 ELSE 0 END AS prediction FROM t GROUP BY 1),
 a AS (SELECT ctx, fold, CAST(sum(CASE WHEN nxt = prediction THEN support ELSE 0 END) AS DOUBLE) / sum(support) AS acc FROM t JOIN ids USING (seq_id) JOIN p USING (ctx) GROUP BY 1, 2)
 SELECT ctx, round(avg(acc), 6) AS mean_accuracy, round(stddev_pop(acc), 6) AS std_accuracy, count(*) AS folds FROM a GROUP BY 1""")
@@ -262,10 +263,10 @@ TE = blocks_sql("ev", [1, 2, 4, 8]) + """, s AS (SELECT size, block, CASE WHEN 2
 h AS (SELECT size, block, x, lag(x, 3) OVER w || '' || lag(x, 2) OVER w || lag(x, 1) OVER w AS past FROM s WINDOW w AS (PARTITION BY size ORDER BY block)),
 j AS (SELECT a.size AS src, b.size AS dst, a.past AS xp, b.past AS yp, b.x AS y, count(*) AS n FROM h a JOIN h b ON a.block = b.block AND a.size <> b.size WHERE a.past IS NOT NULL AND b.past IS NOT NULL GROUP BY ALL),
 jj AS (SELECT *, CAST(sum(n) OVER (PARTITION BY src, dst) AS DOUBLE) AS t, CAST(sum(n) OVER (PARTITION BY src, dst, yp, xp) AS DOUBLE) AS n_yx, CAST(sum(n) OVER (PARTITION BY src, dst, yp) AS DOUBLE) AS n_y, CAST(sum(n) OVER (PARTITION BY src, dst, yp, y) AS DOUBLE) AS n_yy FROM j),
-te AS (SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, CAST(sum(n) AS BIGINT) AS n, round(greatest(0, sum(n / t * log2(n * n_y / (n_yx * n_yy)))), 6) AS te FROM jj GROUP BY 1, 2)"""
+te AS (SELECT CAST(src AS INTEGER) AS src, CAST(dst AS INTEGER) AS dst, CAST(sum(n) AS BIGINT) AS n, greatest(0, sum(n / t * log2(n * n_y / (n_yx * n_yy)))) AS te FROM jj GROUP BY 1, 2)"""
 
 
-@query(TE + " SELECT * FROM te")
+@query(TE + " SELECT src, dst, n, round(te, 6) AS te FROM te")
 def transfer_entropy(spark, d):
     """Transfer entropy between four scales, both ways."""
     return entropy.transfer_entropy(event_bits(spark, d), [1, 2, 4, 8]).drop("seq_id")
@@ -275,7 +276,7 @@ def transfer_entropy(spark, d):
 SELECT round(up, 6) AS up, round(down, 6) AS down, round(up - down, 6) AS asymmetry, CASE WHEN up - down > 0.01 THEN 'bottom-up' WHEN up - down < -0.01 THEN 'top-down' ELSE 'balanced' END AS direction FROM a""")
 def transfer_directions(spark, d):
     """The balance of the two ways."""
-    return entropy.directions(entropy.transfer_entropy(event_bits(spark, d), [1, 2, 4, 8])).drop("seq_id")
+    return entropy.directions(entropy.transfer_entropy(event_bits(spark, d), [1, 2, 4, 8], digits=None)).drop("seq_id")
 
 
 def runs_sql(table: str) -> str:
@@ -446,10 +447,13 @@ def containment(spark, d):
     return structure.containment(structure.nodes(_deep(spark, d)))
 
 
-@query(NODES + " SELECT count(*) AS groups, round(avg(n_ones + n_zeros), 6) AS mean_length, round(stddev_samp(n_ones + n_zeros), 6) AS std_length, count(DISTINCT (n_ones, n_zeros)) AS distinct_contents, round(1 - CAST(count(DISTINCT (n_ones, n_zeros)) AS DOUBLE) / count(*), 6) AS repetition FROM nd")
+@query(NODES + """, bs AS (SELECT seq_id, string_agg(sym, '' ORDER BY pos) AS s FROM dp WHERE sym IN ('0', '1') GROUP BY 1),
+ct AS (SELECT nd.*, coalesce(substr(s, CAST(op.ones + op.zeros + 1 AS INTEGER), CAST(n_ones + n_zeros AS INTEGER)), '') AS content FROM nd JOIN op ON op.seq_id = nd.seq_id AND op.pos = nd.open_pos LEFT JOIN bs ON bs.seq_id = nd.seq_id)
+SELECT count(*) AS groups, round(avg(n_ones + n_zeros), 6) AS mean_length, round(stddev_samp(n_ones + n_zeros), 6) AS std_length, count(DISTINCT content) AS distinct_contents, round(1 - CAST(count(DISTINCT content) AS DOUBLE) / count(*), 6) AS repetition FROM ct""")
 def containment_summary(spark, d):
     """Their lengths and repetition."""
-    return structure.containment_summary(structure.nodes(_deep(spark, d)))
+    deep = _deep(spark, d)
+    return structure.containment_summary(deep, structure.nodes(deep))
 
 
 STRATA = DEEP + f""", i AS (SELECT *, coalesce(lag(sym) OVER (PARTITION BY seq_id ORDER BY pos), '(') IN ('0', '1') AS goes_on FROM dp),
@@ -473,12 +477,24 @@ def depth_order(spark, d):
     return structure.depth_order(_deep(spark, d))
 
 
-@query(STRATA + "," + ORDER + """, x AS (SELECT coalesce(regr_slope(entropy, depth), 0) AS slope, coalesce(var_pop(entropy), 0) AS variance FROM ss)
-SELECT round(slope, 6) AS slope, round(variance, 6) AS variance, round(0.3::DOUBLE * CASE WHEN depths > 1 THEN 1 - h1.entropy / log2(depths) ELSE 1 END + 0.3::DOUBLE / (1 + abs(slope)) + 0.2::DOUBLE / (1 + variance) + 0.2::DOUBLE, 6) AS index FROM x, h1""")
-def order_index(spark, d):
-    """The order emergence index."""
+PARTS = NODES + STRATA[len(DEEP) :] + """,
+hh AS (SELECT depth, count(*) AS opens FROM dp WHERE sym = '(' GROUP BY 1),
+p1 AS (SELECT greatest(0, least(1, 1 - -sum(CAST(opens AS DOUBLE) / t * log2(CAST(opens AS DOUBLE) / t)) / CASE WHEN max(depth) > 1 THEN log2(max(depth)) ELSE 1 END)) AS organisation FROM (SELECT *, sum(opens) OVER () AS t FROM hh)),
+p2 AS (SELECT 1 / (1 + abs(coalesce(regr_slope(entropy, depth), 0))) AS gradient FROM ss),
+p3 AS (SELECT 1 / (1 + coalesce(var_pop(n_ones + n_zeros), 0)) AS regularity, count(*) AS groups FROM nd),
+pp AS (SELECT organisation, gradient, regularity, CASE WHEN (SELECT count(*) FROM sy WHERE sym IN ('(', ')')) = 2 * groups THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS balance FROM p1, p2, p3)"""
+
+
+def order_parts(spark: SparkSession, d: str) -> DataFrame:
+    """What the order index weighs, over all users' symbols."""
     deep = _deep(spark, d)
-    return structure.order_index(structure.stratified(deep), structure.depth_order(deep))
+    return structure.order_parts(user_symbols(spark, d), deep, structure.nodes(deep))
+
+
+@query(PARTS + " SELECT round(organisation, 6) AS organisation, round(gradient, 6) AS gradient, round(regularity, 6) AS regularity, balance, round(0.3::DOUBLE * organisation + 0.3::DOUBLE * gradient + 0.2::DOUBLE * regularity + 0.2::DOUBLE * balance, 6) AS index FROM pp")
+def order_index(spark, d):
+    """The order emergence index and its parts."""
+    return structure.order_index(order_parts(spark, d))
 
 
 @query(DEEP + """, b AS (SELECT seq_id, depth, CAST(sym AS INTEGER) AS b, row_number() OVER (PARTITION BY seq_id, depth ORDER BY pos) AS k FROM dp WHERE sym IN ('0', '1'))
@@ -545,11 +561,11 @@ def pattern_lifespans(spark, d):
     return survival.lifespans(_patterns(spark, d))
 
 
-@query(PAT + """, f AS (SELECT least(p.n, 100) AS n, a.pattern IS NOT NULL AS there FROM p LEFT JOIN p a ON a.pattern = p.pattern AND a.iteration = p.iteration + 1 WHERE p.iteration < (SELECT max(iteration) FROM p)),
-c AS (SELECT n, count(*) AS k, count(*) FILTER (there) AS s FROM f GROUP BY 1), r AS (SELECT n, CAST(sum(k) OVER w AS BIGINT) AS kept, CAST(sum(s) OVER w AS DOUBLE) / sum(k) OVER w AS surv FROM c WINDOW w AS (ORDER BY n DESC))
-SELECT n AS threshold, kept, round(surv, 6) AS survival FROM r ORDER BY round(surv, 9) DESC, n LIMIT 1""")
+@query(PAT + """, f AS (SELECT p.n, a.pattern IS NOT NULL AS there FROM p LEFT JOIN p a ON a.pattern = p.pattern AND a.iteration = p.iteration + 1 WHERE p.iteration < (SELECT max(iteration) FROM p)),
+c AS (SELECT DISTINCT n AS t FROM f), r AS (SELECT t, count(*) FILTER (NOT there AND n < t) AS lb, count(*) FILTER (NOT there AND n >= t) AS la, count(*) FILTER (there AND n < t) AS sb, count(*) FILTER (there AND n >= t) AS sa FROM c, f GROUP BY 1)
+SELECT t AS threshold, round(CAST(lb + sa AS DOUBLE) / (lb + la + sb + sa) * 100, 6) AS accuracy, lb AS lost_below, la AS lost_above, sb AS survived_below, sa AS survived_above FROM r ORDER BY lb + sa DESC, t LIMIT 1""")
 def survival_threshold(spark, d):
-    """The count above which patterns survive best."""
+    """The count that tells best which patterns survive."""
     return survival.best_threshold(_patterns(spark, d))
 
 
@@ -618,6 +634,58 @@ def collapse_tree(spark, d):
     return collapse.tree_collapse(structure.nodes(_deep(spark, d)))
 
 
+FIRST = r"regexp_replace(s, '^(.*?)\([01]+\)', CASE WHEN regexp_matches(regexp_extract(s, '\(([01]+)\)', 1), '^1+$') THEN '\11' ELSE '\10' END)"
+WHOLE = "CASE WHEN regexp_matches({}, '^1+$') THEN '1' ELSE '0' END"
+FRAMES = r"regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(s, '1\(1+\)|\(1+\)1', 'u', 'g'), '1\([01]+\)|\([01]+\)1', 'z', 'g'), 'uz', '10'), '0{2,}', '0', 'g'), '1{2,}', '1', 'g')"
+
+
+@query(TEXTS + f" SELECT seq_id, {FIRST} AS first_local, {WHOLE.format(FIRST)} AS first_whole, {WHOLE.format(LOCAL.format('s'))} AS pass_whole, {FRAMES} AS frames FROM tx")
+def collapse_steps(spark, d):
+    """The leftmost group alone, each pass with the whole state after it, and atomic frames."""
+    s = F.col("s")
+    first = collapse.collapse_first(s)
+    return _texts(spark, d).select("seq_id", first.alias("first_local"), collapse.then_whole(first).alias("first_whole"), collapse.then_whole(collapse.collapse_local(s)).alias("pass_whole"), collapse.collapse_frames(s).alias("frames"))
+
+
+@query(DEEP + " , t AS (SELECT seq_id, count(*) FILTER (sym = '(') AS o, count(*) FILTER (sym = ')') AS c, max(depth) AS max_depth, count(*) FILTER (sym IN ('0', '1')) AS bits FROM dp GROUP BY 1) SELECT max_depth, count(*) AS sequences, CAST(sum(least(o, c)) AS BIGINT) AS groups, CAST(sum(bits) AS BIGINT) AS bits FROM t GROUP BY 1")
+def sequences_by_depth(spark, d):
+    """Users by how deep their symbols nest."""
+    return structure.by_max_depth(structure.depth_stats(_deep(spark, d)))
+
+
+@query(grams("evs", [4, 5, 6]) + ", r AS (SELECT pattern, pos, count(*) OVER (PARTITION BY pattern) AS n, row_number() OVER (PARTITION BY pattern ORDER BY pos) AS i FROM g) SELECT pattern, any_value(n) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM r WHERE i <= 100 GROUP BY 1")
+def pattern_positions(spark, d):
+    """Counts of patterns and where they are first seen."""
+    found = patterns.positions(event_bits(spark, d), range(4, 7))
+    return found.select("pattern", "n", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query(grams("evs", [4, 5, 6, 7, 8]) + """, m AS (SELECT pattern, 'sliding' AS method, count(*) AS n FROM g WHERE len < 8 GROUP BY 1 UNION ALL SELECT pattern, 'tiles', count(*) FROM g WHERE pos % len = 0 AND len > 5 GROUP BY 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, method) AS i FROM m) SELECT pattern, method, n FROM b WHERE i = 1 AND n >= 2""")
+def merged_patterns(spark, d):
+    """Sliding patterns and tiles as one set without duplicates."""
+    bits = event_bits(spark, d)
+    sliding = patterns.pattern_counts(bits, range(4, 8), 1).select("pattern", F.lit("sliding").alias("method"), "n")
+    tiles = patterns.tiles(bits, [6, 7, 8], 1).select(F.col("tile").alias("pattern"), F.lit("tiles").alias("method"), "n")
+    return patterns.merged(sliding, tiles)
+
+
+@query(grams("evs", [3, 4, 5, 6, 7, 8]) + """, c AS (SELECT pattern, count(*) AS n, len AS k FROM g GROUP BY 1, 3 HAVING count(*) >= 2),
+x AS (SELECT pattern, n, k, list_transform(string_split(pattern, ''), lambda v: CAST(v AS INTEGER)) AS b FROM c),
+y AS (SELECT *, list_sum(list_transform(range(1, k), lambda l: list_sum(list_transform(range(1, k - l + 1), lambda i: b[i] * b[i + l])))) AS total FROM x)
+SELECT pattern, n, round(CASE WHEN k >= 4 THEN CAST(total AS DOUBLE) / greatest(list_sum(b), 1) / (k - 1) ELSE 0 END, 6) AS autosimilarity FROM y""")
+def pattern_autosimilarity(spark, d):
+    """How much patterns are like themselves when shifted."""
+    return patterns.autosimilarity(patterns.pattern_counts(event_bits(spark, d), range(3, 9)).select("pattern", "n"))
+
+
+@query(grams("uss", [4]) + "," + TRANS + """, r AS (SELECT ctx, nxt, support, round(CAST(support AS DOUBLE) / total, 6) AS confidence FROM tt),
+b AS (SELECT *, row_number() OVER (PARTITION BY ctx, nxt ORDER BY confidence DESC, support DESC) AS i FROM r) SELECT ctx, nxt, support, confidence FROM b WHERE i = 1""")
+def distinct_rules(spark, d):
+    """Users' rules without duplicates."""
+    return rules.distinct_rules(rules.transitions(user_bits(spark, d), [3]))
+
+
 @query(None)
 def collapse_blocks(spark, d):
     """Blocks cut where no group is open, each collapsed once."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bitlab.functions import kernels
 from bitlab.operators import entropy, patterns, reports, rules, scaling, structure, survival
 from bitlab.operators.chunks import chunks
-from bitlab.plans.catalog import COUNTS, DAILY, DFA_SIZES, GAPS, PAT, TRANS, _deep, _lengths, _patterns, grams, query
+from bitlab.plans.catalog import COUNTS, DAILY, DFA_SIZES, GAPS, PARTS, PAT, TRANS, _lengths, _patterns, grams, order_parts, query, runs_sql
 from bitlab.sources.generators import shuffled
 from bitlab.sources.tables import event_bits, order_bits, user_bits
 
@@ -59,20 +59,20 @@ def common_substrings(spark, d):
     return reports.common_substrings(reports.contexts_around(event_bits(spark, d), "0110", 3), range(2, 4))
 
 
-SIM = grams("evs", [8]) + """, b AS (SELECT pattern, count(*) AS n FROM g WHERE pos % 8 = 0 GROUP BY 1 ORDER BY n DESC, pattern LIMIT 64),
+SIM = grams("evs", [8]) + """, b AS (SELECT pattern, count(*) AS n FROM g WHERE pos % 8 = 0 GROUP BY 1),
 m AS (SELECT x.pattern AS a, y.pattern AS b, round(1 - CAST(list_sum(list_transform(range(1, 9), lambda i: CASE WHEN substr(x.pattern, i, 1) <> substr(y.pattern, i, 1) THEN 1 ELSE 0 END)) AS DOUBLE) / 8, 6) AS match FROM b x JOIN b y ON x.pattern < y.pattern)"""
 
 
 @query(SIM + " SELECT * FROM m")
 def block_similarity(spark, d):
-    """Similarity of the 64 commonest blocks of 8 bits."""
-    return reports.block_similarity(event_bits(spark, d), 8, 64)
+    """Similarity of all blocks of 8 bits."""
+    return reports.block_similarity(event_bits(spark, d), 8)
 
 
 @query(SIM + ", o AS (SELECT a FROM m WHERE match >= 0.8 UNION ALL SELECT b FROM m WHERE match >= 0.8) SELECT a, count(*) AS neighbours FROM o GROUP BY 1")
 def block_neighbours(spark, d):
     """How many of them are alike."""
-    return reports.similar_groups(reports.block_similarity(event_bits(spark, d), 8, 64), 0.8)
+    return reports.similar_groups(reports.block_similarity(event_bits(spark, d), 8), 0.8)
 
 
 @query(GAPS + f", m AS (SELECT pattern, count(*) AS gaps, round(avg(gap), 6) AS mean_gap FROM q GROUP BY 1) SELECT count(*) AS patterns, round(CAST(sum(greatest(0, 1 - abs(mean_gap / 6 - {reports.PHI}::DOUBLE) / {reports.PHI}::DOUBLE) * gaps) AS DOUBLE) / sum(gaps), 6) AS coherence FROM m")
@@ -143,11 +143,16 @@ def pattern_evolution(spark, d):
     return per.withColumn("change", F.round(F.col("patterns").cast("double") / F.lag("patterns").over(w), 6)).orderBy(F.desc("iteration")).limit(3)
 
 
-@query(None)
+DRAW = "CASE WHEN u < 24109 THEN 0 WHEN u < 48219 THEN 1 WHEN u < 60273 THEN 2 WHEN u < 64292 THEN 3 WHEN u < 65296 THEN 4 ELSE 5 END"
+
+
+@query(runs_sql("ev") + f""", x AS (SELECT len, g, i, CAST('0x' || substr(md5(seq_id || '|' || start || '|' || g), 4 * i + 1, 4) AS INTEGER) AS u FROM r, range(12) a(g), range(8) b(i)),
+m AS (SELECT g, i, CAST(sum(len * {DRAW}) AS DOUBLE) / sum({DRAW}) AS m FROM x GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM r) AS n, (SELECT round(avg(len), 6) FROM r) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_runs(spark, d):
     """An interval for the mean length of runs."""
-    out = reports.bootstrap_mean(scaling.runs(event_bits(spark, d)), "len")
-    return out.select("n", F.round("mean", 6).alias("mean"), (F.col("low") <= F.col("mean")).alias("above_low"), (F.col("mean") <= F.col("high")).alias("below_high"))
+    out = reports.bootstrap_mean(scaling.runs(event_bits(spark, d)), "len", ["seq_id", "start"])
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query(None)
@@ -160,13 +165,13 @@ def permutation_runs(spark, d):
     return null.crossJoin(F.broadcast(own)).groupBy("runs").agg(F.round(F.avg("r"), 4).alias("null_mean"), F.round(F.avg((F.col("r") >= F.col("runs")).cast("double")), 4).alias("p"))  # one row
 
 
-@query(None)
+@query(PARTS + """, w AS (SELECT * FROM (VALUES ('organisation', 0.3::DOUBLE), ('gradient', 0.3::DOUBLE), ('regularity', 0.2::DOUBLE), ('balance', 0.2::DOUBLE)) v(weight, w)),
+m AS (SELECT a.weight, c.change, b.weight AS part, CASE WHEN a.weight = b.weight THEN greatest(0.05::DOUBLE, b.w + c.change) ELSE b.w END AS w FROM w a, w b, (VALUES (-0.1::DOUBLE), (0.1::DOUBLE)) c(change)),
+v AS (UNPIVOT pp ON organisation, gradient, regularity, balance INTO NAME part VALUE x)
+SELECT weight, change, round(sum(w * x) / sum(w), 6) AS index FROM m JOIN v USING (part) GROUP BY 1, 2""")
 def order_sensitivity(spark, d):
     """The order index as its weights move."""
-    deep = _deep(spark, d)
-    order = structure.depth_order(deep).select((1 - F.col("entropy") / F.log2(F.greatest(F.col("depths"), F.lit(2)).cast("double"))).alias("organisation"))
-    s = structure.order_index(structure.stratified(deep), structure.depth_order(deep)).select((1 / (1 + F.abs("slope"))).alias("gradient"), (1 / (1 + F.col("variance"))).alias("evenness"), F.lit(1.0).alias("balance"))
-    return reports.sensitivity(order.crossJoin(F.broadcast(s)), {"organisation": 0.3, "gradient": 0.3, "evenness": 0.2, "balance": 0.2})  # one row each
+    return reports.sensitivity(order_parts(spark, d), structure.ORDER_WEIGHTS)
 
 
 @query(None)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitlab.functions import codec, kernels
-from bitlab.operators import collapse, grid, patterns, rules, scaling, structure, survival
+from bitlab.operators import collapse, grid, patterns, reports, rules, scaling, structure, survival
 from bitlab.operators.chunks import bit_ngrams, chunks, ngrams, running_sum
 from bitlab.plans import catalog
 from bitlab.sources import generators, snapshots
@@ -256,3 +256,66 @@ def test_pattern_documents(spark, tmp_path):
 def test_stratified(spark):
     got = snapshots.stratified(bits_of(spark, a=random_text(1000)), 500, 30).groupBy("segment").agg(F.min("pos").alias("a"), F.count(F.lit(1)).alias("n")).collect()
     assert len(got) == 10 and all(r["n"] == 30 and r["segment"] * 100 <= r["a"] <= r["segment"] * 100 + 70 for r in got)
+
+
+def symbols_of(spark, **texts):
+    return spark.createDataFrame([(k, i, c) for k, t in texts.items() for i, c in enumerate(t)], "seq_id string, pos long, sym string")
+
+
+def test_contents_are_told_apart_by_order(spark):
+    deep = structure.depths(symbols_of(spark, a="(01)(10)(01)((01)1)", b="(011)()(10)"))
+    groups = structure.nodes(deep)
+    got = structure.contents(deep, groups).select("seq_id", "open_pos", "h1", "h2").collect()
+    content = {("a", 0): "01", ("a", 4): "10", ("a", 8): "01", ("a", 12): "011", ("a", 13): "01", ("b", 0): "011", ("b", 5): "", ("b", 7): "10"}
+    by = {}
+    for r in got:
+        by.setdefault(content[r["seq_id"], r["open_pos"]], set()).add((r["h1"], r["h2"]))
+    assert len(got) == len(content) and all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
+    assert structure.containment_summary(deep, groups).first()["distinct_contents"] == 4
+
+
+def test_order_index_by_hand(spark):
+    """((01)1)(1): depths 1, 2, 1; strata 1: bits 1, 1 and 2: 0, 1; lengths 3, 2, 1; balanced."""
+    s = symbols_of(spark, a="((01)1)(1)")
+    deep = structure.depths(s)
+    got = structure.order_index(structure.order_parts(s, deep, structure.nodes(deep))).first()
+    entropy = -(2 / 3 * np.log2(2 / 3) + 1 / 3 * np.log2(1 / 3))
+    want = (1 - entropy / np.log2(2), 1 / (1 + 1), 1 / (1 + np.var([3, 2, 1])), 1.0)
+    assert tuple(got)[:4] == pytest.approx(want, abs=1e-6)
+    assert got["index"] == pytest.approx(0.3 * want[0] + 0.3 * want[1] + 0.2 * want[2] + 0.2 * want[3], abs=1e-6)
+    open_ = symbols_of(spark, a="((01)1)(1)(")
+    deep = structure.depths(open_)
+    assert structure.order_parts(open_, deep, structure.nodes(deep)).first()["balance"] == 0
+
+
+def test_first_collapse(spark):
+    from bitlab.operators import collapse
+
+    cases = {"(01)(10)(11)": "0(10)(11)", "((01)1)": "(01)", "(11)(0)": "1(0)", "0(1(11)0)": "0(110)", "0110": "0110", "()(01)": "()0", "((0)(11))": "(0(11))"}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    got = {r["s"]: r["x"] for r in df.select("s", collapse.collapse_first(F.col("s")).alias("x")).collect()}
+    import re
+
+    want = {k: re.sub(r"\([01]+\)", lambda m: "1" if set(m[0].strip("()")) == {"1"} else "0", k, count=1) for k in cases}
+    assert got == want == cases
+
+
+def test_threshold_tells_survivors(spark):
+    rows = [(0, "a", 250), (0, "b", 7), (0, "c", 300), (0, "d", 9), (0, "e", 240), (1, "a", 5), (1, "c", 5), (1, "e", 5)]
+    got = survival.best_threshold(spark.createDataFrame(rows, "iteration int, pattern string, n long")).first()
+    assert (got["threshold"], got["accuracy"], got["lost_below"], got["survived_above"]) == (240, 100.0, 2, 3)
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    rows = spark.range(500).selectExpr("id", "id % 7 AS v")
+    a, b = (reports.bootstrap_mean(x, "v", ["id"]).first() for x in (rows.coalesce(1), rows.repartition(9)))
+    assert a == b and a["low"] < a["mean"] < a["high"]
+    assert a["high"] - a["low"] == pytest.approx(2 * 1.96 * np.std(np.arange(500) % 7) / np.sqrt(500), rel=0.35)
+
+
+def test_merged_and_distinct(spark):
+    one = spark.createDataFrame([("01", "x", 5), ("011", "x", 1)], "pattern string, method string, n long")
+    two = spark.createDataFrame([("01", 9), ("011", 1), ("00", 3)], "pattern string, n long").withColumn("method", F.lit("y"))
+    assert sorted(map(tuple, patterns.merged(one, two).collect())) == [("00", "y", 3), ("01", "y", 9)]
+    t = spark.createDataFrame([("a", "01", 1, 4, 0.5), ("b", "01", 1, 9, 0.7), ("b", "00", 0, 2, 1.0)], "seq_id string, ctx string, nxt int, support long, confidence double")
+    assert list(map(tuple, rules.distinct_rules(t, 1).collect())) == [("00", 0, 2, 1.0)] and rules.distinct_rules(t).count() == 2
