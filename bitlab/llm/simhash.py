@@ -120,12 +120,12 @@ def _replicate(fps: np.ndarray, layout: str, max_bits: int) -> tuple[np.ndarray,
     return np.concatenate(keys), np.concatenate(who)
 
 
-def _flipped(words: np.ndarray, width: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(band and value, index of the row) for each band's value and those one bit away; bands lie in ``words`` one after the other."""
+def _flipped(words: np.ndarray, width: int, bands: range) -> tuple[np.ndarray, np.ndarray]:
+    """(band and value, index of the row) for each of the bands' values and those one bit away; bands lie in ``words`` one after the other."""
     per = 64 // width
     flips = np.array([0, *(1 << i for i in range(width))], np.uint64)
-    keys = [(words[:, b // per, None] >> np.uint64(b % per * width) & np.uint64((1 << width) - 1)) ^ flips | np.uint64(b) << np.uint64(38) for b in range(bands)]
-    return np.concatenate([k.ravel() for k in keys]), np.tile(np.repeat(np.arange(len(words)), width + 1), bands)
+    keys = [(words[:, b // per, None] >> np.uint64(b % per * width) & np.uint64((1 << width) - 1)) ^ flips | np.uint64(b) << np.uint64(38) for b in bands]
+    return np.concatenate([k.ravel() for k in keys]), np.tile(np.repeat(np.arange(len(words)), width + 1), len(bands))
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -200,9 +200,14 @@ def _close(fp: np.ndarray, chk: np.ndarray, a: slice, b: slice, max_bits: int, m
     return near
 
 
-def spanning_links(fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: int) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the links within a run, compared in blocks; at most one less than its rows."""
-    label, out = np.arange(len(fp)), []
+def spanning_links(fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the links within a run, compared in blocks; at most one less than its rows.
+
+    Rows of equal ``known`` are connected already.
+    """
+    label, out = np.arange(len(fp)) if known is None else np.unique(known, return_inverse=True)[1], []
+    if label.max() == 0:
+        return out
     for i in range(0, len(fp), 256):
         rows = slice(i, i + 256)
         near = _close(fp, chk, rows, slice(i, None), max_bits, max_total)
@@ -216,20 +221,23 @@ def spanning_links(fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: in
     return out
 
 
-def links_in_runs(key: np.ndarray, fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: int) -> tuple[np.ndarray, np.ndarray]:
+def links_in_runs(key: np.ndarray, fp: np.ndarray, chk: np.ndarray, max_bits: int, max_total: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links (nodes, see ``node_of``) between rows of equal keys in sorted arrays.
 
     In runs of up to 64 rows closest pairs come first, so runs that share rows tend to give the same links.
+    Rows of equal ``known`` are connected already and not linked again.
     """
     node = (fp ^ (chk << np.uint64(1) | chk >> np.uint64(63))).view(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     lengths = np.diff(np.concatenate([starts, [len(key)]]))
     short = np.flatnonzero(np.repeat(lengths, lengths) <= 64)
     k, f, c, who = key[short], fp[short], chk[short], node[short]
+    group = None if known is None else known[short]
     close = [np.zeros((3, 0), np.int64)]
     for lag in range(1, min(len(k), int(lengths[lengths <= 64].max(initial=1)))):
         bits = np.bitwise_count(f[lag:] ^ f[:-lag])
-        hit = np.flatnonzero((k[lag:] == k[:-lag]) & (bits <= max_bits))
+        met = (k[lag:] == k[:-lag]) & (bits <= max_bits)
+        hit = np.flatnonzero(met if group is None else met & (group[lag:] != group[:-lag]))
         total = bits[hit].astype(np.int64) + np.bitwise_count(c[lag:][hit] ^ c[:-lag][hit])
         near = total <= max_total
         close.append(np.stack([total[near], hit[near], hit[near] + lag]))
@@ -245,30 +253,32 @@ def links_in_runs(key: np.ndarray, fp: np.ndarray, chk: np.ndarray, max_bits: in
 
     tree = []
     for x, y in pairs[1:].T.tolist():
-        u, v = find(x), find(y)
+        u, v = (find(x), find(y)) if group is None else (find(int(group[x])), find(int(group[y])))
         if u != v:
             root[v] = u
             tree.append((x, y))
     tree = np.array(tree, np.int64).reshape(-1, 2)
     a, b = [who[tree[:, 0]]], [who[tree[:, 1]]]
     for s, n in zip(starts[lengths > 64], lengths[lengths > 64], strict=True):
-        if found := spanning_links(fp[s : s + n], chk[s : s + n], max_bits, max_total):
+        if found := spanning_links(fp[s : s + n], chk[s : s + n], max_bits, max_total, None if known is None else known[s : s + n]):
             x = np.array(found)
             a.append(node[s + x[:, 0]])
             b.append(node[s + x[:, 1]])
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout: str | None = None, bands: tuple[int, int] | None = None) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout: str | None = None, bands: tuple[int, range] | None = None) -> DataFrame:
     """(a, b) links between the nodes (see ``node_of``) of ``distinct`` (fp, chk) that connect all close pairs.
 
     Close: at most ``max_bits`` bits of fp differ, and at most ``max_total`` of fp and chk together. Each
     anchor's fingerprints are compared in one sorted run; an anchor with over ``BLOCK`` of them is
     dealt out as pairs of blocks, each compared in its own place. Of long runs a spanning forest
     is returned, so links stay linear in the fingerprints while components stay exact.
-    ``bands``: instead of a layout that meets every close pair, (width, number) of bands over all
+    ``bands``: instead of a layout that meets every close pair, (width, which ones) of bands over all
     fingerprints of ``distinct`` (fp, chk, more); close pairs that meet in none of them are not linked.
+    Fingerprints of equal ``known``, if ``distinct`` has that column, are connected already; they are not linked again.
     """
+    told = ["known"] if "known" in distinct.columns else []
     layout = layout or (None if bands else layout_for(distinct.count()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,27 +290,29 @@ def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout:
                     keys, who = _flipped(np.column_stack([fp, chk, rest]).astype(np.int64).view(np.uint64), *bands)
                 else:
                     keys, who = _replicate(fp.view(np.uint64), layout, max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), fp[who], chk[who])], names=["anchor", "fp", "chk"])
+                also = [b.column(b.num_columns - 1).slice(i, 2048).to_numpy(zero_copy_only=False)[who]] if told else []
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), fp[who], chk[who], *also)], names=["anchor", "fp", "chk", *told])
 
-    placed = distinct.select("fp", "chk", *(["more"] if bands else [])).mapInArrow(spread, "anchor long, fp long, chk long")  # cheaper told twice than written
+    as_longs = ", ".join(f"{c} long" for c in ("anchor", "fp", "chk", *told))
+    placed = distinct.select("fp", "chk", *(["more"] if bands else []), *told).mapInArrow(spread, as_longs)  # cheaper told twice than written
     full = placed.groupBy("anchor").count().where(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
     dealt = placed.join(stage(full, "full-anchors"), "anchor", "left")
     # of n blocks, block i meets each block j, itself included, in the cell (min, max)
     own = F.pmod(F.xxhash64("fp", "chk"), F.col("blocks"))
     cell = lambda j: F.xxhash64("anchor", F.least(F.col("own"), j), F.greatest(F.col("own"), j))
     keys = F.when(F.col("blocks").isNull(), F.array("anchor")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), cell))
-    runs = dealt.withColumn("own", own).select(F.explode(keys).alias("key"), "fp", "chk").repartition("key").sortWithinPartitions("key")
+    runs = dealt.withColumn("own", own).select(F.explode(keys).alias("key"), "fp", "chk", *told).repartition("key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)
+        held = np.zeros((3 + len(told), 0), np.int64)
 
         def done(rows: np.ndarray) -> pa.RecordBatch:
-            x, y = links_in_runs(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64), max_bits, max_total)
+            x, y = links_in_runs(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64), max_bits, max_total, *rows[3:])
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(p.copy()) for p in pairs], names=["a", "b"])
 
         for b in batches:
-            rows = np.concatenate([held, np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)])], axis=1)
+            rows = np.concatenate([held, np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(held))])], axis=1)
             last = np.flatnonzero(rows[0] != rows[0, -1])
             cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
             if cut:
@@ -466,7 +478,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     max_bits, max_total = _reach(similarity, 64, 2), _reach(similarity, 128, 2)
     staged = stage(fingerprints(docs, id_col, text_col, shingle, max(2, ceil(number / (64 // width)))), "fingerprints")
     distinct = _distinct(staged)
-    proposed = stage(links(distinct, max_bits, max_total, bands=(width, number)), "links")
+    # what the first band connects is not linked again at the anchors of the others
+    proposed = stage(links(distinct, max_bits, max_total, bands=(width, range(1))), "links")
+    if number > 1:
+        first = stage(components(proposed).withColumnRenamed("node", "linked"), "first-band")
+        told = distinct.join(_small(first), F.col("node") == F.col("linked"), "left").select("fp", "chk", "more", F.coalesce("component", "node").alias("known"))
+        rest = links(stage(told, "told"), max_bits, max_total, bands=(width, range(1, number)))
+        proposed = proposed.unionByName(stage(rest, "links"))
     linked = stage(components(proposed), "linked")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
