@@ -19,6 +19,12 @@ from pyspark.sql import functions as F
 from bitlab.llm.common import stage
 
 
+#: A side of a probe's join with at most this many rows is broadcast: five longs a row, some 10 MB.
+BROADCAST_ROWS = 1 << 17
+#: Probes that one task generates.
+TASK_PROBES = 1 << 18
+
+
 def segment_bits(n_codes: int) -> int:
     """The width of segments: 16 bits where codes fill so many values at least in part, else 8."""
     return 16 if n_codes >= 1 << 14 else 8
@@ -82,20 +88,30 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, rounds: list[int] |
     index = known.select(*c, "low", _segments(c, width).alias("s")).select(*c, "low", "s.seg", "s.value")
     distance = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(q, c, strict=True)), F.lit(0)).cast("int")
     open_ = stage(queries.select(*q).distinct().withColumn("bound", F.lit(64 * n_words)), "open")
+    n_open = open_.count()
     found = None
     for r in range(width + 1):
         scan = segments * comb(width, r) > n_codes
+        blocks = max(1, n_codes // 4096)
+        n_left, n_right = (n_open * blocks, n_codes) if scan else (n_open * segments * comb(width, r), n_codes * segments)
+        spread = open_.repartition(min(1 << 15, 1 + n_left // TASK_PROBES))
         if scan:
-            blocks = max(1, n_codes // 4096)
-            left = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            left = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
             right = known.withColumn("block", F.pmod(F.xxhash64(*c), F.lit(blocks)).cast("int"))
             on = left["block"] == right["block"]
         else:
             masks = F.array(*[F.lit(sum(1 << i for i in at)).cast("long") for at in combinations(range(width), r)])  # fewer than codes
-            probes = open_.select(*q, "bound", _segments(q, width).alias("s")).select(*q, "bound", "s.*", F.explode(masks).alias("mask"))
+            probes = spread.select(*q, "bound", _segments(q, width).alias("s")).select(*q, "bound", "s.*", F.explode(masks).alias("mask"))
             left = probes.select(*q, "bound", F.col("seg").alias("seg_"), F.col("value").bitwiseXOR(F.col("mask")).alias("value_"))
             right = index
             on = (F.col("seg_") == F.col("seg")) & (F.col("value_") == F.col("value"))
+        # both sides are exploded, so the planner would take them for as small as their files
+        if min(n_left, n_right) > BROADCAST_ROWS:
+            left = left.hint("merge")
+        elif n_left < n_right:
+            left = F.broadcast(left)
+        else:
+            right = F.broadcast(right)
         met = left.join(right, on & (distance <= F.col("bound"))).select(*q, *c, distance.alias("d"), "low")
         met = met if found is None else met.unionByName(found.drop("n"))
         found = stage(_best(met, q, c, k), "found")
