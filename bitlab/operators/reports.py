@@ -172,15 +172,17 @@ def sensitivity(parts: DataFrame, weights: dict[str, float], step: float = 0.1,
     return parts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def classify(value: Column, bands: list[tuple[float, str]], top: str) -> Column:
-    """The name of the first band whose upper bound exceeds the value."""
+def classify(value: Column, bands: list[tuple[float, str]], top: str, closed: bool = False) -> Column:
+    """The name of the first band whose upper bound exceeds the value; if ``closed``, the last bound belongs to its band. Null for null."""
     out = F.lit(top)
-    for bound, name in reversed(bands):
-        out = F.when(value < bound, name).otherwise(out)
-    return out
+    for i, (bound, name) in enumerate(reversed(bands)):
+        out = F.when(value <= bound if closed and i == 0 else value < bound, name).otherwise(out)
+    return F.when(value.isNotNull(), out)
 
 
-HURST = [(0.45, "anti-persistent"), (0.55, "random"), (0.75, "persistent"), (1.0, "strongly persistent")]
+#: Upper bounds of classes of scaling exponents and of mutual information.
+HURST = [(0.4, "anti-persistent"), (0.6, "uncorrelated"), (0.85, "persistent"), (1.1, "critical")]
+INFORMATION = [(0.01, "none"), (0.05, "weak"), (0.1, "moderate")]
 
 
 def complexity_index(h: Column, entropy_rate: Column, te_up: Column) -> Column:

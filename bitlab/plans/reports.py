@@ -182,7 +182,7 @@ def complexity_index(spark, d):
     e = entropy.block_entropy(bits, [8]).select("seq_id", "rate")
     t = entropy.directions(entropy.transfer_entropy(bits, [1, 2, 4])).select("seq_id", "up")
     out = h.join(e, "seq_id").join(t, "seq_id")
-    return out.select("h", "rate", "up", F.round(reports.complexity_index(F.col("h"), F.col("rate"), F.col("up")), 6).alias("index"), reports.classify(F.col("h"), reports.HURST, "beyond").alias("hurst"))
+    return out.select("h", "rate", "up", F.round(reports.complexity_index(F.col("h"), F.col("rate"), F.col("up")), 6).alias("index"), reports.classify(F.col("h"), reports.HURST, "non-stationary", closed=True).alias("hurst"))
 
 
 @query(None)

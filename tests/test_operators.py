@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitlab.functions import codec, kernels
-from bitlab.operators import collapse, grid, patterns, reports, rules, scaling, structure, survival
+from bitlab.operators import collapse, grid, patterns, reports, rules, scaling, structure, survival, validation
 from bitlab.operators.chunks import bit_ngrams, chunks, ngrams, running_sum
 from bitlab.plans import catalog
 from bitlab.sources import generators, snapshots
@@ -319,3 +319,45 @@ def test_merged_and_distinct(spark):
     assert sorted(map(tuple, patterns.merged(one, two).collect())) == [("00", "y", 3), ("01", "y", 9)]
     t = spark.createDataFrame([("a", "01", 1, 4, 0.5), ("b", "01", 1, 9, 0.7), ("b", "00", 0, 2, 1.0)], "seq_id string, ctx string, nxt int, support long, confidence double")
     assert list(map(tuple, rules.distinct_rules(t, 1).collect())) == [("00", 0, 2, 1.0)] and rules.distinct_rules(t).count() == 2
+
+
+def test_periodicity_validation_by_hand(spark):
+    # "10" recurs in a at 2, 2 and in b at 3, 3, 2; sequences without it do not count
+    got = {(r.pattern, r.period): r for r in validation.periodicity_validation(bits_of(spark, a="101010", b="10010010100", c="000"), 2).collect()}
+    hit = got[("10", 2)]
+    assert (hit.tests, hit.accuracy) == (5, 0.6)
+    assert abs(hit.stability - (1 - np.std([1, 1 / 3]))) < 1e-6
+    assert abs(got[("10", 3)].stability - (1 - np.std([0, 2 / 3]))) < 1e-6
+
+
+def test_generic_validation_by_hand(spark):
+    got = {(r.ctx, r.prediction): r for r in validation.generic_validation(bits_of(spark, a="1010", b="1110"), 1).collect()}
+    assert (got[("1", 0)].tests, got[("1", 0)].accuracy) == (5, round((1 + 1 / 3) / 2, 6))
+    assert (got[("0", 1)].tests, got[("0", 1)].accuracy, got[("0", 1)].stability) == (1, 1.0, 0.5)
+    assert ("0", 0) not in got  # no rule without a hit
+    assert validation.generic_validation(bits_of(spark, a="1"), 1).count() == 0
+
+
+def test_plans_by_length(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 10_000), ("c", 8 * 300 * 300)], "seq_id string, length long")
+    assert {r.seq_id: (r.optimal, r.minimum, r.max_reliable) for r in validation.sample_plan(sizes, 12).collect()} == {"a": (100, 5, 9), "b": (491, 500, 16), "c": (491, 36000, 22)}
+    assert {r.seq_id: r.grid for r in validation.grid_plan(sizes).collect()} == {"a": 64, "b": 64, "c": 256}
+    assert {r.seq_id: r.grid for r in validation.grid_plan(sizes, 128).collect()}["c"] == 128
+
+
+def test_consecutive_iterations(spark):
+    table = spark.createDataFrame([("a", i) for i in (1, 2, 3, 4)] + [("b", i) for i in (1, 2, 4, 5)], "seq_id string, iteration int")
+    assert {r.seq_id: (r.iterations, r.runs, r.ready) for r in validation.consecutive(table).collect()} == {"a": (4, 2, True), "b": (4, 0, False)}
+
+
+def test_classes_at_their_bounds(spark):
+    values = spark.createDataFrame([(0.4,), (1.1,), (1.2,), (None,)], "h double")
+    got = [r[0] for r in values.select(reports.classify(F.col("h"), reports.HURST, "non-stationary", closed=True)).collect()]
+    assert got == ["uncorrelated", "critical", "non-stationary", None]
+
+
+def test_recommendations(spark):
+    table = spark.createDataFrame([(0.5, 0.5), (0.95, 0.95), (0.7, 0.95)], "precision double, stability double")
+    row = validation.recommendations(table).first()
+    assert row.asDict() == {"rules": 3, "poor": 1, "excellent": 1, "unstable": 1, "advice": "drop or refine poor rules; build on excellent rules; widen contexts"}
+    assert validation.recommendations(table.limit(0)).count() == 0
