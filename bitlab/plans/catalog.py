@@ -579,19 +579,35 @@ def first_divergence(spark, d):
     return survival.first_divergence(bits.where(odd == 0), bits.where(odd == 1), ["pair"])
 
 
-@query(None)
+def hilbert_sql(order: int, cell: int) -> str:
+    """The CTEs of a Hilbert map: the curve grown by quadrants, each a turned copy of the one before, and its cells' counts."""
+    grown = ["h0 AS (SELECT 0 AS d, 0 AS x, 0 AS y)"]
+    for k in range(order):
+        s, n = 1 << k, 4**k
+        grown.append(
+            f"h{k + 1} AS (SELECT d, y AS x, x AS y FROM h{k} UNION ALL SELECT d + {n}, x, y + {s} FROM h{k} UNION ALL SELECT d + {2 * n}, x + {s}, y + {s} FROM h{k} "
+            f"UNION ALL SELECT d + {3 * n}, {2 * s - 1} - y, {s - 1} - x FROM h{k})"
+        )
+    fit = f"(SELECT greatest({cell}, CAST(ceil((max(pos) + 1) / {4**order}.0::DOUBLE) AS BIGINT)) FROM ev)"
+    return ", ".join(grown) + f", by_cell AS (SELECT pos // {fit} AS d, sum(bit) AS ones, count(*) AS total FROM ev GROUP BY 1), cells AS (SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, ones, total FROM by_cell JOIN h{order} USING (d)), dd AS (SELECT x, y, CAST(ones AS DOUBLE) / total AS d FROM cells)"
+
+
+@query(hilbert_sql(6, 1) + """, r AS (SELECT CAST(sum(ones) AS DOUBLE) / sum(total) AS d FROM cells GROUP BY x // 4, y // 4)
+SELECT count(*) AS cells, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(min(d), 6) AS lowest, round(max(d), 6) AS highest FROM r""")
 def hilbert_density(spark, d):
     """Densities of the events' bits on a Hilbert map."""
     return grid.density_stats(grid.rebin(grid.grid(event_bits(spark, d), 6), 4))
 
 
-@query(None)
+@query(hilbert_sql(5, 4) + """, k AS (SELECT * FROM (VALUES (1, 0), (0, 1)) v(dx, dy))
+SELECT k.dx, k.dy, count(*) AS n, round(coalesce(corr(a.d, b.d), 0), 6) AS r FROM dd b, k, dd a WHERE a.x = (b.x + k.dx) % 32 AND a.y = (b.y + k.dy) % 32 GROUP BY 1, 2""")
 def hilbert_neighbours(spark, d):
     """Correlation of neighbouring cells."""
     return grid.neighbour_correlation(grid.grid(event_bits(spark, d), 5, 4), 5)
 
 
-@query(None)
+@query(hilbert_sql(5, 4) + """, k AS (SELECT unnest(range(-2, 3)) AS k)
+SELECT a.x + i.k AS x, a.y + j.k AS y, round(sum(a.d) / 25, 6) AS mean FROM dd a, k i, k j WHERE a.x + i.k BETWEEN 0 AND 31 AND a.y + j.k BETWEEN 0 AND 31 GROUP BY 1, 2""")
 def hilbert_local_mean(spark, d):
     """Mean density around each cell."""
     return grid.local_mean(grid.grid(event_bits(spark, d), 5, 4), 5)

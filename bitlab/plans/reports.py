@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bitlab.functions import kernels
 from bitlab.operators import entropy, patterns, reports, rules, scaling, structure, survival
 from bitlab.operators.chunks import chunks
-from bitlab.plans.catalog import COUNTS, DAILY, DFA_SIZES, GAPS, PARTS, PAT, TRANS, _lengths, _patterns, grams, order_parts, query, runs_sql
+from bitlab.plans.catalog import COUNTS, DAILY, DFA_SIZES, GAPS, PARTS, PAT, SURV, TRANS, _lengths, _patterns, grams, order_parts, query, runs_sql
 from bitlab.sources.generators import shuffled
 from bitlab.sources.tables import event_bits, order_bits, user_bits
 
@@ -197,7 +197,13 @@ def spectral_peaks(spark, d):
     return kernels.spectrum_peaks(kernels.spectrum(chunks(event_bits(spark, d), size=256, halo=0), 256))
 
 
-@query(None)
+@query(SURV + """, cc AS (SELECT iteration, gained - lost AS x, gained + lost AS y, lead(gained - lost) OVER w AS x2, lead(gained + lost) OVER w AS y2 FROM sv WINDOW w AS (ORDER BY iteration)),
+cv AS (SELECT iteration, round(CAST(abs(x2 - x) AS DOUBLE) / (y + y2), 6) AS curvature FROM cc WHERE y + y2 > 0), rs AS (SELECT iteration, round(CAST(survived AS DOUBLE) / (survived + lost), 6) AS rate FROM sv),""" + grams("evs", [2, 4], "ge") + """,
+zt AS (SELECT *, (SELECT (max(pos) + 1) // 10 FROM ev) AS w FROM ge WHERE pattern IN ('01', '10', '0110')),
+ct AS (SELECT pattern, pos // w AS seg, count(*) AS n FROM zt WHERE pos // w < 10 AND pos + len <= (pos // w + 1) * w GROUP BY 1, 2),
+mt AS (SELECT pattern, sum(n) / 10.0::DOUBLE AS mean, sum(n * n) / 10.0::DOUBLE AS sq FROM ct GROUP BY 1),
+av AS (SELECT avg(round((sq - mean * mean) / mean, 6)) AS t FROM mt)
+SELECT iteration, round(0.4::DOUBLE * curvature * curvature + 0.3::DOUBLE * t * t + 0.3::DOUBLE * (1 - rate), 6) AS energy FROM rs JOIN cv USING (iteration), av""")
 def energy(spark, d):
     """Weighted curvature, torsion and loss by step between cohorts."""
     steps = survival.survival(_patterns(spark, d))
