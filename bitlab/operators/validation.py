@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import ratio
+from bitlab.operators.chunks import bit_ngrams, ratio
 from bitlab.operators.patterns import gaps
 from bitlab.operators.rules import transitions
 
@@ -56,6 +56,29 @@ def generic_validation(bits: DataFrame, order: int) -> DataFrame:
     return out.select("ctx", "prediction", "tests", F.round(F.col("s1") / F.col("m"), 6).alias("accuracy"), F.round(stability, 6).alias("stability"))
 
 
+def composition_validation(bits: DataFrame, rules: DataFrame, lengths: list[int], reach: int = 20) -> DataFrame:
+    """(left, right, whole, tests, accuracy, stability) of rules (left, right, whole): where ``left`` and ``right``
+    follow one another, is ``whole`` within ``reach`` bits around?
+
+    ``lengths``: those of left and right together; rules of others, and rules that never apply, have no row.
+    Stability is 1 less the deviation of the sequences' shares, one half for a single sequence.
+    """
+    # ``reach`` blanks at both ends of each sequence, so that every occurrence has its whole surroundings
+    size = bits.groupBy("seq_id").agg((F.max("pos") + 1).alias("size"))
+    blank = size.select("seq_id", F.explode(F.concat(F.sequence(F.lit(0), F.lit(reach - 1)).cast("array<bigint>"), F.sequence(F.col("size") + reach, F.col("size") + 2 * reach - 1))).alias("pos"), F.lit("-").alias("bit"))
+    padded = bits.select("seq_id", (F.col("pos") + reach).alias("pos"), F.col("bit").cast("string").alias("bit")).unionByName(blank)
+    around = bit_ngrams(padded, [n + 2 * reach for n in lengths])
+    own = F.expr(f"substring(pattern, {reach + 1}, len - {2 * reach})")
+    met = around.select("seq_id", "pattern", own.alias("both")).join(rules.select("left", "right", "whole", F.concat("left", "right").alias("both")), "both")
+    per = met.groupBy("left", "right", "whole", "seq_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("pattern", "whole")).alias("hits"))
+    score = F.col("hits").cast("double") / F.col("n")
+    out = per.groupBy("left", "right", "whole").agg(
+        F.sum("n").alias("tests"), F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("m"), F.sum(score).alias("s1"), F.sum(score * score).alias("s2")
+    )
+    stability = F.when(F.col("m") > 1, 1 - _deviation(F.col("s1"), F.col("s2"), F.col("m"))).otherwise(0.5)
+    return out.select("left", "right", "whole", "tests", F.round(F.col("hits").cast("double") / F.col("tests"), 6).alias("accuracy"), F.round(stability, 6).alias("stability"))
+
+
 def stability_split(rules: DataFrame, max_drop: float = 0.1) -> DataFrame:
     """(stable, rules, mean, std, lowest, highest): stabilities on both sides of 1 - ``max_drop``."""
     return rules.groupBy((F.col("stability") >= 1 - max_drop).alias("stable")).agg(

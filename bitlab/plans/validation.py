@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bitlab.operators import entropy, reports, rules, scaling, structure, validation
+from bitlab.operators import entropy, patterns, reports, rules, scaling, structure, validation
 from bitlab.plans.catalog import DAILY, DFA_SIZES, MI, RULES, STRATA, _deep, _lengths, blocks_sql, dfa_sql, grams, query
 from bitlab.sources.tables import event_bits, user_bits
 
@@ -35,6 +35,20 @@ def generic_validation(spark, d):
     return validation.generic_validation(user_bits(spark, d), 4)
 
 
+@query(grams("evs", [2, 3, 4]) + ", " + grams("uss", [4, 5, 6, 7, 8], "gu").strip() + """, c AS (SELECT pattern, len, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= 2), k AS (SELECT unnest(range(1, 4)) AS k),
+p AS (SELECT a.pattern AS l, b.pattern AS r, k.k, a.pattern || substr(b.pattern, k.k + 1) AS whole FROM c a, c b, k
+  WHERE a.pattern <> b.pattern AND k.k < a.len AND k.k < b.len AND right(a.pattern, k.k) = left(b.pattern, k.k)),
+ru AS (SELECT l, r, arg_max(whole, k) AS whole FROM p WHERE whole IN (SELECT pattern FROM c) GROUP BY 1, 2),
+o AS (SELECT seq_id, l, r, whole, CAST(contains(substr(s, greatest(0, pos - 20) + 1, pos + len + 20 - greatest(0, pos - 20)), whole) AS INTEGER) AS hit FROM ru JOIN gu ON gu.pattern = l || r JOIN uss USING (seq_id)),
+sc AS (SELECT l, r, whole, seq_id, count(*) AS n, sum(hit) AS h FROM o GROUP BY 1, 2, 3, 4)
+SELECT l AS "left", r AS "right", whole, CAST(sum(n) AS BIGINT) AS tests, round(CAST(sum(h) AS DOUBLE) / sum(n), 6) AS accuracy,
+  round(CASE WHEN count(*) > 1 THEN 1 - stddev_pop(CAST(h AS DOUBLE) / n) ELSE 0.5 END, 6) AS stability FROM sc GROUP BY 1, 2, 3""")
+def composition_validation(spark, d):
+    """Overlapping patterns of the events, held against users' sequences."""
+    found = patterns.overlaps(patterns.pattern_counts(event_bits(spark, d), range(2, 5)))
+    return validation.composition_validation(user_bits(spark, d), found, [4, 5, 6, 7, 8])
+
+
 @query(RULES + " SELECT stability >= 0.9 AS stable, count(*) AS rules, round(avg(stability), 6) AS mean, round(stddev_pop(stability), 6) AS std, min(stability) AS lowest, max(stability) AS highest FROM rr GROUP BY 1")
 def stability_split(spark, d):
     """Stable and unstable rules."""

@@ -361,3 +361,10 @@ def test_recommendations(spark):
     row = validation.recommendations(table).first()
     assert row.asDict() == {"rules": 3, "poor": 1, "excellent": 1, "unstable": 1, "advice": "drop or refine poor rules; build on excellent rules; widen contexts"}
     assert validation.recommendations(table.limit(0)).count() == 0
+
+
+def test_composition_validation_at_the_ends(spark):
+    rules_ = spark.createDataFrame([("11", "00", "1100"), ("11", "00", "101"), ("01", "10", "0")], '"left" string, "right" string, whole string'.replace('"', ""))
+    table = bits_of(spark, a="1100", b="1100" + "0" * 19 + "101", c="1100" + "0" * 17 + "101")
+    got = {(r.left, r.right, r.whole): (r.tests, r.accuracy) for r in validation.composition_validation(table, rules_, [4]).collect()}
+    assert got == {("11", "00", "1100"): (3, 1.0), ("11", "00", "101"): (3, 0.333333)}  # in c it lies within 20 bits, in b it does not
