@@ -517,6 +517,16 @@ def test_hamming(spark):
     assert 5000 not in got
 
 
+def test_hamming_shuffled_as_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(rng.integers(0, 1 << 20, 400))], "id long, code long")
+    found = lambda: sorted(map(tuple, hamming.top_k(rows, rows.where("id % 50 = 0"), 5).collect()))
+    broadcast = found()
+    monkeypatch.setattr(hamming, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(hamming, "TASK_PROBES", 64)
+    assert found() == broadcast and len(broadcast) == 40
+
+
 def test_hamming_few_rows(spark):
     rows = spark.createDataFrame([(1, 0), (50, 3), (50, 3)], "id long, code long")
     assert sorted(map(tuple, hamming.top_k(rows, rows.where("id = 1")).collect())) == [(1, 1, 1, 0), (1, 2, 50, 2), (1, 3, 50, 2)]
