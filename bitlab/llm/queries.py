@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitlab.llm import hamming, mixing, quality, substrings
+from bitlab.llm import conversations, hamming, lines, mixing, quality, substrings, variants
+from bitlab.llm.conversations import op12_conversation_trie
 from bitlab.llm.hamming import op8_hamming
+from bitlab.llm.lines import op13_line_dedup
 from bitlab.llm.mixing import op6_mixing
 from bitlab.llm.packing import op3_packing
 from bitlab.llm.quality import op1_host_quality
@@ -17,6 +19,7 @@ from bitlab.llm.simhash import op7_simhash
 from bitlab.llm.substrings import op5_substrings
 from bitlab.llm.tokenfile import op9_token_files
 from bitlab.llm.toxicity import op10_toxicity
+from bitlab.llm.variants import op11_spelling_variants
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +42,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hamming": op8_hamming,
         "op9_token_files": op9_token_files,
         "op10_toxicity": op10_toxicity,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_line_dedup": op13_line_dedup,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express."""
-    return {"op1_host_quality": quality.ORACLE, "op5_substrings": substrings.ORACLE, "op6_mixing": mixing.ORACLE, "op8_hamming": hamming.ORACLE}
+    return {
+        "op1_host_quality": quality.ORACLE,
+        "op5_substrings": substrings.ORACLE,
+        "op6_mixing": mixing.ORACLE,
+        "op8_hamming": hamming.ORACLE,
+        "op11_spelling_variants": variants.ORACLE,
+        "op12_conversation_trie": conversations.ORACLE,
+        "op13_line_dedup": lines.ORACLE,
+    }
