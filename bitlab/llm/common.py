@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +17,8 @@ WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
-#: Folders written so far; see ``remove_staged``.
-_WRITTEN: list[str] = []
+#: The folders of the run that this thread is in; see ``staged_run``.
+_RUN: ContextVar[list[str] | None] = ContextVar("_RUN", default=None)
 #: A key of more than 1 / HOT of all rows is hot, so there are fewer than HOT of them.
 HOT = 4096
 
@@ -29,39 +31,49 @@ def _own_root() -> str:
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where that is unset, local sessions (tests) take a temporary folder and clusters the warehouse,
-    which is shared as well.
+    Where that is unset, local sessions (tests) take a temporary folder and clusters the warehouse, unless
+    that is a machine-local folder: each executor would write to its own disk, so that is an error.
     """
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
-    if spark.conf.get("spark.master", "local").startswith("local"):
+    if spark.conf.get("spark.master", "local").split("[")[0] == "local":
         return _own_root()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if root.startswith(("file:", "/")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: the warehouse {root} is local to each machine")
+    return root
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_root(spark)}/bitlab/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if (run := _RUN.get()) is not None:
+        run.append(path)
     return path
 
 
-def written() -> int:
-    """How many folders have been handed out; a mark for ``remove_staged``."""
-    return len(_WRITTEN)
-
-
-def remove_staged(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
-    """Delete staged folders handed out after the mark ``since``, but those named ``keep``.
+@contextmanager
+def staged_run() -> Iterator[Callable[..., None]]:
+    """Within it, folders that this thread stages belong to this run alone.
 
+    Yields remove(spark, keep): deletes the run's folders so far but those named ``keep``, and no one else's.
     Only for results that have been written elsewhere: DataFrames that read the folders no longer work.
     """
-    stays = lambda p: keep is not None and p.rsplit("/", 1)[-1].rpartition("-")[0] == keep
-    gone = [p for p in _WRITTEN[since:] if not stays(p)]
-    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if stays(p)]
-    for p in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folders: list[str] = []
+
+    def remove(spark: SparkSession, keep: str | None = None) -> None:
+        stays = [p for p in folders if keep is not None and p.rsplit("/", 1)[-1].rpartition("-")[0] == keep]
+        gone = [p for p in folders if p not in stays]
+        folders[:] = stays
+        for p in gone:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    token = _RUN.set(folders)
+    try:
+        yield remove
+    finally:
+        _RUN.reset(token)
 
 
 def join_hot(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
@@ -112,6 +124,13 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def spare_prefix(df: DataFrame, prefix: str) -> str:
+    """A prefix like ``prefix`` that no column of ``df`` begins with, in any case."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def one_per_row(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only ``columns``; columns missing from ``df`` are an error that names them."""
     missing = [c for c in columns if c not in df.columns]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitlab.llm.common import WHITE_CLASS, let, one_per_row, stage, words
+from bitlab.llm.common import WHITE_CLASS, let, one_per_row, spare_prefix, stage, words
 
 #: Symbols counted by ``n_symbols``.
 SYMBOLS = "[#*$%&|<>]"
@@ -132,9 +132,9 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep, unchanged."""
-    columns = docs.columns
-    return judge(docs, columns, prefix="__quality_").where("__quality_kept").select(*columns)
+    """The documents that the quality rules keep, unchanged; their columns may have any names. Edges: see ``judge``."""
+    columns, prefix = docs.columns, spare_prefix(docs, "__quality_")
+    return judge(docs, columns, prefix=prefix).where(F.col(f"{prefix}kept")).select(*columns)
 
 
 ORACLE = r"""

@@ -78,8 +78,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part, out = b.slice(i, 512), []
+            for i in range(0, b.num_rows, SLICE):
+                part, out = b.slice(i, SLICE), []
                 for text in part.column(1).to_pylist():
                     base = base_spans(text) if text else []
                     found = sorted(base + free_values(text, base)) if text else []
@@ -140,6 +140,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), count(3), classes)
 
 
+#: Rows whose texts are Python strings at a time.
+SLICE = 256
 #: So many hashes of values with several owners, at most, go to every executor; beyond, texts are joined with theirs.
 MAX_SPARED = 200_000
 
@@ -190,7 +192,9 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bad = bad_by(known.value)
             for b in batches:
-                yield replaced(b, [t and apply(t, bad) for t in b.column(i).to_pylist()])
+                for k in range(0, b.num_rows, SLICE):
+                    part = b.slice(k, SLICE)
+                    yield replaced(part, [t and apply(t, bad) for t in part.column(i).to_pylist()])
 
         return docs.mapInArrow(run, schema)
     own = each.join(special, F.col("c.hash") == F.col("hash")).groupBy(c_doc, c_th)
@@ -198,8 +202,10 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known = b.column(b.num_columns - 1).to_pylist()
-            yield replaced(b, [t and apply(t, bad_by({h["hash"]: h["class"] for h in own or []})) for t, own in zip(b.column(i).to_pylist(), known, strict=True)])
+            for k in range(0, b.num_rows, SLICE):
+                part = b.slice(k, SLICE)
+                known = part.column(b.num_columns - 1).to_pylist()
+                yield replaced(part, [t and apply(t, bad_by({h["hash"]: h["class"] for h in own or []})) for t, own in zip(part.column(i).to_pylist(), known, strict=True)])
 
     same = docs[id_col].cast("long").eqNullSafe(F.col(c_doc)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(c_th))
     joined = docs.join(per_doc, same, "left").drop(c_doc, c_th)

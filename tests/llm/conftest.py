@@ -12,7 +12,7 @@ TEXTS = [
     "near copy of a text with some words in it that go on for a while so that shingles agree 1", "near copy of a text with some words in it that go on for a while so that shingles agree 2",
 ]
 #: Names that the operators use inside.
-CLASHES = ["size", "hash", "fp", "row", "k", "block", "slot", "kept", "n_words", "chunk", "key", "tie", "id", "th", "range", "rank", "source_", "_m", "share", "found"]
+CLASHES = ["size", "hash", "fp", "row", "k", "block", "slot", "kept", "n_words", "chunk", "key", "tie", "id", "th", "range", "rank", "source_", "_m", "share", "found", "__mix_slot", "__MIX_in_block", "__quality_kept"]
 
 
 @pytest.fixture(scope="session")
