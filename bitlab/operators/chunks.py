@@ -2,7 +2,8 @@
 
 One sequence may be longer than any task should read. Chunks of a fixed number of positions, each
 with the first ``halo`` symbols of what follows, make window-like operators (n-grams, lags) local
-to a chunk: one shuffle, no global window. Running sums take two levels: chunk totals, then rows.
+to a chunk: one shuffle, no global window. What runs over a whole sequence takes three levels: rows
+within chunks, chunks within groups of ``FAN`` and groups, of which a sequence has one for each million positions.
 """
 
 from __future__ import annotations
@@ -10,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitlab.operators.staging import checkpointed
+
 SIZE, HALO = 1024, 64
+#: Rows of chunks in a group.
+FAN = 1024
 
 
 def chunks(symbols: DataFrame, value: str = "bit", size: int = SIZE, halo: int = HALO, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
@@ -45,13 +50,55 @@ def bit_ngrams(bits: DataFrame, lengths: range | list[int], step: int = 1, keys:
     return ngrams(chunks(bits, value, keys=keys), lengths, step, keys)
 
 
+def carried(totals: DataFrame, index: str, sums: dict[str, str] | None = None, lows: dict[str, str] | None = None, highs: dict[str, str] | None = None, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """``totals`` with what all rows before, in order of ``index``, come to: sums (0 before the first), minima and maxima (null before it).
+
+    Each of ``sums``, ``lows`` and ``highs`` maps a column to the name of its result. Rows are taken
+    in groups of ``FAN`` indexes, then the groups: no window has more than a group or a row for each group.
+    ``totals``, a row for each chunk, is written once, so that what it comes from is not computed again.
+    """
+    kinds = [(c, name, agg) for given, agg in ((sums, F.sum), (lows, F.min), (highs, F.max)) for c, name in (given or {}).items()]
+    rows = checkpointed(totals).withColumn("_g", F.floor(F.col(index) / FAN))
+    earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside, over = earlier([*keys, "_g"], index), earlier(keys, "_g")
+    groups = rows.groupBy(*keys, "_g").agg(*[agg(c).alias(f"_t_{name}") for c, name, agg in kinds])
+    groups = groups.select(*keys, "_g", *[agg(f"_t_{name}").over(over).alias(f"_b_{name}") for _, name, agg in kinds])
+    both = rows.select("*", *[agg(c).over(inside).alias(f"_i_{name}") for c, name, agg in kinds]).join(groups, [*keys, "_g"])
+
+    def joined(name: str, agg) -> Column:
+        a, b = F.col(f"_i_{name}"), F.col(f"_b_{name}")
+        if agg is F.sum:
+            zero = F.lit(0)
+            return F.coalesce(a, zero) + F.coalesce(b, zero)
+        return F.least(a, b) if agg is F.min else F.greatest(a, b)
+
+    return both.select(*totals.columns, *[joined(name, agg).alias(name) for _, name, agg in kinds])
+
+
 def running_sum(rows: DataFrame, value: Column, name: str, size: int = SIZE, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
-    """``rows`` with the sum of ``value`` up to and including each position: chunk totals first, then within chunks."""
+    """``rows`` with the sum of ``value`` up to and including each position: groups of chunks, chunks, then within chunks."""
     cut = rows.withColumn("_c", F.floor(F.col("pos") / size).cast("long")).withColumn("_v", value)
-    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_c").agg(F.sum("_v").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    totals = carried(cut.groupBy(*keys, "_c").agg(F.sum("_v").alias("_t")), "_c", {"_t": "_before"}, keys=keys).drop("_t")
     inside = F.sum("_v").over(Window.partitionBy(*keys, "_c").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(totals, [*keys, "_c"]).withColumn(name, F.col("_before") + inside).drop("_c", "_v", "_before")
+    return cut.withColumn("_in", inside).join(totals, [*keys, "_c"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_c", "_v", "_before", "_in")
+
+
+def ranked(rows: DataFrame, name: str, size: int = SIZE, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """``rows`` with their number, from 1, in order of pos within ``keys``."""
+    cut = rows.withColumn("_c", F.floor(F.col("pos") / size).cast("long"))
+    totals = carried(cut.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_t")), "_c", {"_t": "_before"}, keys=keys).drop("_t")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_c").orderBy("pos"))
+    return cut.withColumn("_in", inside).join(totals, [*keys, "_c"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_c", "_before", "_in")
+
+
+def previous(rows: DataFrame, value: str, name: str, size: int = SIZE, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
+    """``rows`` with ``value`` of the row before, in order of pos within ``keys``; null for the first."""
+    cut = rows.withColumn("_c", F.floor(F.col("pos") / size).cast("long"))
+    last = cut.groupBy(*keys, "_c").agg(F.max(F.struct("pos", value)).alias("_l"))
+    before = carried(last, "_c", highs={"_l": "_before"}, keys=keys).drop("_l")
+    w = Window.partitionBy(*keys, "_c").orderBy("pos")
+    near = cut.withColumn("_first", F.row_number().over(w) == 1).withColumn("_near", F.lag(value).over(w))
+    return near.join(before, [*keys, "_c"]).withColumn(name, F.when(F.col("_first"), F.col(f"_before.{value}")).otherwise(F.col("_near"))).drop("_c", "_before", "_first", "_near")
 
 
 def blocks(bits: DataFrame, sizes: list[int], keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:

@@ -108,18 +108,6 @@ def position_scores(bits: DataFrame, ctx: str, prediction: int) -> DataFrame:
     return out.select("seq_id", "tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
 
 
-def deletion_trace(texts: DataFrame, steps: int) -> DataFrame:
-    """(seq_id, step, length, ratio): a string's length as pairs 01 and 10 are deleted, left to right, once a step."""
-    s = F.col("s")
-    arms = []
-    for i in range(steps + 1):
-        arms.append(F.struct(F.lit(i).alias("step"), F.length(s).cast("long").alias("length")))
-        s = F.regexp_replace(s, "01|10", "")
-    out = texts.select("seq_id", F.explode(F.array(*arms)).alias("x")).select("seq_id", "x.step", "x.length")
-    was = F.lag("length").over(Window.partitionBy("seq_id").orderBy("step"))
-    return out.withColumn("was", was).select("seq_id", "step", "length", F.round(F.when(F.col("was") > 0, F.col("length").cast("double") / F.col("was")), 6).alias("ratio"))
-
-
 def autocorrelation(bits: DataFrame, lags: int) -> DataFrame:
     """(seq_id, lag, n, r): mean product of centred bits some positions apart over their variance."""
     mean = bits.groupBy("seq_id").agg(F.avg("bit").alias("m"), F.var_pop("bit").alias("v"))
@@ -190,3 +178,7 @@ def complexity_index(h: Column, entropy_rate: Column, te_up: Column) -> Column:
     critical = F.greatest(F.lit(0.0), 1 - F.abs(h - 0.75) / 0.75)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.4 * critical + 0.3 * (1 - entropy_rate) + 0.3 * F.least(F.lit(1.0), te_up * 10)))
 
+
+def energy(steps: DataFrame, curvature: float = 1.0, torsion: float = 1.0, loss: float = 1.0) -> DataFrame:
+    """``steps`` (curvature, t, rate) with energy: weighted squares of curvature and torsion t, and the share that is lost."""
+    return steps.withColumn("energy", curvature * F.col("curvature") * F.col("curvature") + torsion * F.col("t") * F.col("t") + loss * (1 - F.col("rate")))

@@ -5,38 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import correlation, entropy_of, ratio
+from bitlab.operators.chunks import SIZE, carried, correlation, entropy_of, previous, ranked, ratio
 
 
-def depths(symbols: DataFrame) -> DataFrame:
-    """(seq_id, pos, sym, depth, ones, zeros): unmatched closes dropped, running depth and counts of bits.
+def depths(symbols: DataFrame, size: int = SIZE) -> DataFrame:
+    """(seq_id, pos, sym, depth, ones, zeros, closes): unmatched closes dropped, running depth, counts of bits and of closes kept.
 
-    depth is that after an open and before a close, so both ends of a group have its depth.
+    depth is that after an open and before a close, so both ends of a group have its depth. A chunk of
+    positions is summed up by its net depth and its lowest one; from these of all chunks before, each
+    chunk knows the depth in which it begins, and the lowest so far.
     """
-    w = Window.partitionBy("seq_id").orderBy("pos")
+    w = Window.partitionBy("seq_id", "_c").orderBy("pos")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(F.col("sym") == "(", 1).when(F.col("sym") == ")", -1).otherwise(0)
-    s = symbols.withColumn("s", F.sum(delta).over(run))
-    low = s.withColumn("low", F.least(F.lit(0), F.min("s").over(run)))
-    kept = low.withColumn("was", F.coalesce(F.lag("low").over(w), F.lit(0))).where("low = was")
-    depth = F.col("s") - F.col("low") + F.when(F.col("sym") == ")", 1).otherwise(0)
-    count = lambda b: F.sum(F.when(F.col("sym") == b, 1).otherwise(0)).over(run)
-    return kept.select("seq_id", "pos", "sym", depth.cast("int").alias("depth"), count("1").alias("ones"), count("0").alias("zeros"))
-
-
-def nodes(deep: DataFrame) -> DataFrame:
-    """(seq_id, open_pos, close_pos, depth, n_ones, n_zeros, parent_pos): the closed groups.
+    count = lambda x: F.sum(F.when(F.col("sym") == x, 1).otherwise(0)).over(run)
+    cut = symbols.select("seq_id", "pos", "sym", F.floor(F.col("pos") / size).cast("long").alias("_c"))
+    inside = cut.select("*", F.sum(delta).over(run).alias("s"), count("1").alias("ones"), count("0").alias("zeros"), count(")").alias("closes"))
+    inside = inside.withColumn("dip", F.min("s").over(run))
+    is_ = lambda x: F.sum(F.when(F.col("sym") == x, 1).otherwise(0))
+    totals = inside.groupBy("seq_id", "_c").agg(F.sum(delta).alias("net"), F.min("s").alias("lowest"), is_("1").alias("n1"), is_("0").alias("n0"), is_(")").alias("nc"))
+    totals = carried(totals, "_c", {"net": "s0", "n1": "ones0", "n0": "zeros0", "nc": "closes0"}).withColumn("lowest", F.col("s0") + F.col("lowest"))
+    totals = carried(totals, "_c", lows={"lowest": "low0"}).select("seq_id", "_c", "s0", "ones0", "zeros0", "closes0", F.least(F.lit(0), "low0").alias("low0"))
+    low = inside.join(totals, ["seq_id", "_c"]).withColumn("low", F.least("low0", F.col("s0") + F.col("dip")))
+    kept = low.withColumn("was", F.coalesce(F.lag("low").over(w), F.col("low0"))).where("low = was")
+    depth = F.col("s0") + F.col("s") - F.col("low") + F.when(F.col("sym") == ")", 1).otherwise(0)
+    so_far = lambda c: (F.col(f"{c}0") + F.col(c)).alias(c)
+    return kept.select("seq_id", "pos", "sym", depth.cast("int").alias("depth"), so_far("ones"), so_far("zeros"), (F.col("closes0") + F.col("closes") + F.col("low")).alias("closes"))
+
+
+def nodes(deep: DataFrame, size: int = SIZE) -> DataFrame:
+    """(seq_id, open_pos, close_pos, depth, n_ones, n_zeros, size, parent_pos): the closed groups.
 
     The k-th open at a depth closes with the k-th close at that depth. The parent is the last
-    open one level up; bits are those of all levels within.
+    open one level up, whether it closes or not, as on a stack; bits are those of all levels within, size counts
+    the groups within, itself included. Ranks and last opens are told within chunks and carried over chunks.
     """
-    rank = F.row_number().over(Window.partitionBy("seq_id", "depth").orderBy("pos"))
-    opens = deep.where("sym = '('").withColumn("k", rank).select("seq_id", "depth", "k", F.col("pos").alias("open_pos"), F.col("ones").alias("o1"), F.col("zeros").alias("o0"))
-    closes = deep.where("sym = ')'").withColumn("k", rank).select("seq_id", "depth", "k", F.col("pos").alias("close_pos"), F.col("ones").alias("c1"), F.col("zeros").alias("c0"))
-    pairs = opens.join(closes, ["seq_id", "depth", "k"]).select("seq_id", "open_pos", "close_pos", "depth", (F.col("c1") - F.col("o1")).alias("n_ones"), (F.col("c0") - F.col("o0")).alias("n_zeros"))
-    roles = pairs.select("*", F.explode(F.array(F.col("depth"), F.col("depth") - 1)).alias("level")).withColumn("as_parent", F.when(F.col("level") == F.col("depth"), F.col("open_pos")))
-    last = F.last("as_parent", ignorenulls=True).over(Window.partitionBy("seq_id", "level").orderBy("open_pos").rowsBetween(Window.unboundedPreceding, -1))
-    return roles.withColumn("parent_pos", F.when(F.col("depth") > 1, last)).where("level = depth - 1").drop("level", "as_parent")
+    opens = deep.where("sym = '('")
+    roles = opens.select("seq_id", "pos", "depth", "ones", "zeros", "closes", F.floor(F.col("pos") / size).cast("long").alias("_c"), F.explode(F.array(F.col("depth"), F.col("depth") - 1)).alias("level"))
+    roles = roles.withColumn("as_parent", F.when(F.col("level") == F.col("depth"), F.col("pos")))
+    before = carried(roles.groupBy("seq_id", "level", "_c").agg(F.max("as_parent").alias("_l")), "_c", highs={"_l": "earlier"}, keys=("seq_id", "level")).drop("_l")
+    last = F.max("as_parent").over(Window.partitionBy("seq_id", "level", "_c").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    opens = roles.withColumn("near", last).where("level = depth - 1").join(before, ["seq_id", "level", "_c"]).withColumn("parent_pos", F.when(F.col("depth") > 1, F.coalesce("near", "earlier")))
+    opens = ranked(opens.drop("_c"), "k", size, ("seq_id", "depth")).select("seq_id", "depth", "k", F.col("pos").alias("open_pos"), F.col("ones").alias("o1"), F.col("zeros").alias("o0"), F.col("closes").alias("oc"), "parent_pos")
+    closes = ranked(deep.where("sym = ')'"), "k", size, ("seq_id", "depth")).select("seq_id", "depth", "k", F.col("pos").alias("close_pos"), F.col("ones").alias("c1"), F.col("zeros").alias("c0"), F.col("closes").alias("cc"))
+    both = opens.join(closes, ["seq_id", "depth", "k"])
+    return both.select("seq_id", "open_pos", "close_pos", "depth", (F.col("c1") - F.col("o1")).alias("n_ones"), (F.col("c0") - F.col("o0")).alias("n_zeros"), (F.col("cc") - F.col("oc")).alias("size"), "parent_pos")
 
 
 def depth_stats(deep: DataFrame) -> DataFrame:
@@ -51,8 +64,7 @@ def depth_histogram(deep: DataFrame) -> DataFrame:
 
 def depth_transitions(deep: DataFrame, n: int = 1000) -> DataFrame:
     """(prev_depth, depth, n): the commonest steps between parentheses' depths."""
-    prev = F.lag("depth").over(Window.partitionBy("seq_id").orderBy("pos"))
-    steps = deep.where("sym in ('(', ')')").withColumn("prev_depth", prev).where("prev_depth IS NOT NULL")
+    steps = previous(deep.where("sym in ('(', ')')"), "depth", "prev_depth").where("prev_depth IS NOT NULL")
     return steps.groupBy("prev_depth", "depth").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "prev_depth", "depth").limit(n)
 
 
@@ -82,14 +94,18 @@ def contents(deep: DataFrame, groups: DataFrame) -> DataFrame:
 
     A group's hash is the difference of sums of bits times powers of a base by their place, shifted to a common place.
     """
-    w = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("seq_id", "_c").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     place = F.col("ones") + F.col("zeros")
     value = F.when(F.col("sym") == "1", 2).when(F.col("sym") == "0", 1).otherwise(0)
-    sums = deep.select("seq_id", "pos", "sym", "ones", "zeros", *[F.sum(value * _power(b, p, place)).over(w).alias(f"s{i}") for i, (p, b) in enumerate(MODULI)])
+    cut = deep.select("seq_id", "pos", "sym", "ones", "zeros", F.floor(F.col("pos") / SIZE).cast("long").alias("_c"), *[(value * _power(b, p, place)).alias(f"v{i}") for i, (p, b) in enumerate(MODULI)])
+    totals = cut.groupBy("seq_id", "_c").agg(*[(F.sum(f"v{i}") % p).alias(f"t{i}") for i, (p, _) in enumerate(MODULI)])
+    totals = carried(totals, "_c", {f"t{i}": f"b{i}" for i in range(2)}).select("seq_id", "_c", "b0", "b1")
+    sums = cut.select("*", *[F.sum(f"v{i}").over(w).alias(f"i{i}") for i in range(2)]).join(totals, ["seq_id", "_c"])
+    sums = sums.select("seq_id", "pos", "sym", "ones", "zeros", *[((F.col(f"i{i}") + F.col(f"b{i}")) % p).alias(f"s{i}") for i, (p, _) in enumerate(MODULI)])
     end = lambda x, c: sums.where(F.col("sym") == x).select("seq_id", F.col("pos").alias(c), *[F.col(f"s{i}").alias(f"{c}{i}") for i in range(2)], place.alias(f"{c}_at"))
     both = groups.join(end("(", "open_pos"), ["seq_id", "open_pos"]).join(end(")", "close_pos"), ["seq_id", "close_pos"])
     far = (1 << 40) - 1
-    hashes = [((F.col(f"close_pos{i}") - F.col(f"open_pos{i}")) % p * _power(b, p, far - F.col("open_pos_at")) % p).alias(f"h{i + 1}") for i, (p, b) in enumerate(MODULI)]
+    hashes = [((F.col(f"close_pos{i}") - F.col(f"open_pos{i}") + p) % p * _power(b, p, far - F.col("open_pos_at")) % p).alias(f"h{i + 1}") for i, (p, b) in enumerate(MODULI)]
     return both.select(*[groups[c] for c in groups.columns if c not in ("seq_id", "open_pos", "close_pos")], "seq_id", "open_pos", "close_pos", *hashes)
 
 
@@ -102,8 +118,8 @@ def containment_summary(deep: DataFrame, groups: DataFrame) -> DataFrame:
 
 def stratified(deep: DataFrame) -> DataFrame:
     """(depth, zeros, ones, runs, entropy, density): the direct bits at each depth above 0, and their islands."""
-    w = Window.partitionBy("seq_id").orderBy("pos")
-    inside = deep.withColumn("starts", F.when((F.coalesce(F.lag("sym").over(w), F.lit("(")).isin("0", "1")), 0).otherwise(1)).where("sym in ('0', '1') AND depth > 0")
+    follows = F.coalesce("before", F.lit("(")).isin("0", "1")
+    inside = previous(deep, "sym", "before").withColumn("starts", F.when(follows, 0).otherwise(1)).where("sym in ('0', '1') AND depth > 0")
     out = inside.groupBy("depth").agg(F.count_if(F.col("sym") == "0").alias("zeros"), F.count_if(F.col("sym") == "1").alias("ones"), F.sum("starts").alias("runs"))
     p = F.col("ones").cast("double") / (F.col("ones") + F.col("zeros"))
     h = F.when((F.col("ones") > 0) & (F.col("zeros") > 0), -(p * F.log2(p) + (1 - p) * F.log2(1 - p))).otherwise(0.0)
@@ -155,8 +171,7 @@ def order_index(parts: DataFrame) -> DataFrame:
 
 def depth_correlation(deep: DataFrame) -> DataFrame:
     """(depth, n, r): Pearson correlation of the bits at a depth with those one deeper, zipped in order within each sequence; 0 if constant."""
-    rank = F.row_number().over(Window.partitionBy("seq_id", "depth").orderBy("pos"))
-    bits = deep.where("sym in ('0', '1')").select("seq_id", "depth", F.col("sym").cast("int").alias("b"), rank.alias("k"))
+    bits = ranked(deep.where("sym in ('0', '1')"), "k", keys=("seq_id", "depth")).select("seq_id", "depth", F.col("sym").cast("int").alias("b"), "k")
     deeper = bits.select("seq_id", (F.col("depth") - 1).alias("depth"), F.col("b").alias("b2"), "k")
     out = bits.join(deeper, ["seq_id", "depth", "k"]).groupBy("depth").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("b").cast("double"), F.col("b2").cast("double")).alias("r"))
     return out.select("depth", "n", F.round("r", 6).alias("r"))
@@ -171,12 +186,9 @@ def tree(groups: DataFrame) -> DataFrame:
     return out
 
 
-def subtree_sizes(deep: DataFrame, groups: DataFrame) -> DataFrame:
-    """(size, nodes): how many groups a group holds, itself included, as half the parentheses within."""
-    par = deep.where("sym in ('(', ')')").select("seq_id", "pos", F.row_number().over(Window.partitionBy("seq_id").orderBy("pos")).alias("i"), F.sum(F.when(F.col("sym") == ")", 1).otherwise(0)).over(Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("closed"))
-    at = par.select("seq_id", F.col("pos").alias("open_pos"), F.col("closed").alias("c0"))
-    to = par.select("seq_id", F.col("pos").alias("close_pos"), F.col("closed").alias("c1"))
-    return groups.join(at, ["seq_id", "open_pos"]).join(to, ["seq_id", "close_pos"]).groupBy((F.col("c1") - F.col("c0")).alias("size")).agg(F.count(F.lit(1)).alias("nodes"))
+def subtree_sizes(groups: DataFrame) -> DataFrame:
+    """(size, nodes): how many groups a group holds, itself included."""
+    return groups.groupBy("size").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def by_max_depth(stats: DataFrame) -> DataFrame:

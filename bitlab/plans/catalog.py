@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitlab.functions import codec, kernels
-from bitlab.operators import collapse, entropy, grid, patterns, rules, scaling, structure, survival
-from bitlab.operators.chunks import bit_ngrams, chunks
+from bitlab.operators import collapse, entropy, grid, patterns, rules, scaling, scan, structure, survival
+from bitlab.operators.chunks import bit_ngrams, chunks, ranked
+from bitlab.operators.staging import checkpointed
 from bitlab.sources import generators, snapshots
-from bitlab.sources.tables import cohort_bits, event_bits, order_bits, user_bits, user_symbols
+from bitlab.sources.tables import cohort_bits, event_bits, event_symbols, order_bits, user_bits, user_symbols
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +42,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
-        if sql:
+        if sql and sql.startswith("RECURSIVE "):
+            SQL[f.__name__] = f"WITH RECURSIVE {BASE.strip()}, {sql.removeprefix('RECURSIVE ').strip()}"
+        elif sql:
             SQL[f.__name__] = f"WITH {BASE.strip()}, {sql.strip()}" if not sql.lstrip().startswith("SELECT") else f"WITH {BASE.strip()} {sql.strip()}"
         return f
 
@@ -409,12 +413,12 @@ NODES = DEEP + """,
 op AS (SELECT *, row_number() OVER (PARTITION BY seq_id, depth ORDER BY pos) AS k FROM dp WHERE sym = '('),
 cp AS (SELECT *, row_number() OVER (PARTITION BY seq_id, depth ORDER BY pos) AS k FROM dp WHERE sym = ')'),
 nd AS (SELECT op.seq_id, op.pos AS open_pos, cp.pos AS close_pos, op.depth, cp.ones - op.ones AS n_ones, cp.zeros - op.zeros AS n_zeros FROM op JOIN cp USING (seq_id, depth, k)),
-np AS (SELECT nd.*, (SELECT max(p.open_pos) FROM nd p WHERE p.seq_id = nd.seq_id AND p.depth = nd.depth - 1 AND p.open_pos < nd.open_pos) AS parent_pos FROM nd)"""
+np AS (SELECT nd.*, (SELECT max(p.pos) FROM op p WHERE p.seq_id = nd.seq_id AND p.depth = nd.depth - 1 AND p.pos < nd.open_pos) AS parent_pos FROM nd)"""
 H2 = "CASE WHEN {o} > 0 AND {z} > 0 THEN -({o} / ({o} + {z})::DOUBLE * log2({o} / ({o} + {z})::DOUBLE) + {z} / ({o} + {z})::DOUBLE * log2({z} / ({o} + {z})::DOUBLE)) ELSE 0 END"
 
 
 def _deep(spark: SparkSession, d: str) -> DataFrame:
-    return structure.depths(user_symbols(spark, d))
+    return checkpointed(structure.depths(checkpointed(user_symbols(spark, d))))
 
 
 @query(DEEP + " SELECT seq_id, count(*) FILTER (sym = '(') AS opens, count(*) FILTER (sym = ')') AS closes, max(depth) AS max_depth, count(*) FILTER (sym IN ('0', '1')) AS bits FROM dp GROUP BY 1")
@@ -514,8 +518,7 @@ def nesting_tree(spark, d):
 @query(NODES + ", z AS (SELECT (SELECT count(*) FROM nd b WHERE b.seq_id = a.seq_id AND b.open_pos >= a.open_pos AND b.close_pos <= a.close_pos) AS size FROM nd a) SELECT size, count(*) AS nodes FROM z GROUP BY 1")
 def subtree_sizes(spark, d):
     """How many groups are within groups."""
-    deep = _deep(spark, d)
-    return structure.subtree_sizes(deep, structure.nodes(deep))
+    return structure.subtree_sizes(structure.nodes(_deep(spark, d)))
 
 
 PAT = grams("uss", [4, 5, 6, 7]) + ", p AS (SELECT CAST(CAST(seq_id AS BIGINT) % 4 AS INTEGER) AS iteration, pattern, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= 5)"
@@ -613,35 +616,61 @@ def hilbert_local_mean(spark, d):
     return grid.local_mean(grid.grid(event_bits(spark, d), 5, 4), 5)
 
 
-TEXTS = DEEP + ", tx AS (SELECT seq_id, string_agg(sym, '' ORDER BY pos) AS s FROM dp GROUP BY 1)"
+#: Users' symbols and those of all events as one sequence, unmatched closes dropped; results of any length are compared in parts.
+TEXTS = DEEP.replace("FROM us)", "FROM us UNION ALL SELECT 'ev', event_id, CASE event_type WHEN 'signup' THEN '(' WHEN 'error' THEN ')' WHEN 'click' THEN '1' WHEN 'purchase' THEN '1' ELSE '0' END FROM events)")
+TEXTS += ", tx AS (SELECT seq_id, string_agg(sym, '' ORDER BY pos) AS s FROM dp GROUP BY 1)"
+
+
+def parts_sql(table: str, **rules: str) -> str:
+    """The parts of ``recut`` of each rule's text, an expression over s."""
+    each = " UNION ALL ".join(f"SELECT seq_id, '{k}' AS rule, {x} AS r FROM {table}" for k, x in rules.items())
+    return f"SELECT seq_id, rule, part, substr(r, part * 1024 + 1, 1024) AS text FROM (SELECT seq_id, rule, r, unnest(range(0, (length(r) + 1023) // 1024)) AS part FROM ({each}))"
+
+
+def _parts(**rules: DataFrame) -> DataFrame:
+    """(seq_id, rule, part, text) of the texts of each rule."""
+    every = [scan.recut(x).select("seq_id", F.lit(k).alias("rule"), "part", "text") for k, x in rules.items()]
+    return reduce(DataFrame.unionByName, every)
+
+
+def _all_deep(spark: SparkSession, d: str) -> DataFrame:
+    return checkpointed(structure.depths(checkpointed(user_symbols(spark, d).unionByName(event_symbols(spark, d)))))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """(seq_id, s): each user's symbols as one string, unmatched closes dropped."""
-    rows = F.sort_array(F.collect_list(F.struct("pos", "sym")))
-    return _deep(spark, d).groupBy("seq_id").agg(F.array_join(F.transform(rows, lambda r: r["sym"]), "").alias("s"))
+    """(seq_id, chunk, text): symbols of each user and of all events, unmatched closes dropped, in chunks."""
+    return checkpointed(scan.texts_of(_all_deep(spark, d)))
 
 
+def _bit_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(seq_id, chunk, text): bits of each user and of all events, in chunks."""
+    bits = user_bits(spark, d).select("seq_id", "pos", "bit").unionByName(event_bits(spark, d))
+    return checkpointed(scan.texts_of(bits, "bit"))
+
+
+BOTH = "bx AS (SELECT * FROM uss UNION ALL SELECT * FROM evs)"
 LOCAL = r"translate(regexp_replace(regexp_replace({}, '\(1+\)', 'u', 'g'), '\([01]+\)', 'z', 'g'), 'uz', '10')"
 
 
-@query(TEXTS + f" SELECT seq_id, {LOCAL.format('s')} AS local_one, {LOCAL.format(LOCAL.format('s'))} AS local_two, CASE WHEN regexp_matches(translate(s, '()', ''), '^1+$') THEN '1' ELSE '0' END AS whole FROM tx")
+@query(TEXTS + " " + parts_sql("tx", local_one=LOCAL.format("s"), local_two=LOCAL.format(LOCAL.format("s")), whole="CASE WHEN regexp_matches(translate(s, '()', ''), '^1+$') THEN '1' ELSE '0' END"))
 def collapse_passes(spark, d):
-    """Innermost groups collapsed once and twice, and all at once."""
-    s = F.col("s")
-    return _texts(spark, d).select("seq_id", collapse.collapse_local(s).alias("local_one"), collapse.collapse_full(s, 2).alias("local_two"), collapse.simplify(collapse.strip(s)).alias("whole"))
+    """Innermost groups collapsed once and twice, and all at once, of sequences of any length."""
+    texts = _texts(spark, d)
+    bits = texts.select("seq_id", F.explode(F.split(collapse.strip(F.col("text")), "")).alias("b")).where("b <> ''").groupBy("seq_id").agg(F.min("b").alias("text"))
+    whole = texts.select("seq_id").distinct().join(bits, "seq_id", "left").select("seq_id", F.lit(0).cast("long").alias("chunk"), F.coalesce("text", F.lit("0")).alias("text"))
+    one = checkpointed(collapse.local_passes(texts))
+    return _parts(local_one=one, local_two=collapse.local_passes(one.drop("lengths")), whole=whole)
 
 
 def phase_sql(x: str, first: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace({x}, '{first}', '0', 'g'), '0+', '0', 'g'), '1+', '1', 'g')"
 
 
-@query(f" SELECT seq_id, {phase_sql(phase_sql('s', '01'), '10')} AS e, {phase_sql(phase_sql('s', '10'), '01')} AS i FROM uss")
+@query(BOTH + " " + parts_sql("bx", e=phase_sql(phase_sql("s", "01"), "10"), i=phase_sql(phase_sql("s", "10"), "01")))
 def collapse_phases(spark, d):
-    """Two-phase collapse in both orders."""
-    rows = F.sort_array(F.collect_list(F.struct("pos", "bit")))
-    s = user_bits(spark, d).groupBy("seq_id").agg(F.array_join(F.transform(rows, lambda r: r["bit"].cast("string")), "").alias("s"))
-    return s.select("seq_id", collapse.collapse_e(F.col("s")).alias("e"), collapse.collapse_i(F.col("s")).alias("i"))
+    """Two-phase collapse in both orders, of sequences of any length."""
+    texts = _bit_texts(spark, d)
+    return _parts(e=collapse.phases(texts, "01", "10"), i=collapse.phases(texts, "10", "01"))
 
 
 @query(NODES + " SELECT seq_id, open_pos, CASE WHEN n_zeros = 0 AND n_ones > 0 THEN 1 ELSE 0 END AS value FROM nd")
@@ -651,16 +680,21 @@ def collapse_tree(spark, d):
 
 
 FIRST = r"regexp_replace(s, '^(.*?)\([01]+\)', CASE WHEN regexp_matches(regexp_extract(s, '\(([01]+)\)', 1), '^1+$') THEN '\11' ELSE '\10' END)"
-WHOLE = "CASE WHEN regexp_matches({}, '^1+$') THEN '1' ELSE '0' END"
-FRAMES = r"regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(s, '1\(1+\)|\(1+\)1', 'u', 'g'), '1\([01]+\)|\([01]+\)1', 'z', 'g'), 'uz', '10'), '0{2,}', '0', 'g'), '1{2,}', '1', 'g')"
+WHOLE = "CASE WHEN {0} = '' THEN '0' ELSE regexp_replace(regexp_replace({0}, '[01]*0[01]*', '0', 'g'), '1+', '1', 'g') END"
+
+
+def frames_sql(ones: str, any_: str) -> str:
+    return f"regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(s, '{ones}', 'u', 'g'), '{any_}', 'z', 'g'), 'uz', '10'), '0{{2,}}', '0', 'g'), '1{{2,}}', '1', 'g')"
 
 
-@query(TEXTS + f" SELECT seq_id, {FIRST} AS first_local, {WHOLE.format(FIRST)} AS first_whole, {WHOLE.format(LOCAL.format('s'))} AS pass_whole, {FRAMES} AS frames FROM tx")
+@query(TEXTS + " " + parts_sql("tx", first_local=FIRST, first_whole=WHOLE.format(FIRST), pass_whole=WHOLE.format(LOCAL.format("s")), frames=frames_sql(r"1\(1+\)", r"1\([01]+\)"), frames_suffix=frames_sql(r"\(1+\)1", r"\([01]+\)1")))
 def collapse_steps(spark, d):
-    """The leftmost group alone, each pass with the whole state after it, and atomic frames."""
-    s = F.col("s")
-    first = collapse.collapse_first(s)
-    return _texts(spark, d).select("seq_id", first.alias("first_local"), collapse.then_whole(first).alias("first_whole"), collapse.then_whole(collapse.collapse_local(s)).alias("pass_whole"), collapse.collapse_frames(s).alias("frames"))
+    """The leftmost group alone, it and each pass with the bits between parentheses simplified after it, and atomic frames from both sides."""
+    texts = _texts(spark, d)
+    marked = checkpointed(scan.rewrite(texts, [collapse.marked(")", "(")], backwards=True)).drop("lengths")
+    after = lambda *layers: scan.rewrite(marked, list(layers))
+    first, every, base = collapse.groups_to_bits(first_only=True), collapse.groups_to_bits(), collapse.based()
+    return _parts(first_local=after(first), first_whole=after(first, base), pass_whole=after(every, base), frames=after(collapse.frames_to_bits("(", ")"), collapse.squeezed()), frames_suffix=collapse.frames(texts, suffix=True))
 
 
 @query(DEEP + " , t AS (SELECT seq_id, count(*) FILTER (sym = '(') AS o, count(*) FILTER (sym = ')') AS c, max(depth) AS max_depth, count(*) FILTER (sym IN ('0', '1')) AS bits FROM dp GROUP BY 1) SELECT max_depth, count(*) AS sequences, CAST(sum(least(o, c)) AS BIGINT) AS groups, CAST(sum(bits) AS BIGINT) AS bits FROM t GROUP BY 1")
@@ -702,17 +736,30 @@ def distinct_rules(spark, d):
     return rules.distinct_rules(rules.transitions(user_bits(spark, d), [3]))
 
 
-@query(None)
+@query(TEXTS + """, k0 AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY pos) - 1 AS i, depth = 0 OR (sym = '(' AND depth = 1) AS outside FROM dp),
+k1 AS (SELECT *, CASE WHEN outside AND row_number() OVER (PARTITION BY seq_id, i // 20, outside ORDER BY i) = 1 THEN 1 ELSE 0 END AS cut FROM k0),
+k2 AS (SELECT *, sum(cut) OVER (PARTITION BY seq_id ORDER BY i) AS block FROM k1),
+k3 AS (SELECT seq_id || ':' || CAST(block AS VARCHAR) AS seq_id, string_agg(sym, '' ORDER BY i) AS s FROM k2 GROUP BY seq_id, block) """ + parts_sql("k3", block=LOCAL.format("s")))
 def collapse_blocks(spark, d):
-    """Blocks cut where no group is open, each collapsed once."""
-    return collapse.safe_cuts(_deep(spark, d), 20).select("seq_id", "block", "start", "symbols", collapse.collapse_local(F.col("text")).alias("text"))
+    """Blocks cut where no group is open, each collapsed once; a block may be of any length."""
+    blocks = collapse.safe_cuts(_all_deep(spark, d), 20).select(F.concat_ws(":", "seq_id", "block").alias("seq_id"), "chunk", "text")
+    return _parts(block=collapse.local_passes(checkpointed(blocks)))
+
+
+@query("RECURSIVE " + TEXTS.strip() + ", fx AS (SELECT seq_id, s, 0 AS i FROM tx UNION ALL SELECT seq_id, t, i + 1 FROM (SELECT seq_id, s, i, " + LOCAL.format("s") + " AS t FROM fx) WHERE t <> s), fl AS (SELECT seq_id, arg_max(s, i) AS s FROM fx GROUP BY 1) " + parts_sql("fl", full="s"))
+def collapse_fixpoint(spark, d):
+    """Groups collapsed pass by pass until none is left, of sequences of any length."""
+    return _parts(full=collapse.collapse_to_end(_texts(spark, d)))
 
 
 @query(TEXTS + """ SELECT seq_id, length(s) AS symbols, (length(s) + 3) // 4 AS packed_bytes, length(translate(s, '()', '')) AS clean_bits, round(1 - CAST((length(s) + 3) // 4 AS DOUBLE) / greatest(length(s), 1), 6) AS savings, true AS same FROM tx""")
 def packed_storage(spark, d):
-    """Symbols packed four to a byte, and unpacked again."""
-    t = _texts(spark, d).withColumn("p", codec.encode(F.col("s"))).withColumn("z", codec.storage(F.col("s")))
-    return t.select("seq_id", "z.symbols", "z.packed_bytes", "z.clean_bits", "z.savings", ((codec.decode(F.col("p"), F.length("s")) == F.col("s")) & (F.length("p") == 2 * F.col("z.packed_bytes"))).alias("same"))
+    """Symbols packed four to a byte, and unpacked again, chunk by chunk; chunks are of whole bytes."""
+    dense = ranked(_all_deep(spark, d), "i").select("seq_id", (F.col("i") - 1).alias("pos"), "sym")
+    t = scan.texts_of(dense).withColumn("p", codec.encode(F.col("text"))).withColumn("z", codec.storage(F.col("text")))
+    same = (codec.decode(F.col("p"), F.length("text")) == F.col("text")) & (F.length("p") == 2 * F.col("z.packed_bytes"))
+    out = t.groupBy("seq_id").agg(*[F.sum(f"z.{c}").alias(c) for c in ("symbols", "packed_bytes", "clean_bits")], F.every(same).alias("same"))
+    return out.select("seq_id", "symbols", "packed_bytes", "clean_bits", F.round(1 - F.col("packed_bytes").cast("double") / F.greatest("symbols", F.lit(1)), 6).alias("savings"), "same")
 
 
 @query(f"SELECT count(*) AS positions, CAST(sum(CASE WHEN f = bit THEN 1 ELSE 0 END) AS BIGINT) AS agree FROM (SELECT bit, CAST(floor((pos + 2) / {scaling.PHI}::DOUBLE) - floor((pos + 1) / {scaling.PHI}::DOUBLE) AS INTEGER) AS f FROM ev)")

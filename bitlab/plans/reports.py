@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bitlab.functions import kernels
-from bitlab.operators import entropy, patterns, reports, rules, scaling, structure, survival
+from bitlab.operators import collapse, entropy, patterns, reports, rules, scaling, structure, survival
 from bitlab.operators.chunks import chunks
-from bitlab.plans.catalog import COUNTS, DAILY, DFA_SIZES, GAPS, PARTS, PAT, SURV, TRANS, _lengths, _patterns, grams, order_parts, query, runs_sql
+from bitlab.plans.catalog import BOTH, COUNTS, DAILY, DFA_SIZES, GAPS, PARTS, PAT, SURV, TORSION, TRANS, _bit_texts, _lengths, _patterns, grams, order_parts, query, runs_sql
 from bitlab.sources.generators import shuffled
 from bitlab.sources.tables import event_bits, order_bits, user_bits
 
@@ -101,16 +101,19 @@ def position_scores(spark, d):
     return reports.position_scores(user_bits(spark, d), "01", 1)
 
 
-T1 = "regexp_replace(s, '01|10', '', 'g')"
-T2 = f"regexp_replace({T1}, '01|10', '', 'g')"
-
-
-@query(f"x AS (SELECT seq_id, 0 AS step, length(s) AS length FROM uss UNION ALL SELECT seq_id, 1, length({T1}) FROM uss UNION ALL SELECT seq_id, 2, length({T2}) FROM uss), y AS (SELECT *, lag(length) OVER (PARTITION BY seq_id ORDER BY step) AS was FROM x) SELECT seq_id, step, length, round(CASE WHEN was > 0 THEN CAST(length AS DOUBLE) / was END, 6) AS ratio FROM y WHERE step > 0")
+@query("RECURSIVE " + BOTH + r""", tr AS (
+  SELECT seq_id, 'both' AS rule, 0 AS i, s, 'initial' AS action, false AS still FROM bx UNION ALL SELECT seq_id, '01 first', 0, s, 'initial', false FROM bx
+  UNION ALL
+  SELECT seq_id, rule, i + 1, t, act, t = s FROM (SELECT *, CASE WHEN rule = 'both' THEN 'both' WHEN i % 3 = 0 THEN '01' WHEN i % 3 = 1 THEN '10' ELSE 'squeeze' END AS act,
+    CASE WHEN rule = 'both' THEN regexp_replace(s, '01|10', '', 'g') WHEN i % 3 = 0 THEN regexp_replace(s, '01', '', 'g') WHEN i % 3 = 1 THEN regexp_replace(s, '10', '', 'g') ELSE regexp_replace(regexp_replace(s, '0+', '0', 'g'), '1+', '1', 'g') END AS t FROM tr) WHERE i < 60 AND s <> ''),
+tl AS (SELECT seq_id, rule, i, action, length(s) AS length FROM tr UNION ALL SELECT seq_id, rule, 1000, 'squeeze', length(regexp_replace(regexp_replace(s, '0+', '0', 'g'), '1+', '1', 'g')) FROM tr WHERE rule = 'both' QUALIFY row_number() OVER (PARTITION BY seq_id, rule ORDER BY i DESC) = 1),
+tw AS (SELECT *, lag(length) OVER (PARTITION BY seq_id, rule ORDER BY i) AS was FROM tl)
+SELECT seq_id, rule, CAST(row_number() OVER (PARTITION BY seq_id, rule ORDER BY i) - 1 AS INTEGER) AS step, action, length, round(CASE WHEN was > 0 THEN CAST(length AS DOUBLE) / was END, 6) AS ratio FROM tw WHERE was IS NULL OR length < was""")
 def deletion_trace(spark, d):
-    """Lengths as pairs are deleted."""
-    rows = F.sort_array(F.collect_list(F.struct("pos", "bit")))
-    texts = user_bits(spark, d).groupBy("seq_id").agg(F.array_join(F.transform(rows, lambda r: r["bit"].cast("string")), "").alias("s"))
-    return reports.deletion_trace(texts, 2).where("step > 0")
+    """Lengths as pairs are deleted until nothing changes, of each user's bits and of all events' as one sequence, by two rules."""
+    texts = _bit_texts(spark, d)
+    both = collapse.deletion_trace(texts, "both").withColumn("rule", F.lit("both"))
+    return both.unionByName(collapse.deletion_trace(texts, "01 first").withColumn("rule", F.lit("01 first")))
 
 
 @query("m AS (SELECT avg(bit) AS m, var_pop(bit) AS v FROM od), x AS (SELECT pos, bit - m AS x, v FROM od, m) SELECT CAST(lag AS INTEGER) AS lag, count(*) AS n, round(avg(a.x * b.x) / any_value(a.v), 6) AS r FROM x a, range(1, 13) r(lag), x b WHERE b.pos = a.pos + lag GROUP BY 1")
@@ -198,17 +201,17 @@ def spectral_peaks(spark, d):
 
 
 @query(SURV + """, cc AS (SELECT iteration, gained - lost AS x, gained + lost AS y, lead(gained - lost) OVER w AS x2, lead(gained + lost) OVER w AS y2 FROM sv WINDOW w AS (ORDER BY iteration)),
-cv AS (SELECT iteration, round(CAST(abs(x2 - x) AS DOUBLE) / (y + y2), 6) AS curvature FROM cc WHERE y + y2 > 0), rs AS (SELECT iteration, round(CAST(survived AS DOUBLE) / (survived + lost), 6) AS rate FROM sv),""" + grams("evs", [2, 4], "ge") + """,
-zt AS (SELECT *, (SELECT (max(pos) + 1) // 10 FROM ev) AS w FROM ge WHERE pattern IN ('01', '10', '0110')),
+cv AS (SELECT iteration, round(CAST(abs(x2 - x) AS DOUBLE) / (y + y2), 6) AS curvature FROM cc WHERE y + y2 > 0), rs AS (SELECT iteration, round(CAST(survived AS DOUBLE) / (survived + lost), 6) AS rate FROM sv),""" + grams("evs", [2, 3, 4], "ge") + """,
+zt AS (SELECT *, (SELECT (max(pos) + 1) // 10 FROM ev) AS w FROM ge WHERE list_contains(""" + str(TORSION) + """, pattern)),
 ct AS (SELECT pattern, pos // w AS seg, count(*) AS n FROM zt WHERE pos // w < 10 AND pos + len <= (pos // w + 1) * w GROUP BY 1, 2),
 mt AS (SELECT pattern, sum(n) / 10.0::DOUBLE AS mean, sum(n * n) / 10.0::DOUBLE AS sq FROM ct GROUP BY 1),
-av AS (SELECT avg(round((sq - mean * mean) / mean, 6)) AS t FROM mt)
-SELECT iteration, round(0.4::DOUBLE * curvature * curvature + 0.3::DOUBLE * t * t + 0.3::DOUBLE * (1 - rate), 6) AS energy FROM rs JOIN cv USING (iteration), av""")
+av AS (SELECT sum(round((sq - mean * mean) / mean, 6)) / 12.0::DOUBLE AS t FROM mt)
+SELECT iteration, round(curvature * curvature + t * t + (1 - rate), 6) AS energy FROM rs JOIN cv USING (iteration), av""")
 def energy(spark, d):
-    """Weighted curvature, torsion and loss by step between cohorts."""
+    """Curvature, torsion and loss by step between cohorts, with weights of one each."""
     steps = survival.survival(_patterns(spark, d))
-    t = patterns.torsion(event_bits(spark, d), ["01", "10", "0110"], 10).agg(F.avg("torsion").alias("t"))
-    return steps.join(survival.curvature(steps), "iteration").crossJoin(F.broadcast(t)).select("iteration", F.round(0.4 * F.pow("curvature", F.lit(2)) + 0.3 * F.col("t") * F.col("t") + 0.3 * (1 - F.col("rate")), 6).alias("energy"))  # one row
+    t = patterns.torsion(event_bits(spark, d), TORSION, 10).agg((F.coalesce(F.sum("torsion"), F.lit(0.0)) / len(TORSION)).alias("t"))
+    return reports.energy(steps.join(survival.curvature(steps), "iteration").crossJoin(F.broadcast(t))).select("iteration", F.round("energy", 6).alias("energy"))  # one row
 
 
 

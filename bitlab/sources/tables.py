@@ -6,9 +6,11 @@ is the only order there is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitlab.operators.chunks import ranked
+
 #: Event types that count as one; the symbols of structured sequences.
 ONES = ("click", "purchase")
 SYMBOLS = {"signup": "(", "error": ")", "click": "1", "purchase": "1", "view": "0"}
@@ -25,10 +27,10 @@ def event_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, pos, event_type): a sequence for each user, in event order."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type")
-    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return events.select(F.col("user_id").cast("string").alias("seq_id"), pos.cast("long").alias("pos"), "event_type", "event_id")
+    """(seq_id, pos, event_type, event_id): a sequence for each user, in event order."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("seq_id"), F.col("event_id").alias("pos"), "event_type")
+    numbered = ranked(events, "nth", 1 << 16)  # a user may have a third of all events
+    return numbered.select("seq_id", (F.col("nth") - 1).cast("long").alias("pos"), "event_type", F.col("pos").alias("event_id"))
 
 
 def user_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +43,20 @@ def cohort_bits(spark: SparkSession, sf_dir: str, cohorts: int = 4) -> DataFrame
     return user_bits(spark, sf_dir).withColumn("iteration", (F.col("seq_id").cast("long") % cohorts).cast("int"))
 
 
+def _symbol(event_type: Column) -> Column:
+    pairs = [x for kv in SYMBOLS.items() for x in map(F.lit, kv)]
+    return F.coalesce(F.create_map(*pairs)[event_type], F.lit("0"))
+
+
 def user_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, pos, sym) over ``0 1 ( )`` for each user, as they come; not balanced."""
-    pairs = [x for kv in SYMBOLS.items() for x in map(F.lit, kv)]
-    return user_events(spark, sf_dir).select("seq_id", "pos", F.coalesce(F.create_map(*pairs)[F.col("event_type")], F.lit("0")).alias("sym"))
+    return user_events(spark, sf_dir).select("seq_id", "pos", _symbol(F.col("event_type")).alias("sym"))
+
+
+def event_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one long sequence of symbols; event_id is the dense position."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.lit("ev").alias("seq_id"), F.col("event_id").alias("pos"), _symbol(F.col("event_type")).alias("sym"))
 
 
 def order_bits(spark: SparkSession, sf_dir: str, threshold: float = 150000.0) -> DataFrame:
