@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import bit_ngrams, blocks, entropy_of, ratio
+from bitlab.operators.chunks import blocks, entropy_of, ratio
+from bitlab.operators.codes import gram_codes
+from bitlab.operators.patterns import tiles
 
 PHI = (1 + 5**0.5) / 2
 
 
 def block_entropy(bits: DataFrame, sizes: list[int]) -> DataFrame:
     """(seq_id, size, blocks, states, entropy, rate): Shannon entropy of disjoint blocks, and per bit."""
-    parts = [bit_ngrams(bits, [s], step=s) for s in sizes]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    out = entropy_of(every.groupBy("seq_id", F.col("len").alias("size"), "pattern").agg(F.count(F.lit(1)).alias("n")), ["seq_id", "size"])
+    counts = tiles(bits, sizes, 1).select("seq_id", F.col("period").alias("size"), "tile", "n")
+    out = entropy_of(counts, ["seq_id", "size"])
     return out.select("seq_id", "size", F.col("total").alias("blocks"), "states", F.round("entropy", 6).alias("entropy"), F.round(F.col("entropy") / F.col("size"), 6).alias("rate"))
 
 
@@ -67,9 +66,9 @@ def transfer_entropy(bits: DataFrame, scales: list[int], k: int = 3, digits: int
     TE = sum p(y, yp, xp) log2(p(y | yp, xp) / p(y | yp)), with pasts of ``k`` majority blocks; not below zero.
     """
     state = blocks(bits, scales).select("seq_id", "size", "block", F.when(2 * F.col("ones") > F.col("size"), 1).otherwise(0).alias("x"))
-    # pasts are windows of the block states, read off chunks of them
-    seen = bit_ngrams(state.withColumnRenamed("block", "pos"), [k + 1], keys=("seq_id", "size"), value="x")
-    hist = seen.select("seq_id", "size", (F.col("pos") + k).alias("block"), F.expr(f"left(pattern, {k})").alias("past"), F.expr("right(pattern, 1)").alias("x"))
+    # pasts are windows of the block states, read off packed words of them
+    seen = gram_codes(state.withColumnRenamed("block", "pos"), k + 1, ("seq_id", "size"), "x")
+    hist = seen.select("seq_id", "size", (F.col("pos") + k).alias("block"), F.call_function("shiftright", F.col("code"), F.lit(1)).alias("past"), (F.col("code") % 2).alias("x"))
     src = hist.select("seq_id", "block", F.col("size").alias("src"), F.col("past").alias("xp"))
     dst = hist.select("seq_id", "block", F.col("size").alias("dst"), F.col("past").alias("yp"), F.col("x").alias("y"))
     joint = src.join(dst, ["seq_id", "block"]).where("src <> dst").groupBy("seq_id", "src", "dst", "yp", "xp", "y").agg(F.count(F.lit(1)).alias("n"))

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitlab.operators.chunks import bit_ngrams
+from bitlab.operators.codes import WORD, gram_counts, text_of, tile_counts
 
 
 def pattern_counts(bits: DataFrame, lengths: range, min_count: int = 2, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """(*keys, len, pattern, n, first_pos) of the patterns that occur at least ``min_count`` times."""
+    if max(lengths) <= WORD:
+        counts = gram_counts(bits, lengths, keys).where(F.col("n") >= min_count)
+        return counts.select(*keys, "len", text_of(F.col("code"), F.col("len")).alias("pattern"), "n", "first_pos")
     grams = bit_ngrams(bits, lengths, keys=keys)
     return grams.groupBy(*keys, "len", "pattern").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos")).where(F.col("n") >= min_count)
 
 
 def saturation(bits: DataFrame, lengths: range) -> DataFrame:
     """(seq_id, len, windows, patterns, ratio): how many windows of a length are distinct."""
-    per = bit_ngrams(bits, lengths).groupBy("seq_id", "len", "pattern").count()
-    out = per.groupBy("seq_id", "len").agg(F.sum("count").alias("windows"), F.count(F.lit(1)).alias("patterns"))
+    out = pattern_counts(bits, lengths, 1).groupBy("seq_id", "len").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("patterns"))
     return out.withColumn("ratio", F.round(F.col("patterns").cast("double") / F.col("windows"), 6))
 
 
@@ -86,11 +91,12 @@ def autosimilarity(counts: DataFrame) -> DataFrame:
 
 def tiles(bits: DataFrame, periods: list[int], min_count: int = 2) -> DataFrame:
     """(seq_id, period, tile, n): identical tiles when the sequence is cut at multiples of a period."""
-    per = [bit_ngrams(bits, [p], step=p).withColumnRenamed("len", "period") for p in periods]
-    every = per[0]
-    for x in per[1:]:
-        every = every.unionByName(x)
-    return every.groupBy("seq_id", "period", F.col("pattern").alias("tile")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    short = [p for p in periods if p <= WORD]
+    per = [tile_counts(bits, short).select("seq_id", F.col("len").alias("period"), text_of(F.col("code"), F.col("len")).alias("tile"), "n")] if short else []
+    for p in periods:
+        if p > WORD:
+            per.append(bit_ngrams(bits, [p], step=p).groupBy("seq_id", F.col("len").alias("period"), F.col("pattern").alias("tile")).agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, per).where(F.col("n") >= min_count)
 
 
 def compositions(counts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitlab.operators.chunks import bit_ngrams, ratio
+from bitlab.operators.codes import text_of, tile_counts
 
 PHI = (1 + 5**0.5) / 2
 
@@ -62,8 +63,7 @@ def block_similarity(bits: DataFrame, size: int) -> DataFrame:
     """(a, b, match): share of equal bits between all distinct blocks of a size up to 10, of which there are at most 1,024."""
     if size > 10:
         raise ValueError("blocks of more than 10 bits are too many to be compared with each other")
-    per = bit_ngrams(bits, [size], step=size).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    code = per.select(F.col("pattern").alias("a"), F.conv("pattern", 2, 10).cast("long").alias("ca"))
+    code = tile_counts(bits, [size]).select(F.col("code").alias("ca")).distinct().select(text_of(F.col("ca"), F.lit(size)).alias("a"), "ca")
     other = code.toDF("b", "cb")
     return code.join(F.broadcast(other), F.col("a") < F.col("b")).select("a", "b", F.round(1 - F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))).cast("double") / size, 6).alias("match"))
 

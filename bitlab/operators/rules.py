@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import bit_ngrams
+from bitlab.operators.codes import gram_counts, text_of
 
 
 def transitions(bits: DataFrame, orders: list[int], min_total: int = 1, min_confidence: float = 0.0, keys: tuple[str, ...] = ("seq_id",)) -> DataFrame:
     """(*keys, ord, ctx, nxt, support, confidence): which bit follows the ``ord`` bits of a context."""
-    grams = bit_ngrams(bits, [o + 1 for o in orders], keys=keys)
-    ctx, nxt = F.expr("left(pattern, len - 1)"), F.expr("cast(right(pattern, 1) as int)")
-    per = grams.groupBy(*keys, (F.col("len") - 1).alias("ord"), ctx.alias("ctx"), nxt.alias("nxt")).agg(F.count(F.lit(1)).alias("support"))
+    counts = gram_counts(bits, [o + 1 for o in orders], keys)
+    per = counts.select(*keys, (F.col("len") - 1).alias("ord"), _context().alias("ctx"), (F.col("code") % 2).cast("int").alias("nxt"), F.col("n").alias("support"))
     total = F.sum("support").over(Window.partitionBy(*keys, "ord", "ctx"))
     out = per.withColumn("total", total).withColumn("confidence", F.col("support").cast("double") / F.col("total"))
     return out.where((F.col("total") >= min_total) & (F.col("confidence") >= min_confidence)).select(*keys, "ord", "ctx", "nxt", "support", F.round("confidence", 6).alias("confidence"))
 
 
+def _context() -> Column:
+    """All bits of a window but the last, as a string."""
+    return text_of(F.call_function("shiftright", F.col("code"), F.lit(1)), F.col("len") - 1)
+
+
 def transition_matrix(trans: DataFrame) -> DataFrame:
     """(seq_id, ctx, p0, p1): confidences by next bit."""
     return trans.groupBy("seq_id", "ctx").pivot("nxt", [0, 1]).agg(F.max("confidence")).select("seq_id", "ctx", F.col("0").alias("p0"), F.col("1").alias("p1"))
@@ -28,12 +32,9 @@ def context_index(bits: DataFrame, lengths: list[int], segments: int = 4) -> Dat
 
     Segments are equal parts by position, what is left belonging to the last one.
     """
-    size = bits.groupBy("seq_id").agg((F.max("pos") + 1).alias("size"))
-    grams = bit_ngrams(bits, [n + 1 for n in lengths]).join(size, "seq_id")
-    seg = F.least(F.floor(F.col("pos") / F.greatest(F.floor(F.col("size") / segments), F.lit(1))), F.lit(segments - 1)).cast("int")
-    rows = grams.select("seq_id", (F.col("len") - 1).alias("ctx_len"), F.expr("left(pattern, len - 1)").alias("ctx"), seg.alias("segment"), F.expr("cast(right(pattern, 1) as long)").alias("nxt"))
-    counts = [F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("nxt")).alias("c0"), F.sum("nxt").alias("c1")]
-    per = rows.groupBy("seq_id", "ctx_len", "ctx", "segment").agg(*counts)
+    rows = gram_counts(bits, [n + 1 for n in lengths], segments=segments).select("seq_id", (F.col("len") - 1).alias("ctx_len"), _context().alias("ctx"), "segment", (F.col("code") % 2).alias("nxt"), "n")
+    ones = F.sum(F.col("n") * F.col("nxt"))
+    per = rows.groupBy("seq_id", "ctx_len", "ctx", "segment").agg(F.sum("n").alias("n"), (F.sum("n") - ones).alias("c0"), ones.alias("c1"))
     total = per.groupBy("seq_id", "ctx_len", "ctx").agg(F.sum("n").alias("n"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).withColumn("segment", F.lit(-1))
     return per.unionByName(total)
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitlab.operators.chunks import bit_ngrams, ratio
+from bitlab.operators.chunks import ratio
+from bitlab.operators.codes import gram_counts, text_of
 
 
 def iteration_patterns(bits: DataFrame, lengths: range, min_count: int = 2) -> DataFrame:
     """(iteration, pattern, n) of the patterns with at least ``min_count`` occurrences in an iteration."""
-    grams = bit_ngrams(bits, lengths, keys=("iteration", "seq_id"))
-    return grams.groupBy("iteration", "pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    counts = gram_counts(bits, lengths, ("iteration", "seq_id")).groupBy("iteration", "len", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    return counts.select("iteration", text_of(F.col("code"), F.col("len")).alias("pattern"), "n")
 
 
 def survival(patterns: DataFrame) -> DataFrame:

@@ -181,3 +181,28 @@ def test_a_sequence_of_a_million_symbols(spark):
     assert tuple(got) == (len(want), *(f(w[i] for w in want) for f, i in ((sum, 1), (max, 2), (sum, 3), (sum, 5))), sum(-1 if w[6] is None else w[6] for w in want))
     cuts = collapse.safe_cuts(deep, 500).agg(F.max(F.length("text")), F.sum(F.length("text"))).first()
     assert cuts[0] <= 1024 and cuts[1] == deep.count()
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 64, 200])
+def test_window_codes(spark, n):
+    from bitlab.operators import codes
+
+    text = texts(11, "01", [n])[f"s{n}"]
+    bits = spark.createDataFrame([("a", i, int(c)) for i, c in enumerate(text)], "seq_id string, pos long, bit int").repartition(3)
+    lengths = [1, 2, 7, 31, 32]
+    windows = [(k, i, text[i : i + k]) for k in lengths for i in range(n - k + 1)]
+    got = codes.gram_counts(bits, lengths).select("len", codes.text_of(F.col("code"), F.col("len")), "n", "first_pos").collect()
+    assert sorted(map(tuple, got)) == sorted((k, t, sum(w[0] == k and w[2] == t for w in windows), min(i for l, i, u in windows if (l, u) == (k, t))) for k, t in {(w[0], w[2]) for w in windows})
+    by_part = codes.gram_counts(bits, [2], segments=4).select("segment", codes.text_of(F.col("code"), F.col("len")), "n").collect()
+    want = {}
+    for k, i, t in windows:
+        if k == 2:
+            key = (min(i // max(n // 4, 1), 3), t)
+            want[key] = want.get(key, 0) + 1
+    assert {(s, t): c for s, t, c in by_part} == want
+    tiles = codes.tile_counts(bits, [1, 2, 5, 7, 32]).select("len", codes.text_of(F.col("code"), F.col("len")), "n").collect()
+    cut = [(k, text[i : i + k]) for k in (1, 2, 5, 7, 32) for i in range(0, n - k + 1, k)]
+    assert sorted(map(tuple, tiles)) == sorted((*x, cut.count(x)) for x in set(cut))
+    assert sorted(map(tuple, codes.gram_codes(bits, 32).select("pos", codes.text_of(F.col("code"), F.lit(32))).collect())) == [(i, t) for k, i, t in windows if k == 32]
+    with pytest.raises(ValueError, match="within"):
+        codes.gram_counts(bits, [33])
