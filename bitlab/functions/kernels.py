@@ -109,6 +109,11 @@ def complexity(text: str) -> dict[str, float]:
     return {"phrases": c, "lz": min(1.0, c / (n / np.log2(n))) if n > 1 else float("nan"), "slope": spectral_slope(bits) if n > 8 else float("nan"), "sampen": sample_entropy(bits), "rate": rate, "determinism": determinism}
 
 
+def phrases(text: str) -> dict[str, float]:
+    """LZ76 phrases of a chunk."""
+    return {"phrases": lz76(text)}
+
+
 COMPLEXITY = "phrases long, lz double, slope double, sampen double, rate double, determinism double"
 
 

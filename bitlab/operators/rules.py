@@ -76,7 +76,7 @@ def validation_summary(rules: DataFrame, threshold: float = 0.6, max_drop: float
 
 
 def kfold(bits: DataFrame, order: int, folds: int) -> DataFrame:
-    """(ctx, mean_accuracy, std_accuracy, folds): rules learned on all sequences, tested on contiguous folds of them.
+    """(ctx, mean_accuracy, std_accuracy, folds): rules learned on all sequences, tested on folds of whole sequences.
 
     Sequences are dealt to folds by the MD5 of their id; a fold's accuracy is how often a context's overall commoner bit follows.
     """
@@ -87,16 +87,21 @@ def kfold(bits: DataFrame, order: int, folds: int) -> DataFrame:
     return test.groupBy("ctx").agg(F.round(F.avg("acc"), 6).alias("mean_accuracy"), F.round(F.stddev_pop("acc"), 6).alias("std_accuracy"), F.count(F.lit(1)).alias("folds"))
 
 
-def causality(bits: DataFrame, k: int = 5) -> DataFrame:
-    """(seq_id, h, h_given, predictability): entropy of a bit, and given the ``k`` bits before it."""
+def conditional(bits: DataFrame, k: int = 5) -> DataFrame:
+    """(seq_id, h, h_given): entropy of a bit, and given the ``k`` bits before it, in bits."""
     trans = transitions(bits, [k])
     total = F.sum("support").over(Window.partitionBy("seq_id"))
     p, q = F.col("support").cast("double") / F.col("t"), F.col("support").cast("double") / F.col("c")
     cond = trans.withColumn("t", total).withColumn("c", F.sum("support").over(Window.partitionBy("seq_id", "ctx"))).groupBy("seq_id").agg((-F.sum(p * F.log2(q))).alias("h_given"))
     one = F.avg(F.col("bit").cast("double"))
     flat = bits.groupBy("seq_id").agg(one.alias("p1")).select("seq_id", (-F.when((F.col("p1") > 0) & (F.col("p1") < 1), F.col("p1") * F.log2("p1") + (1 - F.col("p1")) * F.log2(1 - F.col("p1"))).otherwise(0.0)).alias("h"))
-    out = flat.join(cond, "seq_id")
-    return out.select("seq_id", F.round("h", 6).alias("h"), F.round("h_given", 6).alias("h_given"), F.round(F.when(F.col("h") > 0, F.greatest(F.lit(0.0), 1 - F.col("h_given") / F.col("h"))).otherwise(1.0), 6).alias("predictability"))
+    return flat.join(cond, "seq_id")
+
+
+def causality(bits: DataFrame, k: int = 5) -> DataFrame:
+    """(seq_id, h, h_given, predictability): entropy of a bit, and given the ``k`` bits before it."""
+    share = F.when(F.col("h") > 0, F.greatest(F.lit(0.0), 1 - F.col("h_given") / F.col("h"))).otherwise(1.0)
+    return conditional(bits, k).select("seq_id", F.round("h", 6).alias("h"), F.round("h_given", 6).alias("h_given"), F.round(share, 6).alias("predictability"))
 
 
 def distinct_rules(trans: DataFrame, most: int = 10_000) -> DataFrame:

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from bitlab.plans import catalog, reports, validation  # noqa: F401
+from bitlab.plans import catalog, complexity, reports, validation  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
