@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitlab.functions.tails import significance, t_p, t_quantile
 from bitlab.operators.chunks import bit_ngrams, ratio
 from bitlab.operators.codes import text_of, tile_counts
 
@@ -117,15 +118,40 @@ def autocorrelation(bits: DataFrame, lags: int) -> DataFrame:
     return out.select("seq_id", "lag", "n", F.round("r", 6).alias("r"))
 
 
-def forecast(series: DataFrame, value: str, ahead: int) -> DataFrame:
-    """(seq_id, n, target, expected, error): a straight line carried ``ahead`` iterations on, with its standard error of prediction."""
+def forecast(series: DataFrame, value: str, ahead: int, outside: float = 0.05) -> DataFrame:
+    """(seq_id, n, target, expected, error, low, high, p): a straight line carried ``ahead`` iterations on.
+
+    error is the standard error of prediction; low and high bound all but ``outside`` of it, by Student's distribution with n - 2
+    degrees of freedom; p is how likely so steep a slope is without a trend. All four are null for fewer than three iterations.
+    """
     x, y = F.col("iteration").cast("double"), F.col(value).cast("double")
     fit = series.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.max("iteration").alias("last"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_avgx(y, x).alias("mx"))
     at = F.col("last") + ahead
     mse = ratio(F.col("syy") - F.col("b") * F.col("b") * F.col("sxx"), F.col("n") - 2)
     far = (at - F.col("mx")) * (at - F.col("mx"))
-    se = F.sqrt(F.when(mse.isNotNull(), F.greatest(F.lit(0.0), mse)) * (1 + 1 / F.col("n") + ratio(far, F.col("sxx"))))
-    return fit.select("seq_id", "n", at.alias("target"), F.round(F.col("a") + F.col("b") * at, 4).alias("expected"), F.round(se, 4).alias("error"))
+    fit = fit.withColumn("mse", F.when(F.col("n") > 2, F.greatest(F.lit(0.0), mse)))
+    fit = fit.withColumn("se", F.sqrt(F.col("mse") * (1 + 1 / F.col("n") + ratio(far, F.col("sxx"))))).withColumn("expected", F.col("a") + F.col("b") * at)
+    df = (F.col("n") - 2).cast("double")
+    reach = t_quantile(outside, df) * F.col("se")
+    slope_se = F.sqrt(ratio(F.col("mse"), F.col("sxx")))
+    p = F.when(slope_se > 0, t_p(F.col("b") / slope_se, df))
+    return fit.select("seq_id", "n", at.alias("target"), F.round("expected", 4).alias("expected"), F.round("se", 4).alias("error"), F.round(F.col("expected") - reach, 3).alias("low"), F.round(F.col("expected") + reach, 3).alias("high"), F.round(p, 6).alias("p"))
+
+
+def permutation_test(nulls: DataFrame, observed: DataFrame, null: str = "null", value: str = "observed") -> DataFrame:
+    """(observed, alternative, n, null_mean, z, p, class): ``observed``, one row, against values under the null hypothesis.
+
+    p is the share of null values at least as large ("greater"), at most as large ("less"), or at least as far from their mean ("two-sided").
+    z is null where null values do not vary and the observed one is not theirs, and 0 where it is.
+    """
+    mean = nulls.agg(F.count(null).alias("n"), F.avg(null).alias("m"), F.stddev_pop(null).alias("sd"))
+    every = nulls.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(observed.select(F.col(value).cast("double").alias("o"))))  # one row each
+    x, o, m = F.col(null), F.col("o"), F.col("m")
+    share = {"greater": x >= o, "less": x <= o, "two-sided": F.abs(x - m) >= F.abs(o - m)}
+    sums = every.groupBy("o", "n", "m", "sd").agg(*[F.avg(c.cast("double")).alias(k) for k, c in share.items()])
+    out = sums.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("alternative"), F.col(k).alias("p")) for k in share])).alias("x"))
+    z = F.when(F.col("sd") < 1e-10, F.when(F.abs(o - m) < 1e-10, 0.0)).otherwise((o - m) / F.col("sd"))
+    return out.select(o.alias("observed"), "x.alternative", "n", F.round(m, 6).alias("null_mean"), F.round(z, 6).alias("z"), F.round("x.p", 6).alias("p"), significance(F.col("x.p")).alias("class"))
 
 
 def bootstrap_mean(values: DataFrame, value: str, key: list[str], replicates: int = 96) -> DataFrame:

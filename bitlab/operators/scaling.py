@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitlab.functions.tails import normal_p
 from bitlab.operators.chunks import blocks, correlation, ratio, running_sum
 
 PHI = (1 + 5**0.5) / 2
@@ -115,12 +116,20 @@ CONSTANTS = {"phi": PHI, "1/phi": 1 / PHI, "sqrt2": 2**0.5, "1/sqrt2": 0.5**0.5,
 
 
 def constant_tests(values: DataFrame, value: str) -> DataFrame:
-    """(name, n, mean, distance, z, rank): how far the mean of ``value`` lies from each constant, in standard errors."""
+    """(name, n, mean, distance, z, p, effect, rank): how far the mean of ``value`` lies from each constant, in standard errors.
+
+    p: of so large a z or a larger one, on either side; 0 from 6 standard errors on. effect: how much nearer the nearest constant is than 1,
+    in standard deviations; the same in every row.
+    """
     one = values.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    nearest = F.least(*[F.abs(F.col("mean") - v) for v in CONSTANTS.values()])
+    one = one.withColumn("effect", F.coalesce(ratio(F.abs(F.col("mean") - CONSTANTS["1"]) - nearest, F.col("sd")), F.lit(0.0)))
     each = one.select("*", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in CONSTANTS]), F.array(*[F.lit(v) for v in CONSTANTS.values()]))).alias("name", "c"))
     d = F.abs(F.col("mean") - F.col("c"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d", "name"))  # a row per constant
-    return each.withColumn("d", d).select("name", "n", F.round("mean", 6).alias("mean"), F.round("d", 6).alias("distance"), F.round(ratio(F.col("d"), ratio(F.col("sd"), F.sqrt("n"))), 4).alias("z"), rank.alias("rank"))
+    ranked = each.withColumn("d", d).withColumn("z", ratio(F.col("d"), ratio(F.col("sd"), F.sqrt("n")))).withColumn("rank", rank)
+    p = F.when(F.col("z") < 6, normal_p(F.col("z"))).otherwise(0.0)
+    return ranked.select("name", "n", F.round("mean", 6).alias("mean"), F.round("d", 6).alias("distance"), F.round("z", 4).alias("z"), F.round(p, 5).alias("p"), F.round("effect", 6).alias("effect"), "rank")
 
 
 def singularity(spectrum: DataFrame) -> DataFrame:

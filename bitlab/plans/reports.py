@@ -122,8 +122,18 @@ def autocorrelation(spark, d):
     return reports.autocorrelation(order_bits(spark, d), 12).drop("seq_id")
 
 
-@query(DAILY + """, f AS (SELECT seq_id, count(*) AS n, max(iteration) + 2 AS target, regr_slope(length, iteration) AS b, regr_intercept(length, iteration) AS a, regr_sxx(length, iteration) AS sxx, regr_syy(length, iteration) AS syy, regr_avgx(length, iteration) AS mx FROM s GROUP BY 1)
-SELECT seq_id, n, target, round(a + b * target, 4) AS expected, round(sqrt(CASE WHEN n > 2 THEN greatest(0, (syy - b * b * sxx) / (n - 2)) END * (1 + 1.0::DOUBLE / n + (target - mx) * (target - mx) / nullif(sxx, 0))), 4) AS error FROM f""")
+#: Areas under Student's curve are areas under a power of the cosine, by Simpson's rule over 200 steps; the quantile is found by halving the angle.
+@query("RECURSIVE " + DAILY.strip() + """, fq AS (SELECT seq_id, count(*) AS n, max(iteration) + 2 AS target, regr_slope(length, iteration) AS b, regr_intercept(length, iteration) AS a, regr_sxx(length, iteration) AS sxx, regr_syy(length, iteration) AS syy, regr_avgx(length, iteration) AS mx FROM s GROUP BY 1),
+gq AS (SELECT *, a + b * target AS expected, CASE WHEN n > 2 THEN greatest(0, (syy - b * b * sxx) / (n - 2)) END AS mse FROM fq),
+hq AS (SELECT *, sqrt(mse * (1 + 1.0::DOUBLE / n + (target - mx) * (target - mx) / nullif(sxx, 0))) AS se, CASE WHEN mse > 0 AND sxx > 0 THEN atan(abs(b / sqrt(mse / sxx)) / sqrt(n - 2)) END AS angle FROM gq),
+wt AS (SELECT i / 200.0::DOUBLE AS x, CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 600.0::DOUBLE AS w FROM range(201) r(i)),
+tf AS (SELECT df, sum(w * pow(cos(pi() / 2 * x), df - 1)) * pi() / 2 AS area FROM (SELECT DISTINCT n - 2 AS df FROM fq WHERE n > 2), wt GROUP BY 1),
+hv AS (SELECT df, area, 0 AS i, 0.0::DOUBLE AS low, pi() / 2 AS high FROM tf UNION ALL
+  SELECT df, area, i + 1, CASE WHEN part < 0.95::DOUBLE THEN mid ELSE low END, CASE WHEN part < 0.95::DOUBLE THEN high ELSE mid END FROM (
+    SELECT hv.*, (low + high) / 2 AS mid, (SELECT sum(w * pow(cos((hv.low + hv.high) / 2 * x), hv.df - 1)) FROM wt) * (low + high) / 2 / area AS part FROM hv WHERE i < 50)),
+tq AS (SELECT df, area, sqrt(df) * tan((low + high) / 2) AS q FROM hv WHERE i = 50),
+ap AS (SELECT seq_id, 1 - sum(w * pow(cos(angle * x), n - 3)) * angle / any_value(area) AS p FROM hq JOIN tq ON df = n - 2, wt WHERE angle IS NOT NULL GROUP BY seq_id, angle)
+SELECT seq_id, n, target, round(expected, 4) AS expected, round(se, 4) AS error, round(expected - q * se, 3) AS low, round(expected + q * se, 3) AS high, round(p, 6) AS p FROM hq LEFT JOIN tq ON df = n - 2 LEFT JOIN ap USING (seq_id)""")
 def forecast(spark, d):
     """Lengths two iterations on."""
     return reports.forecast(_lengths(spark, d), "length", 2)
@@ -160,12 +170,12 @@ def bootstrap_runs(spark, d):
 
 @query(None)
 def permutation_runs(spark, d):
-    """The number of runs against that of 20 shuffled copies: share of copies with as many or more."""
+    """The number of runs against that of 20 shuffled copies, with all three alternatives."""
     bits = event_bits(spark, d)
     own = scaling.runs(bits).agg(F.count(F.lit(1)).alias("runs"))
     copies = bits.withColumn("seq_id", F.explode(F.array(*[F.lit(f"copy{i}") for i in range(20)])))
-    null = scaling.runs(shuffled(copies)).groupBy("seq_id").agg(F.count(F.lit(1)).alias("r"))
-    return null.crossJoin(F.broadcast(own)).groupBy("runs").agg(F.round(F.avg("r"), 4).alias("null_mean"), F.round(F.avg((F.col("r") >= F.col("runs")).cast("double")), 4).alias("p"))  # one row
+    null = scaling.runs(shuffled(copies)).groupBy("seq_id").agg(F.count(F.lit(1)).alias("null"))
+    return reports.permutation_test(null, own.withColumnRenamed("runs", "observed"))
 
 
 @query(PARTS + """, w AS (SELECT * FROM (VALUES ('organisation', 0.3::DOUBLE), ('gradient', 0.3::DOUBLE), ('regularity', 0.2::DOUBLE), ('balance', 0.2::DOUBLE)) v(weight, w)),
