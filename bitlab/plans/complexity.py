@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bitlab.functions import kernels
-from bitlab.operators import clusters, entropy, indexes, rules
+from bitlab.operators import clusters, entropy, indexes, rules, spectra
 from bitlab.operators.chunks import chunks
 from bitlab.operators.codes import text_of
 from bitlab.plans.catalog import TRANS, grams, query
@@ -96,3 +96,55 @@ def structured_complexity(spark, d):
     return all_.select(
         "seq_id", t.alias("transfer"), indexes.class_of(t, indexes.TRANSFER, "very strong").alias("causality"), "phrases", "lz", F.col("cv").alias("hierarchy"), F.round(nontrivial, 6).alias("nontriviality"),
         indexes.class_of(nontrivial, indexes.NONTRIVIAL, "very high").alias("nontrivial_class"), F.round(sci, 5).alias("sci"), indexes.class_of(sci, indexes.SCI, "very high").alias("sci_class"))
+
+
+def _dft_sql(table: str, window: int) -> str:
+    """CTEs of ``welch`` with half overlap by the definition of the transform: zb (seq_id, bin, freq, windows, power)."""
+    return f"""zr AS (SELECT seq_id, w, pos - w * {window // 2} AS i, bit FROM (SELECT seq_id, pos, bit, unnest([pos // {window // 2} - 1, pos // {window // 2}]) AS w FROM {table}) WHERE w >= 0),
+zw AS (SELECT *, bit - avg(bit) OVER (PARTITION BY seq_id, w) AS x, count(*) OVER (PARTITION BY seq_id, w) AS n FROM zr),
+zk AS (SELECT seq_id, w, bin, sum(x * cos(2 * pi() * ((bin * i) % {window}) / {window}.0::DOUBLE)) AS re, sum(x * sin(2 * pi() * ((bin * i) % {window}) / {window}.0::DOUBLE)) AS im FROM zw, range(1, {window // 2 + 1}) r(bin) WHERE n = {window} GROUP BY ALL),
+zb AS MATERIALIZED (SELECT seq_id, bin, CAST(bin AS DOUBLE) / {window} AS freq, count(*) AS windows, avg(re * re + im * im) AS power FROM zk GROUP BY seq_id, bin)"""
+
+
+@query(_dft_sql("ev", 256) + " SELECT bin, freq, windows, round(power, 5) AS power FROM zb")
+def overlapping_spectrum(spark, d):
+    """Mean power of half-overlapping windows of 256 bits of the whole sequence."""
+    return spectra.welch(event_bits(spark, d), 256).drop("seq_id").withColumn("power", F.round("power", 5))
+
+
+@query(_dft_sql("ev", 256) + " SELECT count(*) AS points, round(-regr_slope(log10(power), log10(freq)), 5) AS beta, round(regr_r2(log10(power), log10(freq)), 5) AS r2, coalesce(count(*) >= 50 AND -regr_slope(log10(power), log10(freq)) BETWEEN 0.2 AND 2.5 AND regr_r2(log10(power), log10(freq)) >= 0.95, false) AS accepted FROM zb WHERE freq > 0.01 AND freq < 0.4")
+def spectral_beta(spark, d):
+    """How steeply power falls with frequency, and whether the fit is accepted."""
+    return spectra.slope(spectra.welch(event_bits(spark, d), 256), 0.01, 0.4).drop("seq_id")
+
+
+@query(_dft_sql("ev", 1024) + """, lg AS (SELECT log10(freq) AS x, log10(power) AS y FROM zb WHERE power > 0), le AS (SELECT min(x) AS a, max(x) AS b FROM lg),
+lb AS (SELECT floor((x - a) / (b - a) * 80) AS bin, avg(x) AS x, avg(y) AS y FROM lg, le WHERE x < b GROUP BY 1 HAVING count(*) >= 3),
+lp AS MATERIALIZED (SELECT row_number() OVER (ORDER BY x) - 1 AS i, x, y FROM lb), nn AS (SELECT count(*) AS n FROM lp),
+lm AS (SELECT [0, n] AS cuts FROM nn UNION ALL SELECT [0, s, n] FROM nn, range(10, greatest(10, n - 10)) r(s) UNION ALL SELECT [0, s, t, n] FROM nn, range(10, greatest(10, n - 20), 5) r(s), range(s + 10, greatest(s + 10, n - 10), 5) q(t)),
+lf AS (SELECT cuts, k, cuts[k] AS from_, cuts[k + 1] AS to_, count(*) AS points, regr_slope(y, x) AS b, regr_r2(y, x) AS r2 FROM (SELECT cuts, unnest(range(1, len(cuts))) AS k FROM lm), lp WHERE i >= cuts[k] AND i < cuts[k + 1] GROUP BY ALL),
+ls AS (SELECT cuts, round(sum(r2 * points) / sum(points) - 0.02::DOUBLE * (len(cuts) - 2), 9) AS score FROM lf GROUP BY 1 HAVING min(points) FILTER (k = 1) >= 5 ORDER BY score DESC, len(cuts), cuts LIMIT 1)
+SELECT CAST(len(cuts) - 1 AS INTEGER) AS model, round(score, 5) AS score, CAST(k AS INTEGER) AS segment, CAST(from_ AS INTEGER) AS first, CAST(to_ - 1 AS INTEGER) AS last, points, round(-b, 4) AS beta, round(r2, 5) AS r2 FROM lf JOIN ls USING (cuts)""")
+def spectral_segments(spark, d):
+    """One, two or three straight lines through the logarithmic bins of the spectrum."""
+    return spectra.segmented(spectra.log_bins(spectra.welch(event_bits(spark, d), 1024))).drop("seq_id")
+
+
+PEAKS = _dft_sql("us", 16) + """, zo AS (SELECT *, first_value(bin) OVER (PARTITION BY seq_id, c ORDER BY power DESC, bin) AS top FROM (SELECT *, unnest(range(bin - 4, bin + 5)) AS c FROM zb)),
+zh AS (SELECT z.seq_id, z.bin, z.freq, z.power FROM zb z JOIN (SELECT DISTINCT seq_id, c AS bin, top FROM zo) t USING (seq_id, bin) JOIN (SELECT seq_id, 2 * avg(power) AS most FROM zb GROUP BY 1) m USING (seq_id) WHERE top = z.bin AND power > most AND freq < 0.5)"""
+
+
+@query(PEAKS + " SELECT seq_id, bin, freq, round(power, 4) AS power, CAST(floor(1 / freq) AS INTEGER) AS period FROM zh")
+def user_peaks(spark, d):
+    """Frequencies that stand out of the spectrum of windows of 16 bits of each user's sequence."""
+    return spectra.peaks(spectra.welch(user_bits(spark, d), 16)).withColumn("power", F.round("power", 4))
+
+
+@query(PEAKS + """, zq AS (SELECT DISTINCT seq_id, CAST(floor(1 / freq) AS BIGINT) AS period FROM zh),
+zt AS (SELECT seq_id, period, substr(s, i + 1, period) AS tile FROM (SELECT q.seq_id, period, s, unnest(range(0, length(s) - period + 1, period)) AS i FROM zq q JOIN uss USING (seq_id)))
+SELECT seq_id, CAST(period AS INTEGER) AS period, tile, count(*) AS n FROM zt GROUP BY ALL HAVING count(*) >= 2""")
+def spectral_tiles(spark, d):
+    """Tiles of each user's sequence that recur at the periods found in its own spectrum."""
+    bits = user_bits(spark, d)
+    found = spectra.peaks(spectra.welch(bits, 16)).select("seq_id", "period")
+    return spectra.periodic_tiles(bits, found)
