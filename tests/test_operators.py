@@ -233,6 +233,27 @@ def test_streams(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM ones").first()[0] == events.count()
 
 
+@pytest.mark.parametrize(("size", "order"), [(64, 2), (7, 3), (1024, 1)])
+def test_streams_in_any_order(spark, tmp_path, size, order):
+    """Micro-batches of bits in random order, some of them twice, give the transitions of the batch query."""
+    from bitlab.streaming.counts import position_transitions
+
+    texts = {"a": random_text(300, 1), "b": random_text(65, 2), "c": "0"}
+    df = bits_of(spark, **texts)
+    rng, parts = np.random.default_rng(size), df.collect()
+    order_of = rng.permutation(len(parts))
+    for i, at in enumerate(np.array_split(order_of, 5)):
+        again = rng.choice(order_of, 10)
+        spark.createDataFrame([parts[k] for k in (*at, *again)], df.schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={i}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = position_transitions(stream, order, size).writeStream.format("memory").queryName(f"any{size}").outputMode("append").start()
+    q.processAllAvailable()
+    assert len(q.recentProgress) >= 5
+    q.stop()
+    got = {(r["seq_id"], r["ctx"], r["nxt"]): r["n"] for r in spark.sql(f"SELECT seq_id, ctx, nxt, sum(n) AS n FROM any{size} GROUP BY 1, 2, 3").collect()}
+    assert got == {(r["seq_id"], r["ctx"], r["nxt"]): r["support"] for r in rules.transitions(df, [order]).collect()}
+
+
 def test_recurrence(spark):
     from bitlab.operators.collapse import accumulate
 
