@@ -664,7 +664,7 @@ TELLING = {
     "TARGETS": (["the idiot, you see", "you idiot"], ["the idiot, one sees. you walk", "you. idiot"]),
     "NEGATIONS": (["they are an idiot", "never here. an idiot"], ["they are not an idiot", "here never an idiot"]),
     "REPORTS": (["they said it. an idiot", "an idiot"], ["they said an idiot", "told an idiot"]),
-    "THREATS": (["will burn and kill", "kill"], ["will an idiot", "scum"]),
+    "THREATS": (["will burn and kill", "kill"], ["will turn and walk", "walk"]),
 }
 
 
@@ -685,7 +685,7 @@ def test_toxicity_needs_each_transducer(spark, name):
     parts = {n: getattr(toxicity, n) for n in ("INSULTS", "THREATS", "TARGETS", "NEGATIONS", "REPORTS")}
     without = [t for n, t in parts.items() if n != name]
     whole, less = accuracy(toxicity.GRAMMAR), accuracy(toxicity.compose(*without))
-    assert whole > 0.95 and less < (0.8 if name != "THREATS" else 1.01)
+    assert whole > 0.95 and less < 0.8
     if name == "THREATS":
         assert toxicity.Scorer(toxicity.SEEDS, toxicity.compose(*without)).clauses("will kill you")[0] == []
 
