@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bitlab.functions import kernels
-from bitlab.operators import clusters, entropy, indexes, rules, spectra
+from bitlab.operators import clusters, entropy, indexes, rules, scaling, spectra
 from bitlab.operators.chunks import chunks
 from bitlab.operators.codes import text_of
-from bitlab.plans.catalog import TRANS, grams, query
+from bitlab.plans.catalog import DFA_SIZES, ENT, TRANS, dfa_sql, grams, query
 from bitlab.sources.tables import event_bits, user_bits
 
 #: Block sizes that are clustered, the similarity of neighbours and the count that makes a core.
@@ -148,3 +148,52 @@ def spectral_tiles(spark, d):
     bits = user_bits(spark, d)
     found = spectra.peaks(spectra.welch(bits, 16)).select("seq_id", "period")
     return spectra.periodic_tiles(bits, found)
+
+
+#: What the indexes are made of, each by its own definition: exponent, slope, LZ of chunks of 1,024 bits, distant information, block entropies.
+PARTS_OF_EMERGENCE = (
+    dfa_sql(2.0).strip().replace("y AS (SELECT pos", "fy AS (SELECT pos", 1).replace("FROM y,", "FROM fy,").replace("b AS (SELECT size, pos", "fb AS (SELECT size, pos", 1).replace("AS f FROM b WHERE", "AS f FROM fb WHERE").replace("f AS (SELECT CAST(size", "ff AS (SELECT CAST(size", 1)
+    + ", fh AS (SELECT round(regr_slope(ln(f), ln(size)), 5) AS h FROM ff WHERE f > 0), "
+    + _dft_sql("ev", 256)
+    + ", fs AS (SELECT -round(-regr_slope(log10(power), log10(freq)), 5) AS slope FROM zb WHERE freq > 0 AND freq < 0.5 AND power > 0), "
+    + DISTANT
+    + ", fm AS (SELECT round(coalesce(avg(mi), 0), 6) AS mi FROM zi), "
+    + ENT.strip()
+    + """, fe AS (SELECT round(stddev_pop(y) / avg(y), 6) AS cv, round(avg(y), 6) AS mean_entropy FROM (SELECT round(h, 6) / log2(least(pow(2.0::DOUBLE, size), blocks)) AS y FROM e WHERE blocks > 1)),
+ck AS (SELECT part, substr(s, part * 1024 + 1, 1024) AS s FROM (SELECT s, unnest(range((length(s) + 1023) // 1024)) AS part FROM evs)),
+lz AS (SELECT part, s, 0 AS i, 0 AS c FROM ck UNION ALL
+  SELECT part, s, i + 1 + coalesce(list_max(list_filter(range(1, least(length(s) - i, i, 200) + 1), lambda l: contains(substr(s, 1, i), substr(s, i + 1, l)))), 0), c + 1 FROM lz WHERE i < length(s)),
+fl AS (SELECT round(avg(CASE WHEN n > 1 THEN least(1, c * log2(n) / n) ELSE 0 END), 6) AS lz FROM (SELECT part, length(s) AS n, max(c) AS c FROM lz GROUP BY ALL)),
+fp AS (SELECT *, 1 - lz AS s_order, CASE WHEN lz <= 0.3 THEN 0.7 + lz / 0.3::DOUBLE * 0.3::DOUBLE WHEN lz <= 0.7 THEN 1 ELSE greatest(0, 1 - (lz - 0.7::DOUBLE) / 0.3::DOUBLE) END AS s_complexity,
+  greatest(0, 1 - abs(slope + 1) / 2) AS s_criticality, least(1, mi * 10) AS s_coherence,
+  least(1, cv * 2) * CASE WHEN mean_entropy < 0.3 THEN mean_entropy / 0.3::DOUBLE WHEN mean_entropy > 0.9 THEN (1 - mean_entropy) / 0.1::DOUBLE ELSE 1 END AS s_hierarchy,
+  CASE WHEN h IS NULL THEN 0 WHEN h > 1.1 THEN greatest(0, 1 - (h - 1.1::DOUBLE) / 0.4::DOUBLE) WHEN h >= 0.85 THEN 1 WHEN h >= 0.6 THEN 0.6::DOUBLE + (h - 0.6::DOUBLE) / 0.25::DOUBLE * 0.4::DOUBLE ELSE greatest(0, h) END AS s_fluctuation,
+  (coalesce(greatest(0, (h - 0.5::DOUBLE) * 2), 0) + CASE WHEN slope < 0 THEN greatest(0, least(1, -slope)) ELSE 0 END) / 2 AS s_non FROM fh, fs, fm, fe, fl),
+fi AS (SELECT *, 0.3::DOUBLE * s_order + 0.3::DOUBLE * s_hierarchy + 0.2::DOUBLE * s_coherence + 0.2::DOUBLE * s_non AS sei,
+  0.25::DOUBLE * s_criticality + 0.25::DOUBLE * s_complexity + 0.2::DOUBLE * s_coherence + 0.15::DOUBLE * s_hierarchy + 0.15::DOUBLE * s_fluctuation AS eci FROM fp)"""
+)
+
+
+@query("RECURSIVE " + PARTS_OF_EMERGENCE + """ SELECT h AS hurst, slope, lz, mi, cv AS hierarchy, mean_entropy, CASE WHEN lz < 0.1 THEN 'very low' WHEN lz < 0.3 THEN 'low' WHEN lz <= 0.7 THEN 'structured' ELSE 'high' END AS lz_class,
+  CASE WHEN slope BETWEEN -1.2 AND -0.8 THEN '1/f' WHEN slope > -0.3 THEN 'white' WHEN slope < -1.5 THEN 'brownian' ELSE 'intermediate' END AS slope_class, CASE WHEN mi < 0.01 THEN 'none' WHEN mi < 0.05 THEN 'weak' WHEN mi < 0.1 THEN 'moderate' ELSE 'strong' END AS mi_class,
+  round(sei, 5) AS sei, CASE WHEN sei < 0.3 THEN 'low' WHEN sei < 0.5 THEN 'moderate' WHEN sei < 0.7 THEN 'high' ELSE 'very high' END AS sei_class, round(eci, 5) AS eci, CASE WHEN eci < 0.3 THEN 'far' WHEN eci < 0.5 THEN 'approaching' WHEN eci < 0.7 THEN 'near' ELSE 'at the edge' END AS eci_class,
+  round(least(1, sqrt((1 - lz) * least(1, mi * 5)) * least(1, cv * 2) * (CASE WHEN h <= 1.1 THEN 1 - abs(h - 0.85::DOUBLE) / 0.85::DOUBLE ELSE 0.5 END + (1 - abs(slope + 1) / 2)) / 2), 5) AS icc FROM fi""")
+def emergence_index(spark, d):
+    """The structural emergence index, the edge index and the coherence index of all events' bits, with what they are made of."""
+    bits = event_bits(spark, d)
+    hurst = scaling.exponent(scaling.fluctuations(bits, DFA_SIZES)).select("seq_id", F.col("h").alias("hurst"))
+    slope = spectra.slope(spectra.welch(bits, 256), 0.0, 0.5).select("seq_id", (-F.col("beta")).alias("slope"))
+    n = F.log2(F.least(F.pow(F.lit(2.0), F.col("size").cast("double")), F.col("blocks").cast("double")))
+    blocks = entropy.block_entropy(bits, [1, 2, 4, 8])
+    mean = blocks.where("blocks > 1").groupBy("seq_id").agg(F.round(F.avg(F.col("entropy") / n), 6).alias("mean_entropy"))
+    hierarchy = entropy.hierarchy(blocks).select("seq_id", F.col("cv").alias("hierarchy"))
+    phrases = kernels.per_chunk(chunks(bits, halo=0), kernels.phrases, "phrases long")
+    lz = phrases.groupBy("seq_id").agg(F.round(F.avg(indexes.normalised_lz(F.col("phrases"), F.col("n"))), 6).alias("lz"))
+    mi = clusters.mean_and_error(clusters.distant_information(bits), "mi").select(F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mi"))
+    out = hurst.join(slope, "seq_id").join(mean, "seq_id").join(hierarchy, "seq_id").join(lz, "seq_id").crossJoin(F.broadcast(mi))  # one row each
+    of = indexes.scores(*[F.col(c) for c in ("lz", "hierarchy", "mean_entropy", "mi", "hurst", "slope")])
+    sei, eci = indexes.weighted(of, indexes.SEI_WEIGHTS), indexes.weighted(of, indexes.ECI_WEIGHTS)
+    icc = indexes.icc(1 - F.col("lz"), F.least(F.lit(1.0), F.col("mi") * 5), F.least(F.lit(1.0), F.col("hierarchy") * 2), indexes.criticality(F.col("hurst"), F.col("slope")))
+    return out.select(
+        "hurst", "slope", "lz", "mi", "hierarchy", "mean_entropy", indexes.lz_class(F.col("lz")).alias("lz_class"), indexes.slope_class(F.col("slope")).alias("slope_class"), indexes.class_of(F.col("mi"), indexes.INFORMATION, "strong").alias("mi_class"),
+        F.round(sei, 5).alias("sei"), indexes.class_of(sei, indexes.EMERGENCE, "very high").alias("sei_class"), F.round(eci, 5).alias("eci"), indexes.class_of(eci, indexes.EDGE, "at the edge").alias("eci_class"), F.round(icc, 5).alias("icc"))

@@ -83,3 +83,22 @@ def test_indexes_by_hand(spark):
     want = (0.5, 0.05, 0.35 * 0.4 + 0.2 + 0.05, 0.12, 0.132, 1.0, 1.0, 0.5, 1.0, 0.0)
     got = out.first()
     assert all(abs(a - b) < 1e-12 for a, b in zip(got[:10], want, strict=True)) and got[10:] == ("high", "very high")
+
+
+def test_emergence_by_hand(spark):
+    x = lambda v: F.lit(v).cast("double")
+    cases = {  # lz, hierarchy, mean entropy, information, exponent, slope: scores
+        (0.2, 0.25, 0.6, 0.05, 1.0, -1.0): (0.8, 0.9, 1.0, 0.5, 0.5, 1.0, 1.0),
+        (0.85, 0.6, 0.95, 0.2, 0.7, -0.5): (0.15, 0.5, 0.75, 1.0, 0.5, 0.76, 0.45),
+        (0.5, 0.1, 0.15, 0.0, 1.3, 0.5): (0.5, 1.0, 0.25, 0.0, 0.1, 0.5, 0.8),
+        (1.0, 0.0, 0.5, 0.0, None, 2.0): (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    }
+    names = ("order", "complexity", "criticality", "coherence", "hierarchy", "fluctuation", "non_randomness")
+    for given, want in cases.items():
+        parts = indexes.scores(*map(x, given))
+        got = spark.range(1).select(*[parts[k] for k in names], indexes.weighted(parts, indexes.SEI_WEIGHTS), indexes.weighted(parts, indexes.ECI_WEIGHTS)).first()
+        assert got[:7] == pytest.approx(want)
+        assert got[7] == pytest.approx(0.3 * want[0] + 0.3 * want[4] + 0.2 * want[3] + 0.2 * want[6])
+        assert got[8] == pytest.approx(0.25 * want[2] + 0.25 * want[1] + 0.2 * want[3] + 0.15 * want[4] + 0.15 * want[5])
+    got = spark.range(1).select(*[indexes.slope_class(x(v)) for v in (-1.0, 0.0, -2.0, -0.5)], *[indexes.lz_class(x(v)) for v in (0.05, 0.2, 0.7, 0.71)]).first()
+    assert tuple(got) == ("1/f", "white", "brownian", "intermediate", "very low", "low", "structured", "high")
