@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bitlab.functions import kernels
 from bitlab.operators import collapse, entropy, patterns, reports, rules, scaling, structure, survival
 from bitlab.operators.chunks import chunks
-from bitlab.plans.catalog import BOTH, COUNTS, DAILY, DFA_SIZES, GAPS, PARTS, PAT, SURV, TORSION, TRANS, _bit_texts, _lengths, _patterns, grams, order_parts, query, runs_sql
+from bitlab.plans.catalog import BOTH, COUNTS, DAILY, DFA_SIZES, GAPS, PARTS, PAT, SURV, TORSION, TRANS, _bit_texts, _lengths, _patterns, dfa_sql, grams, order_parts, query, runs_sql
 from bitlab.sources.generators import shuffled
 from bitlab.sources.tables import event_bits, order_bits, user_bits
 
@@ -242,7 +242,13 @@ def stratified_sample(spark, d):
     return stratified(event_bits(spark, d), 1000, 50).groupBy("segment").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"), F.sum("bit").alias("ones"))
 
 
-@query(None)
+SINGULAR = dfa_sql(2.0).strip().split("\nf AS")[0] + """
+sf AS (SELECT q, size, round(pow(avg(pow(greatest(0, vy - c * c / vx), q / 2)), 1 / q), 6) AS f FROM b, (VALUES (-4.0::DOUBLE), (-2.0::DOUBLE), (-1.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) v(q) WHERE n = size GROUP BY 1, 2),
+sh AS (SELECT q, round(q * round(regr_slope(ln(f), ln(size)), 5) - 1, 5) AS tau FROM sf WHERE f > 0 GROUP BY 1),
+sw AS (SELECT q, tau, (coalesce(lead(tau) OVER w, tau) - coalesce(lag(tau) OVER w, tau)) / (coalesce(lead(q) OVER w, q) - coalesce(lag(q) OVER w, q)) AS alpha FROM sh WINDOW w AS (ORDER BY q))"""
+
+
+@query(SINGULAR + " SELECT q, round(alpha, 5) AS alpha, round(q * alpha - tau, 5) AS f FROM sw")
 def singularity_spectrum(spark, d):
     """The multifractal spectrum of the events' bits."""
     return scaling.singularity(scaling.multifractal(event_bits(spark, d), DFA_SIZES, [-4.0, -2.0, -1.0, 1.0, 2.0, 4.0])).drop("seq_id")
