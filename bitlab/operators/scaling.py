@@ -128,8 +128,9 @@ def constant_tests(values: DataFrame, value: str) -> DataFrame:
     d = F.abs(F.col("mean") - F.col("c"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d", "name"))  # a row per constant
     ranked = each.withColumn("d", d).withColumn("z", ratio(F.col("d"), ratio(F.col("sd"), F.sqrt("n")))).withColumn("rank", rank)
-    p = F.when(F.col("z") < 6, normal_p(F.col("z"))).otherwise(0.0)
-    return ranked.select("name", "n", F.round("mean", 6).alias("mean"), F.round("d", 6).alias("distance"), F.round("z", 4).alias("z"), F.round(p, 5).alias("p"), F.round("effect", 6).alias("effect"), "rank")
+    # told before the rounded z takes its name, which lambdas would see
+    ranked = ranked.withColumn("p", F.when(F.col("z") < 6, normal_p(F.col("z"))).otherwise(0.0))
+    return ranked.select("name", "n", F.round("mean", 6).alias("mean"), F.round("d", 6).alias("distance"), F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("effect", 6).alias("effect"), "rank")
 
 
 def singularity(spectrum: DataFrame) -> DataFrame:

@@ -396,7 +396,7 @@ o AS (SELECT count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd FROM q),
 kc AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in scaling.CONSTANTS.items())}) v(name, c)), e AS (SELECT *, abs(mean - c) AS d, abs(mean - c) / (sd / sqrt(n)) AS z FROM o, kc),
 -- the area under the bell curve by Simpson's rule
 a AS (SELECT name, sum(exp(-pow(z * i / 2000.0::DOUBLE, 2) / 2) * CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * z / 6000 / sqrt(2 * pi()) AS half FROM e, range(2001) r(i) WHERE z < 6 GROUP BY name, z)
-SELECT name, n, round(mean, 6) AS mean, round(d, 6) AS distance, round(z, 4) AS z, round(CASE WHEN z < 6 THEN 1 - 2 * half ELSE 0 END, 5) AS p, round((abs(mean - 1) - min(d) OVER ()) / sd, 6) AS effect, CAST(row_number() OVER (ORDER BY d, name) AS INTEGER) AS rank FROM e LEFT JOIN a USING (name)""")
+SELECT name, n, round(mean, 6) AS mean, round(d, 6) AS distance, round(z, 4) AS z, round(CASE WHEN z < 6 THEN 1 - 2 * half ELSE 0 END, 6) AS p, round((abs(mean - 1) - min(d) OVER ()) / sd, 6) AS effect, CAST(row_number() OVER (ORDER BY d, name) AS INTEGER) AS rank FROM e LEFT JOIN a USING (name)""")
 def constant_tests(spark, d):
     """Which constant the mean ratio of runs is nearest."""
     run = scaling.runs(event_bits(spark, d))

@@ -27,16 +27,16 @@ l{k} AS MATERIALIZED (SELECT a, b FROM e{k} JOIN d{k} x ON x.code = a AND x.core
 r{k} AS (SELECT code, code AS other FROM d{k} WHERE core UNION SELECT r{k}.code, l{k}.b FROM r{k} JOIN l{k} ON r{k}.other = l{k}.a),
 n{k} AS MATERIALIZED (SELECT r.code, min(d.first_pos) AS cluster FROM r{k} r JOIN d{k} d ON d.code = r.other GROUP BY 1),
 o{k} AS (SELECT a AS code, min(cluster) AS border FROM e{k} JOIN n{k} ON n{k}.code = b GROUP BY 1),
-f{k} AS (SELECT CAST({size} AS INTEGER) AS size, pattern, n, first_pos, core, CASE WHEN core THEN cluster ELSE border END AS cluster FROM d{k} LEFT JOIN n{k} USING (code) LEFT JOIN o{k} USING (code))"""
+f{k} AS (SELECT CAST({size} AS INTEGER) AS size, pattern, n, first_pos, core, coalesce(CASE WHEN core THEN cluster ELSE border END, -1) AS cluster FROM d{k} LEFT JOIN n{k} USING (code) LEFT JOIN o{k} USING (code))"""
 
 
 @query("RECURSIVE " + ",".join(_clusters_sql(n) for n in SIZES).strip() + " " + " UNION ALL ".join(f"SELECT * FROM f_{n}" for n in SIZES))
 def block_clusters(spark, d):
-    """Blocks of 8 and 16 bits clustered by density under the Hamming distance."""
+    """Blocks of 8 and 16 bits clustered by density under the Hamming distance; noise is cluster -1."""
     bits, found = event_bits(spark, d), None
     for size in SIZES:
         blocks = clusters.density_clusters(clusters.stepped_blocks(bits, size), size, SIMILARITY, MIN_COUNT)
-        one = blocks.select(F.lit(size).alias("size"), text_of(F.col("code"), F.lit(size)).alias("pattern"), "n", "first_pos", "core", "cluster")
+        one = blocks.select(F.lit(size).alias("size"), text_of(F.col("code"), F.lit(size)).alias("pattern"), "n", "first_pos", "core", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
         found = one if found is None else found.unionByName(one)
     return found
 
