@@ -344,6 +344,39 @@ def test_mixing_takes_many_sources(spark):
     assert len({r["slot"] for r in got}) == 300 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
 
 
+def test_mixing_is_the_same_however_it_is_cut(spark, monkeypatch):
+    """Far over ``MAX_SLOTS`` too, blocks stay at 4 rows and every place is that of the SQL."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = Counter(con.sql(mixing.ORACLE).fetchall())
+    for slots in (1, 8):
+        monkeypatch.setattr(mixing, "MAX_SLOTS", slots)
+        assert Counter(map(tuple, mixing.op6_mixing(spark, SF).collect())) == want
+
+
+def brute_pfair(sources):
+    """Slot by slot: of the released blocks the one with the earliest deadline; shares anew at each end."""
+    names, ps, bs = zip(*sorted(sources), strict=True)
+    done, had, start, total, out = [0] * len(ps), [0] * len(ps), 0, sum(ps), []
+    for t in range(sum(bs)):
+        release = [start + (n - h) * total // p for n, h, p in zip(done, had, ps, strict=True)]
+        deadline = [start + -(-(n - h + 1) * total // p) for n, h, p in zip(done, had, ps, strict=True)]
+        d, j = min((deadline[j], j) for j in range(len(ps)) if done[j] < bs[j] and release[j] <= t)
+        out.append((names[j], ps[j], done[j], t, release[j], d))
+        done[j] += 1
+        if done[j] == bs[j]:
+            start, total, had = t + 1, total - ps[j], done[:]
+    return out
+
+
+@pytest.mark.parametrize(("slots", "parts"), [(16, (5, 9, 930, 977)), (64, (7, 7, 14, 21)), (1, (500, 713, 1021, 1499)), (1 << 12, (5, 9, 930, 977))])
+def test_mixing_pieces_begin_as_the_fold_does(spark, monkeypatch, slots, parts):
+    monkeypatch.setattr(mixing, "MAX_SLOTS", slots)
+    rows = [(f"s{i}", parts[i % 4], 60 + 97 * i % 400) for i in range(9)]
+    df = spark.createDataFrame(rows, "source string, p long, blocks long")
+    assert sorted(map(tuple, mixing.pfair(df).collect()), key=lambda r: r[3]) == brute_pfair(rows)
+
+
 # 7 SimHash
 LOWER = {i: i + 32 for i in range(65, 91)}
 
