@@ -173,26 +173,29 @@ def rewrite(texts: DataFrame, layers: list[Machine], keys: tuple[str, ...] = ("s
     up = [*keys, "group"]
     at = (-1 - F.col(index) if backwards else F.col(index)).cast("long")
     turned = texts.select(*keys, F.floor(at / FAN).alias("group"), at.alias("at"), (F.reverse(value) if backwards else F.col(value)).alias("text"))
-    if turned.where(F.col("group") != (-1 if backwards else 0)).isEmpty():
-        begun = turned.withColumn("entry", F.lit(0)).withColumn("final", F.lit(True))
-    else:
-        begun = turned.join(_entries(turned, keys, cascade), up)
+    begun = turned.withColumn("entry", F.lit(None).cast("int")).withColumn("final", F.lit(None).cast("boolean"))
+    if not turned.where(F.col("group") != (-1 if backwards else 0)).isEmpty():
+        # a row before each group's chunks brings its state: after a join, Spark may leave out the repartition and then read the join's side as it lies
+        begun = begun.unionByName(_entries(turned, keys, cascade).select(*up, F.lit(None).cast("long").alias("at"), F.lit("").alias("text"), "entry", "final"))
 
     def output(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, fresh = 0, True
+        state, ends = 0, True
         for rows, _, last in _ends(batches, len(up)):
-            now, states = rows.column("text").to_pylist(), []
-            for m, z, entry in zip(_effects(now, cascade), last, rows.column("entry").to_pylist(), strict=True):
-                states.append(entry if fresh else state)
-                state, fresh = m[states[-1]], z
-            of = np.array([cascade.states[s] for s in states], np.int64).reshape(-1, len(layers))
-            final, lengths = [z and f for z, f in zip(last, rows.column("final").to_pylist(), strict=True)], []
+            now, states, final = rows.column("text").to_pylist(), [], []
+            for m, z, entry, end in zip(_effects(now, cascade), last, rows.column("entry").to_pylist(), rows.column("final").to_pylist(), strict=True):
+                if entry is not None:
+                    state, ends = entry, end
+                states.append(state)
+                final.append(z and ends)
+                state, ends = (0, True) if z else (m[state], ends)
+            of, lengths = np.array([cascade.states[s] for s in states], np.int64).reshape(-1, len(layers)), []
             for j, layer in enumerate(layers):
                 now = _rewritten(now, layer, of[:, j], final)
                 lengths.append(list(map(len, now)))
             out = [t[::-1] for t in now] if backwards else now
             cols = [rows.column(k) for k in [*keys, "at"]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(list(map(list, zip(*lengths, strict=True))), pa.list_(pa.int64()))], names=[*keys, "at", value, "lengths"])
+            written = pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(list(map(list, zip(*lengths, strict=True))), pa.list_(pa.int64()))], names=[*keys, "at", value, "lengths"])
+            yield written.filter(rows.column("entry").is_null())
 
     done = begun.repartition(*up).sortWithinPartitions(*up, "at").select(*up, "at", "text", "entry", "final")
     done = done.mapInArrow(output, _schema(begun, [*keys, "at"], (value, T.StringType()), ("lengths", T.ArrayType(T.LongType()))))

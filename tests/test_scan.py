@@ -120,6 +120,27 @@ def test_deletion_trace(spark, rule):
         assert got[k] == want
 
 
+@pytest.fixture
+def spread(spark, monkeypatch):
+    """A sequence of many groups of chunks, dealt over many partitions that are not merged, as those of large tables: a group is still read in order by one task."""
+    monkeypatch.setattr(chunks, "FAN", 4)
+    monkeypatch.setattr(scan, "FAN", 4)
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+
+    def make(alphabet):
+        seqs = texts(12, alphabet, [2000])
+        return checkpointed(frame(spark, seqs, 10).repartition(16)), seqs["s2000"]
+
+    spark.conf.set(merged, "false")
+    yield make
+    spark.conf.unset(merged)
+
+
+def test_passes_of_a_sequence_in_many_partitions(spread):
+    df, t = spread("01()")
+    assert whole(collapse.local_passes(df, 2)) == {"s2000": local(local(t))}
+
+
 def test_recut(spark):
     seqs = texts(5, "01", [0, 1, 9, 10, 11, 95])
     df = frame(spark, seqs, 7)
