@@ -141,6 +141,12 @@ def test_passes_of_a_sequence_in_many_partitions(spread):
     assert whole(collapse.local_passes(df, 2)) == {"s2000": local(local(t))}
 
 
+def test_phases_of_a_sequence_in_many_partitions(spread):
+    df, t = spread("01")
+    assert whole(collapse.phases(df, "01", "10")) == {"s2000": phase(phase(t, "01"), "10")}
+    assert whole(collapse.phases(df, "10", "01")) == {"s2000": phase(phase(t, "10"), "01")}
+
+
 def test_recut(spark):
     seqs = texts(5, "01", [0, 1, 9, 10, 11, 95])
     df = frame(spark, seqs, 7)
