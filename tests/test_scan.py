@@ -147,6 +147,13 @@ def test_phases_of_a_sequence_in_many_partitions(spread):
     assert whole(collapse.phases(df, "10", "01")) == {"s2000": phase(phase(t, "10"), "01")}
 
 
+def test_steps_of_a_sequence_in_many_partitions(spread):
+    df, t = spread("01()")
+    marked = checkpointed(scan.rewrite(df, [collapse.marked(")", "(")], backwards=True))
+    assert whole(scan.rewrite(marked, [collapse.groups_to_bits(first_only=True), collapse.based()])) == {"s2000": segments(local(t, count=1))}
+    assert whole(collapse.frames(df, suffix=True)) == {"s2000": frames(t, True)}
+
+
 def test_recut(spark):
     seqs = texts(5, "01", [0, 1, 9, 10, 11, 95])
     df = frame(spark, seqs, 7)
