@@ -154,6 +154,13 @@ def test_steps_of_a_sequence_in_many_partitions(spread):
     assert whole(collapse.frames(df, suffix=True)) == {"s2000": frames(t, True)}
 
 
+def test_deletions_of_a_sequence_in_many_partitions(spread):
+    df, t = spread("01")
+    got = [r["length"] for r in collapse.deletion_trace(df, "01 first").orderBy("step").collect()]
+    first = t.replace("01", "")
+    assert got[:3] == [len(t), len(first), len(first.replace("10", ""))]
+
+
 def test_recut(spark):
     seqs = texts(5, "01", [0, 1, 9, 10, 11, 95])
     df = frame(spark, seqs, 7)
