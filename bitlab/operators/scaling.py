@@ -15,10 +15,11 @@ def runs(bits: DataFrame) -> DataFrame:
     """(seq_id, run, bit, start, len): stretches of equal bits, numbered from 1.
 
     A run starts where the bit before differs, looked up by position, so that no window spans a
-    sequence; its number is a two-level running sum.
+    sequence; its number is a two-level running sum. Both sides of that join are as long as the sequences, so it is merged:
+    of exploded rows Spark's estimate is too low, and it would send millions of them through the driver.
     """
     before = bits.select("seq_id", (F.col("pos") + 1).alias("pos"), F.col("bit").alias("was"))
-    change = bits.join(before, ["seq_id", "pos"], "left").withColumn("new", F.when(F.col("was").isNull() | (F.col("was") != F.col("bit")), 1).otherwise(0))
+    change = bits.join(before.hint("merge"), ["seq_id", "pos"], "left").withColumn("new", F.when(F.col("was").isNull() | (F.col("was") != F.col("bit")), 1).otherwise(0))
     numbered = running_sum(change, F.col("new"), "run")
     return numbered.groupBy("seq_id", "run").agg(F.min("bit").alias("bit"), F.min("pos").alias("start"), F.count(F.lit(1)).alias("len"))
 

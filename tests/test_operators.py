@@ -397,3 +397,11 @@ def test_composition_validation_at_the_ends(spark):
     table = bits_of(spark, a="1100", b="1100" + "0" * 19 + "101", c="1100" + "0" * 17 + "101")
     got = {(r.left, r.right, r.whole): (r.tests, r.accuracy) for r in validation.composition_validation(table, rules_, [4]).collect()}
     assert got == {("11", "00", "1100"): (3, 1.0), ("11", "00", "101"): (3, 0.333333)}  # in c it lies within 20 bits, in b it does not
+
+
+def test_runs_send_no_side_of_their_join_through_the_driver(spark):
+    bits = spark.range(500).select(F.col("id").alias("pos"), (F.col("id") % 3 % 2).cast("int").alias("bit"))
+    copies = bits.withColumn("seq_id", F.explode(F.array(F.lit("a"), F.lit("b"))))  # estimated as no more rows than before
+    run = scaling.runs(copies)
+    assert run.count() == 2 * 334
+    assert "LeftOuter, BuildRight" not in run._jdf.queryExecution().executedPlan().toString()
