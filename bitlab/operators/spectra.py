@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -98,14 +99,16 @@ def segmented(binned: DataFrame, edge: int = 10, stride: int = 5, penalty: float
 def peaks(spectrum: DataFrame, most: int = 50, apart: int = 5, times: float = 2.0) -> DataFrame:
     """(seq_id, bin, freq, power, period): bins above ``times`` the mean power and above all others less than ``apart`` bins away, the ``most`` highest.
 
-    Of equal neighbours the first counts. The period is the whole part of 1 / freq; the last bin has none.
+    Of equal neighbours the first counts. The period is the whole part of 1 / freq; the last bin has none. Powers are compared in
+    steps of 2^-30 of the sequence's mean, so that sums taken in another order do not decide between equal ones.
     """
-    mean = spectrum.groupBy("seq_id").agg((times * F.avg("power")).alias("limit"))
-    near = spectrum.select("seq_id", F.explode(F.sequence(F.col("bin") - apart + 1, F.col("bin") + apart - 1)).alias("bin"), F.struct("power", (-F.col("bin")).alias("b")).alias("other"))
+    mean = spectrum.groupBy("seq_id").agg(F.avg("power").alias("mean"))
+    told = spectrum.join(mean, "seq_id").withColumn("steps", F.floor(F.try_divide("power", "mean") * (1 << 30) + 1 / np.pi))  # no simple ratio lies between two steps
+    near = told.select("seq_id", F.explode(F.sequence(F.col("bin") - apart + 1, F.col("bin") + apart - 1)).alias("bin"), F.struct("steps", (-F.col("bin")).alias("b")).alias("other"))
     top = near.groupBy("seq_id", "bin").agg(F.max("other").alias("highest"))
-    high = spectrum.join(top, ["seq_id", "bin"]).join(mean, "seq_id").where((F.col("highest.b") == -F.col("bin")) & (F.col("power") > F.col("limit")) & (F.col("freq") < 0.5))
-    ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("power")).alias("less"), "bin", "freq"))), 1, most)
-    return high.groupBy("seq_id").agg(ranked.alias("p")).select("seq_id", F.inline("p")).select("seq_id", "bin", "freq", (-F.col("less")).alias("power"), F.floor(1 / F.col("freq")).cast("int").alias("period"))
+    high = told.join(top, ["seq_id", "bin"]).where((F.col("highest.b") == -F.col("bin")) & (F.col("steps") > floor(times * (1 << 30) + 1 / np.pi)) & (F.col("freq") < 0.5))
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("less"), "bin", "freq", "power"))), 1, most)
+    return high.groupBy("seq_id").agg(ranked.alias("p")).select("seq_id", F.inline("p")).select("seq_id", "bin", "freq", "power", F.floor(1 / F.col("freq")).cast("int").alias("period"))
 
 
 def periodic_tiles(bits: DataFrame, periods: DataFrame, min_count: int = 2, size: int = 1 << 10) -> DataFrame:

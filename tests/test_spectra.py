@@ -66,3 +66,15 @@ def test_peaks_and_tiles(spark):
         got = spectra.periodic_tiles(df, periods, size=size).collect()
         assert sorted(map(tuple, got)) == [("four", 4, "0011", 100), ("mixed", 5, "01101", 60)]
     assert spectra.peaks(spectra.welch(df.where("pos < 3"), 40)).agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def test_equal_powers_are_equal_whatever_the_rounding(spark):
+    texts = {f"{i:016b}": np.array([int(c) for c in f"{i:016b}"]) for i in range(1, 1 << 16, 7)}
+    whole = lambda x, *signs: int(np.tile(signs, 16 // len(signs)) @ x)
+    ties = {}
+    for t, x in texts.items():  # at a quarter and at a half of the frequency powers are whole numbers, and so is the sum of all
+        quarter, half, n = whole(x, 1, 0, -1, 0) ** 2 + whole(x, 0, 1, 0, -1) ** 2, whole(x, 1, -1) ** 2, int(x.sum())
+        if 8 * quarter == 16 * n - n * n + half > 0:  # exactly twice the mean
+            ties[t] = t
+    found = spectra.peaks(spectra.welch(frame(spark, **ties), 16)).where("bin = 4").collect()
+    assert len(ties) > 20 and found == []
