@@ -37,6 +37,8 @@ NO_ID = (1 << 63) - 1
 #: Generator polynomial of the binary Golay code (23, 12).
 GOLAY = 0b110001110101
 BLOCK = 8192
+#: Fingerprints whose replicas are put together by anchor before they are shuffled, and replicas in one row: a replica then takes half the disk of a row of its own.
+AT_ONCE, PIECE = 1 << 16, 64
 #: Texts (of up to a thousand shingles; longer ones count more often) that one task compares at once.
 TEXTS = 1024
 #: Fingerprints of a text that is compared exactly; pairs beyond their bits are not looked at.
@@ -267,6 +269,37 @@ def links_in_runs(key: np.ndarray, fp: np.ndarray, chk: np.ndarray, max_bits: in
     return np.concatenate(a), np.concatenate(b)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, ``n`` at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        while b.num_rows:
+            part = b.slice(0, n - sum(x.num_rows for x in held))
+            held, b = [*held, part], b.slice(part.num_rows)
+            if sum(x.num_rows for x in held) == n:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _nodes(fp: np.ndarray, chk: np.ndarray) -> np.ndarray:
+    """``node_of`` signed words."""
+    f, c = fp.view(np.uint64), chk.view(np.uint64)
+    return (f ^ (c << np.uint64(1) | c >> np.uint64(63))).view(np.int64)
+
+
+def _pieces(keys: np.ndarray, who: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """(anchor, rows): the ``rows`` of numbers ``who`` by their keys, end to end, up to ``PIECE`` of them in one list."""
+    order = np.argsort(keys, kind="stable")
+    key = keys[order].view(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    nth = np.arange(len(key)) - np.repeat(starts, np.diff([*starts, len(key)]))
+    cut = np.flatnonzero(nth % PIECE == 0)
+    ends = pa.array(np.append(cut, len(key)) * rows.shape[1], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.ListArray.from_arrays(ends, pa.array(rows[who[order]].reshape(-1)))], names=["anchor", "rows"])
+
+
 def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout: str | None = None, bands: tuple[int, range] | None = None) -> DataFrame:
     """(a, b) links between the nodes (see ``node_of``) of ``distinct`` (fp, chk) that connect all close pairs.
 
@@ -282,37 +315,43 @@ def links(distinct: DataFrame, max_bits: int = 4, max_total: int = 128, layout:
     layout = layout or (None if bands else layout_for(distinct.count()))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                fp, chk = (b.column(k).slice(i, 2048).to_numpy(zero_copy_only=False) for k in range(2))
-                if bands:
-                    rest = b.column(2).slice(i, 2048).flatten().to_numpy(zero_copy_only=False).reshape(len(fp), -1)
-                    keys, who = _flipped(np.column_stack([fp, chk, rest]).astype(np.int64).view(np.uint64), *bands)
-                else:
-                    keys, who = _replicate(fp.view(np.uint64), layout, max_bits)
-                also = [b.column(b.num_columns - 1).slice(i, 2048).to_numpy(zero_copy_only=False)[who]] if told else []
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), fp[who], chk[who], *also)], names=["anchor", "fp", "chk", *told])
-
-    as_longs = ", ".join(f"{c} long" for c in ("anchor", "fp", "chk", *told))
-    placed = distinct.select("fp", "chk", *(["more"] if bands else []), *told).mapInArrow(spread, as_longs)  # cheaper told twice than written
-    full = placed.groupBy("anchor").count().where(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
+        for b in _gathered(batches, AT_ONCE if bands else 2048):
+            fp, chk = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            also = [b.column(b.num_columns - 1).to_numpy(zero_copy_only=False) ^ _nodes(fp, chk)] if told else []
+            rows = np.stack([fp, chk, *also], axis=1)
+            if bands:
+                rest = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(fp), -1)
+                words = np.column_stack([fp, chk, rest]).astype(np.int64).view(np.uint64)
+                for band in bands[1]:
+                    yield _pieces(*_flipped(words, bands[0], range(band, band + 1)), rows)
+            else:
+                yield _pieces(*_replicate(fp.view(np.uint64), layout, max_bits), rows)
+
+    wide = 2 + len(told)
+    placed = distinct.select("fp", "chk", *(["more"] if bands else []), *told).mapInArrow(spread, "anchor long, rows array<long>")  # cheaper told twice than written
+    full = placed.groupBy("anchor").agg((F.sum(F.size("rows")) / wide).alias("count")).where(F.col("count") > BLOCK).select("anchor", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
     dealt = placed.join(stage(full, "full-anchors"), "anchor", "left")
     # of n blocks, block i meets each block j, itself included, in the cell (min, max)
-    own = F.pmod(F.xxhash64("fp", "chk"), F.col("blocks"))
-    cell = lambda j: F.xxhash64("anchor", F.least(F.col("own"), j), F.greatest(F.col("own"), j))
-    keys = F.when(F.col("blocks").isNull(), F.array("anchor")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), cell))
-    runs = dealt.withColumn("own", own).select(F.explode(keys).alias("key"), "fp", "chk", *told).repartition("key").sortWithinPartitions("key")
+    own = lambda r: F.pmod(F.xxhash64(r[0], r[1]), F.col("blocks"))
+    cell = lambda r, j: F.struct(F.xxhash64("anchor", F.least(own(r), j), F.greatest(own(r), j)).alias("key"), r.alias("rows"))
+    single = F.transform(F.sequence(F.lit(0), (F.size("rows") / wide).cast("int") - 1), lambda i: F.slice("rows", i * wide + 1, F.lit(wide)))
+    cells = F.flatten(F.transform(single, lambda r: F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: cell(r, j))))
+    keys = F.when(F.col("blocks").isNull(), F.array(F.struct(F.col("anchor").alias("key"), "rows"))).otherwise(cells)
+    runs = dealt.select(F.explode(keys).alias("x")).select("x.key", "x.rows").repartition("key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3 + len(told), 0), np.int64)
+        held = np.zeros((1 + wide, 0), np.int64)
 
         def done(rows: np.ndarray) -> pa.RecordBatch:
-            x, y = links_in_runs(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64), max_bits, max_total, *rows[3:])
+            known = [rows[3] ^ _nodes(rows[1], rows[2])] if told else []
+            x, y = links_in_runs(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64), max_bits, max_total, *known)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(p.copy()) for p in pairs], names=["a", "b"])
 
         for b in batches:
-            rows = np.concatenate([held, np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(held))])], axis=1)
+            key, n = b.column(0).to_numpy(zero_copy_only=False), np.diff(b.column(1).offsets.to_numpy()) // wide
+            values = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, wide).T
+            rows = np.concatenate([held, np.vstack([np.repeat(key, n), values])], axis=1)
             last = np.flatnonzero(rows[0] != rows[0, -1])
             cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
             if cut:

@@ -796,3 +796,14 @@ def test_contract(spark, name):
         for r in out.collect():
             base = ",".join(x for x in r["spans"].split(",") if x and not x.startswith("owned"))
             assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_replicas_of_an_anchor_share_rows():
+    import numpy as np
+
+    from bitlab.llm import simhash
+
+    keys = np.array([7, 5] * 100, np.uint64)
+    got = simhash._pieces(keys, np.arange(200), np.arange(400).reshape(200, 2)).to_pydict()
+    assert got["anchor"] == [5, 5, 7, 7] and [len(r) for r in got["rows"]] == [128, 72, 128, 72]
+    assert sum(got["rows"][2:], []) == [x for i in range(0, 200, 2) for x in (2 * i, 2 * i + 1)]
